@@ -11,6 +11,7 @@ from quillmill.llm.mixing import MIXING_SQL, mix_sources
 from quillmill.llm.packing import pack_documents
 from quillmill.llm.pii import find_personal_data
 from quillmill.llm.simhash import simhash_groups
+from quillmill.llm.substring import remove_repeats
 from quillmill.session import load
 
 
@@ -34,12 +35,17 @@ def op8_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack_documents(load(spark, sf_dir, "documents"))
 
 
+def op9_substring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return remove_repeats(load(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_language_id": op1_language_id,
     "op2_simhash": op2_simhash,
     "op3_pii": op3_pii,
     "op7_mixing": op7_mixing,
     "op8_packing": op8_packing,
+    "op9_substring": op9_substring,
 }
 
 ORACLES: dict[str, str] = {
