@@ -1,10 +1,68 @@
-"""The corpus pipeline: stages over ``documents``, each written as Parquet and read again."""
+"""The corpus pipeline: stages over ``documents``, each written as Parquet and read again by the next.
+
+Language identification (rejected documents go), SimHash near-duplicates (one of each group
+stays), personal data (masked), mixing of sources to target weights, packing into windows.
+"""
 
 from __future__ import annotations
 
-STAGES: list = []
+import uuid
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from quillmill.llm.langid import drop_rejected
+from quillmill.llm.mixing import mixed_documents
+from quillmill.llm.packing import pack_documents
+from quillmill.llm.pii import mask_documents
+from quillmill.llm.simhash import keep_one_of_each
+from quillmill.session import ensure_checkpoint_dir, load
+
+
+def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return drop_rejected(docs)
+
+
+def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return keep_one_of_each(docs)
+
+
+def personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    masked = mask_documents(docs)
+    return masked.withColumn("n_chars", F.length("text").cast(masked.schema["n_chars"].dataType)) if "n_chars" in masked.columns else masked
+
+
+def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return mixed_documents(docs)
+
+
+def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return pack_documents(docs)
+
+
+STAGES = [
+    ("language_id", language),
+    ("simhash", near_duplicates),
+    ("pii", personal_data),
+    ("mixing", mixing),
+    ("packing", packing),
+]
+
+#: Language models, span classifiers and tokenizers are beyond SQL; the tests compare with brute force.
 ORACLE_SQL = None
 
 
-def run(spark, sf_dir):
-    raise NotImplementedError
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All stages over ``documents``; what they hand on lies in the shared folder and goes once read."""
+    ensure_checkpoint_dir(spark)
+    shared = spark._jsc.sc().getCheckpointDir().get()
+    docs, before = load(spark, sf_dir, "documents"), None
+    for name, stage in STAGES:
+        out = f"{shared}/pipeline-{uuid.uuid4().hex}-{name}"
+        stage(spark, docs, sf_dir).write.parquet(out)
+        docs = spark.read.parquet(out)
+        if before:
+            path = spark._jvm.org.apache.hadoop.fs.Path(before)
+            path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+        before = out
+    return docs

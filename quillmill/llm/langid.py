@@ -188,3 +188,16 @@ def identify(docs: DataFrame, model: LanguageModel, carry: tuple[str, ...] = ())
 def identify_language(docs: DataFrame) -> DataFrame:
     """Fit on the labelled, not held-out documents and predict all of them."""
     return identify(docs, fit(docs))
+
+
+def drop_rejected(docs: DataFrame, model: LanguageModel | None = None) -> DataFrame:
+    """The rows and columns of the documents that are not rejected."""
+    shared = docs.sparkSession.sparkContext.broadcast(fit(docs) if model is None else model)
+    at = docs.columns.index("text")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part in slices(batches, 128):
+            rejected = [x[2] for x in shared.value.predict(part.column(at).to_pylist())]
+            yield part.filter(pa.array([not x for x in rejected], pa.bool_()))
+
+    return docs.mapInArrow(run, docs.schema)

@@ -137,6 +137,19 @@ def mix_sources(
     )
 
 
+def mixed_documents(docs: DataFrame, weights: tuple[int, ...] = (1, 2, 3), max_epochs: int = MAX_EPOCHS) -> DataFrame:
+    """The rows and columns of the mix: each document as often as it is taken.
+
+    Rows find their count by a hash of id, source and text; repeated rows pool their counts.
+    """
+    key = F.xxhash64(F.col("doc_id").cast("long"), F.col("source").cast("string"), F.col("text").cast("string"))
+    keyed = docs.withColumn("_key", key)
+    copies = mix_sources(keyed, weights, max_epochs, carry=("_key",)).groupBy("_key").agg(F.sum("copies").cast("int").alias("_copies")).where("_copies > 0")
+    same = Window.partitionBy("_key").orderBy("_key")
+    one = keyed.join(copies, "_key").withColumn("_n", F.row_number().over(same)).where("_n = 1")
+    return one.withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("_copies")))).select(*docs.columns)
+
+
 #: The same mix as window sums over whole tables.
 MIXING_SQL = r"""
 WITH q AS (

@@ -18,7 +18,7 @@ import numpy as np
 import pyarrow as pa
 import xxhash
 from pyspark import TaskContext
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from quillmill.llm.common import as_bytes, slices
@@ -58,14 +58,18 @@ def fingerprint(text: bytes | None, shingle: int = SHINGLE) -> int:
 def _fingerprints(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for part in slices(batches, 2048):
         fp = np.fromiter((fingerprint(t) for t in as_bytes(part.column("text"))), np.uint64, part.num_rows)
-        yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(fp.view(np.int64))], ["doc_id", "fp"])
+        yield pa.RecordBatch.from_arrays([part.column("doc_id"), part.column("row_key"), pa.array(fp.view(np.int64))], ["doc_id", "row_key", "fp"])
+
+
+def row_key(docs: DataFrame) -> DataFrame:
+    """The rows with a hash of id and text, by which a result finds its row without carrying the text."""
+    return docs.withColumn("row_key", F.xxhash64(F.col("doc_id").cast("long"), F.col("text").cast("string")))
 
 
 def fingerprints(docs: DataFrame) -> DataFrame:
-    """``(doc_id, fp)`` with the fingerprint's bits in a signed long."""
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(
-        _fingerprints, "doc_id long, fp long"
-    )
+    """``(doc_id, row_key, fp)`` with the fingerprint's bits in a signed long."""
+    slim = row_key(docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")))
+    return slim.mapInArrow(_fingerprints, "doc_id long, row_key long, fp long")
 
 
 def _counts(fp: np.ndarray) -> np.ndarray:
@@ -217,6 +221,20 @@ def near_links(fps: DataFrame, radius: int = RADIUS, tile: int = TILE) -> DataFr
     return work.select("a", "b", "fps_a", "fps_b").mapInArrow(lambda it: _compare(it, radius), "src long, dst long")
 
 
+def _grouped(docs: DataFrame, radius: int, tile: int) -> DataFrame:
+    """``doc_id, row_key, fp, component_id, n_same, root`` (the group's fingerprint of reference)."""
+    marked = cut_lineage(fingerprints(docs))
+    each = cut_lineage(marked.groupBy("fp").agg(F.min("doc_id").alias("low"), F.count("*").alias("n_same")))
+    total = each.agg(F.sum("n_same")).first()[0] or 0
+    parts = connected_components(near_links(each.select("fp"), radius, tile)).withColumnRenamed("node", "fp")
+    linked = cut_lineage(parts.join(each.select("fp", "low"), "fp"))
+    lows = linked.groupBy("root").agg(F.min("low").alias("group_low"))
+    found = each.join(linked.join(lows, "root").select("fp", "root", "group_low"), "fp", "left").select(
+        "fp", F.coalesce("group_low", "low").alias("component_id"), F.col("n_same").alias("_count"), "n_same", F.coalesce("root", "fp").alias("root")
+    )
+    return join_keyed(marked, found, "fp", "_count", total)
+
+
 def simhash_groups(docs: DataFrame, radius: int = RADIUS, tile: int = TILE) -> DataFrame:
     """One row a document: ``doc_id, fingerprint, component_id, n_same`` (documents with that fingerprint).
 
@@ -225,15 +243,12 @@ def simhash_groups(docs: DataFrame, radius: int = RADIUS, tile: int = TILE) -> D
     each come back; rows with a null doc_id come back with the smallest non-null id of their group
     (null if it has none). An empty table gives no rows; other columns are not looked at.
     """
-    marked = cut_lineage(fingerprints(docs))
-    each = cut_lineage(marked.groupBy("fp").agg(F.min("doc_id").alias("low"), F.count("*").alias("n_same")))
-    total = each.agg(F.sum("n_same")).first()[0] or 0
-    parts = connected_components(near_links(each.select("fp"), radius, tile)).withColumnRenamed("node", "fp")
-    linked = cut_lineage(parts.join(each.select("fp", "low"), "fp"))
-    lows = linked.groupBy("root").agg(F.min("low").alias("group_low"))
-    found = each.join(linked.join(lows, "root").select("fp", "group_low"), "fp", "left").select(
-        "fp", F.coalesce("group_low", "low").alias("component_id"), F.col("n_same").alias("_count"), "n_same"
-    )
-    return join_keyed(marked, found, "fp", "_count", total).select(
-        "doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id", "n_same"
-    )
+    return _grouped(docs, radius, tile).select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id", "n_same")
+
+
+def keep_one_of_each(docs: DataFrame, radius: int = RADIUS, tile: int = TILE) -> DataFrame:
+    """The rows and columns of one document of each group: its smallest doc_id (null last), least row hash on ties."""
+    groups = _grouped(docs, radius, tile)
+    kept = groups.groupBy("root").agg(F.min(F.struct(F.col("doc_id").isNull().alias("x"), "doc_id", "row_key")).alias("first")).select("first.row_key")
+    same = Window.partitionBy("row_key").orderBy("row_key")  # repeated rows: one of them
+    return row_key(docs).join(kept, "row_key", "left_semi").withColumn("_n", F.row_number().over(same)).where("_n = 1").select(*docs.columns)
