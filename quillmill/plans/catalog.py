@@ -2,5 +2,9 @@
 
 from __future__ import annotations
 
-QUERIES: dict = {}
-ORACLES: dict = {}
+from quillmill.plans import arrays, classify, dedup, evaluation, relational, text, tokens
+
+_MODULES = (text, dedup, tokens, classify, evaluation, arrays, relational)
+
+QUERIES = {name: q for m in _MODULES for name, q in m.query.queries.items()}
+ORACLES = {name: sql for m in _MODULES for name, sql in m.query.oracles.items()}
