@@ -15,7 +15,6 @@ Prediction reads whole texts.
 from __future__ import annotations
 
 import re
-import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -69,11 +68,9 @@ def _sample_vectors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatc
             if (c := _grams((text or "")[:MAX_BYTES])) is not None:
                 at = np.flatnonzero(c)
                 lang.append(name)
-                cells.append(at.astype(np.int32).tolist())
-                counts.append(c[at].astype(np.int32).tolist())
-        yield pa.RecordBatch.from_arrays(
-            [pa.array(lang, pa.string()), pa.array(cells, pa.list_(pa.int32())), pa.array(counts, pa.list_(pa.int32()))], ["lang", "cells", "counts"]
-        )
+                cells.append(at.astype("<i2").tobytes())
+                counts.append(c[at].astype("<i4").tobytes())
+        yield pa.RecordBatch.from_arrays([pa.array(lang, pa.string()), pa.array(cells, pa.binary()), pa.array(counts, pa.binary())], ["lang", "cells", "counts"])
 
 
 @dataclass(frozen=True)
@@ -86,7 +83,8 @@ class LanguageModel:
     radii: dict
 
     def vectors(self, counts: np.ndarray) -> np.ndarray:
-        x = np.where(counts > 0, 1 + np.log(np.maximum(counts, 1)), 0).astype(np.float32) * self.idf
+        x = np.log(np.maximum(counts, 1), dtype=np.float32) + (counts > 0)
+        x *= self.idf
         return x / np.maximum(np.linalg.norm(x, axis=1, keepdims=True), 1e-12)
 
     def predict(self, texts: list[str | None]) -> list[tuple[str, float, bool]]:
@@ -130,18 +128,20 @@ def fit(docs: DataFrame, clusters: int = CLUSTERS, max_sample: int = MAX_SAMPLE)
     thin = known.where(place < rate[F.col("lang")])
     order = Window.partitionBy("lang").orderBy(F.xxhash64("doc_id"), "doc_id")
     chosen = thin.select("lang", "text", F.row_number().over(order).alias("_n")).where(F.col("_n") <= each).select("lang", "text")
-    got = chosen.mapInArrow(_sample_vectors, "lang string, cells array<int>, counts array<int>").toPandas()
-    got = got.assign(_k=[zlib.crc32(np.asarray(c).tobytes()) for c in got["cells"]]).sort_values(["lang", "_k"], kind="stable")
-    dense = np.zeros((len(got), DIMS), np.int32)
-    for i, (cells, n) in enumerate(zip(got["cells"], got["counts"], strict=True)):
-        dense[i, np.asarray(cells, np.int64)] = np.asarray(n)
-    idf = (np.log((1 + len(dense)) / (1 + (dense > 0).sum(axis=0))) + 1).astype(np.float32)
+    got = sorted(map(tuple, chosen.mapInArrow(_sample_vectors, "lang string, cells binary, counts binary").collect()))
+    seen = np.zeros(DIMS, np.int64)
+    for _, cells, _ in got:
+        seen[np.frombuffer(cells, "<i2")] += 1
+    idf = (np.log((1 + len(got)) / (1 + seen)) + 1).astype(np.float32)
     model = LanguageModel((), idf, np.zeros((0, DIMS), np.float32), {})
     names, centres, radii = [], [], {}
     for lang in sorted(counts):
-        own = dense[(got["lang"] == lang).to_numpy()]
-        if not len(own):
+        mine = [(cells, n) for name, cells, n in got if name == lang]
+        if not mine:
             continue
+        own = np.zeros((len(mine), DIMS), np.int32)  # one language's sample at a time
+        for row, (cells, n) in zip(own, mine, strict=True):
+            row[np.frombuffer(cells, "<i2")] = np.frombuffer(n, "<i4")
         x = model.vectors(own)
         c = _cluster(x, clusters)
         sims, band = (x @ c.T).max(axis=1), np.searchsorted(BANDS, own.sum(axis=1), side="right") - 1
