@@ -171,12 +171,11 @@ def fillings(present: list[int], units: int, depth: int = DEPTH) -> list[tuple[i
 
 def nnls(a: np.ndarray, b: np.ndarray, rounds: int | None = None) -> np.ndarray:
     """Lawson-Hanson active-set solution of min |ax - b|, x >= 0."""
-    gram, target = a.T @ a, a.T @ b
     n = a.shape[1]
     x, passive = np.zeros(n), np.zeros(n, bool)
-    tol = 1e-9 * max(1.0, np.abs(target).max(initial=0))
+    tol = 1e-9 * max(1.0, np.abs(a.T @ b).max(initial=0))
     for _ in range(rounds or 3 * a.shape[0] + 10):
-        w = target - gram @ x
+        w = a.T @ (b - a @ x)
         w[passive] = -np.inf
         j = int(w.argmax())
         if w[j] <= tol:
@@ -184,7 +183,8 @@ def nnls(a: np.ndarray, b: np.ndarray, rounds: int | None = None) -> np.ndarray:
         passive[j] = True
         while True:
             at = np.flatnonzero(passive)
-            z = np.linalg.lstsq(gram[np.ix_(at, at)] + 1e-10 * np.eye(len(at)), target[at], rcond=None)[0]
+            own = a[:, at]
+            z = np.linalg.solve(own.T @ own + 1e-10 * np.eye(len(at)), own.T @ b)
             if (z > 0).all():
                 x[:] = 0
                 x[at] = z
