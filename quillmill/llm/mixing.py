@@ -67,7 +67,7 @@ def _queue(docs: DataFrame, carry: tuple[str, ...]) -> DataFrame:
         F.col("source").cast("string").alias("source"),
         word_count().alias("size"),
         digest.alias("place"),
-        *carry,
+        *[F.col(c).alias(f"_carry_{c}") for c in carry],
     ).withColumn("_h", F.conv(F.substring("place", 1, 8), 16, 10).cast("long"))
 
 
@@ -133,7 +133,7 @@ def mix_sources(
             F.lit(0),
         ).cast("long")
     return placed.withColumn("copies", taken).select(
-        "doc_id", "size", "source_size", "target", (F.col("copies") * F.col("size")).alias("taken"), "copies", *carry
+        "doc_id", "size", "source_size", "target", (F.col("copies") * F.col("size")).alias("taken"), "copies", *[F.col(f"_carry_{c}").alias(c) for c in carry]
     )
 
 
