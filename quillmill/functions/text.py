@@ -156,5 +156,12 @@ PROMPTS = {
         "User: {question}\nAssistant: <think>"
     ),
     "question_only": "{question}",
+    "zero_shot_system": (
+        '# Instruction\nBelow is a list of conversations between a human and an AI assistant (you).\nUsers place their queries under "# Query:", and your responses are under "# Answer:".\n'
+        "You are a helpful, respectful, and honest assistant.\nYou should always answer as helpfully as possible while ensuring safety.\n"
+        "Your answers should be well-structured and provide detailed information. They should also have an engaging tone.\n"
+        "Your responses must not contain any fake, harmful, unethical, racist, sexist, toxic, dangerous, or illegal content, even if it may be helpful.\n"
+        "Your response must be socially responsible, and thus you can reject to answer some controversial topics.\n\n# Query:\n```{instruction}```\n\n# Answer:\n```\n"
+    ),
     "alpaca_sft": "Below is an instruction that describes a task. Write a response that appropriately completes the request.\n\n### Instruction:\n{instruction}\n\n### Response:\n{response}\n",
 }

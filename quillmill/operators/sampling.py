@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from quillmill.session import cut_lineage
+
 
 def shuffle_key(key: str, seed: int = 42) -> Column:
     """The same order in every engine: MD5 of seed and key."""
@@ -30,6 +32,21 @@ def balanced(df: DataFrame, label: str, key: str, seed: int = 42) -> DataFrame:
     return near.withColumn("_r", F.row_number().over(order)).where(F.col("_r") <= F.col("_least")).drop("_r", "_n", "_least")
 
 
+def row_numbers(df: DataFrame, *order: str, name: str = "row_number") -> DataFrame:
+    """Adds 0-based numbers in a global order without sending all rows to one task.
+
+    Rows are range-partitioned and sorted; a partition's rows are numbered on from the totals
+    of the partitions before it. The partitioning is written down first, as numbers depend on it.
+    """
+    dealt = df.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("_p", F.spark_partition_id())
+    dealt = cut_lineage(dealt)
+    totals = dealt.groupBy("_p").agg(F.count("*").alias("_t"))
+    past = Window.orderBy("_p").rowsBetween(Window.unboundedPreceding, -1)
+    starts = totals.select("_p", F.coalesce(F.sum("_t").over(past), F.lit(0)).alias("_s"))
+    within = Window.partitionBy("_p").orderBy(*order)
+    return dealt.join(F.broadcast(starts), "_p").withColumn(name, (F.col("_s") + F.row_number().over(within) - 1).cast("long")).drop("_p", "_s")
+
+
 def batches(df: DataFrame, order: str, size: int) -> DataFrame:
     """Adds ``batch`` (from 0) over consecutive rows, the last one short."""
-    return df.withColumn("batch", F.floor((F.row_number().over(Window.orderBy(order)) - 1) / size).cast("long"))
+    return row_numbers(df, order, name="_i").withColumn("batch", F.floor(F.col("_i") / size).cast("long")).drop("_i")

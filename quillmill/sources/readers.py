@@ -81,6 +81,12 @@ def read_warc_html(spark: SparkSession, path: str) -> DataFrame:
     return read_archive(spark, path, "response").select("path", "url", strip("payload").alias("html"))
 
 
+def page_with_text(html: DataFrame, text: DataFrame) -> DataFrame:
+    """``url, html, text``: a page and the text another extractor made of it, by address; the first of each."""
+    first = lambda df, c: df.groupBy("url").agg(F.first(c, ignorenulls=True).alias(c))
+    return first(html, "html").join(first(text, "text"), "url")
+
+
 def parse_wet_text(content: DataFrame, column: str = "value") -> DataFrame:
     """Native parse of WET text: split on ``WARC/1.0``, want a Content-Length, body after the first empty line as one line."""
     pieces = content.select(F.posexplode(F.split(column, r"WARC/1\.0")).alias("n", "piece")).where(F.col("piece").contains("Content-Length:"))

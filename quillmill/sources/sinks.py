@@ -65,6 +65,16 @@ def export_token_bin(spark, path: str, out: str) -> int:
     return n
 
 
+def export_npy(spark, path: str, out: str) -> int:
+    """The same with a NumPy header, so that readers find type and length."""
+    n = spark.read.parquet(path).agg(F.coalesce(F.sum(F.octet_length("data")) / 2, F.lit(0)).cast("long")).first()[0]
+    with open(out, "wb") as f:
+        np.lib.format.write_array_header_1_0(f, {"descr": "<u2", "fortran_order": False, "shape": (n,)})
+        for piece in read_tokens(spark, path):
+            f.write(piece.tobytes())
+    return n
+
+
 def write_evaluation(scored: DataFrame, metrics: DataFrame, path: str) -> None:
     """Records and a one-row summary beside them."""
     write_jsonl(scored, f"{path}/records")

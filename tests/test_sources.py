@@ -20,6 +20,8 @@ def test_archives(spark, tmp_path):
     (tmp_path / "broken.warc.gz").write_bytes(data[:40])
     wet = {r["url"]: (r["text"], r["valid"]) for r in R.read_wet(spark, str(tmp_path)).collect()}
     assert wet == {"http://a/": ("é WARC/1.0 inside", True), "http://b/": (None, False)}
+    pages = spark.createDataFrame([("http://a/", "<p>")], "url string, html string")
+    assert R.page_with_text(pages, R.read_wet(spark, str(tmp_path))).first()["text"] == "é WARC/1.0 inside"
     assert bytes(R.read_warc_html(spark, str(tmp_path)).first()["html"]) == b"<p>hi</p>"
 
 
@@ -51,6 +53,8 @@ def test_token_files_keep_order(spark, tmp_path):
     assert np.concatenate(list(S.read_tokens(spark, str(tmp_path / "t")))).tolist() == want
     assert S.export_token_bin(spark, str(tmp_path / "t"), str(tmp_path / "t.bin")) == len(want)
     assert np.fromfile(tmp_path / "t.bin", "<u2").tolist() == want
+    assert S.export_npy(spark, str(tmp_path / "t"), str(tmp_path / "t.npy")) == len(want)
+    assert np.load(tmp_path / "t.npy").tolist() == want
     packed = {r["sequence_id"]: (r["input_ids"], r["labels"]) for r in tokens.packed_sequences(stream, 8).collect()}
     assert packed == {k: (want[8 * k : 8 * k + 8], want[8 * k + 1 : 8 * k + 9]) for k in range((len(want) - 1) // 8)}
 
