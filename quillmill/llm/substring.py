@@ -34,7 +34,7 @@ from quillmill.session import cut_lineage
 WINDOW = 35
 GRAM = 8
 #: Different regions around one anchor beyond which windows are counted in a shuffle instead.
-WIDE = 4096
+WIDE = 512
 #: Words that one automaton holds, unless a single anchor's regions are more.
 AUTOMATON_WORDS = 40_000
 
