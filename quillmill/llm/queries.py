@@ -15,7 +15,7 @@ from quillmill.llm.packing import pack_documents
 from quillmill.llm.pii import find_personal_data
 from quillmill.llm.sharding import place_documents, sharding_sql
 from quillmill.llm.simhash import simhash_groups
-from quillmill.llm.substring import remove_repeats
+from quillmill.llm.substring import REPEATS_SQL, remove_repeats
 from quillmill.session import load
 
 
@@ -76,4 +76,5 @@ ORACLES: dict[str, str] = {
     "op5_licenses": licenses_sql(),
     "op6_sharding": sharding_sql(),
     "op7_mixing": MIXING_SQL,
+    "op9_substring": REPEATS_SQL,
 }

@@ -228,3 +228,15 @@ def remove_repeats(docs: DataFrame, window: int = WINDOW, gram: int = GRAM, wide
     found = join_keyed(places, marks, "region", "n", total).groupBy("key").agg(F.collect_list(F.struct("first", "last", "mark")).alias("found"))
     out = "doc_id long, n_words long, n_removed long, kept_sha256 string" + ", kept string" * with_text
     return own.join(found, "key", "left").select("doc_id", "text", "found").mapInArrow(lambda it: _remove(it, window, with_text), out)
+
+
+#: The same by comparing every window's words.
+REPEATS_SQL = r"""
+WITH d AS (SELECT row_number() OVER () AS r, doc_id, coalesce(regexp_extract_all(text, '[^\x20\x09-\x0D]+'), []) AS w FROM documents),
+t AS (SELECT r, len(w) AS n, unnest(w) AS v, generate_subscripts(w, 1) AS p FROM d),
+k AS (SELECT r, p, n, md5(string_agg(v, ' ') OVER (PARTITION BY r ORDER BY p ROWS BETWEEN CURRENT ROW AND 34 FOLLOWING)) AS h FROM t),
+c AS (SELECT r, p, count(*) OVER (PARTITION BY h) AS times FROM k WHERE p <= n - 34),
+g AS (SELECT DISTINCT r, unnest(range(p, p + 35)) AS p FROM c WHERE times > 1),
+s AS (SELECT t.r, string_agg(t.v, ' ' ORDER BY t.p) AS kept, count(*) AS n_kept FROM t LEFT JOIN g ON t.r = g.r AND t.p = g.p WHERE g.r IS NULL GROUP BY t.r)
+SELECT d.doc_id, len(d.w)::BIGINT AS n_words, (len(d.w) - coalesce(s.n_kept, 0))::BIGINT AS n_removed, sha256(coalesce(s.kept, '')) AS kept_sha256 FROM d LEFT JOIN s USING (r)
+"""
