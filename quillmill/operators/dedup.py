@@ -28,7 +28,7 @@ def line_counts(docs: DataFrame) -> DataFrame:
 def unique_lines(docs: DataFrame) -> DataFrame:
     """``doc_id, text, n_kept`` with every line that occurs more than once anywhere removed.
 
-    Only hashes of repeated lines travel; documents stay even if nothing is left of them.
+    A line travels once for each task that has it; documents stay even if nothing is left of them.
     """
     lines = exploded_lines(docs).withColumn("hash", line_hash(F.col("line")))
     single = lines.groupBy("hash").agg(F.count("*").alias("n"), F.min(F.struct("doc_id", "line_no", "line")).alias("at")).where("n = 1").select("at.*")

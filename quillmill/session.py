@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 
 from pyspark.sql import DataFrame, SparkSession
@@ -25,12 +26,15 @@ def build_session(app: str = "quillmill", master: str | None = None, **conf: str
 
 
 def ensure_checkpoint_dir(spark: SparkSession) -> None:
-    """Use the cluster's ``spark.checkpoint.dir``; only where none is named (tests) make a local one."""
+    """Use the cluster's ``spark.checkpoint.dir``. Where none is named: a local folder in local mode, else one beside the warehouse's tables."""
     sc = spark.sparkContext
     if sc._jsc.sc().getCheckpointDir().isDefined():
         return
     named = sc.getConf().get("spark.checkpoint.dir", None) or spark.conf.get("spark.checkpoint.dir", None)
-    sc.setCheckpointDir(named or tempfile.mkdtemp(prefix="quillmill-checkpoints-"))
+    if not named:
+        one_machine = re.fullmatch(r"local(\[.*\])?", sc.master)
+        named = tempfile.mkdtemp(prefix="quillmill-checkpoints-") if one_machine else f"{spark.conf.get('spark.sql.warehouse.dir')}/_checkpoints"
+    sc.setCheckpointDir(named)
 
 
 def cut_lineage(df: DataFrame) -> DataFrame:
