@@ -29,7 +29,7 @@ DEPTH = 3
 END_ID = 2
 BUCKET_ROWS = 200_000
 #: Words and pieces that a generation of a worker's cache holds; it bounds memory, not results.
-CACHE_WORDS = 250_000
+CACHE_WORDS = 400_000
 
 #: Latin-1 bytes whose words tokenise alike alone and in context: printable, or plain white space.
 _PLAIN = bytes([9, 10, 11, 12, 13, *range(0x20, 0x7F), *range(0xA1, 0x100)])
@@ -55,32 +55,34 @@ class WordTokenizer:
         vocabulary = self.tokenizer.get_vocab()
         self.ends = np.zeros(max(vocabulary.values()) + 1, bool)
         self.ends[[i for t, i in vocabulary.items() if t.endswith("</w>")]] = True
-        self.words: dict[str, bytes] = {}
-        self.pieces: dict[str, bytes] = {}
+        self.words: dict[str, bytes] = {}  # a piece is a word, too
         self.old_words: dict[str, bytes] = {}
-        self.old_pieces: dict[str, bytes] = {}
 
     def whole(self, text: str) -> bytes:
         return np.asarray(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
 
     def _learn(self, words: set[str]) -> None:
-        split = {w: _PIECES.findall(w) for w in words}
-        unknown = list(_recall({p for pieces in split.values() for p in pieces}, self.pieces, self.old_pieces))
+        whole = {w for w in words if w.isalpha()}  # letters only: one piece
+        split = {w: _PIECES.findall(w) for w in words - whole}
+        whole |= _recall({p for pieces in split.values() for p in pieces} - whole, self.words, self.old_words)
+        unknown = list(whole)
         for at in range(0, len(unknown), 4096):
             some = unknown[at : at + 4096]
             ids = np.asarray(self.tokenizer.encode(" ".join(some), add_special_tokens=False).ids, "<u4")
-            stops = np.flatnonzero(self.ends[ids]) + 1
+            stops = (4 * np.flatnonzero(self.ends[ids]) + 4).tolist()
             if len(stops) == len(some):
-                self.pieces.update(zip(some, (ids[a:b].tobytes() for a, b in zip([0, *stops[:-1]], stops, strict=True)), strict=True))
+                data, start = ids.tobytes(), 0
+                for piece, stop in zip(some, stops, strict=True):
+                    self.words[piece] = data[start:stop]
+                    start = stop
             else:  # a piece without a marked end: one by one
-                self.pieces.update((p, self.whole(p)) for p in some)
-        self.words.update((w, b"".join(map(self.pieces.__getitem__, pieces))) for w, pieces in split.items())
+                self.words.update((p, self.whole(p)) for p in some)
+        look = self.words.__getitem__
+        self.words.update([(w, b"".join(map(look, pieces))) for w, pieces in split.items()])
 
     def encode_all(self, texts: list[str]) -> list[bytes]:
         if len(self.words) > CACHE_WORDS:
             self.words, self.old_words = {}, self.words
-        if len(self.pieces) > CACHE_WORDS:
-            self.pieces, self.old_pieces = {}, self.pieces
         split = [t.lower().split() if _is_plain(t) else None for t in texts]
         new: set[str] = set()
         for words in split:
