@@ -1,11 +1,15 @@
 """Language identification by nearest clustered centroid of TF-IDF byte n-gram vectors.
 
 A text is lower-cased, everything but letters becomes one space, and its UTF-8 byte 2-, 3- and
-4-grams are hashed into ``DIMS`` cells. Cell counts are damped (1 + ln), weighted by inverse document
-frequency and normalised. Each language has several centroids, found by spherical k-means among its
-sample, so unlike kinds of writing in one language keep their own centre. The nearest centroid by
-cosine names the language. A text whose distance to the nearest centroid is beyond what the training
-sample of that language shows for texts of its length is rejected.
+4-grams are hashed into ``SPACE`` cells. Cell counts are damped (1 + ln), weighted by inverse document
+frequency and normalised; centroids know the ``DIMS`` most common cells, and the weight of all other cells
+counts in a text's norm, so what is foreign to the sample makes a text less like it. Each language has
+several centroids, found by spherical k-means among its sample, so unlike kinds of writing in one
+language keep their own centre. The nearest centroid by cosine names the language.
+
+A text is rejected where its cosine is below what held-back texts of that language and length reach:
+the sample is dealt into ``FOLDS`` parts, each is compared with a model of the others, and the radius is
+a low quantile. A piece cut from each sampled text for each short band gives short texts a radius too.
 
 Fitting reads a bounded sample: at most ``MAX_SAMPLE`` labelled texts in all, split evenly over the
 languages and chosen by hash, of which at most ``MAX_BYTES`` bytes each are counted *for fitting*.
@@ -16,7 +20,7 @@ from __future__ import annotations
 
 import re
 from collections.abc import Iterator
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 
 import numpy as np
 import pyarrow as pa
@@ -25,35 +29,59 @@ from pyspark.sql import functions as F
 
 from quillmill.llm.common import slices
 
-DIMS = 1 << 13
+SPACE = 1 << 20
+DIMS = 1 << 15
 MAX_SAMPLE = 2400
 MAX_BYTES = 1 << 16
 CLUSTERS = 4
 #: Bounds of the length bands (n-grams in a text) that have rejection radii of their own.
-BANDS = (0, 16, 64, 256, 1024, 1 << 62)
-#: A text is rejected below this share of the least similarity seen in its language and band.
-SLACK = 0.3
+BANDS = (0, 16, 64, 256, 1024, 4096, 16384, 1 << 62)
+#: Letters of the pieces cut from sampled texts, one for each of the short bands.
+PIECES = (4, 12, 48, 200)
+FOLDS = 3
+#: The share of held-back texts that lies below a quantile, the share of that similarity that is still accepted, and the texts that a band needs for a radius of its own.
+QUANTILE, SLACK, LEAST = 0.01, 0.7, 20
+#: Least radius: no text without any likeness is accepted.
+FLOOR = 0.02
 UNDETERMINED = "und"
 _NOT_LETTERS = re.compile(r"[\W\d_]+")
 _CHUNK = 1 << 20
 
 
-def _grams(text: str) -> np.ndarray | None:
-    """Counts of hashed byte n-grams; None without a letter."""
-    norm = _NOT_LETTERS.sub(" ", text.lower()).strip()
+def _letters(text: str) -> str:
+    return _NOT_LETTERS.sub(" ", text.lower()).strip()
+
+
+def _grams(norm: str) -> tuple[np.ndarray, np.ndarray] | None:
+    """Cells of hashed byte n-grams, ascending, and their counts; None without a letter."""
     if not norm:
         return None
     data = np.frombuffer(f" {norm} ".encode(), np.uint8)
-    counts = np.zeros(DIMS, np.int64)
+    counts = None
     for at in range(0, max(1, len(data) - 1), _CHUNK):  # overlapping pieces, so that no n-gram is lost
         b = data[at : at + _CHUNK + 3].astype(np.uint32)
         two = (b[:-1] << np.uint32(8)) | b[1:]
         keys = []
         for width, gram in ((2, two), (3, (two[:-1] << np.uint32(8)) | b[2:]), (4, (two[:-2] << np.uint32(16)) | two[2:])):
             own = gram[: _CHUNK]
-            keys.append(((own * np.uint32(2654435761) + np.uint32(width * 0x3C6EF372)) * np.uint32(0x85EBCA6B)) >> np.uint32(19))
-        counts += np.bincount(np.concatenate(keys), minlength=DIMS)
-    return counts
+            keys.append(((own * np.uint32(2654435761) + np.uint32(width * 0x3C6EF372)) * np.uint32(0x85EBCA6B)) >> np.uint32(12))
+        keys = np.concatenate(keys)
+        if len(data) <= 1 << 15:
+            return np.unique(keys, return_counts=True)
+        counts = np.bincount(keys, minlength=SPACE) + (0 if counts is None else counts)
+    cells = np.flatnonzero(counts)
+    return cells, counts[cells]
+
+
+def _pieces(norm: str) -> list[str]:
+    """A run of whole words of about each of the lengths in PIECES, from the middle of the text; long texts have all."""
+    out = []
+    for n in PIECES:
+        if len(norm) >= 2 * n:
+            start = norm.find(" ", len(norm) // 2) + 1
+            end = norm.find(" ", start + n)
+            out.append(norm[start : end if end > 0 else len(norm)])
+    return out
 
 
 def held_out(doc_id: Column) -> Column:
@@ -62,46 +90,57 @@ def held_out(doc_id: Column) -> Column:
 
 
 def _sample_vectors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Packed counts of each text (piece 0) and of the pieces cut from it."""
+    names = ["lang", "key", "piece", "cells", "counts"]
     for part in slices(batches, 64):
-        lang, cells, counts = [], [], []
-        for name, text in zip(part.column("lang").to_pylist(), part.column("text").to_pylist(), strict=True):
-            if (c := _grams((text or "")[:MAX_BYTES])) is not None:
-                at = np.flatnonzero(c)
-                lang.append(name)
-                cells.append(at.astype("<i2").tobytes())
-                counts.append(c[at].astype("<i4").tobytes())
-        yield pa.RecordBatch.from_arrays([pa.array(lang, pa.string()), pa.array(cells, pa.binary()), pa.array(counts, pa.binary())], ["lang", "cells", "counts"])
+        rows = []
+        for name, key, text in zip(*(part.column(c).to_pylist() for c in ("lang", "key", "text")), strict=True):
+            norm = _letters((text or "")[:MAX_BYTES])
+            for i, one in enumerate([norm, *_pieces(norm)]):
+                if (c := _grams(one)) is not None:
+                    rows.append((name, key, i, c[0].astype("<i4").tobytes(), c[1].astype("<i4").tobytes()))
+        if rows:
+            types = (pa.string(), pa.int64(), pa.int32(), pa.binary(), pa.binary())
+            yield pa.RecordBatch.from_arrays([pa.array(v, t) for v, t in zip(zip(*rows, strict=True), types, strict=True)], names)
 
 
 @dataclass(frozen=True)
 class LanguageModel:
-    """languages[k], for centroid k; weights: idf; centroids: unit rows; radii: least similarity by language and band."""
+    """languages[k], for centroid k; place: a cell's column, or -1; idf: by column, last that of other cells; centroids: unit rows; radii: least similarity by language and band."""
 
     languages: tuple[str, ...]
+    place: np.ndarray
     idf: np.ndarray
     centroids: np.ndarray
     radii: dict
 
-    def vectors(self, counts: np.ndarray) -> np.ndarray:
-        x = np.log(np.maximum(counts, 1), dtype=np.float32) + (counts > 0)
-        x *= self.idf
-        return x / np.maximum(np.linalg.norm(x, axis=1, keepdims=True), 1e-12)
+    def vector(self, cells: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Columns and weights of a text; cells without a column count in the norm."""
+        at = self.place[cells]
+        x = (1 + np.log(counts, dtype=np.float32)) * self.idf[at]
+        return at[at >= 0], x[at >= 0] / max(float(np.sqrt(x @ x)), 1e-12)
+
+    def nearest(self, cells: np.ndarray, counts: np.ndarray) -> tuple[int, float]:
+        at, x = self.vector(cells, counts)
+        sims = x @ self.centroids[at]
+        return int(sims.argmax()), float(min(1.0, max(0.0, sims.max())))
 
     def predict(self, texts: list[str | None]) -> list[tuple[str, float, bool]]:
-        found = [_grams(t) if t else None for t in texts]
-        rows = [i for i, c in enumerate(found) if c is not None]
         out: list[tuple[str, float, bool]] = [(UNDETERMINED, 0.0, True)] * len(texts)
-        if rows and len(self.languages):
-            counts = np.stack([found[i] for i in rows])
-            sims = self.vectors(counts) @ self.centroids.T
-            best = sims.argmax(axis=1)
-            bands = np.searchsorted(BANDS, counts.sum(axis=1), side="right") - 1
-            for i, k, sim, band in zip(rows, best, sims.max(axis=1), bands, strict=True):
-                lang, score = self.languages[k], float(min(1.0, max(0.0, sim)))
-                out[i] = (lang, round(score, 6), score < SLACK * self.radii[lang][band])
+        if not self.languages:
+            return out
+        for i, text in enumerate(texts):
+            if text and (c := _grams(_letters(text))) is not None:
+                k, score = self.nearest(*c)
+                lang = self.languages[k]
+                out[i] = (lang, round(score, 6), score < self.radii[lang][_band(c[1].sum())])
         return out
 
 
+def _band(n: int) -> int:
+    return int(np.searchsorted(BANDS, n, side="right")) - 1
+
+
 def _cluster(x: np.ndarray, k: int, rounds: int = 12) -> np.ndarray:
     """Spherical k-means with farthest-first seeding; deterministic."""
     centres = [x.mean(axis=0)]
@@ -115,45 +154,72 @@ def _cluster(x: np.ndarray, k: int, rounds: int = 12) -> np.ndarray:
     return c / np.maximum(np.linalg.norm(c, axis=1, keepdims=True), 1e-12)
 
 
+def _learn(sample: list[tuple[str, np.ndarray, np.ndarray]], clusters: int) -> LanguageModel:
+    """Columns, idf and centroids (cell by row) of a sample of ``(lang, cells, counts)``; no radii."""
+    seen = np.zeros(SPACE, np.int32)
+    for _, cells, _ in sample:
+        seen[cells] += 1
+    common = np.argsort(-seen, kind="stable")[:DIMS]
+    common = np.sort(common[seen[common] > 0])
+    place = np.full(SPACE, -1, np.int32)
+    place[common] = np.arange(len(common))
+    idf = (np.log((1 + len(sample)) / (1 + np.append(seen[common], 0))) + 1).astype(np.float32)
+    model = LanguageModel((), place, idf, np.zeros((len(common), 0), np.float32), {})
+    names, centres = [], []
+    for lang in sorted({name for name, _, _ in sample}):
+        mine = [model.vector(cells, n) for name, cells, n in sample if name == lang]
+        x = np.zeros((len(mine), len(common)), np.float32)  # one language's sample at a time
+        for row, (at, weight) in zip(x, mine, strict=True):
+            row[at] = weight
+        c = _cluster(x, clusters)
+        names += [lang] * len(c)
+        centres.append(c)
+    return LanguageModel(tuple(names), place, idf, np.ascontiguousarray(np.concatenate(centres).astype(np.float32).T), {})
+
+
+def _radii(likeness: dict[str, list[tuple[int, float]]]) -> dict:
+    """From ``(band, similarity)`` of held-back texts; a band with few texts takes the radius of the nearest shorter one, else of a longer one."""
+    out = {}
+    for lang, found in likeness.items():
+        own: list[float | None] = []
+        for b in range(len(BANDS) - 1):
+            sims = [sim for band, sim in found if band == b]
+            own.append(SLACK * float(np.quantile(sims, QUANTILE)) if len(sims) >= LEAST else own[-1] if own else None)
+        first = next((r for r in own if r is not None), FLOOR)
+        out[lang] = [max(FLOOR, first if r is None else r) for r in own]
+    return out
+
+
 def fit(docs: DataFrame, clusters: int = CLUSTERS, max_sample: int = MAX_SAMPLE) -> LanguageModel:
     """Learn from text and non-null lang of documents that aren't held out."""
     known = docs.select(F.col("doc_id").cast("string").alias("doc_id"), F.col("text").cast("string").alias("text"), F.col("lang").cast("string").alias("lang"))
     known = known.where(~held_out(F.col("doc_id")) & F.col("lang").isNotNull())
     counts = {r["lang"]: r["count"] for r in known.groupBy("lang").count().collect()}
+    nothing = LanguageModel((), np.full(SPACE, -1, np.int32), np.ones(1, np.float32), np.zeros((0, 0), np.float32), {})
     if not counts:
-        return LanguageModel((), np.ones(DIMS, np.float32), np.zeros((0, DIMS), np.float32), {})
+        return nothing
     each = max(1, max_sample // len(counts))
     place = F.pmod(F.xxhash64("doc_id"), F.lit(1 << 20)) / float(1 << 20)
     rate = F.create_map(*[F.lit(x) for lang, n in counts.items() for x in (lang, min(1.0, 1.5 * each / n + 20 / n))])
     thin = known.where(place < rate[F.col("lang")])
     order = Window.partitionBy("lang").orderBy(F.xxhash64("doc_id"), "doc_id")
-    chosen = thin.select("lang", "text", F.row_number().over(order).alias("_n")).where(F.col("_n") <= each).select("lang", "text")
-    got = sorted(map(tuple, chosen.mapInArrow(_sample_vectors, "lang string, cells binary, counts binary").collect()))
-    seen = np.zeros(DIMS, np.int64)
-    for _, cells, _ in got:
-        seen[np.frombuffer(cells, "<i2")] += 1
-    idf = (np.log((1 + len(got)) / (1 + seen)) + 1).astype(np.float32)
-    model = LanguageModel((), idf, np.zeros((0, DIMS), np.float32), {})
-    names, centres, radii = [], [], {}
-    for lang in sorted(counts):
-        mine = [(cells, n) for name, cells, n in got if name == lang]
-        if not mine:
-            continue
-        own = np.zeros((len(mine), DIMS), np.int32)  # one language's sample at a time
-        for row, (cells, n) in zip(own, mine, strict=True):
-            row[np.frombuffer(cells, "<i2")] = np.frombuffer(n, "<i4")
-        x = model.vectors(own)
-        c = _cluster(x, clusters)
-        sims, band = (x @ c.T).max(axis=1), np.searchsorted(BANDS, own.sum(axis=1), side="right") - 1
-        low, least = [], 0.0
-        for b in range(len(BANDS) - 1):  # a band with few texts takes the radius of the shorter one
-            seen = sims[band == b]
-            least = float(seen.min()) if len(seen) >= 8 else least
-            low.append(least)
-        radii[lang] = low
-        names += [lang] * len(c)
-        centres.append(c)
-    return LanguageModel(tuple(names), idf, np.concatenate(centres).astype(np.float32) if centres else np.zeros((0, DIMS), np.float32), radii)
+    chosen = thin.select("lang", "text", F.row_number().over(order).alias("_n")).where(F.col("_n") <= each)
+    chosen = chosen.select("lang", F.xxhash64("text").alias("key"), "text")
+    got = sorted(map(tuple, chosen.mapInArrow(_sample_vectors, "lang string, key long, piece int, cells binary, counts binary").collect()))
+    if not got:
+        return nothing
+    got = [(lang, key % FOLDS, piece, np.frombuffer(cells, "<i4"), np.frombuffer(n, "<i4")) for lang, key, piece, cells, n in got]
+    likeness: dict[str, list[tuple[int, float]]] = {lang: [] for lang, *_ in got}
+    for fold in range(FOLDS):  # copies of a text are in one part
+        rest = [(lang, cells, n) for lang, part, piece, cells, n in got if part != fold and not piece]
+        model = _learn(rest, clusters) if rest else nothing
+        own = {lang: np.array([x == lang for x in model.languages], bool) for lang in likeness}
+        for lang, part, _, cells, n in got:
+            if part == fold and own[lang].any():
+                at, x = model.vector(cells, n)
+                likeness[lang].append((_band(n.sum()), float((x @ model.centroids[at])[own[lang]].max())))
+    model = _learn([(lang, cells, n) for lang, _, piece, cells, n in got if not piece], clusters)
+    return replace(model, radii=_radii(likeness))
 
 
 def identify(docs: DataFrame, model: LanguageModel, carry: tuple[str, ...] = ()) -> DataFrame:

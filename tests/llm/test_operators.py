@@ -58,6 +58,22 @@ def test_other_scripts_are_rejected(spark):
     assert [x[2] for x in model.predict(["这是一个完全不同的语言文本测试", "The and that was of the"])] == [True, False]
 
 
+def test_long_texts_of_other_languages_are_rejected(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.1/documents.parquet")
+    model = langid.fit(docs)
+    assert all(r > 0 for radii in model.radii.values() for r in radii)
+    rng = random.Random(3)
+    words = lambda parts, n: " ".join("".join(rng.choice(parts) for _ in range(rng.randint(2, 4))) for _ in range(n))
+    foreign = {
+        "cyrillic": "абвгдежзийклмнопрстуфхцчшщыэюя", "greek": "αβγδεζηθικλμνξοπρστυφχψω", "chinese": [chr(0x4E00 + i) for i in range(3000)],
+        "finnish": [c + v for c in "kltsnmrphvj" for v in ("ä", "aa", "ui", "en", "ssa", "lla", "ö")], "polish": [c + v for c in ("sz", "cz", "rz", "ł", "prz") for v in ("y", "ie", "ą", "ę", "ów")],
+    }
+    for name, parts in foreign.items():
+        assert [x[2] for x in model.predict([words(parts, n) for n in (20, 100, 1000, 5000)])] == [True] * 4, name
+    clean = [r["text"] for r in docs.where(langid.held_out(F.col("doc_id")) & F.col("lang").isNotNull()).select("text").collect()]
+    assert sum(x[2] for x in model.predict(clean)) <= 0.005 * len(clean)
+
+
 # -- 2 simhash --------------------------------------------------------------------------------
 
 
