@@ -12,8 +12,7 @@ the sample is dealt into ``FOLDS`` parts, each is compared with a model of the o
 a low quantile. A piece cut from each sampled text for each short band gives short texts a radius too.
 
 Fitting reads a bounded sample: at most ``MAX_SAMPLE`` labelled texts in all, split evenly over the
-languages and chosen by hash, of which at most ``MAX_BYTES`` bytes each are counted *for fitting*.
-Prediction reads whole texts.
+languages and chosen by hash. Fitting and prediction read whole texts.
 """
 
 from __future__ import annotations
@@ -32,7 +31,6 @@ from quillmill.llm.common import slices
 SPACE = 1 << 20
 DIMS = 1 << 15
 MAX_SAMPLE = 2400
-MAX_BYTES = 1 << 16
 CLUSTERS = 4
 #: Bounds of the length bands (n-grams in a text) that have rejection radii of their own.
 BANDS = (0, 16, 64, 256, 1024, 4096, 16384, 1 << 62)
@@ -95,7 +93,7 @@ def _sample_vectors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatc
     for part in slices(batches, 64):
         rows = []
         for name, key, text in zip(*(part.column(c).to_pylist() for c in ("lang", "key", "text")), strict=True):
-            norm = _letters((text or "")[:MAX_BYTES])
+            norm = _letters(text or "")
             for i, one in enumerate([norm, *_pieces(norm)]):
                 if (c := _grams(one)) is not None:
                     rows.append((name, key, i, c[0].astype("<i4").tobytes(), c[1].astype("<i4").tobytes()))

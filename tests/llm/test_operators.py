@@ -7,6 +7,7 @@ import zlib
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 import pytest
 import xxhash
 from pyspark.sql import functions as F
@@ -74,6 +75,14 @@ def test_long_texts_of_other_languages_are_rejected(spark):
     assert sum(x[2] for x in model.predict(clean)) <= 0.005 * len(clean)
 
 
+def test_language_fit_counts_whole_texts():
+    text = "the and " * 10_000 + "zyx wvu"
+    batch = pa.RecordBatch.from_arrays([pa.array(["en"]), pa.array([1], pa.int64()), pa.array([text])], ["lang", "key", "text"])
+    got = next(r for part in langid._sample_vectors(iter([batch])) for r in part.to_pylist() if r["piece"] == 0)
+    assert set(langid._grams("zyx wvu")[0][1:]) & set(np.frombuffer(got["cells"], "<i4")) == set(langid._grams("zyx wvu")[0][1:])
+    assert np.frombuffer(got["counts"], "<i4").sum() == langid._grams(text)[1].sum()
+
+
 # -- 2 simhash --------------------------------------------------------------------------------
 
 
