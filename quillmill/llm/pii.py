@@ -88,7 +88,7 @@ OTHER_WORDS = frozenset("version page pages isbn issn order no chapter section f
 
 _OBFUSCATED = re.compile(r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]{1,64}(?:\x20?[\[(]at[\])]\x20?|\x20at\x20)[A-Za-z0-9-]{1,63}(?:(?:\.|\x20?[\[(]dot[\])]\x20?|\x20dot\x20)[A-Za-z0-9-]{1,63}){1,4}", re.I)
 _NUMBER = re.compile(r"(?<![\w.@+-])[(]?[0-9][0-9\x20().-]{5,30}[0-9](?![\w@])")
-_SECRET = re.compile(r"\b(?:token|secret|password|passwd|api_?key)\b\x20{0,3}[=:]\x20{0,3}[\"']?([A-Za-z0-9_+/.-]{12,128})", re.I)
+_SECRET = re.compile(r"\b(?:token|secret|password|passwd|api_?key)\b\x20{0,3}[=:]\x20{0,3}[\"']?([A-Za-z0-9_+/.-]{12,})", re.I)
 _AT_WORD = re.compile(r"[\[( ]at[\]) ]", re.I)
 _WORD_BEFORE = re.compile(r"[\w-]+")
 N_LABELERS = 6

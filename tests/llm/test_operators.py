@@ -153,6 +153,13 @@ def plain_spans(text):
     return [(k, *m.span()) for k, p in PATTERNS.items() for m in re.finditer(p, text) if keep[k](m[0], re.sub("[^0-9]", "", m[0]))]
 
 
+def test_long_secrets_are_whole_candidates():
+    for n in (12, 128, 129, 1000):
+        secret = ("aB3_" * n)[:n]
+        text = f"see token={secret}. And on"
+        assert pii.candidates(text, pii.base_spans(text)) == [("secret", 10, 10 + n + 1)]  # the stop is of the run's letters
+
+
 def test_base_spans_equal_plain_patterns(documents):
     rng = random.Random(5)
     for alphabet in ("a@.1 2-+(9x.@", "12345678905 -", "+1 ()-.59", "1.25.@a%"):
