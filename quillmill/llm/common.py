@@ -5,11 +5,18 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import pyarrow as pa
+from pyspark.sql import Column, DataFrame
+from pyspark.sql import functions as F
 
 #: Characters that separate words in every word-based contract here.
 WORD = r"[^\x20\x09-\x0D]+"
 
 
+def whole_row(docs: DataFrame) -> Column:
+    """All columns in one struct, so that helper columns beside it can't clash with any of them."""
+    return F.struct(*[F.col(f"`{c}`") for c in docs.columns])
+
+
 def slices(batches: Iterator[pa.RecordBatch], rows: int = 512, max_bytes: int = 8 << 20, text: str = "text") -> Iterator[pa.RecordBatch]:
     """Cut Arrow batches so that at most ``rows`` rows or about ``max_bytes`` of text are unpacked at a time."""
     for batch in batches:

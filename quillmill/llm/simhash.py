@@ -18,10 +18,10 @@ import numpy as np
 import pyarrow as pa
 import xxhash
 from pyspark import TaskContext
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from quillmill.llm.common import as_bytes, slices
+from quillmill.llm.common import as_bytes, slices, whole_row
 from quillmill.operators.graph import connected_components
 from quillmill.operators.skew import join_keyed
 from quillmill.session import cut_lineage
@@ -61,14 +61,14 @@ def _fingerprints(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
         yield pa.RecordBatch.from_arrays([part.column("doc_id"), part.column("row_key"), pa.array(fp.view(np.int64))], ["doc_id", "row_key", "fp"])
 
 
-def row_key(docs: DataFrame) -> DataFrame:
-    """The rows with a hash of id and text, by which a result finds its row without carrying the text."""
-    return docs.withColumn("row_key", F.xxhash64(F.col("doc_id").cast("long"), F.col("text").cast("string")))
+def row_key() -> Column:
+    """A hash of id and text; with the id beside it a result finds its row without carrying the text."""
+    return F.xxhash64(F.col("doc_id").cast("long"), F.col("text").cast("string")).alias("row_key")
 
 
 def fingerprints(docs: DataFrame) -> DataFrame:
     """``(doc_id, row_key, fp)`` with the fingerprint's bits in a signed long."""
-    slim = row_key(docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")))
+    slim = docs.select(F.col("doc_id").cast("long").alias("doc_id"), row_key(), F.col("text").cast("string").alias("text"))
     return slim.mapInArrow(_fingerprints, "doc_id long, row_key long, fp long")
 
 
@@ -247,8 +247,16 @@ def simhash_groups(docs: DataFrame, radius: int = RADIUS, tile: int = TILE) -> D
 
 
 def keep_one_of_each(docs: DataFrame, radius: int = RADIUS, tile: int = TILE) -> DataFrame:
-    """The rows and columns of one document of each group: its smallest doc_id (null last), least row hash on ties."""
+    """The rows and columns of one document of each group: its smallest doc_id (null last), least row hash on ties.
+
+    Null and empty texts are one group (fingerprint zero), of which one row stays; of repeated rows one stays;
+    rows that share id and text but differ elsewhere count as repeated, and the least hash of all columns stays.
+    Columns may have any name; an empty table gives no rows.
+    """
     groups = _grouped(docs, radius, tile)
-    kept = groups.groupBy("root").agg(F.min(F.struct(F.col("doc_id").isNull().alias("x"), "doc_id", "row_key")).alias("first")).select("first.row_key")
-    same = Window.partitionBy("row_key").orderBy("row_key")  # repeated rows: one of them
-    return row_key(docs).join(kept, "row_key", "left_semi").withColumn("_n", F.row_number().over(same)).where("_n = 1").select(*docs.columns)
+    first = groups.groupBy("root").agg(F.min(F.struct(F.col("doc_id").isNull().alias("x"), "doc_id", "row_key")).alias("first"))
+    kept = first.select(F.col("first.doc_id").alias("kept_id"), F.col("first.row_key").alias("kept_key"))
+    rows = docs.select(F.col("doc_id").cast("long").alias("id"), row_key(), whole_row(docs).alias("row"))
+    rows = rows.join(kept, (F.col("row_key") == F.col("kept_key")) & F.col("id").eqNullSafe(F.col("kept_id")), "left_semi")
+    same = Window.partitionBy("row_key", "id").orderBy(F.xxhash64("row"))
+    return rows.withColumn("n", F.row_number().over(same)).where("n = 1").select("row.*")
