@@ -16,7 +16,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from quillmill.llm.common import WORD
+from quillmill.llm.common import WORD, whole_row
 from quillmill.session import cut_lineage
 
 MAX_EPOCHS = 3
@@ -32,7 +32,7 @@ def word_count(text: str = "text") -> Column:
     return F.coalesce(F.regexp_count(F.col(text).cast("string"), F.lit(WORD)), F.lit(0)).cast("long")
 
 
-def source_targets(sizes: DataFrame, weights: tuple[int, ...] = (1, 2, 3), max_epochs: int = MAX_EPOCHS) -> DataFrame:
+def source_targets(sizes: DataFrame, weights: tuple[float, ...] = (1, 2, 3), max_epochs: int = MAX_EPOCHS) -> DataFrame:
     """``source, rank, weight, source_size, target, level`` from ``(source, source_size)``.
 
     Weights repeat over the sources in code-point order, null last. A target is
@@ -61,7 +61,7 @@ def source_targets(sizes: DataFrame, weights: tuple[int, ...] = (1, 2, 3), max_e
 
 def _queue(docs: DataFrame, carry: tuple[str, ...]) -> DataFrame:
     """Slim rows with size and place in the shuffle."""
-    digest = F.md5(F.coalesce(F.col("doc_id").cast("string"), F.lit("")))
+    digest = F.md5(F.concat_ws(":", F.coalesce(F.col("doc_id").cast("string"), F.lit("")), F.md5(F.coalesce(F.col("text").cast("string"), F.lit("")))))
     return docs.select(
         F.col("doc_id").cast("long").alias("doc_id"),
         F.col("source").cast("string").alias("source"),
@@ -79,7 +79,7 @@ def _with_sources(rows: DataFrame, sources: DataFrame, n_sources: int) -> DataFr
 
 def mix_sources(
     docs: DataFrame,
-    weights: tuple[int, ...] = (1, 2, 3),
+    weights: tuple[float, ...] = (1, 2, 3),
     max_epochs: int = MAX_EPOCHS,
     bucket_rows: int = BUCKET_ROWS,
     carry: tuple[str, ...] = (),
@@ -88,9 +88,9 @@ def mix_sources(
 
     ``copies`` (0 to ``max_epochs``) is how often the mix takes the document, ``taken`` that times
     its size. Null texts have size 0; the null source is a source of its own, last in order; repeated
-    rows are queued one by one; rows with a null doc_id are shuffled to one place. Ties in finish time go by
-    source, pass, place in the shuffle, doc_id and size, so reruns agree. An empty table, or one without a
-    word, takes nothing. Columns not named are not looked at.
+    rows are queued one by one. The place in the shuffle is a hash of id and text, so rows that share an id, or have
+    none, are spread by their texts. Ties in finish time go by source, pass, place in the shuffle, doc_id and size, so
+    reruns agree. An empty table, or one without a word, takes nothing. Columns not named are not looked at.
     """
     base = cut_lineage(_queue(docs, carry))
     sizes = base.groupBy("source").agg(F.sum("size").alias("source_size"), F.count("*").alias("_n"), F.max("size").alias("_most"))
@@ -113,8 +113,8 @@ def mix_sources(
     order = ["_f", "rank", "_e", "place", "doc_id", "size"]
     last = None
     if budget:
-        # no copy that finishes after the level plus the longest document can be served
-        bound = level + facts["most"]
+        # no copy that finishes later than the level by the longest document of the lightest source can be served
+        bound = level + facts["most"] / min(weights)
         copies = placed.select("*", F.explode(F.array(*[F.lit(e) for e in range(max_epochs)])).alias("_e")).withColumn("_f", finish(F.col("_e")))
         copies = copies.where(F.col("_f") <= F.lit(float(bound))).select(*order)
         ranges = max(16, -(-(n * max_epochs) // bucket_rows))
@@ -137,24 +137,30 @@ def mix_sources(
     )
 
 
-def mixed_documents(docs: DataFrame, weights: tuple[int, ...] = (1, 2, 3), max_epochs: int = MAX_EPOCHS) -> DataFrame:
+def mixed_documents(docs: DataFrame, weights: tuple[float, ...] = (1, 2, 3), max_epochs: int = MAX_EPOCHS) -> DataFrame:
     """The rows and columns of the mix: each document as often as it is taken.
 
-    Rows find their count by a hash of id, source and text; repeated rows pool their counts.
+    Rows find their count by id, source and a hash of the text; repeated rows pool their counts, and the row with the
+    least hash of all columns stands for those that differ elsewhere. Null and empty texts have no words: they come
+    along as often as their place in the queue is served, and a table without any word gives no rows, nor does an
+    empty one. Columns may have any name.
     """
-    key = F.xxhash64(F.col("doc_id").cast("long"), F.col("source").cast("string"), F.col("text").cast("string"))
-    keyed = docs.withColumn("_key", key)
-    copies = mix_sources(keyed, weights, max_epochs, carry=("_key",)).groupBy("_key").agg(F.sum("copies").cast("int").alias("_copies")).where("_copies > 0")
-    same = Window.partitionBy("_key").orderBy("_key")
-    one = keyed.join(copies, "_key").withColumn("_n", F.row_number().over(same)).where("_n = 1")
-    return one.withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("_copies")))).select(*docs.columns)
+    text_key = F.xxhash64(F.col("text").cast("string")).alias("text_key")
+    slim = docs.select("doc_id", "source", "text", text_key)
+    copies = mix_sources(slim, weights, max_epochs, carry=("source", "text_key")).groupBy("doc_id", F.col("source").alias("from"), F.col("text_key").alias("key"))
+    copies = copies.agg(F.sum("copies").cast("int").alias("copies")).where("copies > 0").withColumnRenamed("doc_id", "taken_id")
+    rows = docs.select(F.col("doc_id").cast("long").alias("id"), F.col("source").cast("string").alias("source"), text_key, whole_row(docs).alias("row"))
+    found = (F.col("text_key") == F.col("key")) & F.col("id").eqNullSafe(F.col("taken_id")) & F.col("source").eqNullSafe(F.col("from"))
+    same = Window.partitionBy("text_key", "id", "source").orderBy(F.xxhash64("row"))
+    one = rows.join(copies, found).withColumn("n", F.row_number().over(same)).where("n = 1")
+    return one.withColumn("copy", F.explode(F.sequence(F.lit(1), F.col("copies")))).select("row.*")
 
 
 #: The same mix as window sums over whole tables.
 MIXING_SQL = r"""
 WITH q AS (
   SELECT doc_id, source, coalesce(len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')), 0)::BIGINT AS size,
-         md5(coalesce(doc_id::VARCHAR, '')) AS place FROM documents),
+         md5(coalesce(doc_id::VARCHAR, '') || ':' || md5(coalesce(text, ''))) AS place FROM documents),
 s AS (SELECT source, sum(size)::BIGINT AS source_size FROM q GROUP BY source),
 r AS (SELECT *, row_number() OVER (ORDER BY source NULLS LAST) AS rank FROM s),
 w AS (SELECT *, (1 + (rank - 1) % 3)::DOUBLE AS weight, 3.0::DOUBLE * source_size AS cap FROM r),
