@@ -13,6 +13,8 @@ import hashlib
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from quillmill.llm.common import whole_row
+
 TABLE_SIZE = 65537
 #: Tables beyond this many slots are refused: the table is broadcast.
 MOST_SLOTS = 1 << 20
@@ -53,7 +55,11 @@ def slot(key: Column, size: int = TABLE_SIZE) -> Column:
 
 
 def place_documents(docs: DataFrame, shards: tuple[tuple[str, int], ...] = SHARDS, size: int = TABLE_SIZE, key: str = "doc_id") -> DataFrame:
-    """``doc_id, slot, shard, shard_name`` for each row. Equal keys share a shard; a null key has one as well."""
+    """``doc_id, slot, shard, shard_name`` for each row, repeated ones included.
+
+    Equal keys share a shard; null and empty keys share one as well. Texts and other columns are not looked at, so
+    null, empty or very long ones change nothing. An empty table gives no rows.
+    """
     spark = docs.sparkSession
     table = lookup_table(shards, size)
     slots = spark.createDataFrame([(s, i, shards[i][0]) for s, i in enumerate(table)], "slot int, shard int, shard_name string")
@@ -61,13 +67,22 @@ def place_documents(docs: DataFrame, shards: tuple[tuple[str, int], ...] = SHARD
     return rows.join(F.broadcast(slots), "slot").select("doc_id", "slot", "shard", "shard_name")
 
 
-def write_shards(docs: DataFrame, path: str, shards: tuple[tuple[str, int], ...] = SHARDS, size: int = TABLE_SIZE, files_per_shard: int = 4) -> None:
-    """Write the rows under one folder a shard, each dealt over ``files_per_shard`` tasks."""
+def write_shards(docs: DataFrame, path: str, shards: tuple[tuple[str, int], ...] = SHARDS, size: int = TABLE_SIZE, files_per_shard: int = 4) -> str:
+    """Write the rows under one folder a shard, in ``files_per_shard`` tasks each; returns the name of the folders' column.
+
+    That is ``shard``, with underscores after it if the table has such a column. Repeated rows and rows with a null id
+    share a shard, and a hash of the whole row deals a shard's rows over its tasks. An empty table writes no rows.
+    """
+    name = "shard"
+    while name.lower() in {c.lower() for c in docs.columns}:
+        name += "_"
     table = lookup_table(shards, size)
-    slots = docs.sparkSession.createDataFrame(list(enumerate(table)), "_slot int, shard int")
-    placed = docs.withColumn("_slot", slot(F.col("doc_id"), size)).join(F.broadcast(slots), "_slot").drop("_slot")
-    salt = F.pmod(F.xxhash64(*docs.columns), F.lit(files_per_shard))
-    placed.repartition(len(shards) * files_per_shard, "shard", salt).write.partitionBy("shard").parquet(path)
+    slots = docs.sparkSession.createDataFrame(list(enumerate(table)), "slot int, number int")
+    placed = docs.select(slot(F.col("doc_id"), size).alias("slot"), whole_row(docs).alias("row")).join(F.broadcast(slots), "slot")
+    task = F.col("number") * files_per_shard + F.pmod(F.xxhash64("row"), F.lit(files_per_shard)).cast("int")
+    dealt = placed.repartitionById(len(shards) * files_per_shard, task)
+    dealt.select("row.*", F.col("number").alias(name)).write.partitionBy(name).parquet(path)
+    return name
 
 
 def sharding_sql(shards: tuple[tuple[str, int], ...] = SHARDS, size: int = TABLE_SIZE) -> str:
