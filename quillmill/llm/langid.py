@@ -18,6 +18,7 @@ languages and chosen by hash. Fitting and prediction read whole texts.
 from __future__ import annotations
 
 import re
+import sys
 from collections.abc import Iterator
 from dataclasses import dataclass, replace
 
@@ -42,7 +43,8 @@ QUANTILE, SLACK, LEAST = 0.01, 0.7, 20
 #: Least radius: no text without any likeness is accepted.
 FLOOR = 0.02
 UNDETERMINED = "und"
-_NOT_LETTERS = re.compile(r"[\W\d_]+")
+#: All but letters: \W, digits, the underscore and number signs such as one half or a raised two.
+_NOT_LETTERS = re.compile(r"[\W\d_%s]+" % "".join(c for c in map(chr, range(sys.maxunicode + 1)) if c.isnumeric() and not c.isalpha() and not c.isdecimal()))
 _CHUNK = 1 << 20
 
 
@@ -224,8 +226,9 @@ def identify(docs: DataFrame, model: LanguageModel, carry: tuple[str, ...] = ())
     """``doc_id, held_out, lang_pred, score, rejected`` and ``carry`` columns, a row for each row.
 
     lang_pred is a learned language, or ``und`` if the text is null or has no letter (score 0, rejected).
-    score is the cosine to the nearest centroid. rejected: too far from every centroid, or ``und``.
-    With no labelled row every text is ``und``. Null doc_ids count as not held out.
+    score is the cosine to the nearest centroid; of equally near ones the first by language name wins. rejected: too
+    far from every centroid, or ``und``. Very long texts are read whole, piece by piece. With no labelled row every
+    text is ``und``. Null doc_ids count as not held out. Repeated rows each come back; an empty table gives no rows.
     """
     shared = docs.sparkSession.sparkContext.broadcast(model)
     slim = docs.select(
@@ -255,7 +258,11 @@ def identify_language(docs: DataFrame) -> DataFrame:
 
 
 def drop_rejected(docs: DataFrame, model: LanguageModel | None = None) -> DataFrame:
-    """The rows and columns of the documents that are not rejected."""
+    """The rows and columns of the documents that are not rejected.
+
+    Null texts and such without a letter are rejected. Repeated rows stay together or go together; columns may have
+    any name. An empty table, or one without a label to learn from, gives no rows.
+    """
     shared = docs.sparkSession.sparkContext.broadcast(fit(docs) if model is None else model)
     at = docs.columns.index("text")
 
