@@ -86,9 +86,11 @@ ENDINGS = frozenset("com org net edu gov io info biz de fr es uk eu".split())
 PERSONAL_WORDS = frozenset("phone tel telephone call mobile fax contact mail email e-mail card visa mastercard iban ssn account password token secret key telefon handy karte konto teléfono correo tarjeta téléphone courriel carte".split())
 OTHER_WORDS = frozenset("version page pages isbn issn order no chapter section figure table build port seite página".split())
 
-_OBFUSCATED = re.compile(r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]{1,64}(?:\x20?[\[(]at[\])]\x20?|\x20at\x20)[A-Za-z0-9-]{1,63}(?:(?:\.|\x20?[\[(]dot[\])]\x20?|\x20dot\x20)[A-Za-z0-9-]{1,63}){1,4}", re.I)
-_NUMBER = re.compile(r"(?<![\w.@+-])[(]?[0-9][0-9\x20().-]{5,30}[0-9](?![\w@])")
-_SECRET = re.compile(r"\b(?:token|secret|password|passwd|api_?key)\b\x20{0,3}[=:]\x20{0,3}[\"']?([A-Za-z0-9_+/.-]{12,})", re.I)
+# whole runs, without any limit; possessive where no shorter run could match, so every pattern is linear
+_OBFUSCATED = re.compile(r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]++(?:\x20?[\[(]at[\])]\x20?|\x20at\x20)[A-Za-z0-9-]++(?:(?:\.|\x20?[\[(]dot[\])]\x20?|\x20dot\x20)[A-Za-z0-9-]++)+", re.I)
+_NUMBER = re.compile(r"(?<![\w.@+-])[(]?[0-9]++(?:[\x20().-]{1,3}[0-9]++)*+(?![\w@])")
+_SECRET = re.compile(r"\b(?:token|secret|password|passwd|api_?key)\b[\"']?\x20{0,3}[=:]\x20{0,3}[\"']?([A-Za-z0-9_+/.-]{12,})", re.I)
+_KEYWORD = re.compile(r"[A-Za-z_]+[\"']?\x20*[=:]\x20*[\"']?$")
 _AT_WORD = re.compile(r"[\[( ]at[\]) ]", re.I)
 _WORD_BEFORE = re.compile(r"[\w-]+")
 N_LABELERS = 6
@@ -104,7 +106,7 @@ def candidates(text: str, base: list[Span]) -> list[Span]:
             digits = len(_DIGIT.findall(m.group()))
             if 7 <= digits <= 19:
                 found.append(("card" if digits >= 16 else "phone", m.start(), m.end()))
-        found += [("secret", *m.span(1)) for m in _SECRET.finditer(text)]
+    found += [("secret", *m.span(1)) for m in _SECRET.finditer(text)]
     if not found:
         return []
     taken = sorted((s, e) for _, s, e in base)
@@ -124,7 +126,10 @@ def votes(text: str, span: Span) -> str:
     kind, s, e = span
     body = text[s:e]
     digits = "".join(_DIGIT.findall(body))
-    before = [w.lower() for w in _WORD_BEFORE.findall(text[max(0, s - 48) : s])][-4:]
+    said = text[max(0, s - 48) : s]
+    if kind == "secret":
+        said = _KEYWORD.sub("", said)  # it made the span a candidate, so it is no evidence of its own
+    before = [w.lower() for w in _WORD_BEFORE.findall(said)][-4:]
     after = text[e : e + 12].strip().lower()
     # regex labelers: the strict shape of the kind; a checksum or digit count
     shape = {
@@ -288,7 +293,9 @@ def find_personal_data(docs: DataFrame, model: SpanModel | None = None, with_mas
     """A row for each row: doc_id, n_email, n_ip, n_card, n_phone, base_sha256, spans, n_added (and masked).
 
     The n_ columns and base_sha256 state the base spans; spans lists these and the added ones by kind,
-    then start, in code points with exclusive ends. A null text counts as empty (masked: stays null).
+    then start, in code points with exclusive ends. Base spans of different kinds may overlap and are all listed;
+    added ones overlap none, and of two candidates that do the earlier, then the longer, is kept. A null text counts
+    as empty (masked: stays null). Repeated rows each come back; an empty table gives no rows.
     """
     shared = docs.sparkSession.sparkContext.broadcast(fit(docs) if model is None else model)
 
@@ -317,7 +324,11 @@ def find_personal_data(docs: DataFrame, model: SpanModel | None = None, with_mas
 
 
 def mask_documents(docs: DataFrame, model: SpanModel | None = None, text: str = "text") -> DataFrame:
-    """The same rows and columns with every found span masked in the text."""
+    """The same rows and columns with every found span masked in the text.
+
+    Null and empty texts stay as they are, repeated rows stay repeated, columns may have any name, and an
+    empty table gives no rows. Spans that overlap become one mark (see ``mask``).
+    """
     shared = docs.sparkSession.sparkContext.broadcast(fit(docs) if model is None else model)
     columns = docs.columns
     at = columns.index(text)
