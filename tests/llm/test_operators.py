@@ -1,11 +1,15 @@
 """Each operator on odd rows, on an empty table, and against brute force."""
 
 import hashlib
+import math
+import pathlib
 import random
 import re
+import textwrap
 import zlib
 from collections import Counter
 
+import duckdb
 import numpy as np
 import pyarrow as pa
 import pytest
@@ -75,6 +79,40 @@ def test_long_texts_of_other_languages_are_rejected(spark):
     assert sum(x[2] for x in model.predict(clean)) <= 0.005 * len(clean)
 
 
+def test_no_letter_is_undetermined(spark, documents):
+    model = langid.fit(documents)
+    signs = ["½ ² ³", "Ⅷ ⅔", "٣٤", "___", "123 !", "①", "\u0301", "∑ € 🙃"]
+    assert not any(c.isalpha() for t in signs for c in t) and [x[0] for x in model.predict(signs)] == ["und"] * len(signs)
+    assert [x[0] != "und" for x in model.predict(["½a", "²é³", "一"])] == [True] * 3
+
+
+def test_prediction_equals_a_plain_centroid_loop(documents):
+    """TF-IDF, norms and cosines written out over dictionaries of n-grams."""
+    model = langid.fit(documents)
+    centroids = model.centroids.T.astype(float)
+    for text in [t for _, t in texts_of(documents)][:60] + ["½ un ² texte", "a", "É" * 40]:
+        letters = "".join(c if c.isalpha() else " " for c in text.lower())
+        data = (" " + " ".join(letters.split()) + " ").encode()
+        grams = Counter(data[i : i + n] for n in (2, 3, 4) for i in range(len(data) - n + 1))
+        cells = Counter()
+        for gram, times in grams.items():
+            n, value = len(gram), int.from_bytes(gram, "big")
+            h = (value * 2654435761 + n * 0x3C6EF372) % 2**32 * 0x85EBCA6B % 2**32
+            cells[h >> 12] += times
+        weights = {c: (1 + math.log(times)) * float(model.idf[model.place[c]]) for c, times in cells.items()}
+        norm = math.sqrt(sum(w * w for w in weights.values()))
+        score = [sum(w * row[model.place[c]] for c, w in weights.items() if model.place[c] >= 0) / norm for row in centroids]
+        lang, got, _ = model.predict([text])[0]
+        assert abs(got - min(1, max(0, max(score)))) < 1e-4 and score[[i for i, x in enumerate(model.languages) if x == lang][0]] <= max(score)
+        assert max(s for s, x in zip(score, model.languages) if x == lang) > max(score) - 1e-4
+
+
+def test_stage_drops_odd_rows(odd):
+    kept = langid.drop_rejected(odd).collect()
+    assert {r["doc_id"] for r in kept} & {3, 4, 5, 8} == set() and len([r for r in kept if r["doc_id"] == 2]) in (0, 2)
+    assert langid.drop_rejected(odd.limit(0)).count() == 0
+
+
 def test_language_fit_counts_whole_texts():
     text = "the and " * 10_000 + "zyx wvu"
     batch = pa.RecordBatch.from_arrays([pa.array(["en"]), pa.array([1], pa.int64()), pa.array([text])], ["lang", "key", "text"])
@@ -140,6 +178,26 @@ def test_simhash_empty_and_kept(odd, documents):
     assert simhash.keep_one_of_each(documents).count() == len({c for _, _, c in slow_groups(texts_of(documents))})
 
 
+def clashing(docs):
+    """The same rows with columns named as the operators' helpers might be."""
+    names = ["row_key", "_key", "_n", "_copies", "_copy", "shard", "_slot", "row", "n", "id", "kept_id", "text_key", "taken_id", "copies", "slot", "number"]
+    return docs.withColumns({c: F.concat(F.lit(c), F.col("doc_id").cast("string")) for c in names})
+
+
+def test_columns_of_any_name_come_through(odd, documents, spark, tmp_path):
+    for docs in (clashing(documents), clashing(odd)):
+        own = {tuple(r) for r in docs.collect()}
+        for out in (simhash.keep_one_of_each(docs), mixing.mixed_documents(docs), langid.drop_rejected(docs)):
+            got = out.collect()
+            assert out.columns == docs.columns and {tuple(r) for r in got} <= own and got
+        assert pii.mask_documents(docs).columns == docs.columns
+    docs = clashing(odd)
+    assert sharding.write_shards(docs, str(tmp_path / "s")) == "shard_"
+    back = spark.read.parquet(str(tmp_path / "s"))
+    assert rows(back, *docs.columns) == rows(docs, *docs.columns)
+    assert {r["shard_"] for r in back.collect()} == {r["shard"] for r in sharding.place_documents(odd).collect()}
+
+
 # -- 3 personal data --------------------------------------------------------------------------
 
 PATTERNS = {"email": r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+", "ip": r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)", "card": r"[0-9]([\x20-]?[0-9])+", "phone": r"\+[0-9][\x20().0-9-]+[0-9]"}
@@ -154,7 +212,7 @@ def plain_spans(text):
 
 
 def test_long_secrets_are_whole_candidates():
-    for n in (12, 128, 129, 1000):
+    for n in (12, 128, 129, 240, 100_000):
         secret = ("aB3_" * n)[:n]
         text = f"see token={secret}. And on"
         assert pii.candidates(text, pii.base_spans(text)) == [("secret", 10, 10 + n + 1)]  # the stop is of the run's letters
@@ -193,6 +251,46 @@ def test_masking_keeps_the_rest(spark, odd):
     assert rows(pii.mask_documents(odd), *odd.columns) == rows(odd, *odd.columns)
 
 
+def planted():
+    """Rows of ``(doc_id, text, kind, found)``: personal data in other shapes, and what only looks like it."""
+    rng = random.Random(1)
+    w = lambda n=1: " ".join("".join(rng.choice("aeioulnrst") for _ in range(rng.randint(2, 8))) for _ in range(n))
+    d = lambda n: "".join(rng.choice("0123456789") for _ in range(n))
+    personal = {
+        "at": lambda: f"mail {w()}.{w()} (at) {w()} dot com", "brackets": lambda: f"contact: {w()}[at]{w()}[dot]org", "phone": lambda: f"phone: ({d(3)}) {d(3)}-{d(4)}",
+        "call": lambda: f"call {d(3)}-{d(3)}-{d(4)}", "token": lambda: f'token = "{rng.randbytes(20).hex()}"', "password": lambda: f"password={w()}{d(6)}X{w()}y{d(4)}",
+    }
+    decoys = {
+        "order": lambda: f"order {d(8)} = {d(3)}", "page": lambda: f"see page {d(3)}.{d(4)} % of", "version": lambda: f"version {d(2)}.{d(3)}.{d(4)}.{d(2)}.{d(3)}",
+        "look": lambda: f"looked at {w()}.{w()} then", "word": lambda: f"secret: {'a' * 13}",
+    }
+    bases = [lambda: f"{w()}@{w()}.com", lambda: f"+1 ({d(3)}) {d(3)}-{d(4)}", lambda: f"10.0.0.{rng.randint(1, 250)}", lambda: "4111 1111 1111 1111"]
+    out = []
+    for found, kinds in ((True, personal), (False, decoys)):
+        for kind, make in kinds.items():
+            out += [(len(out) + i, f"{w(6)} {make()}, {w(5)} {rng.choice(bases)()} {w(3)}", kind, found) for i in range(40)]
+    return out
+
+
+def test_planted_spans_are_added_and_decoys_are_not(spark):
+    docs = spark.createDataFrame(planted(), "doc_id long, text string, kind string, found boolean")
+    out = pii.find_personal_data(docs, with_masked=True).join(docs.select("doc_id", "kind", "found"), "doc_id").collect()
+    for kind in {r["kind"] for r in out}:
+        share = np.mean([r["n_added"] > 0 for r in out if r["kind"] == kind])
+        assert share > 0.9 if next(r["found"] for r in out if r["kind"] == kind) else share == 0, kind
+    for r in out:
+        assert ("|||SECRET|||" in r["masked"]) == (r["kind"] in ("token", "password") and r["n_added"] > 0)
+
+
+def test_candidates_are_whole_runs():
+    for text, body in (
+        (f"x {'a' * 300}(at){'b' * 200} dot {'c' * 90}.d.e.f.g.h.i y", f"{'a' * 300}(at){'b' * 200} dot {'c' * 90}.d.e.f.g.h.i"), ("n (12) 345-67 89.01.23, z", "(12) 345-67 89.01.23"),
+    ):
+        (kind, s, e), = pii.candidates(text, [])
+        assert text[s:e] == body
+    assert pii.candidates("a.b " * 100_000 + "1 " * 200_000 + "( at " * 50_000, []) is not None  # in time
+
+
 def test_em_finds_reliable_labelers():
     rng = np.random.default_rng(3)
     truth = rng.random(4000) < 0.4
@@ -245,12 +343,38 @@ def test_flac_rows(odd):
 def test_licences(spark, odd):
     mit = licenses.KNOWN[0][1]
     spelled = "Copyright (c) 2020 Someone\n" + mit.upper().replace("SUBLICENSE", "sub-licence").replace(", ", " -- ").replace("PERMISSION", "# Permission", 1)
-    docs = spark.createDataFrame([(1, mit), (2, spelled), (3, "Released under the MIT Licence!"), (4, mit + " and more"), (5, None), (6, "")], "doc_id long, text string")
+    texts = [mit, spelled, "Released under the MIT Licence!", mit + " and more", None, "", "The MIT License (MIT)\n\nCopyright 2021, A. Person\nAll rights reserved.\n\n" + mit]
+    docs = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "doc_id long, text string")
     got = {r["doc_id"]: r["license_id"] for r in licenses.scan_licenses(docs).collect()}
-    assert got == {1: "MIT", 2: "MIT", 3: "MIT", 4: None, 5: None, 6: None}
+    assert got == {0: "MIT", 1: "MIT", 2: "MIT", 3: None, 4: None, 5: None, 6: "MIT"}
     assert licenses.scan_licenses(odd).count() == 10 and licenses.scan_licenses(odd.limit(0)).count() == 0
 
 
+def test_wrapped_licences_and_copyright_lines(spark):
+    """Every known text, wrapped as files are, under a copyright line; SQL says the same of them."""
+    rows_ = []
+    for i, (name, text) in enumerate(licenses.KNOWN):
+        for width in (50, 72, 79):
+            body = "\n".join("\n".join(textwrap.wrap(p, width)) for p in text.split("\n"))
+            rows_.append((len(rows_), name, f"Copyright (c) 19{i:02d}-2024, Some Body <body@x.org>\n\n{body}\n"))
+    docs = spark.createDataFrame(rows_, "doc_id long, name string, text string")
+    got = rows(licenses.scan_licenses(docs), "doc_id", "digest", "license_id")
+    assert [x[2] for x in sorted(got)] == [name for _, name, _ in rows_]
+    con = duckdb.connect()
+    con.register("documents", docs.toPandas())
+    assert sorted(con.sql(licenses.licenses_sql()).fetchall(), key=str) == got
+    assert licenses.canonical("copyright notice and this\nCopyright 2020 X\n(c) 1999 y\nAll rights reserved\nper cent non commercial non commercial") == "copyright notice and this percent noncommercial noncommercial"
+
+
+def test_published_licence_files(spark):
+    folder = pathlib.Path("/usr/share/common-licenses")
+    if not folder.is_dir():
+        pytest.skip("no licence files on this machine")
+    files = [f for f in sorted(folder.iterdir()) if not f.is_symlink()]
+    got = {f.name: licenses.known_digests().get(licenses.digest(f.read_text(errors="replace"))) for f in files}
+    assert None not in got.values() and {"Apache-2.0": "Apache-2.0", "GPL-3": "GPL-3.0", "MPL-2.0": "MPL-2.0", "BSD": "BSD-3-Clause"}.items() <= got.items()
+
+
 def test_lookup_table_takes_turns(odd):
     table = sharding.lookup_table((("a", 1), ("b", 1), ("c", 2)), 13)
     n = Counter(table)
@@ -277,18 +401,19 @@ def test_written_shards(spark, odd, tmp_path):
 
 def slow_mix(rows_):
     """Serve copies one by one by finish time."""
-    sized = [(d, s, len(WORD.findall(t or ""))) for d, t, s in rows_]
-    names = sorted({s for _, s, _ in sized}, key=lambda s: (s is None, s or ""))
+    sized = [(d, s, len(WORD.findall(t or "")), t or "") for d, t, s in rows_]
+    names = sorted({s for _, s, _, _ in sized}, key=lambda s: (s is None, s or ""))
     weight = {s: 1.0 + i % 3 for i, s in enumerate(names)}
-    total = {s: sum(n for _, x, n in sized if x == s) for s in names}
-    place = lambda d: hashlib.md5(("" if d is None else str(d)).encode()).hexdigest()
+    total = {s: sum(n for _, x, n, _ in sized if x == s) for s in names}
+    md5 = lambda x: hashlib.md5(x.encode()).hexdigest()
+    place = lambda x: md5(f"{'' if x[0] is None else x[0]}:{md5(x[3])}")
     queue = []
     for s in names:
         at = 0
-        for d, _, n in sorted((x for x in sized if x[1] == s), key=lambda x: (place(x[0]), x[0] if x[0] is not None else -1, x[2])):
+        for d, _, n, t in sorted((x for x in sized if x[1] == s), key=lambda x: (place(x), x[0] if x[0] is not None else -1, x[2])):
             at += n
             for e in range(3):
-                queue.append(((total[s] * e + at) / weight[s], names.index(s), e, place(d), d if d is not None else -1, n, (d, s, n)))
+                queue.append(((total[s] * e + at) / weight[s], names.index(s), e, place((d, s, n, t)), d if d is not None else -1, n, (d, s, n)))
     used, taken, budget = 0, Counter(), sum(total.values())
     for *_, n, key in sorted(queue):
         used += n
@@ -309,6 +434,13 @@ def test_mix_equals_a_served_queue(documents, odd, bucket_rows):
         assert +got == +want
 
 
+def test_mix_with_weights_below_one(spark):
+    docs = spark.createDataFrame([(i, "w " * 10, "ab"[i % 2]) for i in range(40)], "doc_id long, text string, source string")
+    for weights in ((0.01, 0.02), (1, 2), (0.5, 1e6)):
+        got = mixing.mix_sources(docs, weights).agg(F.sum("taken"), F.max(F.col("taken") / F.col("size"))).first()
+        assert (got[0], got[1] <= 3) == (400, True), weights
+
+
 def test_targets_share_everything(spark):
     sizes = spark.createDataFrame([("a", 10), ("b", 1000), ("c", 5), (None, 0)], "source string, source_size long")
     got = {r["source"]: r["target"] for r in mixing.source_targets(sizes).collect()}
