@@ -1,19 +1,22 @@
-"""Removal of word spans that occur elsewhere, by suffix automata over co-partitioned references.
+"""Removal of word spans that occur elsewhere, by suffix automata over shards of the shared reference.
 
-A window of ``WINDOW`` words is repeated if its words also start anywhere else. Building one automaton
-of the whole corpus, or streaming every document past broadcast automata of all shards of it, costs a
-pass over the corpus for each shard; so the reference is cut down and dealt out first, without losing a link:
+A window of ``WINDOW`` words is repeated if its words also start anywhere else. The reference is the corpus
+itself, so it is first cut down to what can repeat, without losing a link, and then sharded:
 
 1. The windows of a document fall into stretches that share their least ``GRAM``-word hash, their
-   anchor. Equal windows have equal anchors wherever they are. Stretches ("regions") travel as hashes.
-2. Anchors that occur once can't hold a repeated window. Regions that occur twice word for word
-   are repeated throughout. What is left are different regions around a shared anchor.
-3. Of those, each distinct region's words are the reference. They are dealt by anchor; a task builds a
-   suffix automaton with occurrence counts for every few tens of thousands of words, streams the same regions
-   through it, and reads off the windows whose matching statistic reaches the threshold in a state
-   that occurs at least twice. Groups with more than ``WIDE`` different regions around one anchor are
-   counted by window hash in a shuffle, so no group has to fit into a task.
-4. The repeated windows go back to their documents, where the maximal spans they cover are removed.
+   anchor. Equal windows have equal anchors wherever they are. Anchors are counted; those that occur once
+   can't hold a repeated window. What stays are the places of shared stretches ("regions"), as hashes.
+2. The words of each distinct shared region, however often it occurs, are the reference, each with the number of
+   its places. Regions that are alone around their anchor (copies of one another) make up shards where their
+   words are read; the others are dealt out by anchor. An anchor with more than ``WIDE`` different regions is
+   salted over several shards.
+3. A shard is a suffix automaton with occurrence counts. Regions stream through it, and the windows are
+   marked whose matching statistic reaches the threshold in a state that occurs at least twice. What a salted
+   shard saw once is merged with the counts of the anchor's other shards.
+4. The marks go back to all places of their regions, where the maximal spans they cover are removed.
+
+Only the counts of the hottest anchors and marks of the hottest regions are broadcast (see ``join_keyed``): an automaton
+of the corpus has no size bound, and broadcasting its shards one by one costs a pass over all documents for each.
 """
 
 from __future__ import annotations
@@ -23,7 +26,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quillmill.llm.common import as_bytes, slices
@@ -33,9 +36,9 @@ from quillmill.session import cut_lineage
 
 WINDOW = 35
 GRAM = 8
-#: Different regions around one anchor beyond which windows are counted in a shuffle instead.
+#: Different regions around one anchor in a shard; more are salted over several shards.
 WIDE = 512
-#: Words that one automaton holds, unless a single anchor's regions are more.
+#: Words that one automaton holds, unless a single shard of an anchor is more.
 AUTOMATON_WORDS = 40_000
 
 
@@ -89,9 +92,9 @@ class SuffixAutomaton:
             if self.link[s] > 0:
                 self.count[self.link[s]] += self.count[s]
 
-    def repeated_windows(self, words: list[int], window: int) -> list[int]:
-        """Starts of the windows that occur at least twice: matching statistics cut off at ``window``."""
-        nxt, link, length, count = self.next, self.link, self.length, self.count
+    def window_states(self, words: list[int], window: int) -> list[int]:
+        """The state of each window, or 0 if it isn't in the reference: matching statistics cut off at ``window``."""
+        nxt, link, length = self.next, self.link, self.length
         state = matched = 0
         out = []
         for j, word in enumerate(words):
@@ -103,67 +106,123 @@ class SuffixAutomaton:
                 matched += 1
             while length[link[state]] >= window:
                 state = link[state]
-            if matched >= window and count[state] >= 2:
-                out.append(j - window + 1)
+            if j >= window - 1:
+                out.append(state if matched >= window else 0)
         return out
 
 
-def _emit(batches: Iterator[pa.RecordBatch], window: int, gram: int, summed: bool) -> Iterator[pa.RecordBatch]:
-    """Regions of each document; summed: one row for each distinct region of a slice, with its count."""
+def _automaton(held: list[tuple[int, list[int]]]) -> SuffixAutomaton:
+    """Of weighted word sequences."""
+    automaton = SuffixAutomaton()
+    for n, words in held:
+        automaton.add(words, n)
+    automaton.close()
+    return automaton
+
+
+def _anchors(batches: Iterator[pa.RecordBatch], window: int, gram: int) -> Iterator[pa.RecordBatch]:
+    """Anchors of each slice with their counts."""
+    for part in slices(batches, 4096):
+        _, _, _, anchor, _, _ = regions([t or b"" for t in as_bytes(part.column("text"))], window, gram)
+        distinct, n = np.unique(anchor, return_counts=True)
+        yield pa.RecordBatch.from_arrays([pa.array(distinct.view(np.int64)), pa.array(n.astype(np.int64))], ["anchor", "n"])
+
+
+def _places(batches: Iterator[pa.RecordBatch], window: int, gram: int) -> Iterator[pa.RecordBatch]:
+    """Every region of every document."""
     for part in slices(batches, 4096):
-        keys = part.column("key").to_numpy(zero_copy_only=False)
+        ids, keys = (part.column(c).to_numpy(zero_copy_only=False) for c in ("id", "key"))
         text, first, last, anchor, region, _ = regions([t or b"" for t in as_bytes(part.column("text"))], window, gram)
-        if summed:
-            _, at, n = np.unique(region, return_index=True, return_counts=True)
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(anchor[at].view(np.int64)), pa.array(region[at].view(np.int64)), pa.array(n.astype(np.int64)), pa.array(keys[text[at]]), pa.array(first[at].astype(np.int32)), pa.array(last[at].astype(np.int32))],
-                ["anchor", "region", "n", "key", "first", "last"],
-            )
-        else:
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(region.view(np.int64)), pa.array(keys[text]), pa.array(first.astype(np.int32)), pa.array(last.astype(np.int32))], ["region", "key", "first", "last"]
-            )
-
-
-def _contents(batches: Iterator[pa.RecordBatch], window: int, wide: int) -> Iterator[pa.RecordBatch]:
-    """Words of the wanted regions; of wide groups, hashes of their windows instead."""
-    names = ["anchor", "region", "n", "words", "windows"]
+        columns = (anchor.view(np.int64), region.view(np.int64), ids[text], keys[text], first.astype(np.int32), last.astype(np.int32))
+        yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], ["anchor", "region", "id", "key", "first", "last"])
+
+
+_CONTENTS = (("anchor", pa.int64()), ("region", pa.int64()), ("n", pa.int64()), ("salt", pa.int64()), ("salts", pa.int64()), ("mark", pa.int64()), ("words", pa.binary()))
+
+
+def _contents(batches: Iterator[pa.RecordBatch], window: int, budget: int) -> Iterator[pa.RecordBatch]:
+    """Words of the wanted regions; those alone around their anchor are matched here, in shards of the rows at hand."""
+    alone: list[tuple[dict, list[int]]] = []
+
+    def batch_of(rows: list[tuple]) -> pa.RecordBatch:
+        columns = zip(*rows, strict=True) if rows else [()] * len(_CONTENTS)
+        return pa.RecordBatch.from_arrays([pa.array(c, t) for c, (_, t) in zip(columns, _CONTENTS, strict=True)], [n for n, _ in _CONTENTS])
+
+    def matched() -> pa.RecordBatch:
+        automaton = _automaton([(w["n"], words) for w, words in alone])
+        rows = []
+        for w, words in alone:
+            mark = sum(1 << i for i, state in enumerate(automaton.window_states(words, window)) if automaton.count[state] >= 2)
+            rows.append((w["anchor"], w["region"], w["n"], 0, 1, mark, None))
+        alone.clear()
+        return batch_of(rows)
+
+    size, before = 0, None
     for part in slices(batches, 256):
-        rows: list[list] = [[], [], [], [], []]
-        for text, wanted in zip(as_bytes(part.column("text")), part.column("wanted").to_pylist(), strict=True):
+        rows = []
+        for row, text, wanted in zip(zip(part.column("id").to_pylist(), part.column("key").to_pylist(), strict=True), as_bytes(part.column("text")), part.column("wanted").to_pylist(), strict=True):
+            if row == before:
+                continue  # a repeated row; those that aren't neighbours are told apart where they meet
+            before = row
             words = word_hashes(text or b"")
-            for w in {x["region"]: x for x in wanted}.values():
+            for w in wanted:
                 own = words[w["first"] : w["last"] + window]
-                is_wide = w["d"] > wide
-                for column, value in zip(rows, (w["anchor"], w["region"], w["n"], None if is_wide else own.tobytes(), gram_hashes(own, window).view(np.int64).tolist() if is_wide else None), strict=True):
-                    column.append(value)
-        kinds = (pa.int64(), pa.int64(), pa.int64(), pa.binary(), pa.list_(pa.int64()))
-        yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(rows, kinds, strict=True)], names)
+                if w["alone"]:
+                    alone.append((w, own.tolist()))
+                    size += len(own)
+                else:
+                    rows.append((w["anchor"], w["region"], w["n"], w["salt"], w["salts"], None, own.tobytes()))
+            if size >= budget:
+                yield matched()
+                size = 0
+        yield batch_of(rows)
+    if alone:
+        yield matched()
+
+
+_PAIR = pa.struct([("i", pa.int32()), ("h", pa.int64())])
+_COUNT = pa.struct([("h", pa.int64()), ("c", pa.int64())])
+_MARKS = (("anchor", pa.int64()), ("region", pa.int64()), ("n", pa.int64()), ("mark", pa.int64()), ("single", pa.list_(_PAIR)), ("often", pa.list_(_COUNT)))
 
 
 def _match(batches: Iterator[pa.RecordBatch], window: int, budget: int) -> Iterator[pa.RecordBatch]:
-    """Rows sorted by anchor: an automaton over whole anchors' regions at a time."""
-
-    def flush(held: list[tuple[int, int, list[int]]]) -> pa.RecordBatch:
-        automaton = SuffixAutomaton()
-        for _, n, words in held:
-            automaton.add(words, n)
-        automaton.close()
-        marks = [(region, sum(1 << s for s in automaton.repeated_windows(words, window))) for region, _, words in held]
-        marks = [m for m in marks if m[1]]
-        return pa.RecordBatch.from_arrays([pa.array([m[0] for m in marks], pa.int64()), pa.array([m[1] for m in marks], pa.int64())], ["region", "mark"])
-
-    held: list[tuple[int, int, list[int]]] = []
-    size, before = 0, None
+    """Rows sorted by anchor, salt and region: an automaton over whole anchors' regions (or one salt of them) at a time.
+
+    A salted shard adds what the other shards of the anchor need: the windows it saw once, for each region, and
+    those it saw more often, once each with their count.
+    """
+
+    def flush(held: list[tuple[dict, list[int]]]) -> pa.RecordBatch:
+        automaton = _automaton([(w["n"], words) for w, words in held])
+        count, rows, told = automaton.count, [], set()
+        for w, words in held:
+            states = automaton.window_states(words, window)
+            mark = sum(1 << i for i, state in enumerate(states) if count[state] >= 2)
+            single, often = [], []
+            if w["salts"] > 1:
+                hashes = gram_hashes(np.array(words, np.uint64), window).view(np.int64).tolist()
+                for i, (state, h) in enumerate(zip(states, hashes, strict=True)):
+                    if count[state] < 2:
+                        single.append({"i": i, "h": h})
+                    elif state not in told:
+                        told.add(state)
+                        often.append({"h": h, "c": count[state]})
+            rows.append((w["anchor"], w["region"], w["n"], mark, single, often))
+        return pa.RecordBatch.from_arrays([pa.array(c, t) for c, (_, t) in zip(zip(*rows, strict=True), _MARKS, strict=True)], [n for n, _ in _MARKS])
+
+    held: list[tuple[dict, list[int]]] = []
+    size, shard, region = 0, None, None
     for batch in batches:
         for row in batch.to_pylist():
-            if held and row["anchor"] != before and size >= budget:
+            here = (row["anchor"], row["salt"])
+            if here == shard and row["region"] == region:
+                continue  # of a repeated row
+            if held and here != shard and size >= budget:
                 yield flush(held)
                 held, size = [], 0
-            words = np.frombuffer(row["words"], np.uint64).tolist()
-            held.append((row["region"], row["n"], words))
-            size += len(words)
-            before = row["anchor"]
+            shard, region = here, row["region"]
+            held.append((row, np.frombuffer(row["words"], np.uint64).tolist()))
+            size += len(held[-1][1])
     if held:
         yield flush(held)
 
@@ -194,40 +253,56 @@ def remove_repeats(docs: DataFrame, window: int = WINDOW, gram: int = GRAM, wide
     """A row for each row: ``doc_id, n_words, n_removed, kept_sha256`` (and ``kept``).
 
     Texts are judged as they come in: every copy of a repeated window loses its words, the first one
-    too. A null text has no words. Texts under ``window`` words stay whole. Repeated rows repeat each
-    other's windows; an empty table gives no rows; rows with a null doc_id are treated like any.
+    too. A null text has no words. Texts under ``window`` words stay whole, very long ones are read whole. Repeated rows
+    repeat each other's windows; an empty table gives no rows; rows with a null doc_id are treated like any; other columns
+    are not looked at. ``gram`` is brought within the window, and so near to it that a region's marks fit a long.
     """
+    if window < 1 or wide < 1:
+        raise ValueError("window and wide have to be positive")
+    gram = max(min(gram, window), window - 62)
     own = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    own = own.withColumn("key", F.xxhash64("doc_id", "text"))
-    slim = own.select("key", "text")
-
-    counted = slim.mapInArrow(lambda it: _emit(it, window, gram, True), "anchor long, region long, n long, key long, first int, last int")
-    each = counted.repartition("anchor").groupBy("anchor", "region").agg(F.sum("n").alias("n"), F.min(F.struct("key", "first", "last")).alias("at"))
-    around = Window.partitionBy("anchor")
-    each = each.withColumn("d", F.count("*").over(around)).withColumn("all", F.sum("n").over(around)).where("all >= 2")
-    shared = cut_lineage(each.select("anchor", "region", "n", "d", "at.key", "at.first", "at.last"))
-
-    # the words of different regions around one anchor, each once
-    wanted = shared.where("d >= 2").groupBy("key").agg(F.collect_list(F.struct("anchor", "region", "n", "d", "first", "last")).alias("wanted"))
-    contents = slim.join(wanted, "key").select("text", "wanted").mapInArrow(
-        lambda it: _contents(it, window, wide), "anchor long, region long, n long, words binary, windows array<long>"
+    own = own.withColumns({"id": F.coalesce("doc_id", F.lit(0)), "key": F.xxhash64("doc_id", "text")})
+    slim = own.select("id", "key", "text")
+
+    anchors = slim.mapInArrow(lambda it: _anchors(it, window, gram), "anchor long, n long").groupBy("anchor").agg(F.sum("n").alias("all"))
+    anchors = cut_lineage(anchors.where("all >= 2"))
+    total = anchors.agg(F.sum("all")).first()[0] or 0
+    every = slim.mapInArrow(lambda it: _places(it, window, gram), "anchor long, region long, id long, key long, first int, last int")
+    places = cut_lineage(join_keyed(every, anchors, "anchor", "all", total))
+
+    # distinct regions, and how many there are around their anchor
+    each = cut_lineage(places.groupBy("anchor", "region").agg(F.count("*").alias("n"), F.min(F.struct("id", "key", "first", "last")).alias("at")))
+    around = each.groupBy("anchor").agg(F.count("*").alias("d"))
+    facts = around.agg(F.sum("d").alias("d")).first()
+    each = join_keyed(each, around.select("anchor", F.col("d").alias("rows"), "d"), "anchor", "rows", facts["d"] or 0)
+    salts = F.ceil(F.col("d") / F.lit(wide)).cast("long")
+    each = each.withColumns({"salts": salts, "salt": F.pmod("region", salts), "alone": F.col("d") == 1})
+
+    # their words, each once
+    wanted = each.groupBy("at.id", "at.key").agg(F.collect_list(F.struct("anchor", "region", "n", "salt", "salts", "alone", "at.first", "at.last")).alias("wanted"))
+    contents = slim.join(wanted, ["id", "key"]).select("id", "key", "text", "wanted").mapInArrow(
+        lambda it: _contents(it, window, AUTOMATON_WORDS), "anchor long, region long, n long, salt long, salts long, mark long, words binary"
+    )
+    contents = cut_lineage(contents)
+    dealt = contents.where(F.col("words").isNotNull()).select("anchor", "salt", "region", "n", "salts", "words")
+    matched = dealt.repartition("anchor", "salt").sortWithinPartitions("anchor", "salt", "region").mapInArrow(
+        lambda it: _match(it, window, AUTOMATON_WORDS),
+        "anchor long, region long, n long, mark long, single array<struct<i:int,h:long>>, often array<struct<h:long,c:long>>",
     )
-    contents = cut_lineage(contents.dropDuplicates(["region"]))
-    narrow = contents.where(F.col("words").isNotNull()).select("anchor", "region", "n", "words")
-    marks = narrow.repartition("anchor").sortWithinPartitions("anchor", "region").mapInArrow(lambda it: _match(it, window, AUTOMATON_WORDS), "region long, mark long")
-    single = contents.where(F.col("windows").isNotNull()).select("region", "n", F.posexplode("windows").alias("i", "h"))
-    often = single.groupBy("h").agg(F.sum("n").alias("total")).where("total >= 2").select("h")
-    marks = marks.unionByName(single.join(often, "h").select("region", F.expr("shiftleft(1L, i)").alias("bit")).groupBy("region").agg(F.bit_or("bit").alias("mark")))
-    # regions that occur twice are repeated throughout
-    twice = shared.where("n >= 2").select("region", "n", F.lit(-1).cast("long").alias("mark"))
-    once = marks.join(shared.where("n = 1").select("region", "n"), "region").select("region", "n", "mark")
-    marks = cut_lineage(twice.unionByName(once))
-
-    total = shared.agg(F.sum("n")).first()[0] or 0
-    places = slim.mapInArrow(lambda it: _emit(it, window, gram, False), "region long, key long, first int, last int")
-    found = join_keyed(places, marks, "region", "n", total).groupBy("key").agg(F.collect_list(F.struct("first", "last", "mark")).alias("found"))
+    matched = cut_lineage(matched)
+    single = matched.select("anchor", "region", "n", F.explode("single").alias("x")).select("anchor", "region", "n", "x.i", "x.h")
+    often = matched.select("anchor", F.explode("often").alias("x")).select("anchor", "x.h", "x.c").unionByName(single.select("anchor", "h", F.lit(1).cast("long").alias("c")))
+    often = often.groupBy("anchor", "h").agg(F.sum("c").alias("c")).where("c >= 2").select("anchor", "h")
+    merged = single.join(often, ["anchor", "h"]).select("anchor", "region", "n", F.expr("shiftleft(1L, i)").alias("mark"))
+    marks = contents.where("mark != 0").select("anchor", "region", "n", "mark").unionByName(matched.where("mark != 0").select("anchor", "region", "n", "mark")).unionByName(merged)
+    marks = marks.groupBy(F.struct("anchor", "region").alias("at")).agg(F.max("n").alias("n"), F.bit_or("mark").alias("mark"))
+    marks = cut_lineage(marks)
+
+    total = marks.agg(F.sum("n")).first()[0] or 0
+    found = join_keyed(places.select(F.struct("anchor", "region").alias("at"), "id", "key", "first", "last"), marks, "at", "n", total)
+    found = found.groupBy("id", "key").agg(F.collect_set(F.struct("first", "last", "mark")).alias("found"))
     out = "doc_id long, n_words long, n_removed long, kept_sha256 string" + ", kept string" * with_text
-    return own.join(found, "key", "left").select("doc_id", "text", "found").mapInArrow(lambda it: _remove(it, window, with_text), out)
+    return own.join(found, ["id", "key"], "left").select("doc_id", "text", "found").mapInArrow(lambda it: _remove(it, window, with_text), out)
 
 
 #: The same by comparing every window's words.

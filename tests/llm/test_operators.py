@@ -525,7 +525,7 @@ def slow_repeats(rows_, window=35):
     return sorted(out, key=str)
 
 
-@pytest.mark.parametrize("wide", [4096, 1])
+@pytest.mark.parametrize("wide", [4096, 1, 3])
 def test_repeats_equal_brute_force(spark, documents, odd, wide):
     rng = random.Random(3)
     loops = [(i, " ".join(rng.choice("ab") for _ in range(rng.randint(0, 120)))) for i in range(60)] + [(70, "a " * 300), (71, "b c " * 60)]
@@ -534,6 +534,35 @@ def test_repeats_equal_brute_force(spark, documents, odd, wide):
         assert got == slow_repeats(texts_of(docs))
 
 
+@pytest.mark.parametrize("wide", [512, 16])
+def test_repeats_around_a_hot_anchor(spark, wide):
+    """A passage in many documents, in surroundings of their own; some of these shared by two, some rows repeated."""
+    rng = random.Random(9)
+    w = lambda n: [rng.choice("abcdefgh") + str(rng.randint(0, 99)) for _ in range(n)]
+    passage, sides = w(40), [w(30) for _ in range(40)]
+    docs = [(i, " ".join(rng.choice(sides)[: rng.randint(0, 30)] + w(rng.randint(0, 3)) + passage[: rng.choice((30, 36, 40))] + rng.choice(sides))) for i in range(600)]
+    docs += docs[:5] * 20 + [(None, docs[7][1])] * 3
+    table = spark.createDataFrame(docs, "doc_id long, text string")
+    assert rows(substring.remove_repeats(table, wide=wide), "doc_id", "n_words", "n_removed", "kept_sha256") == slow_repeats(docs)
+
+
+def test_windows_of_other_widths(spark, documents):
+    for window in (1, 5, 90):
+        got = rows(substring.remove_repeats(documents, window=window), "doc_id", "n_words", "n_removed", "kept_sha256")
+        assert got == slow_repeats(texts_of(documents), window)
+    with pytest.raises(ValueError):
+        substring.remove_repeats(documents, window=0)
+
+
+def test_copies_go_through_an_automaton(documents, monkeypatch):
+    """Without matching statistics nothing is removed, copies included."""
+    batch = pa.RecordBatch.from_pylist([{"id": 1, "key": 1, "text": "a b c d", "wanted": [{"anchor": 1, "region": 2, "n": 3, "salt": 0, "salts": 1, "alone": True, "first": 0, "last": 1}]}])
+    marks = lambda: [r["mark"] for part in substring._contents(iter([batch]), 3, 10) for r in part.to_pylist()]
+    assert marks() == [3]
+    monkeypatch.setattr(substring.SuffixAutomaton, "window_states", lambda self, words, window: [0] * (len(words) - window + 1))
+    assert marks() == [0]
+
+
 def test_repeats_long_and_empty(odd):
     long = substring.remove_repeats(odd.where("doc_id = 6")).first()
     assert (long["n_words"], long["n_removed"]) == (100_000, 100_000)
