@@ -580,35 +580,87 @@ def test_hashes_tell_words_apart():
 # -- 10 neighbours ----------------------------------------------------------------------------
 
 
-def test_recall_and_order(spark):
-    table = spark.read.parquet("/root/testdata/sf0.1/embeddings.parquet")
-    out = ann.nearest_neighbours(table, tile=256).collect()
-    data = {r["vec_id"]: np.array(r["embedding"], float) for r in table.collect()}
-    ids = np.array(sorted(data))
-    x = np.stack([data[i] for i in ids])
+def exact_neighbours(ids, x, q, top=20):
+    s = (x * x[q]).sum(axis=1)
+    s[q] = -np.inf
+    return [(int(ids[i]), float(s[i])) for i in np.lexsort((ids, -s))[:top]]
+
+
+def as_table(spark, ids, x):
+    x = x.astype(np.float32)
+    table = pa.table({"vec_id": pa.array(ids, pa.int64()), "embedding": pa.ListArray.from_arrays(np.arange(0, x.size + 1, x.shape[1], dtype=np.int32), x.ravel())})
+    return spark.createDataFrame(table), x.astype(np.float64)
+
+
+def recall(spark, ids, x, step=20, sample=300):
+    """Of ids, against brute force over a part of the queries, all of whose results are checked for order and scores."""
+    table, x = as_table(spark, ids, x)
     by = {}
-    for r in out:
+    for r in ann.nearest_neighbours(table, step=step).collect():
         by.setdefault(r["query_id"], []).append((r["rank"], r["vec_id"], r["score"]))
-    assert set(by) == {i for i in data if i % 20 == 0}
+    asked = np.flatnonzero(ids % step == 0)
+    assert set(by) == set(ids[asked].tolist())
+    at = {int(i): k for k, i in enumerate(ids)}
     hits = 0
-    for q, found in by.items():
-        s = (x * data[q]).sum(axis=1)
-        s[ids == q] = -np.inf
-        best = ids[np.lexsort((ids, -s))[:20]]
-        found.sort()
-        assert [f[0] for f in found] == list(range(1, 21)) and all(abs(f[2] - (data[q] * data[f[1]]).sum()) < 1e-12 for f in found)
-        hits += len(set(best) & {f[1] for f in found})
-    assert hits / (20 * len(by)) >= 0.9
+    for q in asked[:: max(1, len(asked) // sample)]:
+        found = sorted(by[int(ids[q])])
+        assert [f[0] for f in found] == list(range(1, 21)) and [(-f[2], f[1]) for f in found] == sorted((-f[2], f[1]) for f in found)
+        assert all(abs(f[2] - (x[q] * x[at[f[1]]]).sum()) < 1e-9 for f in found)
+        hits += len({i for i, _ in exact_neighbours(ids, x, q)} & {f[1] for f in found}) / 20
+    return hits / len(asked[:: max(1, len(asked) // sample)])
+
+
+def test_recall_on_the_table(spark):
+    rows_ = spark.read.parquet("/root/testdata/sf0.1/embeddings.parquet").collect()
+    assert recall(spark, np.array([r["vec_id"] for r in rows_]), np.array([r["embedding"] for r in rows_])) >= 0.9
+
+
+@pytest.mark.parametrize("clusters", [0, 500])
+def test_recall_below_half_the_comparisons(spark, clusters):
+    """50,000 vectors without structure, and around cluster centres."""
+    rng = np.random.default_rng(clusters)
+    x = rng.normal(size=(50_000, 64))
+    if clusters:
+        x = rng.normal(size=(clusters, 64))[rng.integers(0, clusters, len(x))] + 0.5 * x
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    assert ann.comparisons(len(x)) < len(x) / 2
+    assert recall(spark, rng.permutation(len(x)), x) >= 0.9
+
+
+def test_large_groups_of_equal_vectors(spark):
+    """Ties go to the smallest ids, however many there are; repeated ids are rows of their own."""
+    rng = np.random.default_rng(5)
+    x = rng.normal(size=(3000, 8))
+    x[1000:2500] = x[0]
+    ids = np.concatenate([rng.permutation(2990) + 5, np.arange(20, 220, 20)])
+    table, x = as_table(spark, ids, x)
+    got = {}
+    for r in ann.nearest_neighbours(table).collect():
+        got.setdefault(r["query_id"], []).append((r["rank"], r["vec_id"], r["score"]))
+    want = {}
+    for q in np.flatnonzero(ids % 20 == 0):
+        want.setdefault(int(ids[q]), []).extend((k, *x) for k, x in enumerate(exact_neighbours(ids, x, q), 1))
+    same = total = 0
+    for q, rows_ in want.items():
+        near = lambda some: Counter((k, i, round(s, 9)) for k, i, s in some)
+        assert len(got[q]) == len(rows_)
+        same += (near(got[q]) & near(rows_)).total()
+        total += len(rows_)
+    assert same / total > 0.99
+    group = set(ids[1000:2500].tolist()) | {int(ids[0])}
+    assert all(near(got[q]) == near(want[q]) for q in want if q in group and len(want[q]) == 20)
 
 
 def test_neighbours_odd_rows(spark):
     inf, nan = float("inf"), float("nan")
-    rows_ = [(0, [1.0, 0.0]), (1, [1.0, 0.0]), (2, [1.0, 0.0]), (3, [0.5, 0.5]), (4, None), (5, [0.0, 0.0]), (6, [1.0, None]), (7, [inf, 1.0]), (8, [nan, 1.0]), (9, [1.0]), (None, [1.0, 1.0]), (20, [0.0, 1.0]), (20, [0.0, 1.0])]
-    table = spark.createDataFrame(rows_, "vec_id long, embedding array<double>").withColumn("score", F.lit("x"))
+    rows_ = [(0, [1.0, 0.0]), (1, [1.0, 0.0]), (2, [1.0, 0.0]), (3, [0.5, 0.5]), (4, None), (5, [0.0, 0.0]), (6, [1.0, None]), (7, [inf, 1.0]), (8, [nan, 1.0]), (9, [1.0]), (40, [2.0]), (10, []), (None, [0.25, 0.0]), (20, [0.0, 1.0]), (20, [0.0, 1.0])]
+    table = spark.createDataFrame(rows_, "vec_id long, embedding array<double>").withColumn("score", F.lit("x")).withColumn("cid", F.lit(1))
     got = {}
     for r in ann.nearest_neighbours(table, top=3).orderBy("query_id", "rank").collect():
         got.setdefault(r["query_id"], []).append((r["vec_id"], r["score"]))
-    assert got == {0: [(1, 1.0), (2, 1.0), (3, 0.5)], 20: [(3, 0.5), (0, 0.0), (1, 0.0)]}
+    assert got == {0: [(1, 1.0), (2, 1.0), (3, 0.5)], 20: [(20, 1.0)] * 2 + [(3, 0.5)] * 2 + [(0, 0.0)] * 2, 40: [(9, 2.0)]}
+    every = ann.nearest_neighbours(table, top=30).where("query_id = 0").orderBy("rank").collect()
+    assert [(r["vec_id"], r["score"]) for r in every] == [(1, 1.0), (2, 1.0), (3, 0.5), (None, 0.25), (20, 0.0), (20, 0.0)]
     assert ann.nearest_neighbours(table.limit(0)).count() == 0
     assert ann.nearest_neighbours(table.where("vec_id = 0")).count() == 0
 
