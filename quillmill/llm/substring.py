@@ -188,13 +188,13 @@ _MARKS = (("anchor", pa.int64()), ("region", pa.int64()), ("n", pa.int64()), ("m
 def _match(batches: Iterator[pa.RecordBatch], window: int, budget: int) -> Iterator[pa.RecordBatch]:
     """Rows sorted by anchor, salt and region: an automaton over whole anchors' regions (or one salt of them) at a time.
 
-    A salted shard adds what the other shards of the anchor need: the windows it saw once, for each region, and
+    Regions that are marked already pass through. A salted shard adds what the other shards of the anchor need: the windows it saw once, for each region, and
     those it saw more often, once each with their count.
     """
 
-    def flush(held: list[tuple[dict, list[int]]]) -> pa.RecordBatch:
+    def flush() -> pa.RecordBatch:
         automaton = _automaton([(w["n"], words) for w, words in held])
-        count, rows, told = automaton.count, [], set()
+        count, rows, told = automaton.count, [(w["anchor"], w["region"], w["n"], w["mark"], [], []) for w in marked], set()
         for w, words in held:
             states = automaton.window_states(words, window)
             mark = sum(1 << i for i, state in enumerate(states) if count[state] >= 2)
@@ -208,23 +208,29 @@ def _match(batches: Iterator[pa.RecordBatch], window: int, budget: int) -> Itera
                         told.add(state)
                         often.append({"h": h, "c": count[state]})
             rows.append((w["anchor"], w["region"], w["n"], mark, single, often))
+        held.clear()
+        marked.clear()
         return pa.RecordBatch.from_arrays([pa.array(c, t) for c, (_, t) in zip(zip(*rows, strict=True), _MARKS, strict=True)], [n for n, _ in _MARKS])
 
     held: list[tuple[dict, list[int]]] = []
+    marked: list[dict] = []
     size, shard, region = 0, None, None
     for batch in batches:
         for row in batch.to_pylist():
             here = (row["anchor"], row["salt"])
             if here == shard and row["region"] == region:
                 continue  # of a repeated row
-            if held and here != shard and size >= budget:
-                yield flush(held)
-                held, size = [], 0
+            if here != shard and (size >= budget or len(marked) >= budget):
+                yield flush()
+                size = 0
             shard, region = here, row["region"]
+            if row["words"] is None:
+                marked.append(row)
+                continue
             held.append((row, np.frombuffer(row["words"], np.uint64).tolist()))
             size += len(held[-1][1])
-    if held:
-        yield flush(held)
+    if held or marked:
+        yield flush()
 
 
 def _remove(batches: Iterator[pa.RecordBatch], window: int, with_text: bool) -> Iterator[pa.RecordBatch]:
@@ -283,9 +289,7 @@ def remove_repeats(docs: DataFrame, window: int = WINDOW, gram: int = GRAM, wide
     contents = slim.join(wanted, ["id", "key"]).select("id", "key", "text", "wanted").mapInArrow(
         lambda it: _contents(it, window, AUTOMATON_WORDS), "anchor long, region long, n long, salt long, salts long, mark long, words binary"
     )
-    contents = cut_lineage(contents)
-    dealt = contents.where(F.col("words").isNotNull()).select("anchor", "salt", "region", "n", "salts", "words")
-    matched = dealt.repartition("anchor", "salt").sortWithinPartitions("anchor", "salt", "region").mapInArrow(
+    matched = contents.repartition("anchor", "salt").sortWithinPartitions("anchor", "salt", "region").mapInArrow(
         lambda it: _match(it, window, AUTOMATON_WORDS),
         "anchor long, region long, n long, mark long, single array<struct<i:int,h:long>>, often array<struct<h:long,c:long>>",
     )
@@ -294,7 +298,7 @@ def remove_repeats(docs: DataFrame, window: int = WINDOW, gram: int = GRAM, wide
     often = matched.select("anchor", F.explode("often").alias("x")).select("anchor", "x.h", "x.c").unionByName(single.select("anchor", "h", F.lit(1).cast("long").alias("c")))
     often = often.groupBy("anchor", "h").agg(F.sum("c").alias("c")).where("c >= 2").select("anchor", "h")
     merged = single.join(often, ["anchor", "h"]).select("anchor", "region", "n", F.expr("shiftleft(1L, i)").alias("mark"))
-    marks = contents.where("mark != 0").select("anchor", "region", "n", "mark").unionByName(matched.where("mark != 0").select("anchor", "region", "n", "mark")).unionByName(merged)
+    marks = matched.where("mark != 0").select("anchor", "region", "n", "mark").unionByName(merged)
     marks = marks.groupBy(F.struct("anchor", "region").alias("at")).agg(F.max("n").alias("n"), F.bit_or("mark").alias("mark"))
     marks = cut_lineage(marks)
 
