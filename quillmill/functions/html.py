@@ -61,22 +61,39 @@ class _Text(HTMLParser):
             self.current.append(data)
 
 
+_MARKS = ((b"\xef\xbb\xbf", "utf-8"), (b"\xff\xfe", "utf-16-le"), (b"\xfe\xff", "utf-16-be"))
+
+
+def detect_encoding(data: bytes) -> str:
+    """A byte-order mark, else UTF-8 or the declared charset if the bytes are valid in it, else 16-bit units by their zero
+    bytes, else Windows-1252, which every byte has a place in."""
+    for mark, name in _MARKS:
+        if data.startswith(mark):
+            return name
+    declared = [m[1].decode("ascii") for m in _CHARSET.finditer(data)]
+    for name in ("utf-8", *declared):
+        if b"\0" not in data and _valid(data, name):
+            return name
+    for name, low in (("utf-16-le", 1), ("utf-16-be", 0)):
+        if data and data[low::2].count(0) > 0.4 * len(data) / 2 and _valid(data, name):
+            return name
+    return "cp1252"
+
+
+def _valid(data: bytes, encoding: str) -> bool:
+    try:
+        data.decode(encoding)
+    except (LookupError, UnicodeDecodeError):
+        return False
+    return True
+
+
 def decode_html(data: bytes | str | None) -> str:
-    """UTF-8 if valid, else the declared charset, else UTF-8 with replacement."""
-    if data is None:
-        return ""
-    if isinstance(data, str):
-        return data
+    """Text of a page in whatever encoding it is found to have; bytes without a character are replaced."""
+    if data is None or isinstance(data, str):
+        return data or ""
     data = bytes(data)
-    try:
-        return data.decode("utf-8")
-    except UnicodeDecodeError:
-        if m := _CHARSET.search(data[:4096]):
-            try:
-                return data.decode(m[1].decode("ascii"), "strict")
-            except (LookupError, UnicodeDecodeError):
-                pass
-        return data.decode("utf-8", "replace")
+    return data.decode(detect_encoding(data), "replace").removeprefix("\ufeff")
 
 
 def extract_text(html: bytes | str | None) -> str:

@@ -59,7 +59,7 @@ def mask_pii(text: Column) -> Column:
 def _accents() -> tuple[str, str]:
     """Latin letters that decompose to one base letter and marks, and their bases, by rule."""
     pairs = []
-    for code in range(0xC0, 0x250):
+    for code in (*range(0xC0, 0x250), *range(0x1E00, 0x1F00), 0x212A, 0x212B):
         plain = "".join(c for c in unicodedata.normalize("NFD", chr(code)) if unicodedata.category(c) != "Mn")
         if len(plain) == 1 and plain != chr(code):
             pairs.append((chr(code), plain))
@@ -70,7 +70,7 @@ _FROM, _TO = _accents()
 
 
 def normalize_text(text: Column) -> Column:
-    """Accents off, lower case, punctuation off, white space collapsed (native; exact for Latin)."""
+    """Accents off, lower case, punctuation off, white space collapsed (native; exact for every block of Latin letters)."""
     plain = F.regexp_replace(F.translate(text, _FROM, _TO), r"\p{Mn}+", "")
     return F.trim(F.regexp_replace(F.regexp_replace(F.lower(plain), r"[^\p{L}\p{N}_\s]", ""), r"\s+", " "))
 

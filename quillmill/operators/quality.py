@@ -7,25 +7,33 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from quillmill.functions.text import mask_pii, words
+from quillmill.functions.text import mask_pii
 
+#: ASCII white space, as \\s has it.
+BLANKS = " \t\n\x0b\f\r"
+#: Matches that are counted, each in one pass that can't backtrack: a word, a word with a letter in it, dots that end a line.
+_WORD, _ALPHA_WORD, _ELLIPSIS = r"\S++", r"(?<!\S)[^\s\p{L}]*+\p{L}\S*+", r"\.\.\.[^\S\n]*+(?=\n|\z)"
 
-def quality_metrics(text: Column) -> dict[str, Column]:
-    """n_words, mean_word_len, ellipsis_ratio, alpha_ratio of a text."""
-    w = words(text)
-    n = F.size(w)
-    lines = F.split(F.regexp_replace(text, r"\n$", ""), "\n")
+
+def quality_counts(text: Column) -> dict[str, Column]:
+    """What the metrics are ratios of: words, words with a letter, characters of words, lines, lines that end in dots."""
+    count = lambda t, pattern: F.regexp_count(t, F.lit(pattern)).cast("long")
+    body = F.when(text.endswith("\n"), F.substring(text, F.lit(1), F.length(text) - 1)).otherwise(text)
     return {
-        "n_words": n.cast("long"),
-        "mean_word_len": F.when(n > 0, F.length(F.regexp_replace(text, r"\s+", "")) / n).otherwise(F.lit(0.0)),
-        "ellipsis_ratio": F.size(F.filter(lines, lambda x: x.rlike(r"\.\.\.\s*$"))) / F.size(lines),
-        "alpha_ratio": F.when(n > 0, F.size(F.filter(w, lambda x: x.rlike(r"\p{L}"))) / n).otherwise(F.lit(0.0)),
+        "n_words": count(text, _WORD), "_alpha": count(text, _ALPHA_WORD), "_chars": F.length(F.translate(text, BLANKS, "")).cast("long"),
+        "_lines": count(body, "\n") + 1, "_dotted": count(body, _ELLIPSIS),
     }
 
 
+def quality_metrics() -> dict[str, Column]:
+    """mean_word_len, ellipsis_ratio, alpha_ratio from the counts."""
+    share = lambda part, of: F.when(F.col(of) > 0, F.col(part) / F.col(of)).otherwise(F.lit(0.0))
+    return {"mean_word_len": share("_chars", "n_words"), "ellipsis_ratio": share("_dotted", "_lines"), "alpha_ratio": share("_alpha", "n_words")}
+
+
 def with_quality(docs: DataFrame, text: str = "text") -> DataFrame:
     """Every metric as a column, and ``gopher_pass`` by the published bounds (all inclusive)."""
-    out = docs.withColumns(quality_metrics(F.coalesce(F.col(text), F.lit(""))))
+    out = docs.withColumns(quality_counts(F.coalesce(F.col(text), F.lit("")))).withColumns(quality_metrics()).drop("_alpha", "_chars", "_lines", "_dotted")
     return out.withColumn(
         "gopher_pass",
         F.col("n_words").between(50, 100_000) & F.col("mean_word_len").between(3.0, 10.0) & (F.col("ellipsis_ratio") <= 0.3) & (F.col("alpha_ratio") >= 0.8),
@@ -46,7 +54,7 @@ class CascadePreset:
 
     def too_short(self, text: Column) -> Column:
         if self.strip:
-            return F.length(F.regexp_replace(text, r"^\s+|\s+$", "")) < self.min_chars
+            return F.length(F.btrim(text, F.lit(BLANKS))) < self.min_chars
         return F.length(text) <= self.min_chars
 
     def harmful(self, score: Column) -> Column:

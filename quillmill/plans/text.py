@@ -59,7 +59,7 @@ def length_filter_batched(docs):
 
 @query("sample_length_filter", "documents", sql=r"SELECT doc_id, n_chars FROM documents WHERE length(regexp_replace(text, '^\s+|\s+$', '', 'g')) >= 200")
 def sample_length_filter(docs):
-    return docs.where(F.length(F.regexp_replace("text", r"^\s+|\s+$", "")) >= 200).select("doc_id", "n_chars")
+    return docs.where(F.length(F.btrim("text", F.lit(Q.BLANKS))) >= 200).select("doc_id", "n_chars")
 
 
 _NORMAL = r"trim(regexp_replace(regexp_replace(lower(strip_accents(text)), '[^\p{L}\p{N}_\s]', '', 'g'), '\s+', ' ', 'g'))"
@@ -107,8 +107,8 @@ for _name, _digits in (("n_words", None), ("mean_word_len", 6), ("ellipsis_ratio
 
     @query({"n_words": "gopher_word_count", "mean_word_len": "gopher_mean_word_len", "ellipsis_ratio": "gopher_ellipsis_ratio", "alpha_ratio": "gopher_alpha_ratio"}[_name], "documents", sql=f"SELECT doc_id, {_value} AS {_name} FROM ({_METRICS})")
     def _metric(docs, name=_name, digits=_digits):
-        value = Q.quality_metrics(F.col("text"))[name]
-        return docs.select("doc_id", (value if digits is None else F.round(value, digits)).alias(name))
+        scored = Q.with_quality(docs)
+        return scored.select("doc_id", name if digits is None else F.round(name, digits).alias(name))
 
 
 @query("gopher_pass", "documents", sql=f"SELECT doc_id, {_PASS} AS gopher_pass FROM ({_METRICS})")
@@ -155,7 +155,7 @@ def lang_gate(docs):
 @query("training_text_filter", "documents", "labels", sql=r"""SELECT doc_id, quality FROM documents JOIN labels USING (doc_id)
 WHERE (quality = 1 AND length(regexp_replace(text, '^\s+|\s+$', '', 'g')) > 100) OR (quality = 0 AND length(text) > 100)""")
 def training_text_filter(docs, labels):
-    size = F.when(F.col("quality") == 1, F.length(F.regexp_replace("text", r"^\s+|\s+$", ""))).otherwise(F.length("text"))
+    size = F.when(F.col("quality") == 1, F.length(F.btrim("text", F.lit(Q.BLANKS)))).otherwise(F.length("text"))
     return docs.join(labels, "doc_id").where(size > 100).select("doc_id", "quality")
 
 
