@@ -3,12 +3,16 @@
 from __future__ import annotations
 
 import random
+from collections.abc import Iterator
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from quillmill.functions.text import line_hash, normalize_text, word_ngrams, words
 from quillmill.operators.graph import connected_components
+from quillmill.operators.skew import join_keyed
 from quillmill.session import cut_lineage
 
 #: A prime under 2**31: products with 31-bit hashes fit a long.
@@ -55,26 +59,48 @@ def gram_hash(gram: Column) -> Column:
     return F.conv(F.substring(F.md5(gram), 1, 8), 16, 10).cast("long").bitwiseAND(F.lit(PRIME))
 
 
-def gram_pairs(docs: DataFrame, n: int = 5) -> DataFrame:
-    """``doc_id, n_grams, h``: a row a distinct gram, hashed before anything is shuffled."""
-    return document_grams(docs, n).select("doc_id", F.size("grams").alias("n_grams"), F.explode(F.transform("grams", lambda g: F.xxhash64(g))).alias("h"))
+def gram_sets(docs: DataFrame, n: int = 5) -> DataFrame:
+    """``doc_id, hs``: the distinct word n-grams as sorted 64-bit hashes, of documents that have any.
+
+    Words are hashed once and a gram is the hash of its words' hashes, so no gram is ever spelled out.
+    """
+    each = docs.select("doc_id", F.transform(words(normalize_text(F.col("text"))), lambda w: F.xxhash64(w)).alias("w"))
+    grams = F.transform(F.sequence(F.lit(1), F.size("w") - n + 1), lambda i: F.xxhash64(*[F.element_at("w", i + k) for k in range(n)]))
+    return each.where(F.size("w") >= n).select("doc_id", F.array_sort(F.array_distinct(grams)).alias("hs"))
+
+
+def set_classes(sets: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Documents with the same grams are one class, which its smallest id stands for.
+
+    Returns the sets of the representatives, and ``a, b, jaccard`` that tie every other member to its own: a large
+    group of copies costs its size, not its square.
+    """
+    key = F.struct(F.xxhash64("hs").alias("h1"), F.xxhash64(F.lit(7), F.col("hs")).alias("h2")).alias("set")
+    member = sets.select("doc_id", key)
+    classes = cut_lineage(member.groupBy("set").agg(F.min("doc_id").alias("low"), F.count("*").alias("n")))
+    several = classes.where("n > 1")
+    total = several.agg(F.sum("n")).first()[0] or 0
+    same = join_keyed(member, several, "set", "n", total).where("doc_id != low").select(F.col("low").alias("a"), F.col("doc_id").alias("b"), F.lit(1.0).alias("jaccard"))
+    return sets.join(classes.select(F.col("low").alias("doc_id")), "doc_id", "left_semi"), same
 
 
 def exact_jaccard_pairs(docs: DataFrame, n: int = 5, threshold: float = 0.8) -> DataFrame:
-    """``a, b, jaccard`` of all pairs at or over the threshold, by prefix filtering on rare grams.
+    """``a, b, jaccard``: every pair of different gram sets at or over the threshold, by their representatives, and the members of each.
 
-    Grams are ordered by how few documents hold them. Two documents this similar must share one of their
-    first ``size - ceil(threshold * size) + 1`` grams, so only these meet, and ubiquitous grams never do.
+    Prefix filtering: grams are ordered by how few sets hold them, and two sets this similar must share one of
+    their first ``size - ceil(threshold * size) + 1`` grams, so only these meet, and ubiquitous grams never do. A gram
+    that no other set holds takes its place in that prefix without being shuffled again.
     """
-    grams = cut_lineage(gram_pairs(docs, n))
-    counts = grams.groupBy("h").agg(F.count("*").alias("df"))
-    ranked = grams.join(counts, "h").groupBy("doc_id", "n_grams").agg(F.array_sort(F.collect_list(F.struct("df", "h"))).alias("g"))
-    prefix = F.col("n_grams") - F.ceil(F.col("n_grams") * F.lit(threshold) - F.lit(1e-9)).cast("int") + 1
-    sets = cut_lineage(ranked.select("doc_id", "n_grams", F.transform("g", lambda x: x["h"]).alias("hs"), F.slice("g", 1, prefix).alias("head")))
-    keys = sets.select("doc_id", "n_grams", F.explode("head").alias("k")).where("k.df > 1").select("doc_id", "n_grams", F.col("k.h").alias("h"))
+    sets, same = set_classes(cut_lineage(gram_sets(docs, n)))
+    grams = sets.select("doc_id", F.size("hs").alias("n_grams"), F.explode("hs").alias("h"))
+    shared = grams.groupBy("h").agg(F.count("*").alias("df")).where("df > 1")
+    ranked = grams.join(shared, "h").groupBy("doc_id", "n_grams").agg(F.array_sort(F.collect_list(F.struct("df", "h"))).alias("g"))
+    prefix = F.size("g") - F.ceil(F.col("n_grams") * F.lit(threshold) - F.lit(1e-9)).cast("int") + 1
+    keys = ranked.where(prefix > 0).select("doc_id", "n_grams", F.explode(F.slice("g", F.lit(1), prefix)).alias("k")).select("doc_id", "n_grams", F.col("k.h").alias("h"))
+    keys = cut_lineage(keys)
     a, b = keys.select(F.col("doc_id").alias("a"), F.col("n_grams").alias("na"), "h"), keys.select(F.col("doc_id").alias("b"), F.col("n_grams").alias("nb"), "h")
     pairs = a.join(b, "h").where((F.col("a") < F.col("b")) & (F.least("na", "nb") >= F.greatest("na", "nb") * threshold)).select("a", "b").distinct()
-    return verified_pairs(pairs, sets.select("doc_id", "hs"), threshold)
+    return verified_pairs(pairs, sets, threshold).unionByName(same)
 
 
 def verified_pairs(pairs: DataFrame, sets: DataFrame, threshold: float) -> DataFrame:
@@ -90,19 +116,32 @@ def coefficients(n: int, seed: int = 42) -> list[tuple[int, int]]:
     return [(rng.randrange(1, PRIME), rng.randrange(PRIME)) for _ in range(n)]
 
 
-def signature(hashes: Column, n_hashes: int, seed: int = 42) -> Column:
-    """Minimum of (a*h + b) mod p over the hashes, for every coefficient pair."""
+def minhash_signatures(docs: DataFrame, n_hashes: int = 100, n: int = 5, seed: int = 42) -> DataFrame:
+    """``doc_id, signature``: minima of (a*h + b) mod p over the grams, for every coefficient pair; documents without grams have none.
 
-    def least(a: int, b: int) -> Column:
-        return F.array_min(F.transform(hashes, lambda h: (h * a + b) % PRIME))
+    Grams are spelled and hashed natively; the minima, a hundred products a gram, are left to NumPy on Arrow batches, where
+    they cost a small part of what interpreted lambdas take.
+    """
+    return signatures_of(document_grams(docs, n).select("doc_id", F.transform("grams", gram_hash).alias("ms")), n_hashes, seed)
 
-    return F.array(*[least(a, b) for a, b in coefficients(n_hashes, seed)])
 
+def signatures_of(hashed: DataFrame, n_hashes: int = 100, seed: int = 42) -> DataFrame:
+    """``doc_id, signature`` from ``doc_id, ms`` (31-bit hashes)."""
+    a, b = (np.array(x, np.int64) for x in zip(*coefficients(n_hashes, seed), strict=True))
 
-def minhash_signatures(docs: DataFrame, n_hashes: int = 100, n: int = 5, seed: int = 42) -> DataFrame:
-    """``doc_id, signature``: minima over the grams; documents without grams have none."""
-    hashed = document_grams(docs, n).select("doc_id", F.transform("grams", gram_hash).alias("hs"))
-    return hashed.select("doc_id", signature(F.col("hs"), n_hashes, seed).alias("signature"))
+    def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            rows = []
+            for one in range(batch.num_rows):
+                h = batch.column(1)[one].values.to_numpy(zero_copy_only=False)
+                least = np.full(n_hashes, PRIME, np.int64)
+                for at in range(0, len(h), 4096):
+                    least = np.minimum(least, ((h[at : at + 4096, None] * a + b) % PRIME).min(axis=0))
+                rows.append(least)
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(rows, pa.list_(pa.int64()))], ["doc_id", "signature"])
+
+    key = hashed.schema["doc_id"].dataType.simpleString()
+    return hashed.select("doc_id", "ms").mapInArrow(sign, f"doc_id {key}, signature array<long>")
 
 
 def lsh_buckets(signatures: DataFrame, bands: int) -> DataFrame:
@@ -120,18 +159,11 @@ def lsh_candidates(signatures: DataFrame, bands: int) -> DataFrame:
 
 
 def fuzzy_pairs(docs: DataFrame, n_hashes: int = 100, bands: int = 20, n: int = 5, threshold: float = 0.8) -> DataFrame:
-    """LSH candidates verified by exact Jaccard.
-
-    Texts with the same gram set are one vertex: a group of copies meets the others through its smallest
-    id and is linked to it, so a large group costs its size, not its square.
-    """
-    grams = cut_lineage(document_grams(docs, n).select("doc_id", F.array_sort(F.transform("grams", lambda g: F.xxhash64(g))).alias("hs"), F.transform("grams", gram_hash).alias("ms")))
-    copies = grams.groupBy(F.xxhash64("hs").alias("set"), F.size("hs").alias("size")).agg(F.min("doc_id").alias("low"))
-    member = grams.select("doc_id", F.xxhash64("hs").alias("set"), F.size("hs").alias("size")).join(copies, ["set", "size"])
-    same = member.where("doc_id != low").select(F.col("low").alias("a"), F.col("doc_id").alias("b"), F.lit(1.0).alias("jaccard"))
-    heads = grams.join(copies.select(F.col("low").alias("doc_id")), "doc_id", "left_semi")
-    candidates = lsh_candidates(heads.select("doc_id", signature(F.col("ms"), n_hashes).alias("signature")), bands)
-    return verified_pairs(candidates, heads.select("doc_id", "hs"), threshold).unionByName(same)
+    """LSH candidates verified by exact Jaccard: pairs of representatives of the different gram sets, and the members of each."""
+    heads, same = set_classes(cut_lineage(gram_sets(docs, n)))
+    mixed = F.transform("hs", lambda h: F.shiftrightunsigned(h, 33).cast("long"))
+    candidates = lsh_candidates(signatures_of(heads.select("doc_id", mixed.alias("ms")), n_hashes), bands)
+    return verified_pairs(candidates, heads, threshold).unionByName(same)
 
 
 def clusters(pairs: DataFrame) -> DataFrame:

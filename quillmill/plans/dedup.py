@@ -53,7 +53,15 @@ p AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) / (min(a.n) + min(b.n) - cou
   HAVING count(*) / (min(a.n) + min(b.n) - count(*))::DOUBLE >= 0.8)"""
 
 
-@query("jaccard_pairs", "documents", sql=f"WITH {_EXACT} SELECT a, b, round(jaccard, 6) AS jaccard FROM p")
+# documents with the same grams are one class: pairs of their smallest ids, and every other member with its own
+_CLASSES = f"""
+m AS (SELECT doc_id, grams, min(doc_id) OVER (PARTITION BY md5(array_to_string(list_sort(grams), '|'))) AS low FROM ({_grams(5)})),
+g AS (SELECT doc_id, len(grams) AS n, unnest(grams) AS g FROM m WHERE doc_id = low),
+p AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) / (min(a.n) + min(b.n) - count(*))::DOUBLE AS jaccard FROM g a JOIN g b ON a.g = b.g AND a.doc_id < b.doc_id GROUP BY 1, 2
+  HAVING count(*) / (min(a.n) + min(b.n) - count(*))::DOUBLE >= 0.8 UNION ALL SELECT low, doc_id, 1.0::DOUBLE FROM m WHERE doc_id <> low)"""
+
+
+@query("jaccard_pairs", "documents", sql=f"WITH {_CLASSES} SELECT a, b, round(jaccard, 6) AS jaccard FROM p")
 def jaccard_pairs(docs):
     return D.exact_jaccard_pairs(docs).select("a", "b", F.round("jaccard", 6).alias("jaccard"))
 
@@ -67,19 +75,19 @@ m AS (SELECT doc_id, i, min((h * a::BIGINT + b) % {D.PRIME}) AS v FROM h, c GROU
 s AS (SELECT doc_id, list(v ORDER BY i) AS sig FROM m GROUP BY 1)"""
 
 
-@query("minhash_signatures", "documents", sql=f"WITH {_minhash_sql(20)} SELECT doc_id, array_to_string(sig, ',') AS signature FROM s")
+@query("minhash_signatures", "documents", sql=f"WITH {_minhash_sql(100)} SELECT doc_id, md5(array_to_string(sig, ',')) AS signature_md5 FROM s")
 def minhash_signatures(docs):
-    return D.minhash_signatures(docs, 20).select("doc_id", F.array_join(F.transform("signature", lambda v: v.cast("string")), ",").alias("signature"))
+    return D.minhash_signatures(docs).select("doc_id", F.md5(F.array_join(F.transform("signature", lambda v: v.cast("string")), ",")).alias("signature_md5"))
 
 
-@query("lsh_candidates", "documents", sql=f"""WITH {_minhash_sql(20)},
-b AS (SELECT doc_id, band, array_to_string(sig[band * 4 + 1:band * 4 + 4], ',') AS key FROM s, (SELECT unnest(range(5)) AS band))
+@query("lsh_candidates", "documents", sql=f"""WITH {_minhash_sql(100)},
+b AS (SELECT doc_id, band, array_to_string(sig[band * 5 + 1:band * 5 + 5], ',') AS key FROM s, (SELECT unnest(range(20)) AS band))
 SELECT DISTINCT x.doc_id AS a, y.doc_id AS b FROM b x JOIN b y ON x.band = y.band AND x.key = y.key AND x.doc_id < y.doc_id""")
 def lsh_candidates(docs):
-    return D.lsh_candidates(D.minhash_signatures(docs, 20), 5)
+    return D.lsh_candidates(D.minhash_signatures(docs), 20)
 
 
-@query("lsh_verified_pairs", "documents")
+@query("lsh_verified_pairs", "documents", sql=f"WITH {_CLASSES} SELECT a, b, round(jaccard, 6) AS jaccard FROM p")
 def lsh_verified_pairs(docs):
     return D.fuzzy_pairs(docs).select("a", "b", F.round("jaccard", 6).alias("jaccard"))
 

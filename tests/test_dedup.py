@@ -16,7 +16,7 @@ def test_near_and_exact_copies(spark):
     base = " ".join(f"word{i}" for i in range(200))
     docs = frame(spark, base, base.replace("word7 ", "other "), base, "something else entirely " * 10, "too short", "too short")
     exact = {(r["a"], r["b"]) for r in D.exact_jaccard_pairs(docs).collect()}
-    assert exact == {(0, 1), (0, 2), (1, 2)}
+    assert exact == {(0, 1), (0, 2)}  # copies meet others through the first of them
     clusters = {r["doc_id"]: r["cluster_id"] for r in D.clusters(D.fuzzy_pairs(docs)).collect()}
     assert clusters == {0: 0, 1: 0, 2: 0}
     kept = {r["doc_id"] for r in D.drop_duplicates_of(docs, D.clusters(D.fuzzy_pairs(docs))).collect()}
