@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ast
 import heapq
 import json
 import re
@@ -267,9 +268,45 @@ def dump_vocabulary(v: Vocabulary) -> tuple[str, str]:
     return json.dumps({to_printable(t): i for i, t in v.tokens.items()}, ensure_ascii=False), "\n".join(f"{to_printable(a)} {to_printable(b)}" for a, b in v.merges)
 
 
+def load_latin_vocabulary(vocab_json: str, merges: str, specials: tuple[str, ...] = ()) -> Vocabulary:
+    """From the Latin-1 form: a JSON map of id to token, a character a byte, and a line for each merge with two bytes literals."""
+    tokens = {int(i): t.encode("latin-1") for i, t in json.loads(vocab_json).items()}
+    literal = r"b'(?:[^'\\]|\\.)*'|b\"(?:[^\"\\]|\\.)*\""
+    pairs = [tuple(map(ast.literal_eval, re.findall(literal, line))) for line in merges.splitlines() if line.strip()]
+    return Vocabulary(tokens, pairs, specials)
+
+
+def dump_latin_vocabulary(v: Vocabulary) -> tuple[str, str]:
+    return json.dumps({i: t.decode("latin-1") for i, t in v.tokens.items()}), "\n".join(f"{a!r} {b!r}" for a, b in v.merges)
+
+
+def write_vocabulary(spark: SparkSession, v: Vocabulary, path: str, latin: bool = False) -> None:
+    """``vocab`` and ``merges`` below ``path``, in a folder that Spark's writers reach."""
+    vocab, merges = dump_latin_vocabulary(v) if latin else dump_vocabulary(v)
+    for name, text in (("vocab", vocab), ("merges", merges)):
+        spark.createDataFrame([(text,)], "value string").coalesce(1).write.mode("overwrite").text(f"{path}/{name}")
+
+
+def read_vocabulary(spark: SparkSession, path: str, specials: tuple[str, ...] = (), latin: bool = False) -> Vocabulary:
+    """What ``write_vocabulary`` wrote, or files of that form; a vocabulary is of bounded size and lives on the driver."""
+    whole = lambda name: "\n".join(r["value"] for r in spark.read.option("wholetext", "true").text(f"{path}/{name}").collect())
+    return (load_latin_vocabulary if latin else load_vocabulary)(whole("vocab"), whole("merges"), specials)
+
+
+def _overlap(spark: SparkSession, x: list[str], y: list[str]) -> tuple[int, int, int, int, float]:
+    a, b = (spark.createDataFrame([(t,) for t in rows], "token string").distinct() for rows in (x, y))
+    both, either = a.intersect(b).count(), a.union(b).distinct().count()
+    return a.count(), b.count(), both, either, both / either if either else 1.0
+
+
 def vocabulary_overlap(spark: SparkSession, a: Vocabulary, b: Vocabulary, drop_bytes: bool = False) -> DataFrame:
-    """One row: sizes, intersection, union and Jaccard (1 for two empty sets) of tokens."""
-    rows = lambda v: spark.createDataFrame([(t.hex(),) for t in v.tokens.values() if not (drop_bytes and len(t) == 1)], "token string").distinct()
-    x, y = rows(a), rows(b)
-    both, either = x.intersect(y).count(), x.union(y).distinct().count()
-    return spark.createDataFrame([(x.count(), y.count(), both, either, both / either if either else 1.0)], "n_a long, n_b long, n_both long, n_either long, jaccard double")
+    """Sizes, intersection, union and Jaccard (1 for two empty sets) of tokens and of merges, a row each."""
+    tokens = lambda v: [t.hex() for t in v.tokens.values() if not (drop_bytes and len(t) == 1)]
+    merges = lambda v: [f"{left.hex()} {right.hex()}" for left, right in v.merges]
+    rows = [(what, *_overlap(spark, of(a), of(b))) for what, of in (("tokens", tokens), ("merges", merges))]
+    return spark.createDataFrame(rows, "what string, n_a long, n_b long, n_both long, n_either long, jaccard double")
+
+
+def embed(tokens: DataFrame, table: DataFrame, token: str = "token_id", vector: str = "embedding") -> DataFrame:
+    """Embedding lookup as a join: every row of ``tokens`` with the vector of its token; unknown tokens drop out."""
+    return tokens.join(table.select(token, vector), token)

@@ -2,7 +2,14 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from collections.abc import Iterator
+from itertools import accumulate
+
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
+from pyspark import TaskContext
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from quillmill.session import cut_lineage
@@ -14,16 +21,26 @@ def with_end(ids: Column, end: int = END) -> Column:
     return F.concat(ids, F.array(F.lit(end)))
 
 
-def token_stream(encoded: DataFrame, key: str = "doc_id", ids: str = "ids", bucket: int = 10_000) -> DataFrame:
-    """``key, start, ids``: where each document's tokens start in the stream ordered by key.
+def token_stream(encoded: DataFrame, key: str = "doc_id", ids: str = "ids") -> DataFrame:
+    """``key, start, ids``: where each document's tokens start in the stream ordered by key, of any orderable type.
 
-    A two-level prefix sum over ranges of the key: no task sees more than one range's documents.
+    The tokenised corpus is range-partitioned by key and written once to the shared folder; starts are running sums
+    inside a partition on top of the totals of the partitions before it, so no task sees more than one of these.
     """
-    rows = encoded.withColumn("_b", F.floor(F.col(key) / bucket))
-    past = Window.orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)
-    totals = rows.groupBy("_b").agg(F.sum(F.size(ids)).alias("_t")).select("_b", F.coalesce(F.sum("_t").over(past), F.lit(0)).alias("_o"))
-    within = Window.partitionBy("_b").orderBy(key).rowsBetween(Window.unboundedPreceding, -1)
-    return rows.join(totals, "_b").select(key, (F.col("_o") + F.coalesce(F.sum(F.size(ids)).over(within), F.lit(0))).alias("start"), ids)
+    rows = cut_lineage(encoded.select(key, ids).repartitionByRange(key).sortWithinPartitions(key))
+    totals = rows.groupBy(F.spark_partition_id().alias("part")).agg(F.sum(F.size(ids)).alias("n")).orderBy("part").collect()
+    before = dict(zip([r["part"] for r in totals], accumulate([0, *(r["n"] for r in totals)])))
+
+    def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        at = before.get(TaskContext.get().partitionId(), 0)
+        for batch in batches:
+            sizes = pc.list_value_length(batch.column(1)).to_numpy(zero_copy_only=False).astype(np.int64)
+            ends = at + np.cumsum(sizes)
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(ends - sizes), batch.column(1)], [key, "start", ids])
+            at = int(ends[-1]) if len(ends) else at
+
+    kinds = {f.name: f.dataType.simpleString() for f in rows.schema.fields}
+    return rows.mapInArrow(place, f"`{key}` {kinds[key]}, start long, `{ids}` {kinds[ids]}")
 
 
 def flat_tokens(stream: DataFrame, ids: str = "ids") -> DataFrame:
@@ -34,20 +51,18 @@ def flat_tokens(stream: DataFrame, ids: str = "ids") -> DataFrame:
 def packed_sequences(stream: DataFrame, length: int, ids: str = "ids") -> DataFrame:
     """``sequence_id, input_ids, labels``: the whole stream in windows, labels one to the right; a short tail is dropped.
 
-    Documents are cut where windows end, so a window collects a few slices, not single tokens.
+    Documents are cut where windows end, so a window collects a few slices, not single tokens: its own and the one
+    token that follows, which the last label needs.
     """
-    first, last = F.floor(F.col("start") / length), F.floor((F.col("start") + F.size(ids) - 1) / length)
+    first = F.greatest(F.floor((F.col("start") - 1) / length), F.lit(0))
+    last = F.floor((F.col("start") + F.size(ids) - 1) / length)
     cut = stream.where(F.size(ids) > 0).select("start", ids, F.explode(F.sequence(first, last)).alias("sequence_id"))
     low = F.greatest(F.col("sequence_id") * length - F.col("start"), F.lit(0)).cast("int")
-    # one token more than the window holds, for the last label
-    high = F.least((F.col("sequence_id") + 1) * length - F.col("start"), F.size(ids).cast("long")).cast("int")
+    high = F.least((F.col("sequence_id") + 1) * length + 1 - F.col("start"), F.size(ids).cast("long")).cast("int")
     parts = cut.select("sequence_id", (F.col("start") + low).alias("at"), F.slice(ids, low + 1, high - low).alias("part"))
-    whole = parts.groupBy("sequence_id").agg(F.flatten(F.transform(F.array_sort(F.collect_list(F.struct("at", "part"))), lambda x: x["part"])).alias("input_ids"))
-    whole = cut_lineage(whole)
-    follow = whole.select((F.col("sequence_id") - 1).alias("sequence_id"), F.col("input_ids")[0].alias("next"))
-    return whole.join(follow, "sequence_id").where(F.size("input_ids") == length).select(
-        "sequence_id", "input_ids", F.concat(F.slice("input_ids", 2, length - 1), F.array("next")).alias("labels")
-    )
+    whole = parts.groupBy("sequence_id").agg(F.flatten(F.transform(F.array_sort(F.collect_list(F.struct("at", "part"))), lambda x: x["part"])).alias("x"))
+    whole = whole.where(F.size("x") == length + 1)
+    return whole.select("sequence_id", F.slice("x", 1, length).alias("input_ids"), F.slice("x", 2, length).alias("labels"))
 
 
 def context_windows(ids: Column, start: Column, length: int) -> Column:

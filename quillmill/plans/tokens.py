@@ -2,11 +2,15 @@
 
 from __future__ import annotations
 
+import uuid
+
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from quillmill.functions.text import pretokens
 from quillmill.operators import bpe, tokens
 from quillmill.plans.registry import Catalog
+from quillmill.session import shared_folder
 
 query = Catalog()
 
@@ -45,44 +49,83 @@ def bpe_vocab(docs):
     return docs.sparkSession.createDataFrame([(i, t.hex()) for i, t in v.tokens.items()], "token_id int, token_hex string")
 
 
-def _encoded(docs):
-    v = bpe.train_bpe(docs, 400, ("<|endoftext|>",))
-    return v, docs.select("doc_id", "text", bpe.encode_udf(docs.sparkSession, v)("text").alias("ids"))
+#: A fixed vocabulary for the queries about ids: the bytes, these merges in order, and a mark that ends a document.
+MERGES = tuple((a.encode(), b.encode()) for a, b in (
+    (" ", "t"), ("h", "e"), ("i", "n"), ("r", "e"), (" ", "a"), ("o", "n"), (" t", "he"), ("e", "r"), ("n", "d"), ("a", "t"), ("e", "s"), (" ", "s"),
+    ("e", "n"), ("o", "r"), (" a", "nd"), ("i", "t"), ("l", "e"), ("a", "n"), ("i", "on"), ("t", "ion"), (" ", "c"), ("l", "l"), ("s", "s"), ("in", "g"),
+    ("o", "u"), (" ", "d"), ("u", "n"), (" d", "e"), ("e", "l"), ("el", "le"), ("m", "en"), ("men", "t"), ("a", "a"),
+))
+END_MARK = "<|endoftext|>"
 
 
-@query("encode_roundtrip", "documents", sql="SELECT doc_id, md5(text) AS text_md5 FROM documents")
-def encode_roundtrip(docs):
-    v, encoded = _encoded(docs)
-    return encoded.select("doc_id", F.md5(bpe.decode_udf(docs.sparkSession, v)("ids")).alias("text_md5"))
+def _vocabulary() -> bpe.Vocabulary:
+    tokens = [*(bytes([b]) for b in range(256)), *(a + b for a, b in MERGES)]
+    return bpe.Vocabulary(dict(enumerate(tokens)), list(MERGES), (END_MARK,))
 
 
-@query("decode_join", "documents", sql="SELECT doc_id, md5(text) AS text_md5 FROM documents WHERE text <> ''")
-def decode_join(docs):
-    v, encoded = _encoded(docs)
-    vocabulary = docs.sparkSession.createDataFrame([(i, bytearray(t)) for i, t in v.tokens.items()], "token_id int, token binary")
-    rows = encoded.select("doc_id", F.posexplode("ids").alias("pos", "token_id"))
-    return bpe.decode_rows(rows, F.broadcast(vocabulary)).select("doc_id", F.md5("text").alias("text_md5"))
+END = 256 + len(MERGES)
+
+
+def _ids_sql(table: str, *keys: str) -> str:
+    """Ids of every text: pre-tokens as hex bytes with blanks of their own, in which each merge in turn is a replacement."""
+    merged = r"regexp_replace(hex(encode(pre)), '(..)', ' \1 ', 'g')"
+    for a, b in MERGES:
+        x, y = a.hex().upper(), b.hex().upper()
+        merged = f"replace({merged}, ' {x}  {y} ', ' {x}{y} ')"
+    longer = ", ".join(f"'{(a + b).hex().upper()}'" for a, b in MERGES)
+    key = ", ".join(keys)
+    return f"""SELECT {key}, coalesce(ids, []) AS ids FROM (SELECT {key} FROM {table}) LEFT JOIN (
+ SELECT {key}, flatten(list(ids ORDER BY k)) AS ids FROM (SELECT {key}, unnest(regexp_extract_all(text, '{_PRETOKEN}')) AS pre, generate_subscripts(regexp_extract_all(text, '{_PRETOKEN}'), 1) AS k FROM {table})
+ JOIN (SELECT pre, list_transform(string_split_regex(trim({merged}), ' +'), lambda y: CASE WHEN length(y) = 2 THEN ('0x' || y)::INTEGER ELSE 255 + list_position([{longer}], y) END) AS ids
+  FROM (SELECT DISTINCT unnest(regexp_extract_all(text, '{_PRETOKEN}')) AS pre FROM {table})) USING (pre) GROUP BY {key}) USING ({key})"""
+
+
+def _ids(docs, *keys):
+    return docs.select(*keys, bpe.encode_udf(docs.sparkSession, _vocabulary())("text").alias("ids"))
+
+
+def _with_end(docs):
+    return _ids(docs, "doc_id").select("doc_id", tokens.with_end(F.col("ids"), END).alias("ids"))
 
 
-# words stand in for token ids where a query is about streams rather than vocabularies
-_IDS = r"list_transform(list_filter(string_split_regex(text, '\s+'), lambda x: x <> ''), lambda w: length(w)::INTEGER)"
+def _joined(ids):
+    return F.array_join(F.transform(ids, lambda v: v.cast("string")), " ")
 
 
-def _word_ids(docs):
-    return docs.select("doc_id", tokens.with_end(F.transform(F.filter(F.split("text", r"\s+"), lambda w: w != ""), lambda w: F.length(w))).alias("ids"))
+_IDS = _ids_sql("documents", "doc_id")
+_STREAM = f"SELECT doc_id, list_concat(ids, [{END}]) AS ids FROM ({_IDS})"
 
 
-_STREAM = f"SELECT doc_id, list_concat({_IDS}, [50256]) AS ids FROM documents"
+@query("encode_ids", "documents", sql=f"SELECT doc_id, len(ids)::BIGINT AS n_ids, md5(array_to_string(ids, ' ')) AS ids_md5 FROM ({_IDS})")
+def encode_ids(docs):
+    return _ids(docs, "doc_id").select("doc_id", F.size("ids").cast("long").alias("n_ids"), F.md5(_joined("ids")).alias("ids_md5"))
+
+
+@query("token_frequency", "documents", sql=f"SELECT id AS token_id, count(*)::BIGINT AS n FROM (SELECT unnest(ids) AS id FROM ({_IDS})) GROUP BY 1")
+def token_frequency(docs):
+    return _ids(docs, "doc_id").select(F.explode("ids").alias("token_id")).groupBy("token_id").agg(F.count("*").alias("n"))
+
+
+@query("encode_roundtrip", "documents", sql="SELECT doc_id, md5(text) AS text_md5 FROM documents")
+def encode_roundtrip(docs):
+    return _ids(docs, "doc_id").select("doc_id", F.md5(bpe.decode_udf(docs.sparkSession, _vocabulary())("ids")).alias("text_md5"))
+
+
+@query("decode_join", "documents", sql="SELECT doc_id, md5(text) AS text_md5 FROM documents WHERE text <> ''")
+def decode_join(docs):
+    vocabulary = docs.sparkSession.createDataFrame([(i, bytearray(t)) for i, t in _vocabulary().tokens.items()], "token_id int, token binary")
+    rows = _ids(docs, "doc_id").select("doc_id", F.posexplode("ids").alias("pos", "token_id"))
+    return bpe.decode_rows(rows, F.broadcast(vocabulary)).select("doc_id", F.md5("text").alias("text_md5"))
 
 
 @query("token_stream_stats", "documents", sql=f"SELECT doc_id, (sum(len(ids)) OVER (ORDER BY doc_id) - len(ids))::BIGINT AS start, len(ids)::BIGINT AS n FROM ({_STREAM})")
 def token_stream_stats(docs):
-    return tokens.token_stream(_word_ids(docs)).select("doc_id", F.col("start").cast("long").alias("start"), F.size("ids").cast("long").alias("n"))
+    return tokens.token_stream(_with_end(docs)).select("doc_id", "start", F.size("ids").cast("long").alias("n"))
 
 
 @query("total_tokens", "documents", sql=f"SELECT count(*)::BIGINT AS n_docs, sum(len(ids))::BIGINT AS n_tokens FROM ({_STREAM})")
 def total_tokens(docs):
-    return _word_ids(docs).agg(F.count("*").alias("n_docs"), F.sum(F.size("ids")).cast("long").alias("n_tokens"))
+    return _with_end(docs).agg(F.count("*").alias("n_docs"), F.sum(F.size("ids")).cast("long").alias("n_tokens"))
 
 
 @query("packed_sequences", "documents", sql=f"""
@@ -91,36 +134,62 @@ s AS (SELECT pos // 256 AS sequence_id, list(token ORDER BY pos) AS x FROM t GRO
 w AS (SELECT a.sequence_id, a.x, list_concat(a.x[2:], [b.x[1]]) AS y FROM s a JOIN s b ON b.sequence_id = a.sequence_id + 1)
 SELECT sequence_id::BIGINT AS sequence_id, md5(array_to_string(x, ' ')) AS input_md5, md5(array_to_string(y, ' ')) AS label_md5 FROM w WHERE len(x) = 256""")
 def packed_sequences(docs):
-    digest = lambda c: F.md5(F.array_join(F.transform(c, lambda v: v.cast("string")), " "))
-    packed = tokens.packed_sequences(tokens.token_stream(_word_ids(docs)), 256)
-    return packed.select(F.col("sequence_id").cast("long").alias("sequence_id"), digest("input_ids").alias("input_md5"), digest("labels").alias("label_md5"))
+    packed = tokens.packed_sequences(tokens.token_stream(_with_end(docs)), 256)
+    return packed.select("sequence_id", F.md5(_joined("input_ids")).alias("input_md5"), F.md5(_joined("labels")).alias("label_md5"))
 
 
 @query("context_windows", "documents", sql=f"""
 WITH s AS (SELECT doc_id, ids, (('0x' || substr(md5('42:' || doc_id), 1, 8))::BIGINT % (len(ids) - 32))::INTEGER AS k FROM ({_STREAM}) WHERE len(ids) > 32)
 SELECT doc_id, k AS start, array_to_string(ids[k + 1:k + 32], ' ') AS x, array_to_string(ids[k + 2:k + 33], ' ') AS y FROM s""")
 def context_windows(docs):
-    rows = _word_ids(docs).where(F.size("ids") > 32).withColumn("start", tokens.random_start(F.col("doc_id"), F.size("ids"), 32))
-    text = lambda c: F.array_join(F.transform(c, lambda v: v.cast("string")), " ")
+    rows = _with_end(docs).where(F.size("ids") > 32).withColumn("start", tokens.random_start(F.col("doc_id"), F.size("ids"), 32))
     w = tokens.context_windows(F.col("ids"), F.col("start"), 32)
-    return rows.select("doc_id", "start", text(w["x"]).alias("x"), text(w["y"]).alias("y"))
+    return rows.select("doc_id", "start", _joined(w["x"]).alias("x"), _joined(w["y"]).alias("y"))
+
+
+@query("prompt_and_output", "conversations", sql=f"""
+WITH i AS (SELECT c.conv_id, c.turn, c.role, x.ids FROM conversations c JOIN ({_ids_sql("conversations", "conv_id", "turn")}) x USING (conv_id, turn)),
+r AS (SELECT a.conv_id, a.turn, a.ids AS p, b.ids AS o FROM i a JOIN i b ON a.conv_id = b.conv_id AND b.turn = a.turn + 1 WHERE a.role = 'user' AND b.role = 'assistant'),
+b AS (SELECT *, (max(len(p) + len(o)) OVER (PARTITION BY conv_id))::INTEGER AS n FROM r),
+y AS (SELECT *, list_resize(list_concat(p, o), n, {END}) AS x FROM b)
+SELECT conv_id, turn, n - 1 AS width, md5(array_to_string(x[1:n - 1], ' ')) AS input_md5, md5(array_to_string(x[2:n], ' ')) AS label_md5,
+ md5(array_to_string(list_transform(range(n - 1), lambda i: CASE WHEN i >= len(p) - 1 AND i < len(p) + len(o) - 1 THEN 1 ELSE 0 END), ' ')) AS mask_md5 FROM y""")
+def prompt_and_output(conversations):
+    ids = _ids(conversations, "conv_id", "turn", "role")
+    prompts = ids.where("role = 'user'").select("conv_id", "turn", F.col("ids").alias("p"))
+    outputs = ids.where("role = 'assistant'").select("conv_id", (F.col("turn") - 1).alias("turn"), F.col("ids").alias("o"))
+    width = F.max(F.size("p") + F.size("o")).over(Window.partitionBy("conv_id"))
+    rows = prompts.join(outputs, ["conv_id", "turn"]).withColumn("n", width).where("n > 1")
+    x = tokens.prompt_and_output(F.col("p"), F.col("o"), F.col("n"), END)
+    digest = lambda c: F.md5(_joined(x[c]))
+    return rows.select("conv_id", "turn", (F.col("n") - 1).alias("width"), digest("input_ids").alias("input_md5"), digest("labels").alias("label_md5"), digest("response_mask").alias("mask_md5"))
+
+
+@query("compression_ratio", "documents", sql=f"""SELECT count(*)::BIGINT AS n_docs, sum(octet_length(encode(text)))::BIGINT AS n_bytes, sum(len(ids))::BIGINT AS n_tokens,
+ round(sum(octet_length(encode(text))) / sum(len(ids))::DOUBLE, 6) AS ratio FROM documents JOIN ({_IDS}) USING (doc_id)""")
+def compression_ratio(docs):
+    return tokens.compression(_ids(docs, "text")).withColumn("ratio", F.round("ratio", 6))
 
 
-@query("prompt_and_output", "documents", sql=f"""
-WITH r AS (SELECT doc_id, ids[1:5] AS p, ids[6:12] AS o FROM ({_STREAM}) WHERE len(ids) >= 6),
-b AS (SELECT doc_id, p, o, list_resize(list_concat(p, o), 12, 0) AS x FROM r)
-SELECT doc_id, array_to_string(x[1:11], ' ') AS input_ids, array_to_string(x[2:12], ' ') AS labels,
- array_to_string(list_transform(range(11), lambda i: CASE WHEN i >= len(p) - 1 AND i < len(p) + len(o) - 1 THEN 1 ELSE 0 END), ' ') AS response_mask FROM b""")
-def prompt_and_output(docs):
-    rows = _word_ids(docs).where(F.size("ids") >= 6).select("doc_id", F.slice("ids", 1, 5).alias("p"), F.slice("ids", 6, 7).alias("o"))
-    x = tokens.prompt_and_output(F.col("p"), F.col("o"), F.lit(12), 0)
-    text = lambda c: F.array_join(F.transform(c, lambda v: v.cast("string")), " ").alias
-    return rows.select("doc_id", text(x["input_ids"])("input_ids"), text(x["labels"])("labels"), text(x["response_mask"])("response_mask"))
+@query("vocabulary_files", "documents", sql=f"""SELECT * FROM (VALUES {", ".join(f"({i}, '{t.hex()}')" for i, t in _vocabulary().tokens.items())}) v(token_id, token_hex)""")
+def vocabulary_files(docs):
+    """The fixed vocabulary after a round through files of either form."""
+    spark, v = docs.sparkSession, _vocabulary()
+    for latin in (False, True):
+        path = f"{shared_folder(spark)}/vocabulary-{uuid.uuid4().hex}"
+        bpe.write_vocabulary(spark, v, path, latin)
+        v = bpe.read_vocabulary(spark, path, (END_MARK,), latin)
+    if tuple(v.merges) != MERGES:
+        raise ValueError("merges changed on their way")
+    return spark.createDataFrame([(i, t.hex()) for i, t in v.tokens.items()], "token_id int, token_hex string")
 
 
-@query("compression_ratio", "documents", sql=f"SELECT count(DISTINCT doc_id)::BIGINT AS n_docs, (SELECT sum(octet_length(encode(text))) FROM documents)::BIGINT AS n_bytes, count(*)::BIGINT AS n_tokens, round((SELECT sum(octet_length(encode(text))) FROM documents) / count(*)::DOUBLE, 6) AS ratio FROM ({_PRE})")
-def compression_ratio(docs):
-    return tokens.compression(docs.select("text", pretokens(F.col("text")).alias("ids"))).withColumn("ratio", F.round("ratio", 6))
+@query("embedding_lookup", "labels", "embeddings", sql="""SELECT l.doc_id, round(list_sum(list_transform(e.embedding, lambda v, i: v::DOUBLE * i)), 6) AS weighted
+ FROM labels l JOIN embeddings e ON e.vec_id = l.doc_id % 499""")
+def embedding_lookup(labels, embeddings):
+    rows = bpe.embed(labels.select("doc_id", (F.col("doc_id") % 499).alias("vec_id")), embeddings, "vec_id")
+    weighted = F.aggregate(F.transform("embedding", lambda v, i: v.cast("double") * (i + 1)), F.lit(0.0), lambda a, v: a + v)
+    return rows.select("doc_id", F.round(weighted, 6).alias("weighted"))
 
 
 @query("longest_token", "documents", sql=f"SELECT pretoken, length(pretoken)::BIGINT AS n_chars, octet_length(encode(pretoken))::BIGINT AS n_bytes FROM (SELECT DISTINCT pretoken FROM ({_PRE})) ORDER BY 3 DESC, 1 LIMIT 1")
@@ -141,7 +210,9 @@ def vocab_jaccard(docs):
 
 @query("bpe_compression", "documents")
 def bpe_compression(docs):
-    return tokens.compression(_encoded(docs)[1]).withColumn("ratio", F.round("ratio", 6))
+    """Of a vocabulary learnt from the documents themselves."""
+    v = bpe.train_bpe(docs, 400, (END_MARK,))
+    return tokens.compression(docs.select("text", bpe.encode_udf(docs.sparkSession, v)("text").alias("ids"))).withColumn("ratio", F.round("ratio", 6))
 
 
 @query("vocab_overlap", "documents")
