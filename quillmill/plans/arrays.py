@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from quillmill.functions import arrays as A
 from quillmill.operators import evaluation as E
+from quillmill.operators import tensors
 from quillmill.plans.registry import Catalog
 
 query = Catalog()
@@ -70,10 +72,29 @@ def reduce_axis_mean(embeddings):
     return _doubles(embeddings).select("label", F.posexplode("x").alias("axis", "v")).groupBy("label", "axis").agg(F.round(F.avg("v"), 6).alias("mean"))
 
 
-@query("rearrange_rows", "embeddings", sql=f"SELECT vec_id, round(list_sum(x[1:8]), 6) AS first_row, round(list_sum(list_transform(range(8), lambda i: x[i * 8 + 1])), 6) AS first_column FROM (SELECT vec_id, {_X} AS x FROM embeddings)")
+@query("rearrange_rows", "embeddings", sql=f"SELECT vec_id, {_checks_sql('list_transform(range(64), lambda k: x[k % 8 * 8 + k // 8 + 1])')} FROM (SELECT vec_id, {_X} AS x FROM embeddings)")
 def rearrange_rows(embeddings):
-    rows = _doubles(embeddings).select("vec_id", A.reshape(F.col("x"), 8).alias("m")).select("vec_id", "m", A.transpose(F.col("m")).alias("t"))
-    return rows.select("vec_id", F.round(A.array_sum(F.col("m")[0]), 6).alias("first_row"), F.round(A.array_sum(F.col("t")[0]), 6).alias("first_column"))
+    """Eight rows of eight, transposed."""
+    turned = F.flatten(A.transpose(A.reshape(F.col("x"), 8)))
+    return _doubles(embeddings).select("vec_id", turned.alias("t")).select("vec_id", *_checks(F.col("t")))
+
+
+@query("rearrange_pattern", "embeddings", sql="SELECT i::BIGINT // 8 AS axis0, vec_id AS axis1, i::BIGINT % 8 AS axis2, round(v, 6) AS value FROM (SELECT vec_id, unnest(embedding)::DOUBLE AS v, generate_subscripts(embedding, 1) - 1 AS i FROM embeddings)")
+def rearrange_pattern(embeddings):
+    out = tensors.rearrange(tensors.vectors_as_tensor(embeddings, "vec_id", "embedding"), "n (row column) -> row n column", column=8)
+    return out.select("axis0", "axis1", "axis2", F.round("value", 6).alias("value"))
+
+
+@query("reduce_pattern", "embeddings", sql="SELECT vec_id AS axis0, (i % 8)::BIGINT AS axis1, round(max(v), 6) AS value FROM (SELECT vec_id, unnest(embedding)::DOUBLE AS v, generate_subscripts(embedding, 1) - 1 AS i FROM embeddings) GROUP BY ALL")
+def reduce_pattern(embeddings):
+    out = tensors.rearrange(tensors.vectors_as_tensor(embeddings, "vec_id", "embedding"), "n (row column) -> n column", "max", column=8)
+    return out.select("axis0", "axis1", F.round("value", 6).alias("value"))
+
+
+@query("repeat_pattern", "embeddings", sql="SELECT vec_id AS axis0, (i * 3 + r)::BIGINT AS axis1, round(v, 6) AS value FROM (SELECT vec_id, unnest(embedding)::DOUBLE AS v, generate_subscripts(embedding, 1) - 1 AS i FROM embeddings), (SELECT unnest(range(3)) AS r)")
+def repeat_pattern(embeddings):
+    out = tensors.rearrange(tensors.vectors_as_tensor(embeddings, "vec_id", "embedding"), "n d -> n (d times)", times=3)
+    return out.select("axis0", "axis1", F.round("value", 6).alias("value"))
 
 
 @query("repeat_elements", "embeddings", sql=f"SELECT vec_id, 2 * len(embedding) AS n, round(2 * list_sum({_X}), 6) AS total FROM embeddings")
@@ -81,19 +102,38 @@ def repeat_elements(embeddings):
     return _doubles(embeddings).select("vec_id", A.repeat(F.col("x"), 2).alias("r")).select("vec_id", F.size("r").cast("long").alias("n"), F.round(A.array_sum(F.col("r")), 6).alias("total"))
 
 
-@query("reduce_rows", "embeddings", sql=f"SELECT vec_id, round(list_max(x[1:8]), 6) AS top, round(list_min(x[9:16]), 6) AS low, round(list_sum(x[17:24]) / 8, 6) AS mean FROM (SELECT vec_id, {_X} AS x FROM embeddings)")
+_ROWS8 = "list_transform(range(8), lambda r: {}(x[r * 8 + 1:r * 8 + 8]))"
+
+
+@query("reduce_rows", "embeddings", sql="SELECT vec_id, " + ", ".join(
+    f"round(list_sum(list_transform({_ROWS8.format(f)}, lambda v, i: v * i)){d}, 6) AS {n}" for n, f, d in (("top", "list_max", ""), ("low", "list_min", ""), ("mean", "list_sum", " / 8"))) + f" FROM (SELECT vec_id, {_X} AS x FROM embeddings)")
 def reduce_rows(embeddings):
-    m = A.reshape(F.col("x"), 8)
-    x = _doubles(embeddings).select("vec_id", m.alias("m"))
-    return x.select("vec_id", *[F.round(A.reduce_rows(F.col("m"), how)[k], 6).alias(name) for name, how, k in (("top", "max", 0), ("low", "min", 1), ("mean", "mean", 2))])
+    """Each of eight rows reduced; the weighted sum of the eight results."""
+    x = _doubles(embeddings).select("vec_id", A.reshape(F.col("x"), 8).alias("m"))
+    weighted = lambda how: A.array_sum(F.transform(A.reduce_rows(F.col("m"), how), lambda v, i: v * (i + 1)))
+    return x.select("vec_id", *[F.round(weighted(how), 6).alias(name) for name, how in (("top", "max"), ("low", "min"), ("mean", "mean"))])
 
 
-@query("einsum_gram", "embeddings", sql=f"""WITH e AS (SELECT label, unnest({_X}) AS v, generate_subscripts(embedding, 1) AS i FROM embeddings WHERE vec_id < 200),
-c AS (SELECT label, i, sum(v) AS v FROM e GROUP BY ALL) SELECT a.label AS a, b.label AS b, round(sum(a.v * b.v), 5) AS product FROM c a JOIN c b ON a.i = b.i AND a.label <= b.label GROUP BY ALL""")
+_CELLS = f"SELECT vec_id, unnest({_X}) AS v, generate_subscripts(embedding, 1) - 1 AS i FROM embeddings"
+
+
+@query("einsum_gram", "embeddings", sql=f"SELECT a.i::INTEGER AS d, b.i::INTEGER AS e, round(sum(a.v * b.v), 5) AS value FROM ({_CELLS}) a JOIN ({_CELLS}) b USING (vec_id) GROUP BY ALL")
 def einsum_gram(embeddings):
-    cells = _doubles(embeddings).where("vec_id < 200").select("label", F.posexplode("x").alias("i", "v")).groupBy("label", "i").agg(F.sum("v").alias("v"))
-    a, b = cells.select(F.col("label").alias("a"), "i", F.col("v").alias("x")), cells.select(F.col("label").alias("b"), "i", F.col("v").alias("y"))
-    return a.join(b, "i").where("a <= b").groupBy("a", "b").agg(F.round(F.sum(F.col("x") * F.col("y")), 5).alias("product"))
+    """Second moments of all vectors; linear in their number."""
+    x = tensors.vectors_as_tensor(embeddings, "vec_id", "embedding")
+    return tensors.einsum("n d, n e -> d e", x, x).select("d", "e", F.round("value", 5).alias("value"))
+
+
+@query("linear_layer", "embeddings", sql=f"""SELECT vec_id, {_checks_sql('list_transform(range(4), lambda r: list_sum(list_transform(x, lambda v, i: v * ((i - 1) * (r + 1) % 7 - 3))))')}
+FROM (SELECT vec_id, {_X} AS x FROM embeddings)""")
+def linear_layer(embeddings):
+    rows = F.transform(F.sequence(F.lit(0), F.lit(3)), lambda r: F.transform(F.sequence(F.lit(0), F.lit(63)), lambda i: (i * (r + 1) % 7 - 3).cast("double")))
+    return _doubles(embeddings).select("vec_id", A.linear(F.col("x"), rows).alias("y")).select("vec_id", *_checks(F.col("y")))
+
+
+@query("silu", "embeddings", sql=f"SELECT vec_id, {_checks_sql('list_transform(x, lambda v: v / (1 + exp(-v)))')} FROM (SELECT vec_id, {_X} AS x FROM embeddings)")
+def silu(embeddings):
+    return _doubles(embeddings).select("vec_id", A.silu(F.col("x")).alias("y")).select("vec_id", *_checks(F.col("y")))
 
 
 @query("pack_unpack", "embeddings", sql=f"SELECT vec_id, round(list_sum(x[1:10]), 6) AS first_part, round(list_sum(x[11:64]), 6) AS second_part FROM (SELECT vec_id, {_X} AS x FROM embeddings)")
@@ -102,21 +142,19 @@ def pack_unpack(embeddings):
     return packed.select("vec_id", F.round(A.array_sum(A.unpack(F.col("p"), 0)), 6).alias("first_part"), F.round(A.array_sum(A.unpack(F.col("p"), 1)), 6).alias("second_part"))
 
 
-_HEADS = f"SELECT label, vec_id, {_X} AS x FROM embeddings WHERE vec_id < 100"
+_SPAN = 32
 
 
-@query("attention_small", "embeddings", sql=f"""
-WITH h AS ({_HEADS}), s AS (SELECT q.label, q.vec_id AS q, k.vec_id AS k, list_sum(list_transform(list_zip(q.x, k.x), lambda z: z[1] * z[2])) / 8.0 AS score, k.x[1] AS v FROM h q JOIN h k ON q.label = k.label AND k.vec_id <= q.vec_id)
+@query("attention_window", "embeddings", sql=f"""
+WITH h AS (SELECT label, vec_id, {_X} AS x, row_number() OVER (PARTITION BY label ORDER BY vec_id) AS r FROM embeddings),
+s AS (SELECT q.vec_id AS q, list_sum(list_transform(list_zip(q.x, k.x), lambda z: z[1] * z[2])) / 8.0 AS score, k.x[1] AS v FROM h q JOIN h k ON q.label = k.label AND k.r BETWEEN q.r - {_SPAN - 1} AND q.r)
 SELECT q AS vec_id, round(sum(exp(score) * v) / sum(exp(score)), 6) AS out0 FROM s GROUP BY q""")
-def attention_small(embeddings):
-    h = _doubles(embeddings).where("vec_id < 100")
-    k = h.select("label", F.col("vec_id").alias("k"), F.col("x").alias("kx"))
-    scores = h.join(k, "label").where("k <= vec_id").select("vec_id", (A.dot(F.col("x"), F.col("kx")) / 8.0).alias("score"), F.col("kx")[0].alias("v"))
-    top = F.max("score")
-    parts = scores.groupBy("vec_id").agg(top.alias("m"), F.collect_list(F.struct("score", "v")).alias("s"))
-    weight = lambda e: F.exp(e["score"] - F.col("m"))
-    total = A.array_sum(F.transform("s", weight))
-    return parts.select("vec_id", F.round(A.array_sum(F.transform("s", lambda e: weight(e) * e["v"])) / total, 6).alias("out0"))
+def attention_window(embeddings):
+    """Masked attention: each row looks at itself and the rows before it in its class, as far as a window reaches."""
+    before = Window.partitionBy("label").orderBy("vec_id").rowsBetween(1 - _SPAN, 0)
+    seen = _doubles(embeddings).select("vec_id", "x", F.collect_list("x").over(before).alias("keys"))
+    weights = A.softmax(F.transform("keys", lambda k: A.dot(F.col("x"), k) / 8.0))
+    return seen.select("vec_id", F.round(A.dot(weights, F.transform("keys", lambda k: k[0])), 6).alias("out0"))
 
 
 _LOGITS = "SELECT vec_id, i - 1 AS token, v AS logit FROM (SELECT vec_id, unnest(list_transform(embedding, lambda u: u::DOUBLE * 10)) AS v, generate_subscripts(embedding, 1) AS i FROM embeddings)"
@@ -143,8 +181,10 @@ def masked_mean_arrays(embeddings):
     return _doubles(embeddings).select("vec_id", F.round(A.masked_mean(F.col("x"), mask), 6).alias("mean"))
 
 
-@query("rope", "embeddings", sql=f"""SELECT vec_id, round(x[1] * cos(vec_id % 7) - x[2] * sin(vec_id % 7), 6) AS r0, round(x[1] * sin(vec_id % 7) + x[2] * cos(vec_id % 7), 6) AS r1,
- round(x[3] * cos((vec_id % 7) / pow(10000, 2 / 64.0)) - x[4] * sin((vec_id % 7) / pow(10000, 2 / 64.0)), 6) AS r2 FROM (SELECT vec_id, {_X} AS x FROM embeddings)""")
+_ANGLE = "(vec_id % 7) / pow(10000, (i // 2 * 2) / 64.0)"
+
+
+@query("rope", "embeddings", sql=f"""SELECT vec_id, {_checks_sql('list_transform(range(64), lambda i: CASE WHEN i % 2 = 0 THEN x[i + 1] * cos(' + _ANGLE + ') - x[i + 2] * sin(' + _ANGLE + ') ELSE x[i] * sin(' + _ANGLE + ') + x[i + 1] * cos(' + _ANGLE + ') END)')}
+FROM (SELECT vec_id, {_X} AS x FROM embeddings)""")
 def rope(embeddings):
-    r = _doubles(embeddings).select("vec_id", A.rope(F.col("x"), F.col("vec_id") % 7).alias("r"))
-    return r.select("vec_id", *[F.round(F.col("r")[i], 6).alias(f"r{i}") for i in range(3)])
+    return _doubles(embeddings).select("vec_id", A.rope(F.col("x"), F.col("vec_id") % 7).alias("r")).select("vec_id", *_checks(F.col("r")))
