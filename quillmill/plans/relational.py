@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from quillmill.operators.relational import asof_join, range_join
 from quillmill.plans.registry import Catalog
+from quillmill.plans.text import _METRICS, _PASS
 from quillmill.session import load
 
 query = Catalog()
@@ -108,7 +109,8 @@ def pivot_types(events):
     return wide.select("user_id", *[F.coalesce(c, F.lit(0)).alias(c) for c in ("view", "click", "purchase")])
 
 
-@query("stream_funnel")
+@query("stream_funnel", sql=rf"""SELECT coalesce(CASE WHEN length(regexp_replace(text, '^\s+|\s+$', '', 'g')) < 50 THEN 'short' WHEN lang <> 'en' THEN 'language' WHEN NOT {_PASS} THEN 'gopher' END, 'kept') AS reason,
+ count(*)::BIGINT AS count FROM ({_METRICS}) GROUP BY 1""")
 def stream_funnel(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The documents table as arriving files, through the cascade, with what is there now."""
     from quillmill.streaming.streams import arriving, cascade_stream, run_available, running_funnel

@@ -8,16 +8,20 @@ import zlib
 from collections.abc import Iterator
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 RECORD = "path string, record_type string, url string, payload binary"
 
 
+DAMAGED = "damaged"
+
+
 def archive_records(data: bytes) -> Iterator[tuple[str, str | None, bytes]]:
     """(type, target, payload) of every record of a WARC file, gzipped by record, as a whole, or plain.
 
-    A record says its length, so payloads may hold anything; a damaged tail ends the file.
+    A record says its length, so payloads may hold anything. Where a file is damaged its reading ends with a record
+    of type ``damaged`` that says why, so that the loss can be counted.
     """
     stream: io.BufferedIOBase = gzip.GzipFile(fileobj=io.BytesIO(data)) if data[:2] == b"\x1f\x8b" else io.BytesIO(data)
     reader = io.BufferedReader(stream)
@@ -32,17 +36,20 @@ def archive_records(data: bytes) -> Iterator[tuple[str, str | None, bytes]]:
             while (line := reader.readline()).strip():
                 name, _, value = line.partition(b":")
                 headers[name.strip().lower()] = value.strip()
-            body = reader.read(int(headers.get(b"content-length", b"0") or 0))
+            length = int(headers.get(b"content-length", b"0") or 0)
+            body = reader.read(length)
+            if len(body) < length:
+                raise EOFError("a record is cut off")
             target = headers.get(b"warc-target-uri")
             yield headers.get(b"warc-type", b"").decode("latin-1"), target and target.decode("utf-8", "replace"), body
-    except (EOFError, OSError, zlib.error, ValueError):
-        return
+    except (EOFError, OSError, zlib.error, ValueError) as error:
+        yield DAMAGED, None, str(error).encode()
 
 
-def http_body(payload: bytes) -> bytes:
-    """What follows the header of a stored HTTP response."""
-    head, mark, body = payload.partition(b"\r\n\r\n")
-    return body if mark and head.startswith(b"HTTP/") else payload
+def http_body(payload: Column) -> Column:
+    """What follows the header of a stored HTTP response, natively."""
+    at = F.instr(F.decode(payload, "ISO-8859-1"), "\r\n\r\n")  # a character a byte
+    return F.when((at > 0) & payload.startswith(F.lit(b"HTTP/")), F.substring(payload, at + 4, F.length(payload))).otherwise(payload)
 
 
 def read_archive(spark: SparkSession, path: str, record_type: str | None = None) -> DataFrame:
@@ -57,7 +64,7 @@ def read_archive(spark: SparkSession, path: str, record_type: str | None = None)
                 held: list[tuple] = []
                 size = 0
                 for kind, url, body in archive_records(content):
-                    if record_type in (None, kind):
+                    if record_type in (None, kind) or kind == DAMAGED:
                         held.append((name, kind, url, body))
                         size += len(body)
                     if size > 8 << 20:
@@ -71,14 +78,19 @@ def read_archive(spark: SparkSession, path: str, record_type: str | None = None)
 
 def read_wet(spark: SparkSession, path: str) -> DataFrame:
     """``path, url, text, valid``: conversion records; texts that aren't valid UTF-8 are null and not valid."""
-    raw = read_archive(spark, path, "conversion")
+    raw = read_archive(spark, path, "conversion").where(F.col("record_type") != DAMAGED)
     return raw.select("path", "url", F.try_validate_utf8(F.col("payload").cast("string")).alias("text"), F.is_valid_utf8(F.col("payload").cast("string")).alias("valid"))
 
 
 def read_warc_html(spark: SparkSession, path: str) -> DataFrame:
     """``path, url, html`` (bytes) of response records."""
-    strip = F.udf(lambda b: None if b is None else http_body(bytes(b)), "binary")
-    return read_archive(spark, path, "response").select("path", "url", strip("payload").alias("html"))
+    found = read_archive(spark, path, "response").where(F.col("record_type") != DAMAGED)
+    return found.select("path", "url", http_body(F.col("payload")).alias("html"))
+
+
+def damaged_archives(spark: SparkSession, path: str) -> DataFrame:
+    """``path, reason`` of archives whose reading ended early."""
+    return read_archive(spark, path, DAMAGED).select("path", F.col("payload").cast("string").alias("reason"))
 
 
 def page_with_text(html: DataFrame, text: DataFrame) -> DataFrame:
@@ -94,9 +106,9 @@ def parse_wet_text(content: DataFrame, column: str = "value") -> DataFrame:
     return pieces.select("n", F.trim(F.regexp_replace(body, r"\s*\n\s*", " ")).alias("text"))
 
 
-def read_jsonl(spark: SparkSession, path: str, schema: str = "text string") -> DataFrame:
-    """Files below ``path``, malformed and blank lines dropped, with the file's name."""
-    return spark.read.schema(schema).option("recursiveFileLookup", "true").option("pathGlobFilter", "*.jsonl").option("mode", "DROPMALFORMED").json(path).withColumn("file", F.col("_metadata.file_path"))
+def read_jsonl(spark: SparkSession, path: str, schema: str = "text string", names: str = "*.jsonl") -> DataFrame:
+    """Files below ``path`` that are called ``names``, malformed and blank lines dropped, with the file's name."""
+    return spark.read.schema(schema).option("recursiveFileLookup", "true").option("pathGlobFilter", names).option("mode", "DROPMALFORMED").json(path).withColumn("file", F.col("_metadata.file_path"))
 
 
 def read_json_or_jsonl(spark: SparkSession, path: str, schema: str | None = None) -> DataFrame:

@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import io
 from collections.abc import Iterator
+from contextlib import contextmanager
 
 import numpy as np
 import pyarrow as pa
@@ -10,6 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from quillmill.functions.text import fasttext_line
+from quillmill.operators.dedup import drop_duplicates_of
 
 
 def write_jsonl(df: DataFrame, path: str, *partition_by: str) -> None:
@@ -55,12 +58,26 @@ def read_tokens(spark, path: str) -> Iterator[np.ndarray]:
         yield np.frombuffer(row["data"], "<u2")
 
 
+@contextmanager
+def _one_file(spark, path: str):
+    """A function that appends bytes to one file, on whatever file system Spark writes to."""
+    target = spark._jvm.org.apache.hadoop.fs.Path(path)
+    out = target.getFileSystem(spark._jsc.hadoopConfiguration()).create(target, True)
+    try:
+        yield lambda data: [out.write(bytearray(data[at : at + (1 << 20)])) for at in range(0, len(data), 1 << 20)]
+    finally:
+        out.close()
+
+
 def export_token_bin(spark, path: str, out: str) -> int:
-    """One headerless file on the driver, for trainers that map it into memory; returns the number of tokens."""
+    """One headerless file, for trainers that map it into memory; returns the number of tokens.
+
+    One file has one writer: the driver passes the stream on chunk by chunk and holds no more than that.
+    """
     n = 0
-    with open(out, "wb") as f:
+    with _one_file(spark, out) as write:
         for piece in read_tokens(spark, path):
-            f.write(piece.tobytes())
+            write(piece.tobytes())
             n += len(piece)
     return n
 
@@ -68,13 +85,20 @@ def export_token_bin(spark, path: str, out: str) -> int:
 def export_npy(spark, path: str, out: str) -> int:
     """The same with a NumPy header, so that readers find type and length."""
     n = spark.read.parquet(path).agg(F.coalesce(F.sum(F.octet_length("data")) / 2, F.lit(0)).cast("long")).first()[0]
-    with open(out, "wb") as f:
-        np.lib.format.write_array_header_1_0(f, {"descr": "<u2", "fortran_order": False, "shape": (n,)})
+    header = io.BytesIO()
+    np.lib.format.write_array_header_1_0(header, {"descr": "<u2", "fortran_order": False, "shape": (n,)})
+    with _one_file(spark, out) as write:
+        write(header.getvalue())
         for piece in read_tokens(spark, path):
-            f.write(piece.tobytes())
+            write(piece.tobytes())
     return n
 
 
+def write_representatives(docs: DataFrame, clustered: DataFrame, path: str) -> None:
+    """JSON lines of the documents that stay when each cluster keeps its representative."""
+    write_jsonl(drop_duplicates_of(docs, clustered), path)
+
+
 def write_evaluation(scored: DataFrame, metrics: DataFrame, path: str) -> None:
     """Records and a one-row summary beside them."""
     write_jsonl(scored, f"{path}/records")

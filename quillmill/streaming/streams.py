@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -9,6 +10,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from quillmill.operators.quality import SCALAR, CascadePreset, discard_reason
+from quillmill.session import shared_folder
 
 
 def arriving(spark: SparkSession, path: str, schema, fmt: str = "parquet", files_per_trigger: int = 16) -> DataFrame:
@@ -44,10 +46,20 @@ def sessions(events: DataFrame, time: str = "ts", user: str = "user_id", gap: st
 
 
 def run_available(stream: DataFrame, name: str, mode: str = "append") -> DataFrame:
-    """Everything that is there now, in a memory table; for tests and small results."""
-    query = stream.writeStream.format("memory").queryName(name).outputMode(mode).trigger(availableNow=True).start()
+    """Everything that is there now, as a table in the shared folder.
+
+    A batch writes a folder of its own, so one that runs again replaces itself; in complete mode the last one counts.
+    """
+    spark = stream.sparkSession
+    out = f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
+
+    def write(batch: DataFrame, number: int) -> None:
+        batch.write.mode("overwrite").parquet(f"{out}/rows/batch={number}" if mode == "append" else f"{out}/rows")
+
+    query = stream.writeStream.foreachBatch(write).outputMode(mode).option("checkpointLocation", f"{out}/progress").trigger(availableNow=True).start()
     query.awaitTermination()
-    return stream.sparkSession.table(name)
+    spark.createDataFrame([], stream.schema).write.mode("append").parquet(f"{out}/rows" + ("/batch=-1" if mode == "append" else ""))
+    return spark.read.schema(stream.schema).parquet(f"{out}/rows").select(*stream.columns)
 
 
 def for_each_batch(stream: DataFrame, sink: Callable[[DataFrame, int], None], checkpoint: str) -> StreamingQuery:

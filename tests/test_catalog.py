@@ -12,7 +12,7 @@ from quillmill.streaming import streams
 
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
 #: Slow on small machines, and covered by tests of their own.
-SLOW = {"lsh_candidates", "dedup_kept", "dedup_stats", "quality_predict", "toxic_predict", "classifier_confusion", "vocab_overlap", "bpe_compression", "bpe_vocab", "decode_join"}
+SLOW = {"quality_predict", "toxic_predict", "classifier_confusion", "vocab_overlap", "bpe_compression", "bpe_vocab"}
 
 
 def plain(v):
@@ -43,7 +43,7 @@ def test_against_sql(spark, duck, sf, name):
 
 
 def test_native_queries_have_no_python(spark, sf):
-    for name in ("gopher_pass", "pii_mask_all_counts", "line_dedup_unique", "minhash_signatures"):
+    for name in ("gopher_pass", "pii_mask_all_counts", "line_dedup_unique", "filter_cascade_kept"):
         plan = catalog.QUERIES[name](spark, sf)._jdf.queryExecution().executedPlan().toString()
         assert "Python" not in plan and "InArrow" not in plan and "CartesianProduct" not in plan
 

@@ -47,7 +47,7 @@ def test_delimited(spark, tmp_path):
 
 def test_token_files_keep_order(spark, tmp_path):
     docs = spark.createDataFrame([(i, [i * 10 + j for j in range(i % 5)]) for i in range(50)], "doc_id long, ids array<int>")
-    stream = tokens.token_stream(docs, bucket=7)
+    stream = tokens.token_stream(docs.repartition(7))
     S.write_tokens(stream, str(tmp_path / "t"), 16)
     want = [i * 10 + j for i in range(50) for j in range(i % 5)]
     assert np.concatenate(list(S.read_tokens(spark, str(tmp_path / "t")))).tolist() == want
