@@ -23,9 +23,11 @@ from __future__ import annotations
 
 import hashlib
 from collections.abc import Iterator
+from itertools import compress
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -141,19 +143,26 @@ _CONTENTS = (("anchor", pa.int64()), ("region", pa.int64()), ("n", pa.int64()),
 
 
 def _contents(batches: Iterator[pa.RecordBatch], window: int, budget: int) -> Iterator[pa.RecordBatch]:
-    """Words of the wanted regions; those alone around their anchor are matched here, in shards of the rows at hand."""
-    alone: list[tuple[dict, list[int]]] = []
+    """Words of the wanted regions; those alone around their anchor are matched here, in shards of the rows at hand.
+
+    Neighbouring ones of these that occur equally often are one sequence of the reference: every window of it is in
+    exactly one of them.
+    """
+    alone: list[tuple[int, list[int], list[dict]]] = []
 
     def batch_of(rows: list[tuple]) -> pa.RecordBatch:
         columns = zip(*rows, strict=True) if rows else [()] * len(_CONTENTS)
         return pa.RecordBatch.from_arrays([pa.array(c, t) for c, (_, t) in zip(columns, _CONTENTS, strict=True)], [n for n, _ in _CONTENTS])
 
     def matched() -> pa.RecordBatch:
-        automaton = _automaton([(w["n"], words) for w, words in alone])
-        rows = []
-        for w, words in alone:
-            mark = sum(1 << i for i, state in enumerate(automaton.window_states(words, window)) if automaton.count[state] >= 2)
-            rows.append((w["anchor"], w["region"], w["n"], 0, 1, mark, None))
+        automaton = _automaton([(n, words) for n, words, _ in alone])
+        count, rows = automaton.count, []
+        for n, words, parts in alone:
+            twice = [count[state] >= 2 for state in automaton.window_states(words, window)]
+            for w in parts:
+                at = w["first"] - parts[0]["first"]
+                mark = sum(1 << i for i, yes in enumerate(twice[at : at + w["last"] - w["first"] + 1]) if yes)
+                rows.append((w["anchor"], w["region"], n, 0, 1, mark, None))
         alone.clear()
         return batch_of(rows)
 
@@ -165,13 +174,16 @@ def _contents(batches: Iterator[pa.RecordBatch], window: int, budget: int) -> It
                 continue  # a repeated row; those that aren't neighbours are told apart where they meet
             before = row
             words = word_hashes(text or b"")
-            for w in wanted:
-                own = words[w["first"] : w["last"] + window]
-                if w["alone"]:
-                    alone.append((w, own.tolist()))
-                    size += len(own)
-                else:
-                    rows.append((w["anchor"], w["region"], w["n"], w["salt"], w["salts"], None, own.tobytes()))
+            run: list[dict] = []
+            for w in [*sorted(wanted, key=lambda w: w["first"]), None]:
+                if run and not (w and w["alone"] and w["n"] == run[0]["n"] and w["first"] == run[-1]["last"] + 1):
+                    alone.append((run[0]["n"], words[run[0]["first"] : run[-1]["last"] + window].tolist(), run))
+                    size += len(alone[-1][1])
+                    run = []
+                if w and w["alone"]:
+                    run.append(w)
+                elif w:
+                    rows.append((w["anchor"], w["region"], w["n"], w["salt"], w["salts"], None, words[w["first"] : w["last"] + window].tobytes()))
             if size >= budget:
                 yield matched()
                 size = 0
@@ -233,21 +245,32 @@ def _match(batches: Iterator[pa.RecordBatch], window: int, budget: int) -> Itera
         yield flush()
 
 
+def _covered(n: int, first: np.ndarray, last: np.ndarray, mark: np.ndarray, window: int) -> np.ndarray:
+    """Which of n words a marked window covers."""
+    edge = np.zeros(n + 1, np.int64)
+    full = mark == (np.int64(1) << (last - first + 1)) - 1  # the windows of a stretch run on without a gap
+    low, high = first[full], last[full] + window
+    if not full.all():
+        partial = [a + i for a, b, m in zip(first[~full].tolist(), last[~full].tolist(), mark[~full].tolist(), strict=True) for i in range(b - a + 1) if m >> i & 1]
+        low, high = np.concatenate([low, partial]).astype(np.int64), np.concatenate([high, np.array(partial, np.int64) + window]).astype(np.int64)
+    edge += np.bincount(low, minlength=n + 1) - np.bincount(high, minlength=n + 1)
+    return np.cumsum(edge[:n]) > 0
+
+
 def _remove(batches: Iterator[pa.RecordBatch], window: int, with_text: bool) -> Iterator[pa.RecordBatch]:
     names = ["doc_id", "n_words", "n_removed", "kept_sha256"] + ["kept"] * with_text
     for part in slices(batches, 512):
         rows: list[list] = [[], [], [], []]
-        for text, found in zip(as_bytes(part.column("text")), part.column("found").to_pylist(), strict=True):
+        lists = part.column("found")
+        sizes = np.nan_to_num(pc.list_value_length(lists).to_numpy(zero_copy_only=False)).astype(np.int64)
+        first, last, mark = (x.to_numpy(zero_copy_only=False).astype(np.int64) for x in lists.flatten().flatten())
+        ends = np.cumsum(sizes)
+        for text, a, b in zip(as_bytes(part.column("text")), (ends - sizes).tolist(), ends.tolist(), strict=True):
             words = (text or b"").split()
             n = len(words)
-            if found:
-                edge = np.zeros(n + 1, np.int64)
-                for first, last, mark in {(x["first"], x["last"], x["mark"]) for x in found}:
-                    starts = [first + i for i in range(last - first + 1) if mark >> i & 1]
-                    np.add.at(edge, starts, 1)
-                    np.add.at(edge, [s + window for s in starts], -1)
-                keep = np.cumsum(edge[:n]) == 0
-                words = [words[i] for i in np.flatnonzero(keep)]
+            if a < b:
+                gone = _covered(n, first[a:b], last[a:b], mark[a:b], window)
+                words = list(compress(words, (~gone).tolist()))
             kept = b" ".join(words)
             for column, value in zip(rows, (n, n - len(words), hashlib.sha256(kept).hexdigest(), kept.decode() if with_text else None), strict=True):
                 column.append(value)
