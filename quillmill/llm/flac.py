@@ -489,7 +489,7 @@ def decode(streams: list[bytes]) -> list[bytes]:
 
 
 def seek(data: bytes, sample: int, count: int) -> bytes:
-    """PCM of ``count`` samples from ``sample`` on, decoding only the frames that hold them."""
+    """PCM of ``count`` samples from ``sample`` on (fewer at the end, none beyond it), decoding only the frames that hold them."""
     stream = open_stream(data)
     hit = [p for p, (first, _, n) in enumerate(stream.points) if first < sample + count and first + n > sample]
     pcm = b"".join(decode_points([stream], [(0, p) for p in hit]))
@@ -518,7 +518,11 @@ def _batches(batches: Iterator[pa.RecordBatch], column: str) -> Iterator[pa.Reco
 
 
 def store_texts(docs: DataFrame) -> DataFrame:
-    """``doc_id, n_bytes, media``: each text as a FLAC stream."""
+    """``doc_id, n_bytes, media``: each text as a FLAC stream.
+
+    Null and empty texts are 64 zero bytes, very long ones have as many frames as they need, repeated rows repeat; an
+    empty table gives no rows, and other columns are not looked at.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in _batches(batches, "text"):
@@ -530,7 +534,10 @@ def store_texts(docs: DataFrame) -> DataFrame:
 
 
 def pcm_blocks(media: DataFrame) -> DataFrame:
-    """``doc_id, block, sample_offset, n_samples, pcm`` of every frame of a ``doc_id, media`` table."""
+    """``doc_id, block, sample_offset, n_samples, pcm`` of every frame of a ``doc_id, media`` table.
+
+    A null stream has no blocks, a damaged one raises DamagedStream; repeated rows repeat theirs, an empty table gives no rows.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         kinds = (pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.binary())
@@ -553,7 +560,8 @@ def media_digests(docs: DataFrame) -> DataFrame:
     """A row for each row: the stored stream's and its read-back payload's sizes, digests and features.
 
     Every text is written as FLAC, read back with all checksums verified, and judged on what was
-    read. Null texts are empty; equal texts give equal values; an empty table gives no rows.
+    read. Null texts are empty; equal texts, and so repeated rows, give equal values; very long texts are many frames,
+    coded some megabytes at a time; an empty table gives no rows, and other columns are not looked at.
     """
     names = ["doc_id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature"]
     kinds = (pa.int64(), pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.string())

@@ -247,8 +247,10 @@ def plan(histogram: dict[int, int], units: int, depth: int = DEPTH) -> list[tupl
 def pack_documents(docs: DataFrame, path: str | None = None, window: int = WINDOW, grain: int = GRAIN, depth: int = DEPTH, bucket_rows: int = BUCKET_ROWS) -> DataFrame:
     """A row a piece: ``doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset, sequence_length``.
 
-    Offsets in a sequence are gapless from 0. Repeated rows are packed one by one, a null text is
-    one piece of the end id, rows with a null doc_id are packed too; an empty table gives no rows.
+    Offsets in a sequence are gapless from 0. Repeated rows are packed one by one, a null or empty text is
+    one piece of the end id, a very long one as many whole windows as it fills and a rest; rows with a null doc_id are
+    packed too. Pieces that tie in all columns are the same, so either may come first. An empty table gives no rows, and
+    other columns are not looked at.
     """
     units = window // grain
     pieces = token_pieces(docs, path, window).withColumn("_bin", F.ceil(F.col("length") / grain).cast("int"))
