@@ -56,7 +56,7 @@ def test_stages_equal_brute_force(spark, documents, tmp_path):
 
 def test_stages_on_odd_rows(spark, documents, odd, tmp_path):
     """Nulls, empty, repeated and very long texts among clean ones, with a column named like a helper."""
-    mixed = documents.limit(40).unionByName(documents.limit(3)).unionByName(odd.where("doc_id <> 6 or doc_id is null").select(documents.columns))
+    mixed = documents.limit(40).unionByName(documents.limit(3)).unionByName(odd.where("doc_id <> 6 or doc_id is null").withColumn("doc_id", F.col("doc_id") + 1000).select(documents.columns))
     mixed = mixed.withColumn("row_key", F.concat(F.lit("k"), F.col("doc_id").cast("string")))
     counts = through_the_stages(spark, mixed, tmp_path, documents)
     assert all(counts)
