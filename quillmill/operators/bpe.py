@@ -9,7 +9,9 @@ import re
 from collections import Counter, defaultdict
 from dataclasses import dataclass, field
 
+import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -138,10 +140,11 @@ def train_bpe(docs: DataFrame, vocab_size: int, specials: tuple[str, ...] = ())
     """Learn ``vocab_size - 256 - len(specials)`` merges; specials get the last ids.
 
     The corpus is reduced to distinct pre-tokens with counts in Spark; the loop, sequential by
-    nature, works on that table on the driver, so its memory follows the number of distinct words.
+    nature, works on that table on the driver, so its memory follows the number of distinct words. Ties between pairs
+    go by their bytes, so the order in which words come in doesn't matter.
     """
-    counts = {r["pretoken"]: r["n"] for r in pretoken_counts(docs, specials).orderBy("pretoken").toLocalIterator()}
-    loop = MergeLoop(counts)
+    counts = pretoken_counts(docs, specials).toArrow()
+    loop = MergeLoop(dict(zip(counts.column("pretoken").to_pylist(), counts.column("n").to_pylist(), strict=True)))
     merges = []
     for _ in range(max(0, vocab_size - 256 - len(specials))):
         if (pair := loop.step()) is None:
@@ -151,9 +154,9 @@ def train_bpe(docs: DataFrame, vocab_size: int, specials: tuple[str, ...] = ())
 
 
 class Codec:
-    """Encoder and decoder of a vocabulary, with a cache of pre-tokens."""
+    """Encoder and decoder of a vocabulary, with a cache of pre-tokens and their ids as bytes."""
 
-    def __init__(self, vocabulary: Vocabulary):
+    def __init__(self, vocabulary: Vocabulary, cached: int = 400_000):
         import regex
 
         self.v = vocabulary
@@ -161,40 +164,46 @@ class Codec:
         self.pattern = regex.compile(PRETOKEN)
         ordered = sorted(vocabulary.specials, key=len, reverse=True)
         self.special = re.compile("(" + "|".join(map(re.escape, ordered)) + ")") if ordered else None
-        self.cache: dict[str, list[int]] = {}
-
-    def _word(self, word: str) -> list[int]:
-        got = self.cache.get(word)
-        if got is None:
-            parts = [bytes([b]) for b in word.encode()]
-            while len(parts) > 1:
-                rank, best = min((self.rank.get(p, 1 << 60), p) for p in zip(parts, parts[1:]))
-                if rank == 1 << 60:
-                    break
-                merged, i = [], 0
-                while i < len(parts):
-                    if i + 1 < len(parts) and (parts[i], parts[i + 1]) == best:
-                        merged.append(parts[i] + parts[i + 1])
-                        i += 2
-                    else:
-                        merged.append(parts[i])
-                        i += 1
-                parts = merged
-            got = [self.v.ids[p] for p in parts]
-            if len(self.cache) < 200_000:
-                self.cache[word] = got
+        self.cache: dict[str, bytes] = {}
+        self.cached = cached  # bounds memory, not results
+
+    def _word(self, word: str) -> bytes:
+        """Merges in order of rank until none applies."""
+        parts = [bytes([b]) for b in word.encode()]
+        while len(parts) > 1:
+            ranks = [self.rank.get(p, 1 << 60) for p in zip(parts, parts[1:])]
+            low = min(ranks)
+            if low == 1 << 60:
+                break
+            left, right = self.v.merges[low]
+            merged, i = [], 0
+            while i < len(parts):
+                if i < len(ranks) and ranks[i] == low:
+                    merged.append(left + right)
+                    i += 2
+                else:
+                    merged.append(parts[i])
+                    i += 1
+            parts = merged
+        got = np.array([self.v.ids[p] for p in parts], "<i4").tobytes()
+        if len(self.cache) >= self.cached:
+            self.cache.clear()
+        self.cache[word] = got
         return got
 
+    def _plain(self, text: str) -> bytes:
+        cache = self.cache
+        return b"".join([cache.get(w) or self._word(w) for w in self.pattern.findall(text)])
+
+    def encode_bytes(self, text: str) -> bytes:
+        """Ids as little-endian 32-bit integers; special tokens, the longest first, stay whole."""
+        if not self.special:
+            return self._plain(text)
+        pieces = self.special.split(text)
+        return b"".join([self.v.ids[p.encode()].to_bytes(4, "little") if i % 2 else self._plain(p) for i, p in enumerate(pieces)])
+
     def encode(self, text: str) -> list[int]:
-        """Special tokens, the longest first, stay whole."""
-        out: list[int] = []
-        for piece in self.special.split(text) if self.special else [text]:
-            if piece in self.v.specials:
-                out.append(self.v.ids[piece.encode()])
-            else:
-                for m in self.pattern.finditer(piece):
-                    out += self._word(m[0])
-        return out
+        return np.frombuffer(self.encode_bytes(text), "<i4").tolist()
 
     def encode_iterable(self, texts):
         """Ids one by one; nothing merges across items."""
@@ -207,15 +216,18 @@ class Codec:
 
 
 def encode_udf(spark: SparkSession, vocabulary: Vocabulary):
-    """A vectorised column function text -> ids."""
+    """A vectorised column function text -> ids, on Arrow arrays."""
     shared = spark.sparkContext.broadcast(vocabulary)
     held: list[Codec] = []
 
-    @F.pandas_udf(T.ArrayType(T.IntegerType()))
-    def encode(text: pd.Series) -> pd.Series:
+    @F.arrow_udf(T.ArrayType(T.IntegerType()))
+    def encode(text: pa.Array) -> pa.Array:
         if not held:
             held.append(Codec(shared.value))
-        return text.map(lambda t: None if t is None else held[0].encode(t))
+        ids = [None if t is None else held[0].encode_bytes(t) for t in text.to_pylist()]
+        ends = np.cumsum([0, *(len(x or b"") // 4 for x in ids)])
+        mask = pa.array([x is None for x in ids], pa.bool_())
+        return pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.frombuffer(b"".join(x or b"" for x in ids), "<i4")), mask=mask)
 
     return encode
 

@@ -40,7 +40,18 @@ def identify_language(docs: DataFrame, profiles: DataFrame, floor: float = -12.0
     odds = F.col("s") - F.max("s").over(w)
     soft = hits.withColumn("p", F.exp(odds) / F.sum(F.exp(odds)).over(w))
     best = soft.groupBy("doc_id").agg(F.max(F.struct("s", "lang", "p")).alias("x")).select("doc_id", F.col("x.lang").alias("label"), F.col("x.p").alias("score"))
-    return docs.select("doc_id").join(best, "doc_id", "left").select("doc_id", F.coalesce("label", F.lit("unknown")).alias("label"), F.coalesce("score", F.lit(0.0)).alias("score"))
+    return docs.select("doc_id").join(best, "doc_id", "left").select("doc_id", fold_language(F.coalesce("label", F.lit("unknown"))).alias("label"), F.coalesce("score", F.lit(0.0)).alias("score"))
+
+
+def fold_language(label: Column) -> Column:
+    """Regional and script variants of Chinese and English under one name."""
+    return F.when(label.startswith("zh"), "zh").when(label.startswith("en"), "en").otherwise(label)
+
+
+def filter_by_label(scored: DataFrame, label: str, threshold: float, inverse: bool = False) -> DataFrame:
+    """The rows a classifier gave ``label`` with at least ``threshold``; inverse: all others, unscored ones among them."""
+    given = F.coalesce((F.col("label") == label) & (F.col("score") >= threshold), F.lit(False))
+    return scored.where(~given if inverse else given)
 
 
 def text_pipeline(dims: int = 1 << 14):
@@ -69,6 +80,15 @@ def train_and_predict(docs: DataFrame, labels: DataFrame, label: str) -> DataFra
     return scored.select("doc_id", "held_out", F.col("label").cast("int").alias("label"), F.col("prediction").cast("int").alias("pred"), vector_to_array("probability")[1].alias("score"))
 
 
+def score_documents(docs: DataFrame, labels: DataFrame, label: str) -> DataFrame:
+    """``doc_id, pred, score`` of every document by a model of all the labelled ones."""
+    from pyspark.ml.functions import vector_to_array
+
+    lines = docs.select("doc_id", one_line(F.coalesce("text", F.lit(""))).alias("line"))
+    model = text_pipeline().fit(lines.join(labels.select("doc_id", F.col(label).cast("double").alias("label")), "doc_id"))
+    return model.transform(lines).select("doc_id", F.col("prediction").cast("int").alias("pred"), vector_to_array("probability")[1].alias("score"))
+
+
 def confusion(predictions: DataFrame) -> DataFrame:
     """``label, pred, n`` of held-out rows."""
     return predictions.where("held_out").groupBy("label", "pred").agg(F.count("*").alias("n"))

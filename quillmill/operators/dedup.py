@@ -177,7 +177,13 @@ def drop_duplicates_of(docs: DataFrame, clustered: DataFrame) -> DataFrame:
     return docs.join(clustered.where("doc_id != cluster_id").select("doc_id"), "doc_id", "left_anti")
 
 
+#: Grams of a benchmark up to which they are broadcast (16 bytes each); more are joined by shuffle.
+MOST_BROADCAST_GRAMS = 2_000_000
+
+
 def contaminated(docs: DataFrame, benchmark: DataFrame, n: int = 13) -> DataFrame:
     """``doc_id, item_id, shared``: n-grams a document shares with a benchmark item."""
-    grams = lambda df, key: df.select(key, F.explode(word_ngrams(words(normalize_text(F.col("text"))), n)).alias("g")).select(key, F.xxhash64("g").alias("h"))
-    return grams(docs, "doc_id").join(grams(benchmark, "item_id"), "h").groupBy("doc_id", "item_id").agg(F.count("*").alias("shared"))
+    items = cut_lineage(gram_sets(benchmark.select(F.col("item_id").alias("doc_id"), "text"), n).select(F.col("doc_id").alias("item_id"), F.explode("hs").alias("h")))
+    if items.count() <= MOST_BROADCAST_GRAMS:
+        items = F.broadcast(items)
+    return gram_sets(docs, n).select("doc_id", F.explode("hs").alias("h")).join(items, "h").groupBy("doc_id", "item_id").agg(F.count("*").alias("shared"))

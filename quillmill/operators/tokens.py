@@ -7,7 +7,6 @@ from itertools import accumulate
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -24,23 +23,24 @@ def with_end(ids: Column, end: int = END) -> Column:
 def token_stream(encoded: DataFrame, key: str = "doc_id", ids: str = "ids") -> DataFrame:
     """``key, start, ids``: where each document's tokens start in the stream ordered by key, of any orderable type.
 
-    The tokenised corpus is range-partitioned by key and written once to the shared folder; starts are running sums
-    inside a partition on top of the totals of the partitions before it, so no task sees more than one of these.
+    The tokenised corpus is written once to the shared folder. Only keys and lengths are range-partitioned and
+    sorted; starts are running sums inside a partition on top of the totals of those before it, so no task sees
+    more than one of these.
     """
-    rows = cut_lineage(encoded.select(key, ids).repartitionByRange(key).sortWithinPartitions(key))
-    totals = rows.groupBy(F.spark_partition_id().alias("part")).agg(F.sum(F.size(ids)).alias("n")).orderBy("part").collect()
+    rows = cut_lineage(encoded.select(key, ids, F.monotonically_increasing_id().alias("_row")))
+    slim = cut_lineage(rows.select(key, "_row", F.size(ids).cast("long").alias("n")).repartitionByRange(key, "_row").sortWithinPartitions(key, "_row").select("_row", "n"))
+    totals = slim.groupBy(F.spark_partition_id().alias("part")).agg(F.sum("n").alias("n")).orderBy("part").collect()
     before = dict(zip([r["part"] for r in totals], accumulate([0, *(r["n"] for r in totals)])))
 
     def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         at = before.get(TaskContext.get().partitionId(), 0)
         for batch in batches:
-            sizes = pc.list_value_length(batch.column(1)).to_numpy(zero_copy_only=False).astype(np.int64)
-            ends = at + np.cumsum(sizes)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(ends - sizes), batch.column(1)], [key, "start", ids])
-            at = int(ends[-1]) if len(ends) else at
+            ends = at + np.cumsum(batch.column("n").to_numpy())
+            if len(ends):
+                yield pa.RecordBatch.from_arrays([batch.column("_row"), pa.array(ends - batch.column("n").to_numpy())], ["_row", "start"])
+                at = int(ends[-1])
 
-    kinds = {f.name: f.dataType.simpleString() for f in rows.schema.fields}
-    return rows.mapInArrow(place, f"`{key}` {kinds[key]}, start long, `{ids}` {kinds[ids]}")
+    return rows.join(slim.mapInArrow(place, "_row long, start long"), "_row").select(key, "start", ids)
 
 
 def flat_tokens(stream: DataFrame, ids: str = "ids") -> DataFrame:

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from quillmill.functions.rewards import toxic_score
 from quillmill.operators import classify as C
+from quillmill.operators import quality as Q
 from quillmill.operators import sampling as S
 from quillmill.plans.registry import Catalog
 
@@ -66,6 +67,42 @@ def classifier_confusion(docs, labels):
     return C.confusion(C.train_and_predict(docs, labels, "quality"))
 
 
+_LABELLED = """SELECT d.doc_id, CASE WHEN quality = 1 THEN 'wiki' WHEN quality = 0 THEN 'cc' END AS label, (50 + d.doc_id % 50) / 100.0::DOUBLE AS score FROM documents d LEFT JOIN labels l ON d.doc_id = l.doc_id"""
+
+
+def _labelled(docs, labels):
+    name = F.when(F.col("quality") == 1, "wiki").when(F.col("quality") == 0, "cc")
+    return docs.select("doc_id").join(labels, "doc_id", "left").select("doc_id", name.alias("label"), ((50 + F.col("doc_id") % 50) / 100.0).alias("score"))
+
+
+@query("label_filter", "documents", "labels", sql=f"SELECT doc_id, label, round(score, 6) AS score FROM ({_LABELLED}) WHERE label = 'wiki' AND score >= 0.7")
+def label_filter(docs, labels):
+    return C.filter_by_label(_labelled(docs, labels), "wiki", 0.7).select("doc_id", "label", F.round("score", 6).alias("score"))
+
+
+@query("label_filter_inverse", "documents", "labels", sql=f"SELECT doc_id, label, round(score, 6) AS score FROM ({_LABELLED}) WHERE NOT coalesce(label = 'wiki' AND score >= 0.7, false)")
+def label_filter_inverse(docs, labels):
+    return C.filter_by_label(_labelled(docs, labels), "wiki", 0.7, inverse=True).select("doc_id", "label", F.round("score", 6).alias("score"))
+
+
+@query("language_folding", "documents", sql="""SELECT label, CASE WHEN label LIKE 'zh%' THEN 'zh' WHEN label LIKE 'en%' THEN 'en' ELSE label END AS folded, count(*)::BIGINT AS n
+FROM (SELECT lang || CASE doc_id % 3 WHEN 0 THEN '' WHEN 1 THEN '_Latn' ELSE '-GB' END AS label FROM documents UNION ALL SELECT 'zho_Hans' FROM documents) GROUP BY ALL""")
+def language_folding(docs):
+    variant = F.concat("lang", F.when(F.col("doc_id") % 3 == 0, "").when(F.col("doc_id") % 3 == 1, "_Latn").otherwise("-GB"))
+    labels = docs.select(variant.alias("label")).unionByName(docs.select(F.lit("zho_Hans").alias("label")))
+    return labels.groupBy("label", C.fold_language(F.col("label")).alias("folded")).agg(F.count("*").alias("n"))
+
+
+@query("filter_cascade_trained", "documents", "labels")
+def filter_cascade_trained(docs, labels):
+    """The cascade on scores of models trained here: language profiles, toxicity and quality. No table labels NSFW, so its gate is open."""
+    language = C.identify_language(docs, C.language_profiles(docs)).select("doc_id", F.col("label").alias("lang"), F.col("score").alias("lang_score"))
+    toxic = C.score_documents(docs, labels, "toxic").select("doc_id", F.col("score").alias("toxic_score"))
+    quality = C.score_documents(docs, labels, "quality").select("doc_id", F.when(F.col("pred") == 1, "high").otherwise("low").alias("quality"), F.greatest("score", 1 - F.col("score")).alias("quality_score"))
+    scored = docs.drop("lang").join(language, "doc_id").join(toxic, "doc_id").join(quality, "doc_id").withColumn("nsfw_score", F.lit(0.0))
+    return Q.discard_reason(scored).select("doc_id", "discard_reason")
+
+
 @query("toxic_score_map", "labels", sql="SELECT doc_id, round(CASE WHEN toxic = 1 THEN 0.9 ELSE 1 - 0.9 END::DOUBLE, 6) AS score FROM labels")
 def toxic_score_map(labels):
     label = F.when(F.col("toxic") == 1, "toxic").otherwise("non-toxic")
