@@ -88,7 +88,8 @@ OTHER_WORDS = frozenset("version page pages isbn issn order no chapter section f
 
 # whole runs, without any limit; possessive where no shorter run could match, so every pattern is linear
 _OBFUSCATED = re.compile(r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]++(?:\x20?[\[(]at[\])]\x20?|\x20at\x20)[A-Za-z0-9-]++(?:(?:\.|\x20?[\[(]dot[\])]\x20?|\x20dot\x20)[A-Za-z0-9-]++)+", re.I)
-_NUMBER = re.compile(r"(?<![\w.@+-])[(]?[0-9]++(?:[\x20().-]{1,3}[0-9]++)*+(?![\w@])")
+_NUMBER = re.compile(r"(?<![\w.@+-])[(]?[0-9]++(?:[\x20().-]{1,3}[0-9]++)*+")
+_GLUED = re.compile(r"[\w@]")
 _SECRET = re.compile(r"\b(?:token|secret|password|passwd|api_?key)\b[\"']?\x20{0,3}[=:]\x20{0,3}[\"']?([A-Za-z0-9_+/.-]{12,})", re.I)
 _KEYWORD = re.compile(r"[A-Za-z_]+[\"']?\x20*[=:]\x20*[\"']?$")
 _AT_WORD = re.compile(r"[\[( ]at[\]) ]", re.I)
@@ -103,9 +104,12 @@ def candidates(text: str, base: list[Span]) -> list[Span]:
         found += [("email", m.start(), m.end()) for m in _OBFUSCATED.finditer(text)]
     if _DIGIT.search(text):
         for m in _NUMBER.finditer(text):
-            digits = len(_DIGIT.findall(m.group()))
+            run = m.group()
+            if _GLUED.match(text, m.end()):  # the last number belongs to a word
+                run = run.rstrip("0123456789").rstrip(" ().-")
+            digits = len(_DIGIT.findall(run))
             if 7 <= digits <= 19:
-                found.append(("card" if digits >= 16 else "phone", m.start(), m.end()))
+                found.append(("card" if digits >= 16 else "phone", m.start(), m.start() + len(run)))
     found += [("secret", *m.span(1)) for m in _SECRET.finditer(text)]
     if not found:
         return []
