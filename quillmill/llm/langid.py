@@ -18,7 +18,6 @@ languages and chosen by hash. Fitting and prediction read whole texts.
 from __future__ import annotations
 
 import re
-import sys
 from collections.abc import Iterator
 from dataclasses import dataclass, replace
 
@@ -43,13 +42,20 @@ QUANTILE, SLACK, LEAST = 0.01, 0.7, 20
 #: Least radius: no text without any likeness is accepted.
 FLOOR = 0.02
 UNDETERMINED = "und"
-#: All but letters: \W, digits, the underscore and number signs such as one half or a raised two.
-_NOT_LETTERS = re.compile(r"[\W\d_%s]+" % "".join(c for c in map(chr, range(sys.maxunicode + 1)) if c.isnumeric() and not c.isalpha() and not c.isdecimal()))
+_RUNS = re.compile(r"[^\W\d_]+")
 _CHUNK = 1 << 20
 
 
 def _letters(text: str) -> str:
-    return _NOT_LETTERS.sub(" ", text.lower()).strip()
+    """Lower-case runs of letters, apart by one blank; number signs such as one half or a raised two are no letters."""
+    out: list[str] = []
+    for word in text.lower().split():
+        if word.isalpha():
+            out.append(word)
+        else:
+            runs = _RUNS.findall(word)
+            out += runs if "".join(runs).isalpha() else "".join([c if c.isalpha() else " " for c in word]).split()
+    return " ".join(out)
 
 
 def _grams(norm: str) -> tuple[np.ndarray, np.ndarray] | None:
@@ -141,17 +147,32 @@ def _band(n: int) -> int:
     return int(np.searchsorted(BANDS, n, side="right")) - 1
 
 
-def _cluster(x: np.ndarray, k: int, rounds: int = 12) -> np.ndarray:
-    """Spherical k-means with farthest-first seeding; deterministic."""
-    centres = [x.mean(axis=0)]
-    while len(centres) < min(k, len(x)):
-        centres.append(x[(x @ np.stack(centres).T).max(axis=1).argmin()])
-    c = np.stack(centres)
+def _cluster(rows: list[tuple[np.ndarray, np.ndarray]], dims: int, k: int, rounds: int = 12) -> np.ndarray:
+    """Spherical k-means over sparse unit rows of ``(columns, weights)``, with farthest-first seeding; deterministic."""
+    rows = [r for r in rows if len(r[0])]
+    if not rows:
+        return np.zeros((1, dims), np.float32)
+    at, weight = (np.concatenate(x) for x in zip(*rows, strict=True))
+    sizes = np.array([len(a) for a, _ in rows])
+    starts = np.cumsum(sizes) - sizes
+    like = lambda centre: np.add.reduceat(centre[at] * weight, starts)
+
+    def mean(chosen: np.ndarray) -> np.ndarray:
+        of = np.repeat(chosen, sizes)
+        return (np.bincount(at[of], weights=weight[of], minlength=dims) / max(1, chosen.sum())).astype(np.float32)
+
+    unit = lambda centre: centre / max(float(np.linalg.norm(centre)), 1e-12)
+    centres = [mean(np.ones(len(rows), bool))]
+    while len(centres) < min(k, len(rows)):
+        farthest = np.max([like(c) for c in centres], axis=0).argmin()
+        seed = np.zeros(dims, np.float32)
+        seed[rows[farthest][0]] = rows[farthest][1]
+        centres.append(seed)
     for _ in range(rounds):
-        c = c / np.maximum(np.linalg.norm(c, axis=1, keepdims=True), 1e-12)
-        own = (x @ c.T).argmax(axis=1)
-        c = np.stack([x[own == j].mean(axis=0) if (own == j).any() else c[j] for j in range(len(c))])
-    return c / np.maximum(np.linalg.norm(c, axis=1, keepdims=True), 1e-12)
+        centres = [unit(c) for c in centres]
+        own = np.argmax([like(c) for c in centres], axis=0)
+        centres = [mean(own == j) if (own == j).any() else c for j, c in enumerate(centres)]
+    return np.stack([unit(c) for c in centres])
 
 
 def _learn(sample: list[tuple[str, np.ndarray, np.ndarray]], clusters: int) -> LanguageModel:
@@ -167,11 +188,7 @@ def _learn(sample: list[tuple[str, np.ndarray, np.ndarray]], clusters: int) -> L
     model = LanguageModel((), place, idf, np.zeros((len(common), 0), np.float32), {})
     names, centres = [], []
     for lang in sorted({name for name, _, _ in sample}):
-        mine = [model.vector(cells, n) for name, cells, n in sample if name == lang]
-        x = np.zeros((len(mine), len(common)), np.float32)  # one language's sample at a time
-        for row, (at, weight) in zip(x, mine, strict=True):
-            row[at] = weight
-        c = _cluster(x, clusters)
+        c = _cluster([model.vector(cells, n) for name, cells, n in sample if name == lang], len(common), clusters)
         names += [lang] * len(c)
         centres.append(c)
     return LanguageModel(tuple(names), place, idf, np.ascontiguousarray(np.concatenate(centres).astype(np.float32).T), {})
@@ -191,10 +208,13 @@ def _radii(likeness: dict[str, list[tuple[int, float]]]) -> dict:
 
 
 def fit(docs: DataFrame, clusters: int = CLUSTERS, max_sample: int = MAX_SAMPLE) -> LanguageModel:
-    """Learn from text and non-null lang of documents that aren't held out."""
+    """Learn from text and non-null lang of documents that aren't held out.
+
+    ``max_sample`` bounds the texts and so the languages, too: of more than that the most frequent ones are learnt.
+    """
     known = docs.select(F.col("doc_id").cast("string").alias("doc_id"), F.col("text").cast("string").alias("text"), F.col("lang").cast("string").alias("lang"))
     known = known.where(~held_out(F.col("doc_id")) & F.col("lang").isNotNull())
-    counts = {r["lang"]: r["count"] for r in known.groupBy("lang").count().collect()}
+    counts = {r["lang"]: r["count"] for r in known.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(max_sample).collect()}
     nothing = LanguageModel((), np.full(SPACE, -1, np.int32), np.ones(1, np.float32), np.zeros((0, 0), np.float32), {})
     if not counts:
         return nothing
