@@ -63,7 +63,7 @@ def _fingerprints(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
 
 def row_key() -> Column:
     """A hash of id and text; with the id beside it a result finds its row without carrying the text."""
-    return F.xxhash64(F.col("doc_id").cast("long"), F.col("text").cast("string")).alias("row_key")
+    return F.xxhash64(F.col("doc_id").isNull(), F.col("text").cast("string"), F.col("doc_id").cast("long")).alias("row_key")
 
 
 def fingerprints(docs: DataFrame) -> DataFrame:
@@ -255,8 +255,8 @@ def keep_one_of_each(docs: DataFrame, radius: int = RADIUS, tile: int = TILE) ->
     """
     groups = _grouped(docs, radius, tile)
     first = groups.groupBy("root").agg(F.min(F.struct(F.col("doc_id").isNull().alias("x"), "doc_id", "row_key")).alias("first"))
-    kept = first.select(F.col("first.doc_id").alias("kept_id"), F.col("first.row_key").alias("kept_key"))
-    rows = docs.select(F.col("doc_id").cast("long").alias("id"), row_key(), whole_row(docs).alias("row"))
-    rows = rows.join(kept, (F.col("row_key") == F.col("kept_key")) & F.col("id").eqNullSafe(F.col("kept_id")), "left_semi")
-    same = Window.partitionBy("row_key", "id").orderBy(F.xxhash64("row"))
+    kept = first.select(F.coalesce("first.doc_id", F.lit(0)).alias("id"), F.col("first.row_key").alias("row_key"))
+    rows = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(0)).alias("id"), row_key(), whole_row(docs).alias("row"))
+    rows = rows.join(kept, ["row_key", "id"], "left_semi")
+    same = Window.partitionBy("row_key", "id").orderBy(F.xxhash64("row"))  # dealt as the join is, so texts move once
     return rows.withColumn("n", F.row_number().over(same)).where("n = 1").select("row.*")
