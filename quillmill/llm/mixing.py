@@ -140,19 +140,18 @@ def mix_sources(
 def mixed_documents(docs: DataFrame, weights: tuple[float, ...] = (1, 2, 3), max_epochs: int = MAX_EPOCHS) -> DataFrame:
     """The rows and columns of the mix: each document as often as it is taken.
 
-    Rows find their count by id, source and a hash of the text; repeated rows pool their counts, and the row with the
+    Rows find their count by id and a hash of id, source and text; repeated rows pool their counts, and the row with the
     least hash of all columns stands for those that differ elsewhere. Null and empty texts have no words: they come
     along as often as their place in the queue is served, and a table without any word gives no rows, nor does an
     empty one. Columns may have any name.
     """
-    text_key = F.xxhash64(F.col("text").cast("string")).alias("text_key")
-    slim = docs.select("doc_id", "source", "text", text_key)
-    copies = mix_sources(slim, weights, max_epochs, carry=("source", "text_key")).groupBy("doc_id", F.col("source").alias("from"), F.col("text_key").alias("key"))
-    copies = copies.agg(F.sum("copies").cast("int").alias("copies")).where("copies > 0").withColumnRenamed("doc_id", "taken_id")
-    rows = docs.select(F.col("doc_id").cast("long").alias("id"), F.col("source").cast("string").alias("source"), text_key, whole_row(docs).alias("row"))
-    found = (F.col("text_key") == F.col("key")) & F.col("id").eqNullSafe(F.col("taken_id")) & F.col("source").eqNullSafe(F.col("from"))
-    same = Window.partitionBy("text_key", "id", "source").orderBy(F.xxhash64("row"))
-    one = rows.join(copies, found).withColumn("n", F.row_number().over(same)).where("n = 1")
+    source = F.col("source").cast("string")
+    key = F.xxhash64(F.col("doc_id").isNull(), source.isNull(), F.col("doc_id").cast("long"), source, F.col("text").cast("string"), F.col("text").isNull())
+    slim = docs.select("doc_id", "source", "text", key.alias("key"))
+    copies = mix_sources(slim, weights, max_epochs, carry=("key",)).groupBy("key", F.coalesce("doc_id", F.lit(0)).alias("id")).agg(F.sum("copies").cast("int").alias("copies"))
+    rows = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(0)).alias("id"), key.alias("key"), whole_row(docs).alias("row"))
+    same = Window.partitionBy("key", "id").orderBy(F.xxhash64("row"))  # dealt as the join is, so texts move once
+    one = rows.join(copies.where("copies > 0"), ["key", "id"]).withColumn("n", F.row_number().over(same)).where("n = 1")
     return one.withColumn("copy", F.explode(F.sequence(F.lit(1), F.col("copies")))).select("row.*")
 
 
