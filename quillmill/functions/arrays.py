@@ -37,6 +37,16 @@ def linear(x: Column, rows: Column) -> Column:
     return F.transform(rows, lambda w: dot(x, w))
 
 
+def attention(query: Column, keys: Column, values: Column, mask: Column | None = None) -> Column:
+    """Weighted mean of ``values`` by the softmax of scaled scores; ``mask`` (array of booleans) leaves keys out."""
+    pairs = F.arrays_zip(keys.alias("k"), values.alias("v"), *([] if mask is None else [mask.alias("m")]))
+    pairs = pairs if mask is None else F.filter(pairs, lambda p: p["m"])
+    scaled = F.sqrt(F.size(query).cast("double"))
+    weights = softmax(F.transform(pairs, lambda p: dot(query, p["k"]) / scaled))
+    places = F.sequence(F.lit(1), F.size(values[0]))
+    return let(weights, lambda w: F.transform(places, lambda j: dot(w, F.transform(pairs, lambda p: F.element_at(p["v"], j)))))
+
+
 def cross_entropy(logits: Column, target: Column) -> Column:
     """Minus the log-probability of the target (0-based)."""
     return logsumexp(logits) - F.element_at(logits, target + 1).cast("double")

@@ -32,28 +32,31 @@ def collapse_ws(text: Column, limit: int = 10_000) -> Column:
     return F.substring(F.trim(F.regexp_replace(text, r"\s+", " ")), 1, limit)
 
 
-def _masked(text: Column, pattern: str, mark: str) -> Column:
-    return F.struct(F.regexp_replace(text, pattern, mark.replace("|", r"\|")).alias("text"), F.regexp_count(text, F.lit(pattern)).cast("long").alias("n"))
+def _masked(text: Column, pattern: str, mark: str, hint: Column) -> Column:
+    """Struct of text and n; the pattern runs only over texts with what every match of it holds."""
+    found = F.struct(F.regexp_replace(text, pattern, mark.replace("|", r"\|")).alias("text"), F.regexp_count(text, F.lit(pattern)).cast("long").alias("n"))
+    return F.when(hint, found).otherwise(F.struct(text.alias("text"), F.lit(0).cast("long").alias("n")))
 
 
 def mask_emails(text: Column) -> Column:
-    return _masked(text, EMAIL, EMAIL_MARK)
+    return _masked(text, EMAIL, EMAIL_MARK, text.contains("@"))
 
 
 def mask_phone_numbers(text: Column) -> Column:
-    return _masked(text, PHONE, PHONE_MARK)
+    return _masked(text, PHONE, PHONE_MARK, text.rlike(r"\d{3}[-.\s]?\d{4}"))
 
 
 def mask_ips(text: Column) -> Column:
-    return _masked(text, IP, IP_MARK)
+    return _masked(text, IP, IP_MARK, text.rlike(r"\d\.\d{1,3}\.\d"))
 
 
 def mask_pii(text: Column) -> Column:
     """E-mail, then phone, then IP on the text so far: struct of text, n_email, n_phone, n_ip."""
-    emails = mask_emails(text)
-    phones = mask_phone_numbers(emails["text"])
-    ips = mask_ips(phones["text"])
-    return F.struct(ips["text"].alias("text"), emails["n"].alias("n_email"), phones["n"].alias("n_phone"), ips["n"].alias("n_ip"))
+
+    def rest(emails: Column, phones: Column) -> Column:
+        return let(mask_ips(phones["text"]), lambda ips: F.struct(ips["text"].alias("text"), emails["n"].alias("n_email"), phones["n"].alias("n_phone"), ips["n"].alias("n_ip")))
+
+    return let(mask_emails(text), lambda emails: let(mask_phone_numbers(emails["text"]), lambda phones: rest(emails, phones)))
 
 
 def _accents() -> tuple[str, str]:
@@ -108,6 +111,31 @@ def snippet_around(text: Column, pattern: str, window: int = 120) -> Column:
     return F.when(at > 0, F.substring(text, start, at + window - start))
 
 
+def snippet_around_change(before: Column, after: Column, window: int = 120) -> Column:
+    """Struct of ``before`` and ``after``: characters around the first one that differs; null for equal texts.
+
+    The window ends within the shorter text. The common prefix is found by halving, so a long text costs some
+    comparisons of prefixes, not one of each character.
+    """
+    short = F.least(F.length(before), F.length(after))
+
+    def halve(state: Column, _: Column) -> Column:
+        low, high = state["low"], state["high"]
+        middle = F.ceil((low + high) / 2).cast("int")
+        same = F.substring(before, F.lit(1), middle) == F.substring(after, F.lit(1), middle)
+        return F.struct(F.when(same, middle).otherwise(low).alias("low"), F.when(same, high).otherwise(F.greatest(low, middle - 1)).alias("high"))
+
+    steps = F.sequence(F.lit(1), F.ceil(F.log2(short + 2)).cast("int") + 1)
+    shared = F.aggregate(steps, F.struct(F.lit(0).alias("low"), short.alias("high")), halve)["low"]
+
+    def cut(text: Column, at: Column) -> Column:
+        start = F.greatest(at - window, F.lit(0))
+        return F.substring(text, start + 1, F.least(at + window, F.length(after)) - start)
+
+    both = let(shared, lambda at: F.struct(cut(before, at).alias("before"), cut(after, at).alias("after")))
+    return F.when(before != after, both)
+
+
 def format_prompt(template: str, question: Column, slot: str = "question") -> Column:
     return F.replace(F.lit(template), F.lit("{" + slot + "}"), F.regexp_replace(question, r"^\s+|\s+$", ""))
 

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from quillmill.functions.text import let, one_line
+from quillmill.operators.skew import small
 
 
 def held_out(key: str, share: int = 5) -> Column:
@@ -25,17 +26,17 @@ def language_profiles(docs: DataFrame, top: int = 400) -> DataFrame:
     total = counts.groupBy("lang").agg(F.sum("n").alias("total"), F.count("*").alias("kinds"))
     order = Window.partitionBy("lang").orderBy(F.desc("n"), "gram")
     best = counts.withColumn("r", F.row_number().over(order)).where(F.col("r") <= top)
-    return best.join(F.broadcast(total), "lang").select("gram", "lang", F.log((F.col("n") + 1) / (F.col("total") + F.col("kinds"))).alias("logp"))
+    return best.join(small(total), "lang").select("gram", "lang", F.log((F.col("n") + 1) / (F.col("total") + F.col("kinds"))).alias("logp"))
 
 
 def identify_language(docs: DataFrame, profiles: DataFrame, floor: float = -12.0) -> DataFrame:
     """``doc_id, label, score``: naive Bayes over profile trigrams; blank texts are unknown with score 0.
 
-    The profile table holds ``top`` rows a language, so it is broadcast; no document leaves its
+    The profile table holds ``top`` rows a language and is broadcast if that is few; no document leaves its
     task before its log-probabilities are summed.
     """
     grams = docs.select("doc_id", F.explode(_trigrams(F.col("text"))).alias("gram")).groupBy("doc_id", "gram").agg(F.count("*").alias("n"))
-    hits = grams.join(F.broadcast(profiles), "gram").groupBy("doc_id", "lang").agg(F.sum(F.col("n") * (F.col("logp") - floor)).alias("s"))
+    hits = grams.join(small(profiles), "gram").groupBy("doc_id", "lang").agg(F.sum(F.col("n") * (F.col("logp") - floor)).alias("s"))
     w = Window.partitionBy("doc_id")
     odds = F.col("s") - F.max("s").over(w)
     soft = hits.withColumn("p", F.exp(odds) / F.sum(F.exp(odds)).over(w))

@@ -10,9 +10,9 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from quillmill.functions.text import line_hash, normalize_text, word_ngrams, words
+from quillmill.functions.text import let, line_hash, normalize_text, word_ngrams, words
 from quillmill.operators.graph import connected_components
-from quillmill.operators.skew import join_keyed
+from quillmill.operators.skew import join_keyed, small
 from quillmill.session import cut_lineage
 
 #: A prime under 2**31: products with 31-bit hashes fit a long.
@@ -64,9 +64,13 @@ def gram_sets(docs: DataFrame, n: int = 5) -> DataFrame:
 
     Words are hashed once and a gram is the hash of its words' hashes, so no gram is ever spelled out.
     """
-    each = docs.select("doc_id", F.transform(words(normalize_text(F.col("text"))), lambda w: F.xxhash64(w)).alias("w"))
-    grams = F.transform(F.sequence(F.lit(1), F.size("w") - n + 1), lambda i: F.xxhash64(*[F.element_at("w", i + k) for k in range(n)]))
-    return each.where(F.size("w") >= n).select("doc_id", F.array_sort(F.array_distinct(grams)).alias("hs"))
+
+    def grams(w: Column) -> Column:
+        each = F.transform(F.sequence(F.lit(1), F.size(w) - n + 1), lambda i: F.xxhash64(*[F.element_at(w, i + k) for k in range(n)]))
+        return F.when(F.size(w) >= n, F.array_sort(F.array_distinct(each)))
+
+    hashed = F.transform(words(normalize_text(F.col("text"))), lambda w: F.xxhash64(w))
+    return docs.select("doc_id", let(hashed, grams).alias("hs")).where(F.col("hs").isNotNull())
 
 
 def set_classes(sets: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -177,13 +181,7 @@ def drop_duplicates_of(docs: DataFrame, clustered: DataFrame) -> DataFrame:
     return docs.join(clustered.where("doc_id != cluster_id").select("doc_id"), "doc_id", "left_anti")
 
 
-#: Grams of a benchmark up to which they are broadcast (16 bytes each); more are joined by shuffle.
-MOST_BROADCAST_GRAMS = 2_000_000
-
-
 def contaminated(docs: DataFrame, benchmark: DataFrame, n: int = 13) -> DataFrame:
     """``doc_id, item_id, shared``: n-grams a document shares with a benchmark item."""
-    items = cut_lineage(gram_sets(benchmark.select(F.col("item_id").alias("doc_id"), "text"), n).select(F.col("doc_id").alias("item_id"), F.explode("hs").alias("h")))
-    if items.count() <= MOST_BROADCAST_GRAMS:
-        items = F.broadcast(items)
+    items = small(gram_sets(benchmark.select(F.col("item_id").alias("doc_id"), "text"), n).select(F.col("doc_id").alias("item_id"), F.explode("hs").alias("h")))
     return gram_sets(docs, n).select("doc_id", F.explode("hs").alias("h")).join(items, "h").groupBy("doc_id", "item_id").agg(F.count("*").alias("shared"))

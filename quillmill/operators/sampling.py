@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from quillmill.operators.skew import small
 from quillmill.session import cut_lineage
 
 
@@ -24,10 +25,10 @@ def balanced(df: DataFrame, label: str, key: str, seed: int = 42) -> DataFrame:
     Each class keeps the rows under a hash quantile that surely holds enough, so only about the
     final number of rows is ranked, whatever a class's size.
     """
-    counts = df.where(F.col(label).isNotNull()).groupBy(label).agg(F.count("*").alias("_n"))
+    counts = small(df.where(F.col(label).isNotNull()).groupBy(label).agg(F.count("*").alias("_n")))
     least = counts.agg(F.min("_n").alias("_least"))
     spot = F.conv(F.substring(shuffle_key(key, seed), 1, 8), 16, 10).cast("long") / float(1 << 32)
-    near = df.join(F.broadcast(counts), label).join(F.broadcast(least)).where(spot <= (F.col("_least") + 6 * F.sqrt("_least") + 32) / F.col("_n"))
+    near = df.join(counts, label).join(F.broadcast(least)).where(spot <= (F.col("_least") + 6 * F.sqrt("_least") + 32) / F.col("_n"))
     order = Window.partitionBy(label).orderBy(shuffle_key(key, seed), key)
     return near.withColumn("_r", F.row_number().over(order)).where(F.col("_r") <= F.col("_least")).drop("_r", "_n", "_least")
 

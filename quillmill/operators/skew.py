@@ -5,10 +5,22 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from quillmill.session import cut_lineage
+
 #: A key is hot when it holds more than one row in HOT_SHARE of all; so there are at most HOT_SHARE hot keys.
 HOT_SHARE = 1000
 
 
+#: Rows up to which a table is handed to every task.
+MOST_BROADCAST_ROWS = 1_000_000
+
+
+def small(df: DataFrame, rows: int = MOST_BROADCAST_ROWS) -> DataFrame:
+    """The table, written down and counted; marked for broadcast if it is small."""
+    df = cut_lineage(df)
+    return F.broadcast(df) if df.count() <= rows else df
+
+
 def join_keyed(rows: DataFrame, keyed: DataFrame, key: str, count: str, total: int) -> DataFrame:
     """Inner join of ``rows`` with ``keyed`` (one row a key, ``count`` = rows of that key in ``rows``).
 

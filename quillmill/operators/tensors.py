@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import re
+from collections.abc import Callable
 from functools import reduce as fold
 
 from pyspark.sql import Column, DataFrame
@@ -64,8 +65,8 @@ def _flat(names: list[str], sizes: dict[str, int]) -> Column:
     return at
 
 
-def rearrange(tensor: DataFrame, pattern: str, how: str | None = None, **sizes: int) -> DataFrame:
-    """Axes split, merged, reordered, reduced (``how``) or repeated as ``b (h w) -> w b`` says.
+def rearrange(tensor: DataFrame, pattern: str, how: str | Callable[[Column], Column] | None = None, **sizes: int) -> DataFrame:
+    """Axes split, merged, reordered, reduced (``how``: a name or an aggregate of a column) or repeated as ``b (h w) -> w b`` says.
 
     Sizes are needed of the names inside a composed axis but the first, and of axes that are new on the right. The
     result's axes are called axis0, axis1 and so on.
@@ -88,7 +89,7 @@ def rearrange(tensor: DataFrame, pattern: str, how: str | None = None, **sizes:
     if set(given) - set(wanted):
         if how is None:
             raise ValueError(f"no reduction is named for {sorted(set(given) - set(wanted))}")
-        here = here.groupBy(*kept).agg(REDUCTIONS[how](F.col("value")).alias("value"))
+        here = here.groupBy(*kept).agg((REDUCTIONS[how] if isinstance(how, str) else how)(F.col("value")).alias("value"))
     for n in wanted:
         if n not in given:
             here = here.withColumn(n, F.explode(F.sequence(F.lit(0).cast("long"), F.lit(sizes[n] - 1).cast("long"))))

@@ -56,7 +56,7 @@ _cases("boxed_answers", "text", A.boxed_answer, "string", [
 ])
 _cases("graded_answers", "given truth", A.grade, "boolean", [
     ("1/2", "\\frac{1}{2}", True), ("2/4", "1/2", False), ("1,000", "1000", True), ("(1, 2)", "(1,2)", True), ("(2,1)", "(1,2)", False), ("[1,2)", "(1,2)", False), ("5.0", "5", True), ("5.5", "5", False),
-    ("x=3", "3", True), ("3 cm", "3", True), ("72", "\\boxed{72}", True), ("2^3", "8", False), ("2*x+1", "1+x*2", False), ("1.50", "1.5", True), ("", "5", False), (None, "5", False),
+    ("x=3", "3", True), ("3 cm", "3", True), ("72", "\\boxed{72}", True), ("2^3", "8", False), ("2*x+1", "1+x*2", True), ("(x+1)^2", "x^2+2x+1", True), ("(x+1)^2", "x^2+1", False), ("\\sqrt{8}", "2\\sqrt{2}", True), ("2\\pi r", "2r\\pi", True), ("x+y+z", "z+y+x", False), ("1.50", "1.5", True), ("", "5", False), (None, "5", False),
 ])
 _cases("equal_numbers", "a b", lambda a, b: A.numeric_equal(float(a), float(b)), "boolean", [("1.00005", "1", True), ("1.0002", "1", False), ("-3", "-3.0001", True), ("0", "0", True), ("0.001", "0", False)])
 _cases("equal_values", "given truth", A.value_equal, "boolean", [("0.50", "1/2", False), ("2.0", "2", True), ("\\frac12", "0.5", True), ("a", "b", False), ("1e3", "1000", True)])

@@ -153,8 +153,8 @@ def attention_window(embeddings):
     """Masked attention: each row looks at itself and the rows before it in its class, as far as a window reaches."""
     before = Window.partitionBy("label").orderBy("vec_id").rowsBetween(1 - _SPAN, 0)
     seen = _doubles(embeddings).select("vec_id", "x", F.collect_list("x").over(before).alias("keys"))
-    weights = A.softmax(F.transform("keys", lambda k: A.dot(F.col("x"), k) / 8.0))
-    return seen.select("vec_id", F.round(A.dot(weights, F.transform("keys", lambda k: k[0])), 6).alias("out0"))
+    first = F.transform("keys", lambda k: F.slice(k, 1, 1))
+    return seen.select("vec_id", F.round(A.attention(F.col("x"), F.col("keys"), first)[0], 6).alias("out0"))
 
 
 _LOGITS = "SELECT vec_id, i - 1 AS token, v AS logit FROM (SELECT vec_id, unnest(list_transform(embedding, lambda u: u::DOUBLE * 10)) AS v, generate_subscripts(embedding, 1) AS i FROM embeddings)"

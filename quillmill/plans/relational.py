@@ -9,6 +9,7 @@ from quillmill.operators.relational import asof_join, range_join
 from quillmill.plans.registry import Catalog
 from quillmill.plans.text import _METRICS, _PASS
 from quillmill.session import load
+from quillmill.streaming import streams
 
 query = Catalog()
 
@@ -109,12 +110,38 @@ def pivot_types(events):
     return wide.select("user_id", *[F.coalesce(c, F.lit(0)).alias(c) for c in ("view", "click", "purchase")])
 
 
-@query("stream_funnel", sql=rf"""SELECT coalesce(CASE WHEN length(regexp_replace(text, '^\s+|\s+$', '', 'g')) < 50 THEN 'short' WHEN lang <> 'en' THEN 'language' WHEN NOT {_PASS} THEN 'gopher' END, 'kept') AS reason,
- count(*)::BIGINT AS count FROM ({_METRICS}) GROUP BY 1""")
-def stream_funnel(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The documents table as arriving files, through the cascade, with what is there now."""
-    from quillmill.streaming.streams import arriving, cascade_stream, run_available, running_funnel
+_STREAM_REASON = rf"CASE WHEN length(regexp_replace(text, '^\s+|\s+$', '', 'g')) < 50 THEN 'short' WHEN lang <> 'en' THEN 'language' WHEN NOT {_PASS} THEN 'gopher' END"
+
 
+def _arriving_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The documents table as arriving files, with scores that pass."""
     docs = load(spark, sf_dir, "documents")
-    stream = arriving(spark, f"{sf_dir}/documents.parquet*", docs.schema).withColumns({"lang_score": F.lit(1.0), "nsfw_score": F.lit(0.0), "toxic_score": F.lit(0.0), "quality": F.lit("high"), "quality_score": F.lit(1.0)})
-    return run_available(running_funnel(cascade_stream(stream)), "quillmill_stream_funnel", "complete")
+    scores = {"lang_score": F.lit(1.0), "nsfw_score": F.lit(0.0), "toxic_score": F.lit(0.0), "quality": F.lit("high"), "quality_score": F.lit(1.0)}
+    return streams.arriving(spark, f"{sf_dir}/documents.parquet*", docs.schema).withColumns(scores)
+
+
+@query("stream_cascade", sql=f"SELECT doc_id, {_STREAM_REASON} AS discard_reason FROM ({_METRICS})")
+def stream_cascade(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return streams.run_available(streams.cascade_stream(_arriving_documents(spark, sf_dir)).select("doc_id", "discard_reason"), "cascade")
+
+
+@query("stream_funnel", sql=f"SELECT coalesce({_STREAM_REASON}, 'kept') AS reason, count(*)::BIGINT AS count FROM ({_METRICS}) GROUP BY 1")
+def stream_funnel(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return streams.run_available(streams.running_funnel(streams.cascade_stream(_arriving_documents(spark, sf_dir))), "funnel", "complete")
+
+
+def _arriving_events(spark: SparkSession, sf_dir: str) -> DataFrame:
+    events = load(spark, sf_dir, "events")
+    return streams.arriving(spark, f"{sf_dir}/events.parquet*", events.schema).withColumn("ts", F.col("ts").cast("timestamp"))
+
+
+@query("stream_windows", sql="SELECT time_bucket(INTERVAL 1 hour, ts) AS window_start, event_type, count(*)::BIGINT AS n, round(sum(value), 4) AS total FROM events GROUP BY ALL")
+def stream_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = streams.run_available(streams.tumbling(_arriving_events(spark, sf_dir)), "windows", "complete")
+    return rows.select(F.col("window_start").cast("timestamp_ntz").alias("window_start"), "event_type", "n", F.round("total", 4).alias("total"))
+
+
+@query("stream_dedup", sql="SELECT DISTINCT props AS props FROM events")
+def stream_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The first of each text within the watermark, which here spans all events."""
+    return streams.run_available(streams.exact_dedup_stream(_arriving_events(spark, sf_dir), "ts", "props", "400 days").select("props"), "unique")

@@ -188,6 +188,16 @@ def url_host(pages):
     return pages.groupBy(T.url_host(F.col("url")).alias("host")).agg(F.count("*").alias("n"))
 
 
+@query("change_snippets", "documents", sql=rf"""WITH m AS (SELECT doc_id, text, regexp_replace(text, '{_IP}', '{T.IP_MARK}', 'g') AS masked FROM documents),
+p AS (SELECT *, instr(text, regexp_extract(text, '{_IP}')) - 1 AS i FROM m WHERE text <> masked)
+SELECT doc_id, md5(text[greatest(i - 120, 0) + 1:least(i + 120, length(masked))]) AS before_md5, md5(masked[greatest(i - 120, 0) + 1:least(i + 120, length(masked))]) AS after_md5 FROM p""")
+def change_snippets(docs):
+    """Around the first character that masking changed."""
+    rows = docs.select("doc_id", "text", T.mask_ips(F.col("text"))["text"].alias("masked"))
+    cut = rows.where("text != masked").select("doc_id", T.snippet_around_change(F.col("text"), F.col("masked")).alias("s"))
+    return cut.select("doc_id", F.md5("s.before").alias("before_md5"), F.md5("s.after").alias("after_md5"))
+
+
 @query("pii_snippets", "documents", sql=rf"""WITH m AS (SELECT doc_id, text, instr(text, regexp_extract(text, '{_IP}')) AS p FROM documents WHERE regexp_matches(text, '{_IP}'))
 SELECT doc_id, md5(substring(text, greatest(p - 120, 1), p + 120 - greatest(p - 120, 1))) AS snippet_md5 FROM m""")
 def pii_snippets(docs):

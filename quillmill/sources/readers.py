@@ -53,7 +53,10 @@ def http_body(payload: Column) -> Column:
 
 
 def read_archive(spark: SparkSession, path: str, record_type: str | None = None) -> DataFrame:
-    """Records of WARC or WET files; a file is a task's unit, as gzip can't be split."""
+    """Records of WARC or WET files; a file is a task's unit, as gzip can't be split.
+
+    Files come as one binary value each, so one over 2 GiB raises; archives are published in parts far smaller than that.
+    """
     files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path).select("path", "content")
 
     def split(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
