@@ -7,7 +7,7 @@ tiles of consecutive ranks. A query looks at its own tile and the two beside it
 rounded to bytes; the best of all orderings are merged and reranked by the exact inner product in double precision.
 
 A tile holds ``TILE_SCALE * n ** TILE_POWER`` of n vectors (at least as many as are asked for), so a query's comparisons
-grow more slowly than the table and are fewer than those of an exact search beyond some ten thousand vectors.
+grow more slowly than the table and are fewer than those of an exact search beyond some eight thousand vectors.
 The power was chosen on vectors without any structure in 64 dimensions, where nothing but reach gives recall (see the
 README). Quantiles are fitted on a bounded sample, every row is indexed.
 """
@@ -33,7 +33,7 @@ CURVES = 64
 PROJECTED = 10
 BITS = 6
 #: Rows of a tile: scale times a power of the number of vectors.
-TILE_SCALE, TILE_POWER = 0.11, 0.65
+TILE_SCALE, TILE_POWER = 0.0642, 0.7
 #: Candidates beyond the wanted ones that are kept for the exact ranking, of one curve and of all.
 SLACK_CURVE, SLACK = 4, 12
 #: Rows whose coordinates' quantiles are taken.
