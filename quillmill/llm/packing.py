@@ -12,6 +12,7 @@ the corpus; pieces find their places by their rank among the pieces of their bin
 from __future__ import annotations
 
 import re
+import struct
 import zlib
 from collections.abc import Iterator
 
@@ -39,66 +40,56 @@ _PLAIN = bytes([9, 10, 11, 12, 13, *range(0x20, 0x7F), *range(0xA1, 0x100)])
 _PIECES = re.compile("'s|'t|'re|'ve|'m|'ll|'d|[a-zªµºß-öø-ÿ]+|[0-9²³¹¼½¾]|[^\\s0-9²³¹¼½¾a-zªµºß-öø-ÿ]+")
 
 
+#: Bytes that the tokenizer's byte alphabet shows as another character: those without a visible one, from U+0100 on, by rule.
+_SHOWN = {b: 0x100 + i for i, b in enumerate(b for b in range(256) if not (0x21 <= b < 0x7F or 0xA1 <= b < 0xAD or b >= 0xAE))}
+
+
+class _Words(dict):
+    """Ids of words as bytes; a word that isn't there is learnt when it is asked for."""
+
+    def __init__(self, learn):
+        super().__init__()
+        self.learn = learn
+
+    def __missing__(self, word: str) -> bytes:
+        ids = self[word] = self.learn(word)
+        return ids
+
+
 class WordTokenizer:
     """Token ids as little-endian bytes, by way of caches of words and of their pieces.
 
     The tokenizer drops white space and never merges across it or across its own pieces, so
-    plain Latin-1 text is looked up word by word; pieces not seen before are encoded together and
-    told apart by the mark that ends each piece's last token. Texts with anything else (other
-    scripts, control characters, the marks of special tokens) go through the tokenizer whole.
+    plain Latin-1 text is looked up word by word; a piece not seen before goes to the tokenizer's model alone. Texts with
+    anything else (other scripts, control characters, the marks of special tokens) go through the tokenizer whole.
     """
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        vocabulary = self.tokenizer.get_vocab()
-        self.ends = np.zeros(max(vocabulary.values()) + 1, bool)
-        self.ends[[i for t, i in vocabulary.items() if t.endswith("</w>")]] = True
-        self.words: dict[str, bytes] = {}  # a piece is a word, too
+        self.model = self.tokenizer.model
+        self.words = _Words(self._word)  # a piece is a word, too
         self.old_words: dict[str, bytes] = {}
 
     def whole(self, text: str) -> bytes:
         return np.asarray(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
 
-    def _learn(self, words: set[str]) -> None:
-        whole = {w for w in words if w.isalpha()}  # letters only: one piece
-        split = {w: _PIECES.findall(w) for w in words - whole}
-        whole |= _recall({p for pieces in split.values() for p in pieces} - whole, self.words, self.old_words)
-        unknown = list(whole)
-        for at in range(0, len(unknown), 4096):
-            some = unknown[at : at + 4096]
-            ids = np.asarray(self.tokenizer.encode(" ".join(some), add_special_tokens=False).ids, "<u4")
-            stops = (4 * np.flatnonzero(self.ends[ids]) + 4).tolist()
-            if len(stops) == len(some):
-                data, start = ids.tobytes(), 0
-                for piece, stop in zip(some, stops, strict=True):
-                    self.words[piece] = data[start:stop]
-                    start = stop
-            else:  # a piece without a marked end: one by one
-                self.words.update((p, self.whole(p)) for p in some)
-        look = self.words.__getitem__
-        self.words.update([(w, b"".join(map(look, pieces))) for w, pieces in split.items()])
+    def _word(self, word: str) -> bytes:
+        if (known := self.old_words.get(word)) is not None:
+            return known
+        pieces = [word] if word.isalpha() else _PIECES.findall(word)
+        if len(pieces) > 1:
+            return b"".join([self.words[p] for p in pieces])
+        shown = word if word.isascii() else word.encode().decode("latin-1").translate(_SHOWN)
+        ids = [t.id for t in self.model.tokenize(shown)]
+        return struct.pack(f"<{len(ids)}I", *ids)
 
     def encode_all(self, texts: list[str]) -> list[bytes]:
         if len(self.words) > CACHE_WORDS:
-            self.words, self.old_words = {}, self.words
-        split = [t.lower().split() if _is_plain(t) else None for t in texts]
-        new: set[str] = set()
-        for words in split:
-            if words:
-                new.update(words)
-        self._learn(_recall(new, self.words, self.old_words))
+            self.words, self.old_words = _Words(self._word), self.words
         look = self.words.__getitem__
-        return [self.whole(t) if words is None else b"".join(map(look, words)) for t, words in zip(texts, split, strict=True)]
-
-
-def _recall(keys: set[str], now: dict[str, bytes], before: dict[str, bytes]) -> set[str]:
-    """The keys in neither generation; those only in the older one move to the younger."""
-    missing = keys - now.keys()
-    again = missing & before.keys()
-    now.update((k, before[k]) for k in again)
-    return missing - again
+        return [b"".join(map(look, t.lower().split())) if _is_plain(t) else self.whole(t) for t in texts]
 
 
 def _is_plain(text: str) -> bool:
