@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from quillmill.llm.ann import nearest_neighbours
+from quillmill.llm.conversations import REPAIR_SQL, damage, repair_report
 from quillmill.llm.flac import media_digests
 from quillmill.llm.langid import identify_language
 from quillmill.llm.licenses import licenses_sql, scan_licenses
@@ -59,6 +60,11 @@ def op10_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
     return nearest_neighbours(load(spark, sf_dir, "embeddings"))
 
 
+def op13_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    turns = load(spark, sf_dir, "conversations")
+    return repair_report(damage(turns), turns)
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_language_id": op1_language_id,
     "op2_simhash": op2_simhash,
@@ -70,6 +76,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_packing": op8_packing,
     "op9_substring": op9_substring,
     "op10_neighbours": op10_neighbours,
+    "op13_conversation_repair": op13_conversation_repair,
 }
 
 ORACLES: dict[str, str] = {
@@ -77,4 +84,5 @@ ORACLES: dict[str, str] = {
     "op6_sharding": sharding_sql(),
     "op7_mixing": MIXING_SQL,
     "op9_substring": REPEATS_SQL,
+    "op13_conversation_repair": REPAIR_SQL,
 }
