@@ -13,6 +13,7 @@ from quillmill.llm.langid import identify_language
 from quillmill.llm.licenses import licenses_sql, scan_licenses
 from quillmill.llm.mixing import MIXING_SQL, mix_sources
 from quillmill.llm.packing import pack_documents
+from quillmill.llm.phrases import PHRASES_SQL, mine_phrases
 from quillmill.llm.pii import find_personal_data
 from quillmill.llm.sharding import place_documents, sharding_sql
 from quillmill.llm.simhash import simhash_groups
@@ -60,6 +61,10 @@ def op10_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
     return nearest_neighbours(load(spark, sf_dir, "embeddings"))
 
 
+def op12_phrases(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mine_phrases(load(spark, sf_dir, "documents"))
+
+
 def op13_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
     turns = load(spark, sf_dir, "conversations")
     return repair_report(damage(turns), turns)
@@ -76,6 +81,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_packing": op8_packing,
     "op9_substring": op9_substring,
     "op10_neighbours": op10_neighbours,
+    "op12_phrases": op12_phrases,
     "op13_conversation_repair": op13_conversation_repair,
 }
 
@@ -84,5 +90,6 @@ ORACLES: dict[str, str] = {
     "op6_sharding": sharding_sql(),
     "op7_mixing": MIXING_SQL,
     "op9_substring": REPEATS_SQL,
+    "op12_phrases": PHRASES_SQL,
     "op13_conversation_repair": REPAIR_SQL,
 }
