@@ -18,6 +18,7 @@ from quillmill.llm.pii import find_personal_data
 from quillmill.llm.sharding import place_documents, sharding_sql
 from quillmill.llm.simhash import simhash_groups
 from quillmill.llm.substring import REPEATS_SQL, remove_repeats
+from quillmill.llm.suffixes import remove_repeated_bytes
 from quillmill.session import load
 
 
@@ -61,6 +62,10 @@ def op10_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
     return nearest_neighbours(load(spark, sf_dir, "embeddings"))
 
 
+def op11_suffix_array(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return remove_repeated_bytes(load(spark, sf_dir, "documents"))
+
+
 def op12_phrases(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mine_phrases(load(spark, sf_dir, "documents"))
 
@@ -81,6 +86,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_packing": op8_packing,
     "op9_substring": op9_substring,
     "op10_neighbours": op10_neighbours,
+    "op11_suffix_array": op11_suffix_array,
     "op12_phrases": op12_phrases,
     "op13_conversation_repair": op13_conversation_repair,
 }
