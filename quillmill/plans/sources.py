@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import uuid
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -11,6 +12,7 @@ from quillmill.operators import tokens
 from quillmill.plans.registry import Catalog
 from quillmill.sources import readers as R
 from quillmill.sources import sinks as S
+from quillmill.sources import warc
 from quillmill.session import shared_folder
 
 query = Catalog()
@@ -71,11 +73,13 @@ def scan_delimited_docs(docs):
 
 
 def _archive(rows: DataFrame, kind: str, url, payload, path: str) -> None:
-    """Records of a WARC file, written as text with carriage returns."""
-    head = F.concat(F.lit(f"WARC/1.0\r\nWARC-Type: {kind}\r\nWARC-Target-URI: "), url, F.lit("\r\nContent-Length: "), F.octet_length(payload).cast("string"), F.lit("\r\n\r\n"))
-    rows.select(F.concat(head, payload, F.lit("\r\n")).alias("value")).write.option("lineSep", "\r\n").option("compression", "gzip").text(path)
+    """An archive with a gzip member for each row."""
+    warc.register(rows.sparkSession)
+    rows.select(F.lit(kind).alias("record_type"), url.alias("url"), payload.alias("payload")).write.format("warc").mode("append").save(path)
 
 
+#: Bytes of a range in the queries: so few that even the small tables' archives are read in several.
+_SPLIT = 1 << 16
 
 
 @query("scan_wet", "documents", sql="SELECT 'http://documents.example/' || doc_id AS url, md5(text) AS text_md5, true AS valid FROM documents")
@@ -97,6 +101,15 @@ def scan_warc(pages):
     return R.read_warc_html(pages.sparkSession, path).select("url", F.md5("html").alias("html_md5"))
 
 
+@query("scan_warc_splits", "documents", sql="SELECT 'http://documents.example/' || doc_id AS url, md5(text) AS text_md5, 2::BIGINT AS times, 1::BIGINT AS places FROM documents")
+def scan_warc_splits(docs):
+    """The same archives whole and in byte ranges: each record comes from either reading, at the same position."""
+    spark, path = docs.sparkSession, _folder(docs.sparkSession, "splits")
+    _archive(docs, "conversion", F.concat(F.lit("http://documents.example/"), F.col("doc_id").cast("string")), F.col("text"), path)
+    both = R.read_archive(spark, path, "conversion").unionByName(R.read_archive(spark, path, "conversion", _SPLIT))
+    return both.groupBy("url", F.md5("payload").alias("text_md5")).agg(F.count("*").alias("times"), F.countDistinct("path", "position").alias("places"))
+
+
 @query("warc_wet_join", "pages", sql="SELECT url, md5(html) AS html_md5, md5(upper(url)) AS text_md5 FROM pages")
 def warc_wet_join(pages):
     path = _folder(pages.sparkSession, "both")
@@ -106,16 +119,23 @@ def warc_wet_join(pages):
     return both.select("url", F.md5("html").alias("html_md5"), _digest())
 
 
-@query("scan_damaged", "pages", sql="SELECT count(*)::BIGINT AS n_records, 0::BIGINT AS n_damaged, (SELECT count(*) FROM pages)::BIGINT AS n_cut FROM pages")
+@query("scan_damaged", "pages", sql="SELECT CASE WHEN page_id % 3 = 0 THEN 'damaged' ELSE 'response' END AS record_type, count(*)::BIGINT AS n, count(DISTINCT CASE WHEN page_id % 3 = 0 THEN NULL ELSE url END)::BIGINT AS n_urls FROM pages GROUP BY 1")
 def scan_damaged(pages):
-    """Whole archives report no damage; a record a file, each cut in the middle of its payload, all report it."""
+    """Members with a wrong checksum cost themselves, and are told; their neighbours are read."""
     spark, path = pages.sparkSession, _folder(pages.sparkSession, "damaged")
-    _archive(pages, "response", F.col("url"), _response(), f"{path}/whole")
-    cut = F.concat(F.lit("WARC/1.0\r\nWARC-Type: response\r\nContent-Length: 999999999\r\n\r\n"), F.substring("html", 1, 100))
-    pages.select(cut.alias("value"), F.col("page_id").alias("p")).write.partitionBy("p").text(f"{path}/cut")
-    n = lambda df, name: df.agg(F.count("*").alias(name))
-    whole = n(R.read_warc_html(spark, f"{path}/whole"), "n_records").join(n(R.damaged_archives(spark, f"{path}/whole"), "n_damaged"))
-    return whole.join(n(R.damaged_archives(spark, f"{path}/cut"), "n_cut"))
+
+    def members(batches):
+        for batch in batches:
+            made = []
+            for i, url, html in zip(*(batch.column(c).to_pylist() for c in ("page_id", "url", "html")), strict=True):
+                member = bytearray(warc.member_bytes("response", url, html.encode()))
+                member[-5] ^= 0xFF * (i % 3 == 0)
+                made.append(bytes(member))
+            yield pa.RecordBatch.from_arrays([pa.array(made, pa.binary())], ["payload"])
+
+    warc.register(spark)
+    pages.select("page_id", "url", "html").mapInArrow(members, "payload binary").write.format("warc").option("verbatim", "true").mode("append").save(path)
+    return R.read_archive(spark, path, "response", _SPLIT).groupBy("record_type").agg(F.count("*").alias("n"), F.countDistinct("url").alias("n_urls"))
 
 
 @query("parse_wet_text", "documents", sql=r"SELECT md5(trim(regexp_replace(text, '\s*\n\s*', ' ', 'g'))) AS text_md5, count(*)::BIGINT AS n FROM documents GROUP BY 1")

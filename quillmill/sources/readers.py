@@ -2,49 +2,15 @@
 
 from __future__ import annotations
 
-import gzip
 import io
-import zlib
 from collections.abc import Iterator
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-RECORD = "path string, record_type string, url string, payload binary"
-
-
-DAMAGED = "damaged"
-
-
-def archive_records(data: bytes) -> Iterator[tuple[str, str | None, bytes]]:
-    """(type, target, payload) of every record of a WARC file, gzipped by record, as a whole, or plain.
-
-    A record says its length, so payloads may hold anything. Where a file is damaged its reading ends with a record
-    of type ``damaged`` that says why, so that the loss can be counted.
-    """
-    stream: io.BufferedIOBase = gzip.GzipFile(fileobj=io.BytesIO(data)) if data[:2] == b"\x1f\x8b" else io.BytesIO(data)
-    reader = io.BufferedReader(stream)
-    try:
-        while True:
-            line = reader.readline()
-            if not line:
-                return
-            if not line.startswith(b"WARC/"):
-                continue
-            headers: dict[bytes, bytes] = {}
-            while (line := reader.readline()).strip():
-                name, _, value = line.partition(b":")
-                headers[name.strip().lower()] = value.strip()
-            length = int(headers.get(b"content-length", b"0") or 0)
-            body = reader.read(length)
-            if len(body) < length:
-                raise EOFError("a record is cut off")
-            target = headers.get(b"warc-target-uri")
-            yield headers.get(b"warc-type", b"").decode("latin-1"), target and target.decode("utf-8", "replace"), body
-    except (EOFError, OSError, zlib.error, ValueError) as error:
-        yield DAMAGED, None, str(error).encode()
-
+from quillmill.sources import warc
+from quillmill.sources.warc import DAMAGED
 
 def http_body(payload: Column) -> Column:
     """What follows the header of a stored HTTP response, natively."""
@@ -52,31 +18,32 @@ def http_body(payload: Column) -> Column:
     return F.when((at > 0) & payload.startswith(F.lit(b"HTTP/")), F.substring(payload, at + 4, F.length(payload))).otherwise(payload)
 
 
-def read_archive(spark: SparkSession, path: str, record_type: str | None = None) -> DataFrame:
-    """Records of WARC or WET files; a file is a task's unit, as gzip can't be split.
+def read_archive(spark: SparkSession, path: str, record_type: str | None = None, split_bytes: int = warc.SPLIT_BYTES) -> DataFrame:
+    """``path, record_type, url, payload, position`` of WARC or WET files, in byte ranges where they are gzipped by record.
 
-    Files come as one binary value each, so one over 2 GiB raises; archives are published in parts far smaller than that.
+    Damage comes as rows of type ``damaged``. A store that only Spark itself reads has its files read whole.
     """
+    if not warc.reachable(path):
+        return _whole_archives(spark, path, record_type)
+    warc.register(spark)
+    reader = spark.read.format("warc").option("splitBytes", str(split_bytes))
+    return (reader.option("type", record_type) if record_type else reader).load(path)
+
+
+def _whole_archives(spark: SparkSession, path: str, record_type: str | None) -> DataFrame:
+    """The same rows, a file a task and a value; one over 2 GiB raises."""
     files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path).select("path", "content")
 
     def split(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        names = ["path", "record_type", "url", "payload"]
-        kinds = (pa.string(), pa.string(), pa.string(), pa.binary())
         for batch in batches:
             for name, content in zip(batch.column("path").to_pylist(), batch.column("content").to_pylist(), strict=True):
-                held: list[tuple] = []
-                size = 0
-                for kind, url, body in archive_records(content):
+                zipped = content[:2] == b"\x1f\x8b"
+                found = warc.members(pa.BufferReader(content), 0, len(content)) if zipped else warc.plain(io.BytesIO(content))
+                for at, kind, url, body in found:
                     if record_type in (None, kind) or kind == DAMAGED:
-                        held.append((name, kind, url, body))
-                        size += len(body)
-                    if size > 8 << 20:
-                        yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*held, strict=True), kinds, strict=True)], names)
-                        held, size = [], 0
-                if held:
-                    yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*held, strict=True), kinds, strict=True)], names)
-
-    return files.mapInArrow(split, RECORD)
+                        yield warc.batch_of([(name, kind, url, body, at)])
+
+    return files.mapInArrow(split, warc.SCHEMA)
 
 
 def read_wet(spark: SparkSession, path: str) -> DataFrame:
