@@ -4,40 +4,52 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from quillmill.functions.text import mask_pii
+from quillmill.functions.text import let, mask_pii
 
 #: ASCII white space, as \\s has it.
 BLANKS = " \t\n\x0b\f\r"
-#: Matches that are counted, each in one pass that can't backtrack: a word, a word with a letter in it, dots that end a line.
-_WORD, _ALPHA_WORD, _ELLIPSIS = r"\S++", r"(?<!\S)[^\s\p{L}]*+\p{L}\S*+", r"\.\.\.[^\S\n]*+(?=\n|\z)"
+#: Few matches each, and nothing to backtrack: a word without a letter between single blanks, dots that end a line.
+_NO_LETTER, _ELLIPSIS = r" [^ \p{L}]++(?= )", r"\.\.\.[^\S\n]*+(?=\n|\z)"
 
 
-def quality_counts(text: Column) -> dict[str, Column]:
-    """What the metrics are ratios of: words, words with a letter, characters of words, lines, lines that end in dots."""
-    count = lambda t, pattern: F.regexp_count(t, F.lit(pattern)).cast("long")
-    body = F.when(text.endswith("\n"), F.substring(text, F.lit(1), F.length(text) - 1)).otherwise(text)
-    return {
-        "n_words": count(text, _WORD), "_alpha": count(text, _ALPHA_WORD), "_chars": F.length(F.translate(text, BLANKS, "")).cast("long"),
-        "_lines": count(body, "\n") + 1, "_dotted": count(body, _ELLIPSIS),
-    }
+def quality(text: Column) -> Column:
+    """A struct of every metric and ``gopher_pass`` by the published bounds (all inclusive), from one run over the text.
 
+    White space is brought to single blanks once; words, characters and lines are then differences of lengths, and only what
+    is rare is matched. The struct is one expression, so no filter that is pushed down repeats the scans.
+    """
+
+    def count(t: Column, letter: str) -> Column:
+        return (F.length(t) - F.length(F.replace(t, F.lit(letter), F.lit("")))).cast("long")
+
+    def counted(words: Column) -> Column:
+        n = F.when(words == "", F.lit(0).cast("long")).otherwise(count(words, " ") + 1)
+        body = F.when(text.endswith("\n"), F.substring(text, F.lit(1), F.length(text) - 1)).otherwise(text)
+        plain = F.regexp_count(F.concat(F.lit(" "), words, F.lit(" ")), F.lit(_NO_LETTER)).cast("long")
+        lines = F.regexp_count(body, F.lit(_ELLIPSIS)).cast("long")
+        return F.struct(n.alias("n"), F.length(F.replace(words, F.lit(" "), F.lit(""))).alias("chars"), F.when(n > 0, n - plain).otherwise(F.lit(0)).alias("alpha"), lines.alias("dotted"), (count(body, "\n") + 1).alias("lines"))
+
+    def shared(q: Column) -> Column:
+        share = lambda part, of: F.when(q[of] > 0, q[part] / q[of]).otherwise(F.lit(0.0))
+        return F.struct(q["n"].alias("n_words"), share("chars", "n").alias("mean_word_len"), share("dotted", "lines").alias("ellipsis_ratio"), share("alpha", "n").alias("alpha_ratio"))
 
-def quality_metrics() -> dict[str, Column]:
-    """mean_word_len, ellipsis_ratio, alpha_ratio from the counts."""
-    share = lambda part, of: F.when(F.col(of) > 0, F.col(part) / F.col(of)).otherwise(F.lit(0.0))
-    return {"mean_word_len": share("_chars", "n_words"), "ellipsis_ratio": share("_dotted", "_lines"), "alpha_ratio": share("_alpha", "n_words")}
+    def judged(m: Column) -> Column:
+        good = m["n_words"].between(50, 100_000) & m["mean_word_len"].between(3.0, 10.0) & (m["ellipsis_ratio"] <= 0.3) & (m["alpha_ratio"] >= 0.8)
+        return F.struct(*[m[c].alias(c) for c in METRICS], good.alias("gopher_pass"))
+
+    return let(F.trim(F.regexp_replace(text, r"\s+", " ")), lambda words: let(counted(words), lambda q: let(shared(q), judged)))
+
+
+METRICS = ("n_words", "mean_word_len", "ellipsis_ratio", "alpha_ratio")
 
 
 def with_quality(docs: DataFrame, text: str = "text") -> DataFrame:
-    """Every metric as a column, and ``gopher_pass`` by the published bounds (all inclusive)."""
-    out = docs.withColumns(quality_counts(F.coalesce(F.col(text), F.lit("")))).withColumns(quality_metrics()).drop("_alpha", "_chars", "_lines", "_dotted")
-    return out.withColumn(
-        "gopher_pass",
-        F.col("n_words").between(50, 100_000) & F.col("mean_word_len").between(3.0, 10.0) & (F.col("ellipsis_ratio") <= 0.3) & (F.col("alpha_ratio") >= 0.8),
-    )
+    """Every metric as a column, and ``gopher_pass``; a null text is empty."""
+    scored = docs.withColumn("_quality", quality(F.coalesce(F.col(text), F.lit(""))))
+    return scored.withColumns({c: F.col(f"_quality.{c}") for c in (*METRICS, "gopher_pass")}).drop("_quality")
 
 
 @dataclass(frozen=True)
@@ -93,5 +105,4 @@ def kept_and_masked(cascaded: DataFrame) -> DataFrame:
 def funnel(cascaded: DataFrame) -> DataFrame:
     """``reason, n, pct`` with kept rows as reason kept; an empty input has no rows."""
     counts = cascaded.groupBy(F.coalesce("discard_reason", F.lit("kept")).alias("reason")).agg(F.count("*").alias("n"))
-    total = cascaded.agg(F.count("*").alias("total"))
-    return counts.join(F.broadcast(total)).select("reason", "n", (F.col("n") / F.greatest("total", F.lit(1))).alias("pct"))
+    return counts.select("reason", "n", (F.col("n") / F.sum("n").over(Window.partitionBy())).alias("pct"))  # over a row for each reason

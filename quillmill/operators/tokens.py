@@ -65,6 +65,39 @@ def packed_sequences(stream: DataFrame, length: int, ids: str = "ids") -> DataFr
     return whole.select("sequence_id", F.slice("x", 1, length).alias("input_ids"), F.slice("x", 2, length).alias("labels"))
 
 
+def random_windows(blocks: DataFrame, length: int, count: int, seed: int = 42) -> DataFrame:
+    """``window, start, x, y``: ``count`` windows at random places of the whole stream, y one to the right of x.
+
+    ``blocks``: what ``write_token_blocks`` has written. Starts are drawn from [0, n - length) by hash. A window is cut at
+    the blocks it touches and meets these by number; folders that no window touches aren't read, and of a block that is, only
+    the window's bytes go on. Windows run over the ends of documents and files. A stream of ``length`` tokens or fewer has none.
+    """
+    found = blocks.agg(F.sum("n").cast("long").alias("n"), F.max("n").cast("long").alias("size"), F.min(F.octet_length("data") / F.col("n")).cast("int").alias("width")).first()
+    spark = blocks.sparkSession
+    if not found["n"] or found["n"] <= length:
+        return spark.createDataFrame([], "window long, start long, x array<int>, y array<int>")
+    size, width = found["size"], found["width"]
+    files = blocks.where(f"n = {size}").groupBy("file").agg(F.count("*").alias("k")).agg(F.max("k")).first()[0]
+    drawn = F.conv(F.substring(F.md5(F.concat_ws(":", F.lit(str(seed)), F.col("id").cast("string"))), 1, 15), 16, 10).cast("long")
+    starts = spark.range(count).select(F.col("id").alias("window"), F.pmod(drawn, F.lit(found["n"] - length)).alias("start"))
+    first, last = F.floor(F.col("start") / size), F.floor((F.col("start") + length) / size)
+    touched = starts.select("window", "start", F.explode(F.sequence(first, last)).alias("block"))
+    touched = touched.withColumn("file", F.floor(F.col("block") / files).cast(blocks.schema["file"].dataType)).where("file >= 0")
+    low = F.greatest(F.col("start") - F.col("block") * size, F.lit(0)).cast("int")
+    high = F.least(F.col("start") + length + 1 - F.col("block") * size, F.lit(size)).cast("int")
+    parts = touched.join(blocks, ["file", "block"]).select("window", "start", "block", F.substring("data", low * width + 1, (high - low) * width).alias("part"))
+    whole = parts.groupBy("window", "start").agg(F.array_sort(F.collect_list(F.struct("block", "part"))).alias("parts"))
+    whole = whole.select("window", "start", F.aggregate("parts", F.lit(b""), lambda out, p: F.concat(out, p["part"])).alias("data"))
+
+    def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            ids = [np.frombuffer(data, f"<u{width}").astype(np.int32) for data in batch.column("data").to_pylist()]
+            arrays = [pa.array(x, pa.list_(pa.int32())) for x in ([i[:-1] for i in ids], [i[1:] for i in ids])]
+            yield pa.RecordBatch.from_arrays([batch.column("window"), batch.column("start"), *arrays], ["window", "start", "x", "y"])
+
+    return whole.mapInArrow(read, "window long, start long, x array<int>, y array<int>")
+
+
 def context_windows(ids: Column, start: Column, length: int) -> Column:
     """x and y = x one to the right, from a 0-based start."""
     return F.struct(F.slice(ids, start + 1, length).alias("x"), F.slice(ids, start + 2, length).alias("y"))

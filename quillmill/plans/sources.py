@@ -2,14 +2,18 @@
 
 from __future__ import annotations
 
+import hashlib
 import uuid
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quillmill.operators import tokens
 from quillmill.plans.registry import Catalog
+from quillmill.plans.tokens import _STREAM as STREAM_SQL
+from quillmill.plans.tokens import _with_end as ids_with_end
 from quillmill.sources import readers as R
 from quillmill.sources import sinks as S
 from quillmill.sources import warc
@@ -193,39 +197,59 @@ def copy_representatives(docs):
     return spark.read.schema("doc_id long, text string").json(path).select("doc_id", _digest())
 
 
-_LENGTH_IDS = r"list_concat(list_transform(list_filter(string_split_regex(text, '\s+'), lambda x: x <> ''), lambda w: length(w)::INTEGER), [50256])"
+_TOKENS = f"SELECT row_number() OVER (ORDER BY doc_id, i) - 1 AS pos, token FROM (SELECT doc_id, unnest(ids) AS token, generate_subscripts(ids, 1) AS i FROM ({STREAM_SQL}))"
 
 
-@query("token_files", "documents", sql=f"""WITH t AS (SELECT row_number() OVER (ORDER BY doc_id, i) - 1 AS pos, token FROM (SELECT doc_id, unnest(ids) AS token, generate_subscripts(ids, 1) AS i FROM (SELECT doc_id, {_LENGTH_IDS} AS ids FROM documents)))
-SELECT (pos // 4096)::BIGINT AS chunk, count(*)::BIGINT AS n, md5(string_agg(token, ' ' ORDER BY pos)) AS tokens_md5 FROM t GROUP BY 1""")
-def token_files(docs):
-    """Ordered token files, written and read back; word lengths stand for ids, which is all the same to a file."""
-    spark, path = docs.sparkSession, _folder(docs.sparkSession, "tokens")
-    S.write_tokens(_stream(docs), path, 4096)
-    chunks = spark.read.parquet(path).groupBy("chunk").agg(F.array_sort(F.collect_list(F.struct("at", F.hex("data").alias("h")))).alias("x"))
-    digits = F.array_join(F.transform("x", lambda p: p["h"]), "")
-    ids = F.transform(F.sequence(F.lit(0), (F.length("h") / 4 - 1).cast("int")), lambda i: F.conv(F.concat(F.substring("h", i * 4 + 3, 2), F.substring("h", i * 4 + 1, 2)), 16, 10))
-    return chunks.select("chunk", digits.alias("h")).select("chunk", (F.length("h") / 4).cast("long").alias("n"), F.md5(F.array_join(ids, " ")).alias("tokens_md5"))
+def _decoded(rows: DataFrame, key: str) -> DataFrame:
+    """``key, n, tokens_md5`` of little-endian 16-bit ids."""
 
+    def decode(batches):
+        for batch in batches:
+            ids = [np.frombuffer(data, "<u2").tolist() for data in batch.column("data").to_pylist()]
+            digests = [hashlib.md5(" ".join(map(str, i)).encode()).hexdigest() for i in ids]
+            yield pa.RecordBatch.from_arrays([batch.column(key), pa.array([len(i) for i in ids], pa.int64()), pa.array(digests)], [key, "n", "tokens_md5"])
 
-def _stream(docs):
-    words = F.filter(F.split("text", r"\s+"), lambda w: w != "")
-    return tokens.token_stream(docs.select("doc_id", tokens.with_end(F.transform(words, lambda w: F.length(w))).alias("ids")))
+    return rows.select(key, "data").mapInArrow(decode, f"{key} long, n long, tokens_md5 string")
 
 
-@query("token_exports", "documents", sql=f"""SELECT unnest([0, 128]) AS header, (2 * sum(len(ids)) + unnest([0, 128]))::BIGINT AS n_bytes, sum(list_sum(ids))::BIGINT AS total FROM (SELECT doc_id, {_LENGTH_IDS} AS ids FROM documents)""")
+@query("token_files", "documents", sql=f"SELECT (pos // 4096)::BIGINT AS block, count(*)::BIGINT AS n, md5(string_agg(token, ' ' ORDER BY pos)) AS tokens_md5 FROM ({_TOKENS}) GROUP BY 1")
+def token_files(docs):
+    """The stream as blocks of 4,096 ids in several files, read back."""
+    spark, path = docs.sparkSession, _folder(docs.sparkSession, "tokens")
+    S.write_token_blocks(tokens.token_stream(ids_with_end(docs)), path, 4096, 16)
+    return _decoded(spark.read.parquet(path), "block")
+
+
+@query("token_exports", "documents", sql=f"""WITH t AS (SELECT pos // 65536 AS file, count(*) AS n, sum(token) AS total FROM ({_TOKENS}) GROUP BY 1)
+SELECT printf('tokens-%06d.%s', file::BIGINT, kind) AS file, (file * 65536)::BIGINT AS start, n::BIGINT AS n, (2 * n + header)::BIGINT AS n_bytes, total::BIGINT AS total FROM t, (VALUES ('bin', 0), ('npy', 128)) v(kind, header)""")
 def token_exports(docs):
-    """One file without and one with a header: its bytes, and the sum of the tokens after the header."""
+    """Files to be mapped into memory, without and with a header: the index, their bytes, and the sum of the ids after the header."""
     spark, path = docs.sparkSession, _folder(docs.sparkSession, "export")
-    S.write_tokens(_stream(docs), f"{path}/parts")
-    S.export_token_bin(spark, f"{path}/parts", f"{path}/whole/tokens.bin")
-    S.export_npy(spark, f"{path}/parts", f"{path}/whole/tokens.npy")
-    files = spark.read.format("binaryFile").load(f"{path}/whole")
-    header = F.when(F.col("path").endswith(".npy"), 128).otherwise(0)
-    pairs = files.select(header.alias("header"), F.col("length").alias("n_bytes"), F.hex(F.substring("content", header + 1, F.length("content"))).alias("h"))
-    each = lambda i: F.conv(F.concat(F.substring("h", i * 4 + 3, 2), F.substring("h", i * 4 + 1, 2)), 16, 10).cast("long")
-    ids = F.transform(F.sequence(F.lit(0), (F.length("h") / 4 - 1).cast("int")), each)
-    return pairs.select("header", "n_bytes", F.aggregate(ids, F.lit(0).cast("long"), lambda a, v: a + v).alias("total"))
+    S.write_token_blocks(tokens.token_stream(ids_with_end(docs)), f"{path}/blocks", 4096, 16)
+    index = [S.export_token_files(spark, f"{path}/blocks", f"{path}/{kind}", kind == "npy") for kind in ("bin", "npy")]
+
+    def summed(batches):
+        for batch in batches:
+            data = batch.column("content").to_pylist()
+            names = [p.rsplit("/", 1)[1] for p in batch.column("path").to_pylist()]
+            totals = [int(np.frombuffer(d, "<u2", offset=128 * n.endswith(".npy")).sum(dtype=np.int64)) for n, d in zip(names, data, strict=True)]
+            yield pa.RecordBatch.from_arrays([pa.array(names), pa.array([len(d) for d in data], pa.int64()), pa.array(totals, pa.int64())], ["file", "n_bytes", "total"])
+
+    files = spark.read.format("binaryFile").load([f"{path}/bin", f"{path}/npy"]).select("path", "content").mapInArrow(summed, "file string, n_bytes long, total long")
+    return index[0].unionByName(index[1]).join(files, "file")
+
+
+@query("random_windows", "documents", sql=f"""WITH t AS ({_TOKENS}), n AS (SELECT count(*) AS n, (SELECT count(*) FROM documents) AS k FROM t),
+s AS (SELECT w, ('0x' || substr(md5('42:' || w), 1, 15))::BIGINT % (n - 64) AS start FROM n, (SELECT unnest(range((SELECT k FROM n))) AS w))
+SELECT w::BIGINT AS "window", start, md5(string_agg(token, ' ' ORDER BY pos) FILTER (pos < start + 64)) AS x_md5, md5(string_agg(token, ' ' ORDER BY pos) FILTER (pos > start)) AS y_md5
+FROM s JOIN t ON t.pos BETWEEN s.start AND s.start + 64 GROUP BY ALL""")
+def random_windows(docs):
+    """As many windows as there are documents, anywhere in the stream, over the ends of documents, blocks and files."""
+    spark, path = docs.sparkSession, _folder(docs.sparkSession, "windows")
+    S.write_token_blocks(tokens.token_stream(ids_with_end(docs)), path, 4096, 16)
+    found = tokens.random_windows(spark.read.parquet(path), 64, docs.count())
+    digest = lambda c: F.md5(F.array_join(F.transform(c, lambda v: v.cast("string")), " ")).alias(f"{c}_md5")
+    return found.select("window", "start", digest("x"), digest("y"))
 
 
 @query("write_eval", "conversations", sql="SELECT 'records' AS part, count(*)::BIGINT AS n FROM conversations UNION ALL SELECT 'summary', count(DISTINCT role)::BIGINT FROM conversations")

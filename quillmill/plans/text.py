@@ -2,12 +2,16 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from quillmill.functions import text as T
 from quillmill.functions.html import extract_text_udf
 from quillmill.operators import quality as Q
 from quillmill.plans.registry import Catalog
+from quillmill.session import shared_folder
+from quillmill.sources import sinks as S
 
 query = Catalog()
 
@@ -142,6 +146,16 @@ def filter_funnel(docs, labels):
     return Q.funnel(Q.discard_reason(_scored(docs, labels))).select("reason", "n", F.round("pct", 6).alias("pct"))
 
 
+@query("funnel_written", "documents", "labels", sql=f"""SELECT coalesce(reason, 'kept') AS reason, count(*)::BIGINT AS n, round(count(*) / (sum(count(*)) OVER ())::DOUBLE, 6) AS pct,
+ CASE WHEN reason IS NULL THEN count(*)::BIGINT END AS written FROM ({_REASON}) GROUP BY reason""")
+def funnel_written(docs, labels):
+    """The funnel as it is counted by the pass that writes what is kept, beside the number of rows then found there."""
+    spark, path = docs.sparkSession, f"{shared_folder(docs.sparkSession)}/funnel-{uuid.uuid4().hex}"
+    report = S.write_kept(Q.discard_reason(_scored(docs, labels)), path)
+    n = spark.read.json(path).agg(F.count("*").alias("k"))
+    return report.join(n).select("reason", "n", F.round("pct", 6).alias("pct"), F.when(F.col("reason") == "kept", F.col("k")).alias("written"))
+
+
 @query("filter_funnel_batched", "documents", "labels", sql=f"SELECT coalesce(reason, 'kept') AS reason, count(*)::BIGINT AS n FROM ({_BATCHED_REASON}) GROUP BY 1")
 def filter_funnel_batched(docs, labels):
     return Q.funnel(Q.discard_reason(_scored(docs, labels), Q.BATCHED)).select("reason", "n")

@@ -8,11 +8,13 @@ from contextlib import contextmanager
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 from quillmill.functions.text import fasttext_line
 from quillmill.operators.dedup import drop_duplicates_of
+from quillmill.operators.quality import REASONS
+from quillmill.sources.rawfiles import write_files
 
 
 def write_jsonl(df: DataFrame, path: str, *partition_by: str) -> None:
@@ -25,11 +27,94 @@ def write_fasttext(df: DataFrame, label: Column, text: Column, path: str) -> Non
 
 
 def rewrite_without(df: DataFrame, ids: DataFrame, key: str, path: str) -> DataFrame:
-    """Write the rows whose key isn't among ``ids``; one row (kept, removed)."""
-    kept = df.join(ids, key, "left_anti")
-    write_jsonl(kept, path)
-    total = df.agg(F.count("*").alias("total"))
-    return df.sparkSession.read.json(path).agg(F.count("*").alias("kept")).join(F.broadcast(total)).select("kept", (F.col("total") - F.col("kept")).alias("removed"))
+    """Write the rows whose key isn't among ``ids``; one row (kept, removed), counted by the pass that writes."""
+    counts = Observation()
+    gone = F.col("_gone").isNotNull()
+    marked = df.join(ids.select(key).where(F.col(key).isNotNull()).distinct().withColumn("_gone", F.lit(True)), key, "left")
+    marked = marked.observe(counts, F.count_if(~gone).alias("kept"), F.count_if(gone).alias("removed"))
+    write_jsonl(marked.where(~gone).drop("_gone"), path)
+    found = counts.get
+    return df.sparkSession.createDataFrame([(found["kept"], found["removed"])], "kept long, removed long")
+
+
+def write_kept(cascaded: DataFrame, path: str) -> DataFrame:
+    """Write the rows that pass a cascade; ``reason, n, pct`` of all rows, counted by the same pass."""
+    counts = Observation()
+    seen = cascaded.observe(
+        counts, F.count("*").alias("total"), F.count_if(F.col("discard_reason").isNull()).alias("kept"), *[F.count_if(F.col("discard_reason") == r).alias(r) for r in REASONS]
+    )
+    write_jsonl(seen.where(F.col("discard_reason").isNull()).drop("discard_reason"), path)
+    found = counts.get
+    rows = [(reason, found[reason], found[reason] / found["total"]) for reason in ("kept", *REASONS) if found[reason]]
+    return cascaded.sparkSession.createDataFrame(rows, "reason string, n long, pct double")
+
+
+#: Tokens of a block, which is a row, and blocks of a file.
+BLOCK_TOKENS, FILE_BLOCKS = 1 << 16, 256
+
+
+def write_token_blocks(stream: DataFrame, path: str, block: int = BLOCK_TOKENS, blocks: int = FILE_BLOCKS, dtype: str = "<u2") -> None:
+    """The stream for access by position: rows ``block, n, data`` of ``block`` tokens each (the last one fewer), in folders ``file=``.
+
+    ``stream``: start, ids. A document is cut where blocks end; blocks are put together side by side, none is larger than itself.
+    """
+    first, last = F.floor(F.col("start") / block), F.floor((F.col("start") + F.size("ids") - 1) / block)
+    cut = stream.where(F.size("ids") > 0).select("start", "ids", F.explode(F.sequence(first, last)).alias("block"))
+    low = F.greatest(F.col("block") * block - F.col("start"), F.lit(0)).cast("int")
+    high = F.least((F.col("block") + 1) * block - F.col("start"), F.size("ids").cast("long")).cast("int")
+    parts = cut.select(F.floor(F.col("block") / blocks).alias("file"), "block", (F.col("start") + low).alias("at"), F.slice("ids", low + 1, high - low).alias("part"))
+    most = np.iinfo(dtype).max
+
+    def put_together(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[np.ndarray] = []
+        here = None
+
+        def row() -> pa.RecordBatch:
+            ids = np.concatenate(held)
+            if len(ids) and (ids.min() < 0 or ids.max() > most):
+                raise ValueError(f"an id doesn't fit {dtype}")
+            return pa.RecordBatch.from_arrays([pa.array([here[0]]), pa.array([here[1]]), pa.array([len(ids)], pa.int32()), pa.array([ids.astype(dtype).tobytes()], pa.binary())], ["file", "block", "n", "data"])
+
+        for batch in batches:
+            ids = batch.column("part")
+            ends = np.cumsum(ids.value_lengths().to_numpy(zero_copy_only=False))
+            values = ids.flatten().to_numpy(zero_copy_only=False)
+            for file, number, low, high in zip(batch.column("file").to_pylist(), batch.column("block").to_pylist(), [0, *ends[:-1].tolist()], ends.tolist(), strict=True):
+                if here is not None and here != (file, number):
+                    yield row()
+                    held = []
+                here = file, number
+                held.append(values[low:high].copy())
+        if here is not None:
+            yield row()
+
+    rows = parts.repartition("file").sortWithinPartitions("file", "block", "at").select("file", "block", "part").mapInArrow(put_together, "file long, block long, n int, data binary")
+    rows.write.mode("overwrite").partitionBy("file").parquet(path)
+
+
+def export_token_files(spark: SparkSession, path: str, out: str, npy: bool = False, dtype: str = "<u2") -> DataFrame:
+    """Each file of blocks as one file that trainers map into memory, headerless or with a NumPy header; executors write them.
+
+    Returns the index ``file, start, n``: where each one's tokens stand in the stream.
+    """
+    blocks = spark.read.parquet(path)
+    name = F.format_string("tokens-%06d." + ("npy" if npy else "bin"), F.col("file").cast("long"))
+    index = blocks.groupBy(F.col("file").cast("long").alias("file")).agg(F.sum("n").alias("n"), F.min("block").alias("first"))
+    rows = blocks.select(name.alias("file"), "block", "data")
+    if npy:
+        def headers(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                made = []
+                for n in batch.column("n").to_pylist():
+                    header = io.BytesIO()
+                    np.lib.format.write_array_header_1_0(header, {"descr": dtype, "fortran_order": False, "shape": (n,)})
+                    made.append(header.getvalue())
+                yield pa.RecordBatch.from_arrays([batch.column("file"), pa.array([-1] * len(made), pa.int64()), pa.array(made, pa.binary())], ["file", "block", "data"])
+
+        rows = rows.unionByName(index.select(name.alias("file"), "n").mapInArrow(headers, "file string, block long, data binary"))
+    write_files(rows, out, "block")
+    size = blocks.agg(F.max("n")).first()[0] or 0
+    return index.select(name.alias("file"), (F.col("first") * size).alias("start"), "n")
 
 
 def write_tokens(stream: DataFrame, path: str, tokens_per_file: int = 1 << 24) -> None:

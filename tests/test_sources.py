@@ -2,6 +2,7 @@ import gzip
 import json
 
 import numpy as np
+import pytest
 from pyspark.sql import functions as F
 
 from quillmill.operators import tokens
@@ -63,3 +64,61 @@ def test_rewrite_without(spark, tmp_path):
     docs = spark.range(10).select(F.col("id").alias("doc_id"), F.lit("x").alias("text"))
     got = S.rewrite_without(docs, spark.createDataFrame([(3,), (4,)], "doc_id long"), "doc_id", str(tmp_path / "o")).first()
     assert (got["kept"], got["removed"]) == (8, 2)
+
+
+def test_token_blocks_and_files(spark, tmp_path):
+    """Blocks of one size, files of several, exports with an index; an id that doesn't fit raises."""
+    docs = spark.createDataFrame([(i, [i * 10 + j for j in range(i % 9)]) for i in range(80)], "doc_id long, ids array<int>")
+    want = [i * 10 + j for i in range(80) for j in range(i % 9)]
+    S.write_token_blocks(tokens.token_stream(docs.repartition(5)), str(tmp_path / "b"), 16, 3)
+    blocks = spark.read.parquet(str(tmp_path / "b"))
+    rows = blocks.orderBy("block").collect()
+    assert [r["n"] for r in rows[:-1]] == [16] * (len(rows) - 1) and [r["file"] for r in rows] == [r["block"] // 3 for r in rows]
+    assert np.concatenate([np.frombuffer(r["data"], "<u2") for r in rows]).tolist() == want
+    for npy in (False, True):
+        index = S.export_token_files(spark, str(tmp_path / "b"), str(tmp_path / f"e{npy}"), npy).orderBy("start").collect()
+        read = [(np.load(tmp_path / f"e{npy}" / r["file"], mmap_mode="r") if npy else np.memmap(tmp_path / f"e{npy}" / r["file"], "<u2", "r")) for r in index]
+        assert [len(x) for x in read] == [r["n"] for r in index] and [r["start"] for r in index] == [48 * i for i in range(len(index))]
+        assert np.concatenate(read).tolist() == want
+    big = spark.createDataFrame([(0, 0, [1, 70_000])], "doc_id long, start long, ids array<int>")
+    with pytest.raises(Exception, match="doesn't fit"):
+        S.write_token_blocks(big, str(tmp_path / "big"))
+    S.write_token_blocks(big, str(tmp_path / "big"), dtype="<u4")
+    x = tokens.random_windows(spark.read.parquet(str(tmp_path / "big")), 1, 3).collect()
+    assert [(r["start"], r["x"], r["y"]) for r in x] == [(0, [1], [70_000])] * 3
+
+
+def test_random_windows(spark, tmp_path):
+    docs = spark.createDataFrame([(i, [i * 10 + j for j in range(i % 9)]) for i in range(80)], "doc_id long, ids array<int>")
+    want = [i * 10 + j for i in range(80) for j in range(i % 9)]
+    S.write_token_blocks(tokens.token_stream(docs), str(tmp_path / "b"), 16, 3)
+    blocks = spark.read.parquet(str(tmp_path / "b"))
+    for length in (1, 7, 40):
+        got = tokens.random_windows(blocks, length, 500).collect()
+        assert len(got) == 500 and all(r["x"] == want[r["start"] : r["start"] + length] and r["y"] == want[r["start"] + 1 : r["start"] + length + 1] for r in got)
+        starts = [r["start"] for r in got]
+        assert 0 <= min(starts) < 30 and len(want) - length - 30 < max(starts) < len(want) - length and len(set(starts)) > 150
+    assert got != tokens.random_windows(blocks, 40, 500, seed=7).collect()
+    assert tokens.random_windows(blocks, len(want), 5).count() == 0 and tokens.random_windows(blocks, len(want) - 1, 5).count() == 5
+    plan = tokens.random_windows(blocks, 7, 5)._jdf.queryExecution().toString()
+    assert "dynamicpruning" in plan
+    S.write_token_blocks(tokens.token_stream(docs.limit(0)), str(tmp_path / "none"))
+    assert tokens.random_windows(spark.createDataFrame([], "file int, block long, n int, data binary"), 3, 5).count() == 0
+
+
+def test_counts_come_from_the_pass_that_writes(spark, tmp_path):
+    """One job reads the input once: a row counted is a row that went by."""
+    from quillmill.operators import quality
+
+    docs = spark.createDataFrame([(i, "word " * (10 * i), "en" if i % 3 else "de") for i in range(30)] + [(None, None, "en")], "doc_id long, text string, lang string")
+    scores = {"lang_score": F.lit(1.0), "nsfw_score": F.lit(0.0), "toxic_score": F.lit(0.0), "quality": F.lit("high"), "quality_score": F.lit(1.0)}
+    judged = quality.discard_reason(docs.withColumns(scores))
+    report = {r["reason"]: r["n"] for r in S.write_kept(judged, str(tmp_path / "kept")).collect()}
+    want = {r["reason"]: r["n"] for r in quality.funnel(judged).collect()}
+    assert report == want and spark.read.json(str(tmp_path / "kept")).count() == want["kept"]
+    assert quality.funnel(judged.limit(0)).count() == 0 and S.write_kept(judged.limit(0), str(tmp_path / "none")).count() == 0
+    scans = quality.funnel(judged.where("doc_id >= 0"))._jdf.queryExecution().optimizedPlan().toString()
+    assert scans.count("LogicalRDD") == 1
+    ids = spark.createDataFrame([(3,), (3,), (None,), (99,)], "doc_id long")
+    assert tuple(S.rewrite_without(docs, ids, "doc_id", str(tmp_path / "o")).first()) == (30, 1)
+    assert spark.read.json(str(tmp_path / "o")).count() == 30
