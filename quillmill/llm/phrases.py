@@ -32,7 +32,7 @@ LEAST_COUNT = 10
 INSIDE_PERCENT = 50
 TOP = 2000
 #: Bytes of text in a shard.
-SHARD_BYTES = 12 << 20
+SHARD_BYTES = 8 << 20
 #: Frequent pairs that are sent to every task, 8 bytes each.
 MOST_PAIRS = 4_000_000
 
@@ -53,13 +53,14 @@ class PhraseAutomaton:
 
     def __init__(self, ids: np.ndarray, piece: np.ndarray, depth: int) -> None:
         self.ids = ids
-        inside = np.minimum(np.arange(len(ids)) - np.searchsorted(piece, piece), depth - 1)  # words before it in its piece
+        begins = np.flatnonzero(np.diff(piece, prepend=-1))
+        inside = np.arange(len(ids), dtype=np.int32) - np.repeat(begins, np.diff(np.append(begins, len(ids)))).astype(np.int32)  # words before it in its piece
         self.count, self.link, self.end = [], [], []
-        level = ids.astype(np.int64)
+        level = ids.astype(np.int32)
         for d in range(depth):
             if d:
                 at = np.flatnonzero(inside >= d)
-                key = level[at] << 32 | ids[at - d]
+                key = level[at].astype(np.int64) << 32 | ids[at - d]
             else:
                 at, key = np.arange(len(ids)), level
             order = np.argsort(key, kind="stable")
@@ -68,9 +69,10 @@ class PhraseAutomaton:
             self.count.append(np.diff(np.append(first, len(at))))
             self.end.append(at[order[first]])
             self.link.append(level[self.end[-1]])
-            below = np.full(len(ids), -1, np.int64)
-            below[at[order]] = np.repeat(np.arange(len(first)), self.count[-1])
+            below = np.full(len(ids), -1, np.int32)
+            below[at[order]] = np.repeat(np.arange(len(first), dtype=np.int32), self.count[-1])
             level = below
+            del at, key, order, ordered
 
     def states(self) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
         """Longest length, shortest length, count and an end of each state, by longest length."""
@@ -100,7 +102,7 @@ def _words(texts: list[bytes]) -> tuple[pa.Array, np.ndarray, np.ndarray]:
     offsets = np.zeros(len(starts) + 1, np.int32)
     np.cumsum(ends - starts, out=offsets[1:])
     words = pa.Array.from_buffers(pa.binary(), len(starts), [None, pa.py_buffer(offsets), pa.py_buffer(data[~blank])]).dictionary_encode()
-    return words.dictionary, words.indices.to_numpy(), np.cumsum(_BREAK[data], dtype=np.int64)[starts]
+    return words.dictionary, words.indices.to_numpy(), np.searchsorted(np.flatnonzero(_BREAK[data]), starts).astype(np.int32)
 
 
 def _phrase(names: pa.Array, ids: np.ndarray, ends: np.ndarray, length: int) -> pa.Array:
@@ -146,7 +148,7 @@ def _counted(batches: Iterator[pa.RecordBatch], limit: int, lengths: tuple[int,
             pairs, known = pair_hashes(hashes[:-1], hashes[1:]), frequent.get(lang, np.empty(0, np.uint64))
             at = np.searchsorted(known, pairs)
             stays = (known[np.minimum(at, max(len(known) - 1, 0))] == pairs if len(known) else np.zeros(len(pairs), bool)) & (piece[1:] == piece[:-1])
-            piece = np.concatenate([[0], np.cumsum(~stays)])
+            piece = np.concatenate([[0], np.cumsum(~stays)]).astype(np.int32)
         automaton = PhraseAutomaton(ids, piece, lengths[1])
         for length in range(lengths[0], lengths[1] + 1):
             ends, count = automaton.substrings(length)
