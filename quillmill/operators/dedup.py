@@ -10,7 +10,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from quillmill.functions.text import let, line_hash, normalize_text, word_ngrams, words
+from quillmill.functions.grams import gram_lists
+from quillmill.functions.text import line_hash, normalize_text, word_ngrams, words
 from quillmill.operators.graph import connected_components
 from quillmill.operators.skew import join_keyed, small
 from quillmill.session import cut_lineage
@@ -59,18 +60,27 @@ def gram_hash(gram: Column) -> Column:
     return F.conv(F.substring(F.md5(gram), 1, 8), 16, 10).cast("long").bitwiseAND(F.lit(PRIME))
 
 
+#: Bytes of text that are hashed at a time.
+SLICE_BYTES = 4 << 20
+
+
 def gram_sets(docs: DataFrame, n: int = 5) -> DataFrame:
     """``doc_id, hs``: the distinct word n-grams as sorted 64-bit hashes, of documents that have any.
 
-    Words are hashed once and a gram is the hash of its words' hashes, so no gram is ever spelled out.
+    Texts are normalised natively; NumPy then hashes all words of a batch, and rolls these hashes into those of the
+    grams, so no gram is ever spelled out.
     """
 
-    def grams(w: Column) -> Column:
-        each = F.transform(F.sequence(F.lit(1), F.size(w) - n + 1), lambda i: F.xxhash64(*[F.element_at(w, i + k) for k in range(n)]))
-        return F.when(F.size(w) >= n, F.array_sort(F.array_distinct(each)))
+    def hashed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            step = max(1, int(batch.num_rows * SLICE_BYTES / max(1, batch.nbytes)))
+            for at in range(0, batch.num_rows, step):
+                part = batch.slice(at, step)
+                yield pa.RecordBatch.from_arrays([part.column(0), gram_lists(part.column(1), n)], ["doc_id", "hs"])
 
-    hashed = F.transform(words(normalize_text(F.col("text"))), lambda w: F.xxhash64(w))
-    return docs.select("doc_id", let(hashed, grams).alias("hs")).where(F.col("hs").isNotNull())
+    key = docs.schema["doc_id"].dataType.simpleString()
+    normal = docs.select("doc_id", normalize_text(F.col("text")).alias("text"))
+    return normal.mapInArrow(hashed, f"doc_id {key}, hs array<long>").where(F.col("hs").isNotNull())
 
 
 def set_classes(sets: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -109,10 +119,15 @@ def exact_jaccard_pairs(docs: DataFrame, n: int = 5, threshold: float = 0.8) ->
 
 def verified_pairs(pairs: DataFrame, sets: DataFrame, threshold: float) -> DataFrame:
     """Exact Jaccard of candidate pairs from ``doc_id, hs`` sets."""
+    return similarities(pairs, sets).where(F.col("jaccard") >= threshold)
+
+
+def similarities(pairs: DataFrame, sets: DataFrame) -> DataFrame:
+    """``a, b, jaccard`` of any pairs."""
     left = sets.select(F.col("doc_id").alias("a"), F.col("hs").alias("ha"))
     right = sets.select(F.col("doc_id").alias("b"), F.col("hs").alias("hb"))
     shared = F.size(F.array_intersect("ha", "hb"))
-    return pairs.join(left, "a").join(right, "b").select("a", "b", (shared / (F.size("ha") + F.size("hb") - shared)).alias("jaccard")).where(F.col("jaccard") >= threshold)
+    return pairs.join(left, "a").join(right, "b").select("a", "b", (shared / (F.size("ha") + F.size("hb") - shared)).alias("jaccard"))
 
 
 def coefficients(n: int, seed: int = 42) -> list[tuple[int, int]]:
@@ -170,6 +185,43 @@ def fuzzy_pairs(docs: DataFrame, n_hashes: int = 100, bands: int = 20, n: int =
     return verified_pairs(candidates, heads, threshold).unionByName(same)
 
 
+#: Members up to which all pairs of a bucket are compared; larger ones are linked through a pivot.
+HOT_BUCKET = 32
+
+
+def bucket_links(buckets: DataFrame, sets: DataFrame, threshold: float, hot: int = HOT_BUCKET) -> DataFrame:
+    """``a, b, jaccard`` over the threshold, such that the components are those of all pairs that share a bucket.
+
+    A large bucket's members are compared with its smallest, the pivot. Who is similar to it is linked, and needs no link to
+    others that are. One minus Jaccard is a metric, so a member that isn't similar to the pivot can be similar only to those
+    whose distance to the pivot differs from its own by no more than a link may span; it is compared with these. A bucket of near
+    copies of one text costs a comparison each.
+    """
+    buckets = cut_lineage(buckets)
+    sizes = buckets.groupBy("band", "key").agg(F.count("*").alias("n"), F.min("doc_id").alias("pivot")).where("n > 1")
+    held = buckets.join(sizes, ["band", "key"])
+    few = held.where(f"n <= {int(hot)}")
+    few = few.select("band", "key", F.col("doc_id").alias("a")).join(few.select("band", "key", F.col("doc_id").alias("b")), ["band", "key"]).where("a < b").select("a", "b").distinct()
+    many = held.where(f"n > {int(hot)}").select("band", "key", "pivot", "doc_id")
+    spokes = cut_lineage(similarities(many.where("pivot != doc_id").select(F.col("pivot").alias("a"), F.col("doc_id").alias("b")).distinct(), sets))
+    linked = spokes.where(F.col("jaccard") >= threshold)
+
+    span = 1 - threshold + 1e-9
+    away = many.join(spokes.select(F.col("a").alias("pivot"), F.col("b").alias("doc_id"), (1 - F.col("jaccard")).alias("d")), ["pivot", "doc_id"], "left")
+    away = away.select("band", "key", "doc_id", F.coalesce("d", F.lit(0.0)).alias("d"), (F.coalesce("d", F.lit(0.0)) > 1 - threshold + 1e-12).alias("apart"))
+    lone = away.where("apart").select("band", "key", F.col("doc_id").alias("x"), F.col("d").alias("dx"))
+    cross = away.where("d > 0").join(lone, ["band", "key"]).where((F.abs(F.col("d") - F.col("dx")) <= span) & (F.col("doc_id") != F.col("x")) & (~F.col("apart") | (F.col("doc_id") < F.col("x"))))
+    cross = cross.select(F.least("doc_id", "x").alias("a"), F.greatest("doc_id", "x").alias("b")).distinct()
+    return verified_pairs(few.unionByName(cross).distinct(), sets, threshold).unionByName(linked)
+
+
+def fuzzy_links(docs: DataFrame, n_hashes: int = 100, bands: int = 20, n: int = 5, threshold: float = 0.8, hot: int = HOT_BUCKET) -> DataFrame:
+    """Links whose components are those of ``fuzzy_pairs``; large groups of different near copies cost their size, not its square."""
+    heads, same = set_classes(cut_lineage(gram_sets(docs, n)))
+    mixed = F.transform("hs", lambda h: F.shiftrightunsigned(h, 33).cast("long"))
+    return bucket_links(lsh_buckets(signatures_of(heads.select("doc_id", mixed.alias("ms")), n_hashes), bands), heads, threshold, hot).unionByName(same)
+
+
 def clusters(pairs: DataFrame) -> DataFrame:
     """``doc_id, cluster_id`` of every document in a pair; the smallest id represents."""
     found = connected_components(pairs, "a", "b")

@@ -99,17 +99,17 @@ r AS (SELECT a AS doc_id, a AS low FROM e UNION SELECT e.b, r.low FROM r JOIN e
 
 @query("dup_clusters", "documents", sql=f"{_CLUSTER} SELECT doc_id, min(low) AS cluster_id FROM r GROUP BY doc_id")
 def dup_clusters(docs):
-    return D.clusters(D.fuzzy_pairs(docs))
+    return D.clusters(D.fuzzy_links(docs))
 
 
 @query("dedup_kept", "documents", sql=f"{_CLUSTER} SELECT doc_id FROM documents WHERE doc_id NOT IN (SELECT doc_id FROM r WHERE low < doc_id)")
 def dedup_kept(docs):
-    return D.drop_duplicates_of(docs, D.clusters(D.fuzzy_pairs(docs))).select("doc_id")
+    return D.drop_duplicates_of(docs, D.clusters(D.fuzzy_links(docs))).select("doc_id")
 
 
 @query("dedup_stats", "documents", sql=f"{_CLUSTER} SELECT count(*)::BIGINT AS n_members, count(DISTINCT low)::BIGINT AS n_clusters, count(CASE WHEN low < doc_id THEN 1 END)::BIGINT AS n_removed FROM (SELECT doc_id, min(low) AS low FROM r GROUP BY doc_id)")
 def dedup_stats(docs):
-    c = D.clusters(D.fuzzy_pairs(docs))
+    c = D.clusters(D.fuzzy_links(docs))
     return c.agg(F.count("*").alias("n_members"), F.countDistinct("cluster_id").alias("n_clusters"), F.count(F.when(F.col("cluster_id") < F.col("doc_id"), 1)).alias("n_removed"))
 
 
