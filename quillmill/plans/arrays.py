@@ -6,8 +6,8 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from quillmill.functions import arrays as A
+from quillmill.operators import attention, blocks, tensors
 from quillmill.operators import evaluation as E
-from quillmill.operators import tensors
 from quillmill.plans.registry import Catalog
 
 query = Catalog()
@@ -120,8 +120,18 @@ _CELLS = f"SELECT vec_id, unnest({_X}) AS v, generate_subscripts(embedding, 1) -
 @query("einsum_gram", "embeddings", sql=f"SELECT a.i::INTEGER AS d, b.i::INTEGER AS e, round(sum(a.v * b.v), 5) AS value FROM ({_CELLS}) a JOIN ({_CELLS}) b USING (vec_id) GROUP BY ALL")
 def einsum_gram(embeddings):
     """Second moments of all vectors; linear in their number."""
-    x = tensors.vectors_as_tensor(embeddings, "vec_id", "embedding")
-    return tensors.einsum("n d, n e -> d e", x, x).select("d", "e", F.round("value", 5).alias("value"))
+    x = blocks.from_vectors(embeddings, "vec_id", "embedding")
+    return blocks.einsum("n d, n e -> d e", x, x).cells().select(F.col("d").cast("int").alias("d"), F.col("e").cast("int").alias("e"), F.round("value", 5).alias("value"))
+
+
+@query("einsum_outer", "embeddings", sql=f"""WITH c AS ({_CELLS}), m AS (SELECT i, sum(v) AS m FROM c GROUP BY i)
+SELECT vec_id AS n, m.i::BIGINT AS e, round(sum(c.v) * min(m.m), 4) AS value FROM c, m GROUP BY vec_id, m.i""")
+def einsum_outer(embeddings):
+    """Operands without a shared axis: every vector's sum times every component's sum over all vectors."""
+    x = blocks.from_vectors(embeddings, "vec_id", "embedding")
+    sums, columns = blocks.einsum("n d -> n", x), blocks.einsum("n d -> d", x)
+    out = blocks.einsum("n, e -> n e", sums, columns).cells().join(embeddings.select(F.col("vec_id").alias("n")), "n", "left_semi")
+    return out.select("n", "e", F.round("value", 4).alias("value"))
 
 
 @query("linear_layer", "embeddings", sql=f"""SELECT vec_id, {_checks_sql('list_transform(range(4), lambda r: list_sum(list_transform(x, lambda v, i: v * ((i - 1) * (r + 1) % 7 - 3))))')}
@@ -157,6 +167,19 @@ def attention_window(embeddings):
     return seen.select("vec_id", F.round(A.attention(F.col("x"), F.col("keys"), first)[0], 6).alias("out0"))
 
 
+@query("causal_attention", "embeddings", sql=f"""WITH h AS (SELECT vec_id, {_X} AS x FROM embeddings),
+s AS (SELECT q.vec_id AS q, k.vec_id AS k, exp(list_sum(list_transform(list_zip(q.x, k.x), lambda z: z[1] * z[2])) / 8.0) AS w FROM h q JOIN h k ON k.vec_id <= q.vec_id),
+o AS (SELECT q AS vec_id, i, sum(w * v) / sum(w) AS v FROM s JOIN (SELECT vec_id AS k, unnest(x) AS v, generate_subscripts(x, 1) AS i FROM h) USING (k) GROUP BY ALL)
+SELECT vec_id, round(sum(v * i), 5) AS weighted, round(max(v), 6) AS top FROM o GROUP BY vec_id""")
+def causal_attention(embeddings):
+    """All vectors as one sequence in order of their ids, each seeing itself and all before it; every component."""
+    x = F.col("embedding").cast("array<double>")
+    rows = embeddings.select(F.lit(0).alias("sequence"), F.col("vec_id").alias("position"), x.alias("q"), x.alias("k"), x.alias("v"))
+    out = attention.tiled_attention(rows, 64)
+    weighted = A.array_sum(F.transform("out", lambda v, i: v * (i + 1)))
+    return out.select(F.col("position").alias("vec_id"), F.round(weighted, 5).alias("weighted"), F.round(F.array_max("out"), 6).alias("top"))
+
+
 _LOGITS = "SELECT vec_id, i - 1 AS token, v AS logit FROM (SELECT vec_id, unnest(list_transform(embedding, lambda u: u::DOUBLE * 10)) AS v, generate_subscripts(embedding, 1) AS i FROM embeddings)"
 
 
