@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from quillmill.functions.text import let, mask_pii
+from quillmill.functions.tokens import treebank_tokens
 
 #: ASCII white space, as \\s has it.
 BLANKS = " \t\n\x0b\f\r"
@@ -36,19 +37,38 @@ def quality(text: Column) -> Column:
         share = lambda part, of: F.when(q[of] > 0, q[part] / q[of]).otherwise(F.lit(0.0))
         return F.struct(q["n"].alias("n_words"), share("chars", "n").alias("mean_word_len"), share("dotted", "lines").alias("ellipsis_ratio"), share("alpha", "n").alias("alpha_ratio"))
 
-    def judged(m: Column) -> Column:
-        good = m["n_words"].between(50, 100_000) & m["mean_word_len"].between(3.0, 10.0) & (m["ellipsis_ratio"] <= 0.3) & (m["alpha_ratio"] >= 0.8)
-        return F.struct(*[m[c].alias(c) for c in METRICS], good.alias("gopher_pass"))
+    return let(F.trim(F.regexp_replace(text, r"\s+", " ")), lambda words: let(counted(words), lambda q: let(shared(q), bounded)))
 
-    return let(F.trim(F.regexp_replace(text, r"\s+", " ")), lambda words: let(counted(words), lambda q: let(shared(q), judged)))
+
+def token_quality(text: Column) -> Column:
+    """The same struct over treebank tokens in place of words between blanks: marks count as words, and are short and without letters."""
+    words = treebank_tokens(text)
+
+    def judged(w: Column) -> Column:
+        n = F.size(w).cast("long")
+        share = lambda part: F.when(n > 0, part / n).otherwise(F.lit(0.0))
+        by_blanks = quality(text)
+        m = {
+            "n_words": n, "mean_word_len": share(F.length(F.array_join(w, ""))), "ellipsis_ratio": by_blanks["ellipsis_ratio"],
+            "alpha_ratio": share(F.size(F.filter(w, lambda x: x.rlike(r"\p{L}")))),
+        }
+        return let(F.struct(*[c.alias(k) for k, c in m.items()]), bounded)
+
+    return let(words, judged)
+
+
+def bounded(m: Column) -> Column:
+    """The metrics, and whether they keep the published bounds."""
+    good = m["n_words"].between(50, 100_000) & m["mean_word_len"].between(3.0, 10.0) & (m["ellipsis_ratio"] <= 0.3) & (m["alpha_ratio"] >= 0.8)
+    return F.struct(*[m[c].alias(c) for c in METRICS], good.alias("gopher_pass"))
 
 
 METRICS = ("n_words", "mean_word_len", "ellipsis_ratio", "alpha_ratio")
 
 
-def with_quality(docs: DataFrame, text: str = "text") -> DataFrame:
-    """Every metric as a column, and ``gopher_pass``; a null text is empty."""
-    scored = docs.withColumn("_quality", quality(F.coalesce(F.col(text), F.lit(""))))
+def with_quality(docs: DataFrame, text: str = "text", treebank: bool = False) -> DataFrame:
+    """Every metric as a column, and ``gopher_pass``; a null text is empty. Words lie between blanks, or are treebank tokens."""
+    scored = docs.withColumn("_quality", (token_quality if treebank else quality)(F.coalesce(F.col(text), F.lit(""))))
     return scored.withColumns({c: F.col(f"_quality.{c}") for c in (*METRICS, "gopher_pass")}).drop("_quality")
 
 

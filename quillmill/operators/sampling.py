@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable, Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -19,6 +23,66 @@ def sample_rows(df: DataFrame, key: str, k: int, seed: int = 42) -> DataFrame:
     return df.orderBy(shuffle_key(key, seed), key).limit(k)
 
 
+def _least(batches: Iterator[pa.RecordBatch], k: int) -> Iterator[pa.RecordBatch]:
+    """The k rows of least ``_order``; never more than k and a batch are held."""
+    held: pa.Table | None = None
+    for batch in batches:
+        whole = pa.Table.from_batches([batch]) if held is None else pa.concat_tables([held, pa.Table.from_batches([batch])])
+        if whole.num_rows > k:
+            order = whole.column("_order").to_numpy()
+            whole = whole.take(pa.array(np.argpartition(order, k - 1)[:k] if k else np.empty(0, np.int64)))
+        held = whole.combine_chunks()
+    if held is not None:
+        yield from held.to_batches()
+
+
+def merged_reservoirs(held: DataFrame, k: int, fan: int = 16) -> DataFrame:
+    """One reservoir of many: rows with ``_order`` are reduced to k a partition, ``fan`` partitions meet in one, and so on."""
+    schema, n = held.schema, held.rdd.getNumPartitions()
+    held = held.mapInArrow(lambda it: _least(it, k), schema)
+    while n > 1:
+        n = -(-n // fan)
+        held = held.repartition(n).mapInArrow(lambda it: _least(it, k), schema)
+    return held
+
+
+def reservoir(df: DataFrame, key: str, k: int, weight: Column | None = None, seed: int = 42) -> DataFrame:
+    """A sample of k rows without replacement, each drawn by its weight, with the ``_order`` that decided it.
+
+    One pass: every row draws an exponential of its weight, from a hash of its key, and the k least stay. Reservoirs
+    merge, so partitions keep k rows each and are merged as a tree; no table is sorted. Rows whose weight is null, zero or
+    less are never drawn.
+    """
+    bits = F.conv(F.substring(shuffle_key(key, seed), 1, 13), 16, 10).cast("double")
+    w = F.lit(1.0) if weight is None else weight.cast("double")
+    rows = df.withColumn("_order", F.when(w > 0, -F.log((bits + 0.5) / float(1 << 52)) / w)).where(F.col("_order").isNotNull())
+    return merged_reservoirs(rows, k)
+
+
+def reservoir_sink(path: str, key: str, k: int, weight: Column | None = None, seed: int = 42) -> Callable[[DataFrame, int], None]:
+    """For ``foreachBatch``: the reservoir of all batches so far, each batch's in a folder of its own.
+
+    A batch that runs again starts from the one before it, so it comes to the same; read the highest with ``read_reservoir``.
+    """
+
+    def sink(batch: DataFrame, number: int) -> None:
+        new = reservoir(batch, key, k, weight, seed)
+        old = read_reservoir(batch.sparkSession, path, number)
+        whole = new if old is None else merged_reservoirs(new.unionByName(old), k)
+        whole.write.mode("overwrite").parquet(f"{path}/batch={number}")
+
+    return sink
+
+
+def read_reservoir(spark, path: str, before: int | None = None) -> DataFrame | None:
+    """The reservoir after the last batch (before a number), or none if there was no batch."""
+    folder = spark._jvm.org.apache.hadoop.fs.Path(path)
+    store = folder.getFileSystem(spark._jsc.hadoopConfiguration())
+    names = [s.getPath().getName() for s in store.listStatus(folder)] if store.exists(folder) else []
+    done = [n for n in (int(x.removeprefix("batch=")) for x in names if x.startswith("batch=")) if before is None or n < before]
+    return spark.read.parquet(f"{path}/batch={max(done)}") if done else None
+
+
 def balanced(df: DataFrame, label: str, key: str, seed: int = 42) -> DataFrame:
     """As many rows of every class as the smallest has.
 

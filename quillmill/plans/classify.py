@@ -26,6 +26,13 @@ def random_sample(docs):
     return S.sample_rows(docs.select("doc_id", "source"), "doc_id", 50)
 
 
+@query("weighted_reservoir", "documents", sql="""SELECT doc_id, n_chars FROM documents WHERE n_chars > 0
+ORDER BY -ln((('0x' || substr(md5('42:' || doc_id), 1, 13))::BIGINT + 0.5) / 4503599627370496.0) / n_chars, doc_id LIMIT 50""")
+def weighted_reservoir(docs):
+    """Fifty documents, drawn by their length."""
+    return S.reservoir(docs.select("doc_id", "n_chars"), "doc_id", 50, F.col("n_chars")).select("doc_id", "n_chars")
+
+
 @query("batch_numbers", "labels", sql="SELECT doc_id, ((row_number() OVER (ORDER BY doc_id) - 1) // 32)::BIGINT AS batch FROM labels")
 def batch_numbers(labels):
     return S.batches(labels.select("doc_id"), "doc_id", 32)

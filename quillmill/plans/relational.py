@@ -2,14 +2,17 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from quillmill.operators.relational import asof_join, range_join
 from quillmill.plans.registry import Catalog
 from quillmill.plans.text import _METRICS, _PASS
-from quillmill.session import load
-from quillmill.streaming import streams
+from quillmill.session import load, shared_folder
+from quillmill.sources import records
+from quillmill.streaming import remainders, streams
 
 query = Catalog()
 
@@ -145,3 +148,24 @@ def stream_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
 def stream_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The first of each text within the watermark, which here spans all events."""
     return streams.run_available(streams.exact_dedup_stream(_arriving_events(spark, sf_dir), "ts", "props", "400 days").select("props"), "unique")
+
+
+@query("split_records", "pages", sql="""SELECT page_id, (i - 1)::INTEGER AS record_no, (list_sum(list_transform(w[1:i - 1], lambda x: length(x) + 3)))::BIGINT AS start, md5(w[i]) AS record_md5
+FROM (SELECT page_id, string_split(html, '<p>') AS w, unnest(range(1, len(string_split(html, '<p>')) + 1)) AS i FROM pages)""".replace("(list_sum", "coalesce(list_sum").replace(" + 3)))::", " + 3)), 0)::"))
+def split_records(pages):
+    """A table function called from SQL, beside each page's row."""
+    records.register(pages.sparkSession)
+    return pages.sparkSession.sql("SELECT page_id, record_no, start, md5(record) AS record_md5 FROM {pages}, LATERAL split_records(html, '<p>')", pages=pages)
+
+
+@query("stream_documents", "documents", sql="SELECT doc_id % 7 AS source, (row_number() OVER (PARTITION BY doc_id % 7 ORDER BY doc_id) - 1)::BIGINT AS document_no, md5(text) AS text_md5 FROM documents")
+def stream_documents(docs):
+    """Seven sources' documents as chunks of 997 characters, which cut texts and delimiters, over files that arrive one by one."""
+    spark, path, mark = docs.sparkSession, f"{shared_folder(docs.sparkSession)}/chunks-{uuid.uuid4().hex}", "<|endoftext|>"
+    whole = F.concat("text", F.lit(mark))
+    pieces = docs.select((F.col("doc_id") % 7).alias("source"), "doc_id", F.posexplode(F.transform(F.sequence(F.lit(0), F.floor((F.length(whole) - 1) / 997)), lambda i: F.substring(whole, (i * 997 + 1).cast("int"), F.lit(997)))).alias("i", "text"))
+    order = Window.partitionBy("source").orderBy("doc_id", "i")
+    numbered = pieces.select("source", (F.row_number().over(order) - 1).cast("long").alias("chunk_no"), "text").withColumn("last", F.lit(False))
+    numbered.repartition(5, F.col("chunk_no") % 5).write.parquet(path)
+    arrived = remainders.documents(streams.arriving(spark, path, numbered.schema, files_per_trigger=1), mark)
+    return streams.run_available(arrived, "documents").select("source", "document_no", F.md5("text").alias("text_md5"))

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from quillmill.functions import text as T
 from quillmill.functions.html import extract_text_udf
+from quillmill.functions.tokens import treebank_tokens
 from quillmill.operators import quality as Q
 from quillmill.plans.registry import Catalog
 from quillmill.session import shared_folder
@@ -120,6 +121,24 @@ def gopher_pass(docs):
     return Q.with_quality(docs).select("doc_id", "gopher_pass")
 
 
+# RE2 looks neither ahead nor back: marks are set apart by replacements, one after the other
+_SPACED = "text"
+for _pattern, _with in (
+    (r"(^|[^\p{Lu}]|[\p{L}\p{N}]\p{Lu})\.([\])}>\"'']*)(\s*$|\s+[^\s\p{Ll}])", r"\1 . \2\3"), (r"\.\.\.", " ... "), ("--", " -- "), (r"([;@#$%&?!()\[\]{}<>\"])", r" \1 "), (r"([,:])([^\p{N}]|$)", r" \1 \2"), (r"([,:])([^\p{N}]|$)", r" \1 \2"),
+    (r"([nN]''[tT])([^\p{L}\p{N}_]|$)", r" \1\2"), (r"(''(?:ll|LL|re|RE|ve|VE|[sSmMdD]))([^\p{L}\p{N}_]|$)", r" \1 \2"), (r"''(\s|$)", r" '' \1"),
+):
+    _SPACED = f"regexp_replace({_SPACED}, '{_pattern}', '{_with}', 'g')"
+_TREE = rf"list_filter(string_split_regex({_SPACED}, '\s+'), lambda x: x <> '')"
+
+
+@query("gopher_tokens", "documents", sql=rf"""SELECT doc_id, len(w)::BIGINT AS n_tokens, md5(array_to_string(w, ' ')) AS tokens_md5, round(length(array_to_string(w, '')) / len(w)::DOUBLE, 6) AS mean_word_len,
+ round(len(list_filter(w, lambda x: regexp_matches(x, '\p{{L}}'))) / len(w)::DOUBLE, 6) AS alpha_ratio FROM (SELECT doc_id, {_TREE} AS w FROM documents) WHERE len(w) > 0""")
+def gopher_tokens(docs):
+    """The metrics over treebank tokens."""
+    scored = Q.with_quality(docs.withColumn("_w", treebank_tokens(F.col("text"))), treebank=True).where("n_words > 0")
+    return scored.select("doc_id", F.col("n_words").alias("n_tokens"), F.md5(F.array_join("_w", " ")).alias("tokens_md5"), F.round("mean_word_len", 6).alias("mean_word_len"), F.round("alpha_ratio", 6).alias("alpha_ratio"))
+
+
 def _scored(docs, labels):
     """Labels stand in for model scores: toxic 1 scores 0.9; quality 0 is low."""
     marks = labels.select("doc_id", F.when(F.col("toxic") == 1, 0.9).otherwise(0.1).alias("toxic_score"), F.when(F.col("quality") == 0, "low").otherwise("high").alias("quality"))
