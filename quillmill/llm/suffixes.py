@@ -17,9 +17,11 @@
 from __future__ import annotations
 
 import hashlib
+import uuid
 from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 import pyarrow.compute as pc
 import xxhash
@@ -29,7 +31,7 @@ from pyspark.sql import functions as F
 from quillmill.llm.common import as_bytes, slices
 from quillmill.llm.words import _BYTE, _INVERSE, _ROOT, _power, mix, window_minimum
 from quillmill.operators.skew import join_keyed
-from quillmill.session import cut_lineage
+from quillmill.session import cut_lineage, shared_folder
 
 WINDOW = 100
 GRAM = 24
@@ -39,6 +41,8 @@ LONGEST = 128
 WIDE = 1024
 #: Bytes of a collection, unless a single anchor's share is more.
 COLLECTION_BYTES = 1 << 16
+#: Shared anchors that are sent to every task, 16 bytes each; more are joined.
+MOST_SENT = 2_000_000
 #: Bytes that are hashed at a time.
 SEGMENT = 1 << 20
 
@@ -55,19 +59,19 @@ def _numbered(data: np.ndarray, width: int) -> np.ndarray:
     total = np.zeros(len(data) + 1, np.uint64)
     np.cumsum(_BYTE[data] * _power(_ROOT, len(data)), out=total[1:])
     hashes = mix((total[width:] - total[:-width]) * _power(_INVERSE, len(data))[:n])
-    order = np.argsort(hashes)
-    again = hashes[order[1:]] == hashes[order[:-1]]
+    number, first = pd.factorize(hashes.view(np.int64))
+    one_of = np.empty(len(first), np.int64)
+    one_of[number] = np.arange(n)
+    twin = one_of[number]
     padded = np.concatenate([data, np.zeros(8, np.uint8)])
     eight = padded[: len(data)].astype(np.uint64)
     for i in range(1, min(8, width)):
         eight |= padded[i : len(data) + i].astype(np.uint64) << np.uint64(8 * i)
     for i in {*range(0, width - 7, 8), max(0, width - 8)}:  # equal hashes of other bytes would be taken apart here
-        part = eight[order + i]
-        if np.any(again & (part[1:] != part[:-1])):
+        part = eight[i : i + n]
+        if np.any(part != part[twin]):
             return np.unique(np.lib.stride_tricks.sliding_window_view(data, width), axis=0, return_inverse=True)[1].reshape(-1)
-    out = np.empty(n, np.int64)
-    out[order] = np.cumsum(np.concatenate([[True], ~again]))
-    return out
+    return number
 
 
 class Collection:
@@ -100,10 +104,12 @@ class Collection:
 
     def _insert(self, column: int) -> None:
         live = self._live = self._live[self.lengths[self._live] >= column]
+        place = self._place[live]
+        pair = np.sort(self.symbol[self.ends[live] - column * self.width] << 31 | place)
+        by_place = np.empty(len(self.lengths) + len(self.pairs), np.int32)
+        by_place[place] = live
+        live = by_place[pair & 0x7FFFFFFF]
         start = self.ends[live] - column * self.width
-        pair = self.symbol[start] << 31 | self._place[live]
-        order = np.argsort(pair)
-        pair, start, live = pair[order], start[order], live[order]
         gap = np.searchsorted(self.pairs, pair)
         at, n, ends = gap + np.arange(len(gap)), len(self.pairs), len(self.lengths)
         stays = np.ones(n + len(at), bool)
@@ -168,7 +174,7 @@ def _regions(texts: list[bytes], window: int, gram: int, seen: bool = False) ->
             stops = np.cumsum(sizes)
             total = np.zeros(len(data) + 1, np.uint64)
             np.cumsum(_BYTE[data] * _power(_ROOT, len(data)), out=total[1:])
-            grams = mix((total[gram:] - total[:-gram]) * _power(_INVERSE, len(data))[: len(data) - gram + 1])
+            grams = mix((total[gram:] - total[:-gram]) * _power(_INVERSE, len(data))[: len(data) - gram + 1]) >> np.uint64(16)  # 48 bits: a false anchor only costs
             least = window_minimum(grams, window - gram + 1)
             owner = np.repeat(np.arange(len(held)), sizes)[: len(least)]
             fits = np.arange(len(least)) + window <= stops[owner]
@@ -243,6 +249,24 @@ def _contents(batches: Iterator[pa.RecordBatch], window: int) -> Iterator[pa.Rec
         yield pa.RecordBatch.from_arrays([anchor.take(rows), salt.take(rows), salts.take(rows), ids.take(of), keys.take(of), first.take(rows), pa.array(pieces, pa.binary())], names)
 
 
+def _shared_contents(batches: Iterator[pa.RecordBatch], window: int, gram: int, shared: np.ndarray, parts: np.ndarray) -> Iterator[pa.RecordBatch]:
+    """The regions whose anchor is among the sorted ``shared``, with their bytes; ``parts``: each one's salts."""
+    names = ["anchor", "salt", "salts", "id", "key", "first", "bytes"]
+    for part in slices(batches, 1024, 2 << 20):
+        texts = [t or b"" for t in as_bytes(part.column("text"))]
+        ids, keys = (part.column(c).to_numpy(zero_copy_only=False) for c in ("id", "key"))
+        text, first, windows, anchor = _regions(texts, window, gram)
+        anchor = anchor.view(np.int64)
+        at = np.minimum(np.searchsorted(shared, anchor), max(len(shared) - 1, 0))
+        use = np.flatnonzero(shared[at] == anchor) if len(shared) else np.empty(0, np.int64)
+        text, first, windows, anchor, salts = text[use], first[use], windows[use], anchor[use], parts[at[use]] if len(use) else use
+        with np.errstate(over="ignore"):
+            salt = (mix(ids[text].astype(np.uint64) * _ROOT + first.astype(np.uint64)) % salts.astype(np.uint64)).astype(np.int64) if len(use) else use
+        pieces = [texts[t][a:b] for t, a, b in zip(text.tolist(), first.tolist(), (first + windows + window - 1).tolist(), strict=True)]
+        yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in (anchor, salt, salts, ids[text], keys[text], first)] + [pa.array(pieces, pa.binary())], names)
+
+
+_CONTENTS = "anchor long, salt long, salts long, id long, key long, first long, bytes binary"
 _MARKS = "id long, key long, low long, high long, anchor long, h1 long, h2 long"
 
 
@@ -329,7 +353,28 @@ def _removed(batches: Iterator[pa.RecordBatch], window: int, with_text: bool) ->
         yield pa.RecordBatch.from_arrays(columns + [pa.array(rows[4], pa.binary())] * with_text, names)
 
 
-def remove_repeated_bytes(docs: DataFrame, window: int = WINDOW, gram: int = GRAM, wide: int = WIDE, with_text: bool = False) -> DataFrame:
+def _sent_contents(slim: DataFrame, anchors: DataFrame, window: int, gram: int, wide: int) -> DataFrame:
+    """The shared anchors go to every task, which cuts their regions out of its texts."""
+    table = anchors.toArrow()
+    shared = table.column("anchor").to_numpy()
+    order = np.argsort(shared)
+    parts = -(-table.column("all").to_numpy()[order] // wide)
+    sent = slim.sparkSession.sparkContext.broadcast((shared[order], parts))
+    return slim.mapInArrow(lambda it: _shared_contents(it, window, gram, *sent.value), _CONTENTS)
+
+
+def _joined_contents(slim: DataFrame, anchors: DataFrame, window: int, gram: int, wide: int) -> DataFrame:
+    """The same by joins: places with anchors, then texts with their places."""
+    total = anchors.agg(F.sum("all")).first()[0] or 0
+    every = slim.mapInArrow(lambda it: _places(it, window, gram), "anchor long, id long, key long, first long, windows int")
+    places = join_keyed(every, anchors.withColumn("times", F.col("all")), "anchor", "all", total)
+    salts = F.ceil(F.col("times") / F.lit(wide)).cast("long")
+    places = places.withColumn("salts", salts).withColumn("salt", F.pmod(F.xxhash64("id", "first"), F.col("salts")))
+    wanted = places.groupBy("id", "key").agg(F.collect_set(F.struct("anchor", "salt", "salts", "first", "windows")).alias("wanted"))
+    return slim.join(wanted, ["id", "key"]).select("id", "key", "text", "wanted").mapInArrow(lambda it: _contents(it, window), _CONTENTS)
+
+
+def remove_repeated_bytes(docs: DataFrame, window: int = WINDOW, gram: int = GRAM, wide: int = WIDE, with_text: bool = False, most_sent: int = MOST_SENT) -> DataFrame:
     """A row for each row: ``doc_id, n_bytes, n_removed, n_spans, kept_sha256`` (and ``kept``, as bytes).
 
     A byte goes if a string of ``window`` bytes that covers it also starts earlier: in a smaller doc_id, or in the same one
@@ -346,16 +391,11 @@ def remove_repeated_bytes(docs: DataFrame, window: int = WINDOW, gram: int = GRA
 
     anchors = slim.mapInArrow(lambda it: _anchors(it, window, gram), "anchor long, n long").groupBy("anchor").agg(F.sum("n").alias("all"))
     anchors = cut_lineage(anchors.where("all >= 2"))
-    total = anchors.agg(F.sum("all")).first()[0] or 0
-    every = slim.mapInArrow(lambda it: _places(it, window, gram), "anchor long, id long, key long, first long, windows int")
-    places = join_keyed(every, anchors.withColumn("times", F.col("all")), "anchor", "all", total)
-    salts = F.ceil(F.col("times") / F.lit(wide)).cast("long")
-    places = places.withColumn("salts", salts).withColumn("salt", F.pmod(F.xxhash64("id", "first"), F.col("salts")))
-    wanted = places.groupBy("id", "key").agg(F.collect_set(F.struct("anchor", "salt", "salts", "first", "windows")).alias("wanted"))
-
-    contents = own.join(wanted, ["id", "key"]).select("id", "key", "text", "wanted").mapInArrow(lambda it: _contents(it, window), "anchor long, salt long, salts long, id long, key long, first long, bytes binary")
+    contents = _sent_contents(slim, anchors, window, gram, wide) if anchors.count() <= most_sent else _joined_contents(slim, anchors, window, gram, wide)
     marks = contents.repartition("anchor", "salt").sortWithinPartitions("anchor", "salt", "id", "key", "first").mapInArrow(lambda it: _marked(it, window, COLLECTION_BYTES), _MARKS)
-    marks = cut_lineage(marks)
+    path = f"{shared_folder(docs.sparkSession)}/marks-{uuid.uuid4().hex}"
+    marks.write.parquet(path)  # a fifth of a checkpoint's size
+    marks = docs.sparkSession.read.parquet(path)
 
     open_ones = marks.where("anchor is not null")
     earliest = open_ones.groupBy("anchor", "h1", "h2").agg(F.min(F.struct("id", "low")).alias("least"), F.count("*").alias("n")).where("n > 1").drop("n")

@@ -52,7 +52,9 @@ def test_against_dictionary(spark, monkeypatch, window, wide, budget, longest):
     monkeypatch.setattr(suffixes, "SEGMENT", 500)
     rows = planted(window + wide, 60)
     df = spark.createDataFrame([(*r, 1, "clash") for r in rows], "doc_id long, text string, first int, anchor string").repartition(3)
+    joined = suffixes.remove_repeated_bytes(df, window=window, wide=wide, most_sent=0)
     out = suffixes.remove_repeated_bytes(df, window=window, wide=wide, with_text=True)
+    assert got(joined) == got(out)
     assert got(out) == plain(rows, window)
     assert all(hashlib.sha256(r["kept"]).hexdigest() == r["kept_sha256"] and len(r["kept"]) == r["n_bytes"] - r["n_removed"] for r in out.collect())
 
