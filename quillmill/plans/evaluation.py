@@ -178,53 +178,72 @@ def safety_mean(conversations):
     return conversations.where("role = 'assistant'").agg(F.round(F.avg(R.safe(said)), 6).alias("safe"))
 
 
-@query("generations_table", "conversations", sql="SELECT conv_id, turn, substring(text, 1, 100) || '...' AS prompt FROM conversations ORDER BY conv_id, turn LIMIT 20")
+@query("generations_table", "conversations", sql="""SELECT p.conv_id, p.turn, substring(p.text, 1, 100) || '...' AS prompt, substring(g.text, 1, 100) || '...' AS generation
+ FROM conversations p LEFT JOIN conversations g ON g.conv_id = p.conv_id AND g.turn = p.turn + 1 AND g.role = 'assistant' WHERE p.role = 'user' ORDER BY 1, 2 LIMIT 20""")
 def generations_table(conversations):
-    return conversations.orderBy("conv_id", "turn").limit(20).select("conv_id", "turn", F.concat(F.substring("text", 1, 100), F.lit("...")).alias("prompt"))
+    """The first prompts, each with what was answered."""
+    said = conversations.where("role = 'assistant'").select("conv_id", (F.col("turn") - 1).alias("turn"), F.col("text").alias("answer"))
+    first = conversations.where("role = 'user'").orderBy("conv_id", "turn").limit(20)
+    short = lambda c: F.concat(F.substring(c, 1, 100), F.lit("..."))
+    return first.join(said, ["conv_id", "turn"], "left").select("conv_id", "turn", short("text").alias("prompt"), short("answer").alias("generation"))
 
 
 # -- scaling laws -------------------------------------------------------------------------------
 
-_RUNS = "(VALUES (6e18, 50000000, 3.9), (6e18, 100000000, 3.6), (6e18, 200000000, 3.7), (1e19, 100000000, 3.4), (1e19, 150000000, 3.35), (1e19, 300000000, 3.45), (3e19, 200000000, 3.1), (3e19, 300000000, 3.05), (3e19, 600000000, 3.2)) r(compute_budget, parameters, final_loss)"
+# an order stands for a run: its customer gives the budget, its number the parameters, and the loss is least at a number that grows with the budget
+_RUNS = """(SELECT pow(10.0, 18 + o_custkey % 7) AS compute_budget, CAST(1000000 * (1 + o_orderkey % 500) * (1 + o_custkey % 7) AS BIGINT) AS parameters,
+ round(2 + abs(o_orderkey % 500 - 40 * (1 + o_custkey % 7)) / 100.0 + CAST(o_totalprice AS DOUBLE) / 1e8, 9) AS final_loss FROM orders) r"""
 
 
-def _runs(spark):
-    return spark.sql(f"SELECT compute_budget, CAST(parameters AS BIGINT) AS parameters, CAST(final_loss AS DOUBLE) AS final_loss FROM {_RUNS}")
+def _runs(orders):
+    k, budget = F.col("o_orderkey") % 500, F.col("o_custkey") % 7
+    loss = 2 + F.abs(k - 40 * (1 + budget)) / 100.0 + F.col("o_totalprice").cast("double") / 1e8
+    return orders.select(F.pow(F.lit(10.0), 18 + budget).alias("compute_budget"), (1_000_000 * (1 + k) * (1 + budget)).cast("long").alias("parameters"), F.round(loss, 9).alias("final_loss"))
 
 
 _BEST = f"SELECT compute_budget::DOUBLE AS compute_budget, arg_min(parameters, (final_loss, parameters))::BIGINT AS n_opt, min(final_loss)::DOUBLE AS loss FROM {_RUNS} GROUP BY 1"
 
 
-@query("isoflops_argmin", sql=f"SELECT compute_budget, n_opt, loss, round(compute_budget / (6.0 * n_opt), 3) AS d_opt FROM ({_BEST})")
-def isoflops_argmin(spark, sf_dir):
-    return S.best_runs(_runs(spark)).withColumn("d_opt", F.round("d_opt", 3))
+@query("isoflops_argmin", "orders", sql=f"SELECT round(log10(compute_budget), 6) AS log_c, n_opt, round(loss, 6) AS loss, round(log10(compute_budget / (6.0 * n_opt)), 6) AS log_d FROM ({_BEST})")
+def isoflops_argmin(orders):
+    best = S.best_runs(_runs(orders))
+    return best.select(F.round(F.log10("compute_budget"), 6).alias("log_c"), "n_opt", F.round("loss", 6).alias("loss"), F.round(F.log10("d_opt"), 6).alias("log_d"))
 
 
-@query("power_law_fit", sql=f"SELECT round(regr_slope(ln(n_opt), ln(compute_budget)), 6) AS a, round(regr_intercept(ln(n_opt), ln(compute_budget)), 6) AS ln_k FROM ({_BEST})")
-def power_law_fit(spark, sf_dir):
-    fit = S.power_law_fit(S.best_runs(_runs(spark)), "compute_budget", "n_opt")
+@query("power_law_fit", "orders", sql=f"SELECT round(regr_slope(ln(n_opt), ln(compute_budget)), 6) AS a, round(regr_intercept(ln(n_opt), ln(compute_budget)), 6) AS ln_k FROM ({_BEST})")
+def power_law_fit(orders):
+    fit = S.power_law_fit(S.best_runs(_runs(orders)), "compute_budget", "n_opt")
     return fit.select(F.round("a", 6).alias("a"), F.round(F.log("k"), 6).alias("ln_k"))
 
 
-@query("power_law_predict", sql=f"""WITH f AS (SELECT regr_slope(ln(n_opt), ln(compute_budget)) AS a, exp(regr_intercept(ln(n_opt), ln(compute_budget))) AS k FROM ({_BEST}))
-SELECT c::DOUBLE AS c, round(log10(k * pow(c, a)), 6) AS log_n FROM f, (VALUES (1e23::DOUBLE), (1e24::DOUBLE)) v(c)""")
-def power_law_predict(spark, sf_dir):
-    fit = S.power_law_fit(S.best_runs(_runs(spark)), "compute_budget", "n_opt")
-    wanted = spark.createDataFrame([(1e23,), (1e24,)], "c double")
-    return wanted.join(F.broadcast(fit)).select("c", F.round(F.log10(S.power_law(F.col("k"), F.col("a"), F.col("c"))), 6).alias("log_n"))
+@query("power_law_predict", "orders", sql=f"""WITH f AS (SELECT regr_slope(ln(n_opt), ln(compute_budget)) AS a, regr_intercept(ln(n_opt), ln(compute_budget)) AS k FROM ({_BEST}))
+SELECT o_orderkey, round(k + a * ln(o_totalprice::DOUBLE * 1e18), 6) AS ln_n FROM orders, f""")
+def power_law_predict(orders):
+    """What the fit foretells for a budget after each order's price."""
+    fit = F.broadcast(S.power_law_fit(S.best_runs(_runs(orders)), "compute_budget", "n_opt"))  # one row
+    wanted = orders.select("o_orderkey", (F.col("o_totalprice").cast("double") * 1e18).alias("c")).join(fit)
+    return wanted.select("o_orderkey", F.round(F.log(S.power_law(F.col("k"), F.col("a"), F.col("c"))), 6).alias("ln_n"))
 
 
-@query("logspace_grid", sql="SELECT i, round(log10(pow(10.0, 18 + i * (6.0 / 299))), 6) AS log_c FROM (SELECT unnest(range(300)) AS i)")
-def logspace_grid(spark, sf_dir):
-    return S.logspace(spark, 18, 24, 300).select("i", F.round(F.log10("c"), 6).alias("log_c"))
+@query("logspace_grid", "orders", sql="""SELECT i, round(2 + i * (4.0 / 299), 6) AS log_c, count(*)::BIGINT AS n FROM (SELECT floor((log10(o_totalprice::DOUBLE) - 2) / (4.0 / 299))::BIGINT AS i FROM orders WHERE o_totalprice >= 100) WHERE i < 300 GROUP BY i""")
+def logspace_grid(orders):
+    """Prices counted between the points of a grid that is even in their logarithm."""
+    grid = S.logspace(orders.sparkSession, 2, 6, 300).select("i", F.round(F.log10("c"), 6).alias("log_c"))
+    at = F.floor((F.log10(F.col("o_totalprice").cast("double")) - 2) / (4.0 / 299))
+    return orders.where("o_totalprice >= 100").groupBy(at.alias("i")).agg(F.count("*").alias("n")).join(F.broadcast(grid), "i").select("i", "log_c", "n")
 
 
-@query("lr_cosine", sql="SELECT step, round(CASE WHEN step < 10 THEN step / 10.0 * 1e-3 WHEN step > 90 THEN 1e-4 ELSE 1e-4 + 0.5 * (1 + cos((step - 10) / 80.0 * pi())) * (1e-3 - 1e-4) END::DOUBLE, 9) AS lr FROM (SELECT unnest(range(101)) AS step)")
-def lr_schedule(spark, sf_dir):
-    return spark.range(101).select(F.col("id").alias("step"), F.round(lr_cosine(F.col("id"), 1e-3, 1e-4, 10, 90), 9).alias("lr"))
+@query("lr_cosine", "documents", sql="""SELECT doc_id, round(CASE WHEN doc_id < 100 THEN doc_id / 100.0 * 1e-3 WHEN doc_id > 900 THEN 1e-4
+ ELSE 1e-4 + 0.5 * (1 + cos((doc_id - 100) / 800.0 * pi())) * (1e-3 - 1e-4) END::DOUBLE, 9) AS lr FROM documents""")
+def lr_schedule(docs):
+    """The rate of the step that trains on each document, taken in order of their ids."""
+    return docs.select("doc_id", F.round(lr_cosine(F.col("doc_id"), 1e-3, 1e-4, 100, 900), 9).alias("lr"))
 
 
-@query("sweep_grid", sql="SELECT lr, batch FROM (VALUES (1e-3::DOUBLE), (1e-4::DOUBLE)) a(lr), (VALUES (8), (16), (32)) b(batch)")
-def sweep_grid(spark, sf_dir):
-    rates = spark.createDataFrame([(1e-3,), (1e-4,)], "lr double")
-    return rates.withColumn("batch", F.explode(F.array(F.lit(8), F.lit(16), F.lit(32))))
+@query("sweep_grid", "documents", sql="""SELECT source, lr, batch, ceil(n / batch)::BIGINT AS steps FROM (SELECT source, count(*) AS n FROM documents GROUP BY source),
+ (VALUES (1e-3::DOUBLE), (1e-4::DOUBLE)) a(lr), (VALUES (8), (16), (32)) b(batch)""")
+def sweep_grid(docs):
+    """Every setting of a sweep for each source, with the steps that one pass over its documents takes."""
+    sources = docs.groupBy("source").agg(F.count("*").alias("n"))
+    sweep = sources.withColumn("lr", F.explode(F.array(F.lit(1e-3), F.lit(1e-4)))).withColumn("batch", F.explode(F.array(F.lit(8), F.lit(16), F.lit(32))))
+    return sweep.select("source", "lr", "batch", F.ceil(F.col("n") / F.col("batch")).cast("long").alias("steps"))

@@ -171,9 +171,9 @@ def compression_ratio(docs):
     return tokens.compression(_ids(docs, "text")).withColumn("ratio", F.round("ratio", 6))
 
 
-@query("vocabulary_files", "documents", sql=f"""SELECT * FROM (VALUES {", ".join(f"({i}, '{t.hex()}')" for i, t in _vocabulary().tokens.items())}) v(token_id, token_hex)""")
+@query("vocabulary_files", "documents", sql=f"SELECT doc_id, len(ids)::BIGINT AS n_ids, md5(array_to_string(ids, ' ')) AS ids_md5 FROM ({_IDS})")
 def vocabulary_files(docs):
-    """The fixed vocabulary after a round through files of either form."""
+    """Ids of the texts by the vocabulary as it comes back from files of either form."""
     spark, v = docs.sparkSession, _vocabulary()
     for latin in (False, True):
         path = f"{shared_folder(spark)}/vocabulary-{uuid.uuid4().hex}"
@@ -181,13 +181,15 @@ def vocabulary_files(docs):
         v = bpe.read_vocabulary(spark, path, (END_MARK,), latin)
     if tuple(v.merges) != MERGES:
         raise ValueError("merges changed on their way")
-    return spark.createDataFrame([(i, t.hex()) for i, t in v.tokens.items()], "token_id int, token_hex string")
+    return docs.select("doc_id", bpe.encode_udf(spark, v)("text").alias("ids")).select("doc_id", F.size("ids").cast("long").alias("n_ids"), F.md5(_joined("ids")).alias("ids_md5"))
 
 
-@query("embedding_lookup", "labels", "embeddings", sql="""SELECT l.doc_id, round(list_sum(list_transform(e.embedding, lambda v, i: v::DOUBLE * i)), 6) AS weighted
- FROM labels l JOIN embeddings e ON e.vec_id = l.doc_id % 499""")
-def embedding_lookup(labels, embeddings):
-    rows = bpe.embed(labels.select("doc_id", (F.col("doc_id") % 499).alias("vec_id")), embeddings, "vec_id")
+@query("embedding_lookup", "documents", "embeddings", sql="""SELECT d.doc_id, round(list_sum(list_transform(e.embedding, lambda v, i: v::DOUBLE * i)), 6) AS weighted
+ FROM documents d JOIN embeddings e ON e.vec_id = d.doc_id % (SELECT count(*) FROM embeddings)""")
+def embedding_lookup(docs, embeddings):
+    """Each document's id as a token of the table, all of which can come up."""
+    size = embeddings.count()
+    rows = bpe.embed(docs.select("doc_id", (F.col("doc_id") % size).alias("vec_id")), embeddings, "vec_id")
     weighted = F.aggregate(F.transform("embedding", lambda v, i: v.cast("double") * (i + 1)), F.lit(0.0), lambda a, v: a + v)
     return rows.select("doc_id", F.round(weighted, 6).alias("weighted"))
 
