@@ -32,7 +32,7 @@ LEAST_COUNT = 10
 INSIDE_PERCENT = 50
 TOP = 2000
 #: Bytes of text in a shard.
-SHARD_BYTES = 8 << 20
+SHARD_BYTES = 4 << 20
 #: Frequent pairs that are sent to every task, 8 bytes each.
 MOST_PAIRS = 4_000_000
 
