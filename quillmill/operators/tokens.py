@@ -7,6 +7,7 @@ from itertools import accumulate
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -23,24 +24,26 @@ def with_end(ids: Column, end: int = END) -> Column:
 def token_stream(encoded: DataFrame, key: str = "doc_id", ids: str = "ids") -> DataFrame:
     """``key, start, ids``: where each document's tokens start in the stream ordered by key, of any orderable type.
 
-    The tokenised corpus is written once to the shared folder. Only keys and lengths are range-partitioned and
-    sorted; starts are running sums inside a partition on top of the totals of those before it, so no task sees
-    more than one of these.
+    Documents are range-partitioned by key and written once, in order, with their place inside their partition. Starts are
+    these on top of the totals of the partitions before, so no task sees more than a partition, and nothing is joined back.
     """
-    rows = cut_lineage(encoded.select(key, ids, F.monotonically_increasing_id().alias("_row")))
-    slim = cut_lineage(rows.select(key, "_row", F.size(ids).cast("long").alias("n")).repartitionByRange(key, "_row").sortWithinPartitions(key, "_row").select("_row", "n"))
-    totals = slim.groupBy(F.spark_partition_id().alias("part")).agg(F.sum("n").alias("n")).orderBy("part").collect()
-    before = dict(zip([r["part"] for r in totals], accumulate([0, *(r["n"] for r in totals)])))
+    rows = encoded.select(F.col(key).alias("key"), F.col(ids).alias("ids"))
+    kind, of = rows.schema["key"].dataType.simpleString(), rows.schema["ids"].dataType.simpleString()
 
     def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        at = before.get(TaskContext.get().partitionId(), 0)
+        part, at = TaskContext.get().partitionId(), 0
         for batch in batches:
-            ends = at + np.cumsum(batch.column("n").to_numpy())
+            sizes = np.nan_to_num(pc.list_value_length(batch.column("ids")).to_numpy(zero_copy_only=False)).astype(np.int64)
+            ends = at + np.cumsum(sizes)
             if len(ends):
-                yield pa.RecordBatch.from_arrays([batch.column("_row"), pa.array(ends - batch.column("n").to_numpy())], ["_row", "start"])
+                yield pa.RecordBatch.from_arrays([batch.column("key"), pa.array(ends - sizes), batch.column("ids"), pa.array(np.full(len(ends), part))], ["key", "inside", "ids", "part"])
                 at = int(ends[-1])
 
-    return rows.join(slim.mapInArrow(place, "_row long, start long"), "_row").select(key, "start", ids)
+    placed = cut_lineage(rows.repartitionByRange("key").sortWithinPartitions("key").mapInArrow(place, f"key {kind}, inside long, ids {of}, part long"))
+    totals = placed.groupBy("part").agg(F.sum(F.greatest(F.size("ids"), F.lit(0)).cast("long")).alias("n")).orderBy("part").collect()
+    before = list(zip([r["part"] for r in totals], accumulate([0, *(r["n"] for r in totals)]), strict=False))
+    past = F.broadcast(encoded.sparkSession.createDataFrame(before, "part long, past long"))  # a row a partition
+    return placed.join(past, "part").select(F.col("key").alias(key), (F.col("past") + F.col("inside")).alias("start"), F.col("ids").alias(ids))
 
 
 def flat_tokens(stream: DataFrame, ids: str = "ids") -> DataFrame:
