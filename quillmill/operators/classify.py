@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from quillmill.functions.text import let, one_line
 from quillmill.operators.skew import small
+from quillmill.session import shared_folder
 
 
 def held_out(key: str, share: int = 5) -> Column:
@@ -71,12 +74,22 @@ def text_pipeline(dims: int = 1 << 14):
     ])
 
 
+def _fitted(rows: DataFrame):
+    """The pipeline fitted to rows, written down and read back: a fitted one carries a summary of its training, and with that
+    the session and what belongs to it, into every task that predicts."""
+    from pyspark.ml import PipelineModel
+
+    path = f"{shared_folder(rows.sparkSession)}/classifier-{uuid.uuid4().hex}"
+    text_pipeline().fit(rows).write().save(path)
+    return PipelineModel.load(path)
+
+
 def train_and_predict(docs: DataFrame, labels: DataFrame, label: str) -> DataFrame:
     """``doc_id, held_out, label, pred, score``: fit on labelled rows not held out, predict all labelled ones."""
     from pyspark.ml.functions import vector_to_array
 
     rows = docs.select("doc_id", one_line(F.col("text")).alias("line")).join(labels.select("doc_id", F.col(label).cast("double").alias("label")), "doc_id").withColumn("held_out", held_out("doc_id"))
-    model = text_pipeline().fit(rows.where(~F.col("held_out")))
+    model = _fitted(rows.where(~F.col("held_out")))
     scored = model.transform(rows)
     return scored.select("doc_id", "held_out", F.col("label").cast("int").alias("label"), F.col("prediction").cast("int").alias("pred"), vector_to_array("probability")[1].alias("score"))
 
@@ -86,7 +99,7 @@ def score_documents(docs: DataFrame, labels: DataFrame, label: str) -> DataFrame
     from pyspark.ml.functions import vector_to_array
 
     lines = docs.select("doc_id", one_line(F.coalesce("text", F.lit(""))).alias("line"))
-    model = text_pipeline().fit(lines.join(labels.select("doc_id", F.col(label).cast("double").alias("label")), "doc_id"))
+    model = _fitted(lines.join(labels.select("doc_id", F.col(label).cast("double").alias("label")), "doc_id"))
     return model.transform(lines).select("doc_id", F.col("prediction").cast("int").alias("pred"), vector_to_array("probability")[1].alias("score"))
 
 

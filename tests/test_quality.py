@@ -55,3 +55,14 @@ def test_one_reason_a_row(spark):
     out = Q.discard_reason(docs)
     assert {r["doc_id"]: r["discard_reason"] for r in out.collect()} == {1: "toxic", 2: "short", 3: "language", 4: "short", 5: "gopher"}
     assert sum(r["pct"] for r in Q.funnel(out).collect()) == pytest.approx(1)
+
+
+def test_trained_models_after_an_observation(spark, sf, tmp_path):
+    """Counts observed while writing leave state in the session, which no prediction may try to send to tasks."""
+    from quillmill.operators import classify
+    from quillmill.sources import sinks
+
+    docs, labels = spark.read.parquet(f"{sf}/documents.parquet"), spark.read.parquet(f"{sf}/labels.parquet")
+    assert tuple(sinks.rewrite_without(docs, labels.where("doc_id < 5"), "doc_id", str(tmp_path / "o")).first())[1] > 0
+    assert classify.train_and_predict(docs, labels, "quality").count() == labels.join(docs, "doc_id").count()
+    assert classify.score_documents(docs, labels, "toxic").where("score < 0 or score > 1").count() == 0
