@@ -27,6 +27,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from quillmill.llm.common import slices
+from quillmill.session import cut_lineage
 
 SPACE = 1 << 20
 DIMS = 1 << 15
@@ -175,23 +176,70 @@ def _cluster(rows: list[tuple[np.ndarray, np.ndarray]], dims: int, k: int, round
     return np.stack([unit(c) for c in centres])
 
 
-def _learn(sample: list[tuple[str, np.ndarray, np.ndarray]], clusters: int) -> LanguageModel:
-    """Columns, idf and centroids (cell by row) of a sample of ``(lang, cells, counts)``; no radii."""
-    seen = np.zeros(SPACE, np.int32)
-    for _, cells, _ in sample:
-        seen[cells] += 1
+def _columns(seen: np.ndarray, texts: int) -> LanguageModel:
+    """Columns and idf from the number of texts that have each cell; no centroids."""
     common = np.argsort(-seen, kind="stable")[:DIMS]
     common = np.sort(common[seen[common] > 0])
     place = np.full(SPACE, -1, np.int32)
     place[common] = np.arange(len(common))
-    idf = (np.log((1 + len(sample)) / (1 + np.append(seen[common], 0))) + 1).astype(np.float32)
-    model = LanguageModel((), place, idf, np.zeros((len(common), 0), np.float32), {})
+    idf = (np.log((1 + texts) / (1 + np.append(seen[common], 0))) + 1).astype(np.float32)
+    return LanguageModel((), place, idf, np.zeros((len(common), 0), np.float32), {})
+
+
+def _with_centroids(model: LanguageModel, vectors: pa.Table, clusters: int) -> LanguageModel:
+    """Centroids (cell by row) of ``lang, at, weight``, the texts' vectors in the model's columns."""
     names, centres = [], []
-    for lang in sorted({name for name, _, _ in sample}):
-        c = _cluster([model.vector(cells, n) for name, cells, n in sample if name == lang], len(common), clusters)
+    langs = np.array(vectors.column("lang").to_pylist(), object)
+    at, weight = vectors.column("at").to_pylist(), vectors.column("weight").to_pylist()
+    for lang in sorted(set(langs.tolist())):
+        own = [(np.frombuffer(at[i], "<i4"), np.frombuffer(weight[i], "<f4")) for i in np.flatnonzero(langs == lang)]
+        c = _cluster(own, len(model.idf) - 1, clusters)
         names += [lang] * len(c)
         centres.append(c)
-    return LanguageModel(tuple(names), place, idf, np.ascontiguousarray(np.concatenate(centres).astype(np.float32).T), {})
+    return replace(model, languages=tuple(names), centroids=np.ascontiguousarray(np.concatenate(centres).astype(np.float32).T))
+
+
+def _packed(part: pa.RecordBatch) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+    for i, (cells, n) in enumerate(zip(part.column("cells").to_pylist(), part.column("counts").to_pylist(), strict=True)):
+        yield i, np.frombuffer(cells, "<i4"), np.frombuffer(n, "<i4")
+
+
+def _seen(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """By fold: whole texts, and for each cell the number of those that have it."""
+    counts: dict[int, np.ndarray] = {}
+    texts: dict[int, int] = {}
+    for part in batches:
+        folds = part.column("fold").to_pylist()
+        for i, cells, _ in _packed(part):
+            own = counts.setdefault(folds[i], np.zeros(SPACE, np.int32))
+            own[cells] += 1
+            texts[folds[i]] = texts.get(folds[i], 0) + 1
+    for fold, own in counts.items():
+        cells = np.flatnonzero(own)
+        yield pa.RecordBatch.from_arrays([pa.array([fold], pa.int32()), pa.array([texts[fold]], pa.int64()), pa.array([cells.astype("<i4").tobytes()], pa.binary()), pa.array([own[cells].astype("<i4").tobytes()], pa.binary())], ["fold", "texts", "cells", "counts"])
+
+
+def _vectors(batches: Iterator[pa.RecordBatch], model: LanguageModel) -> Iterator[pa.RecordBatch]:
+    """Texts as unit vectors in the model's columns, of which there are at most ``DIMS``."""
+    for part in batches:
+        made = [model.vector(cells, n) for _, cells, n in _packed(part)]
+        columns = [pa.array([x.astype(kind).tobytes() for x in values], pa.binary()) for values, kind in zip(zip(*made, strict=True), ("<i4", "<f4"), strict=True)] if made else [pa.array([], pa.binary())] * 2
+        yield pa.RecordBatch.from_arrays([part.column("lang"), part.column("key"), *columns], ["lang", "key", "at", "weight"])
+
+
+def _likeness(batches: Iterator[pa.RecordBatch], models: list[LanguageModel]) -> Iterator[pa.RecordBatch]:
+    """Band and similarity to its own language of each text and piece, by the model that hasn't seen its fold."""
+    for part in batches:
+        langs, folds = part.column("lang").to_pylist(), part.column("fold").to_pylist()
+        rows = []
+        for i, cells, n in _packed(part):
+            model = models[folds[i]]
+            own = np.array([x == langs[i] for x in model.languages], bool)
+            if own.any():
+                at, x = model.vector(cells, n)
+                rows.append((langs[i], _band(n.sum()), float((x @ model.centroids[at])[own].max())))
+        columns = zip(*rows, strict=True) if rows else [()] * 3
+        yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, (pa.string(), pa.int32(), pa.float64()), strict=True)], ["lang", "band", "likeness"])
 
 
 def _radii(likeness: dict[str, list[tuple[int, float]]]) -> dict:
@@ -210,7 +258,10 @@ def _radii(likeness: dict[str, list[tuple[int, float]]]) -> dict:
 def fit(docs: DataFrame, clusters: int = CLUSTERS, max_sample: int = MAX_SAMPLE) -> LanguageModel:
     """Learn from text and non-null lang of documents that aren't held out.
 
-    ``max_sample`` bounds the texts and so the languages, too: of more than that the most frequent ones are learnt.
+    ``max_sample`` bounds the texts and so the languages, too: of more than that the most frequent ones are learnt. Texts are
+    counted where they lie; the driver gets sums, and of each sampled text a vector of at most ``DIMS`` columns, however long the
+    text is. A null doc_id isn't held out, repeated rows count each time; a table without a labelled text gives a model without
+    a language.
     """
     known = docs.select(F.col("doc_id").cast("string").alias("doc_id"), F.col("text").cast("string").alias("text"), F.col("lang").cast("string").alias("lang"))
     known = known.where(~held_out(F.col("doc_id")) & F.col("lang").isNotNull())
@@ -225,21 +276,30 @@ def fit(docs: DataFrame, clusters: int = CLUSTERS, max_sample: int = MAX_SAMPLE)
     order = Window.partitionBy("lang").orderBy(F.xxhash64("doc_id"), "doc_id")
     chosen = thin.select("lang", "text", F.row_number().over(order).alias("_n")).where(F.col("_n") <= each)
     chosen = chosen.select("lang", F.xxhash64("text").alias("key"), "text")
-    got = sorted(map(tuple, chosen.mapInArrow(_sample_vectors, "lang string, key long, piece int, cells binary, counts binary").collect()))
-    if not got:
+    sample = chosen.mapInArrow(_sample_vectors, "lang string, key long, piece int, cells binary, counts binary")
+    sample = cut_lineage(sample.withColumn("fold", F.pmod("key", F.lit(FOLDS)).cast("int")))  # copies of a text are in one fold
+    whole = sample.where("piece = 0")
+    seen, texts = np.zeros((FOLDS, SPACE), np.int32), np.zeros(FOLDS, np.int64)
+    for row in whole.mapInArrow(_seen, "fold int, texts long, cells binary, counts binary").toLocalIterator():
+        seen[row["fold"], np.frombuffer(row["cells"], "<i4")] += np.frombuffer(row["counts"], "<i4")
+        texts[row["fold"]] += row["texts"]
+    if not texts.any():
         return nothing
-    got = [(lang, key % FOLDS, piece, np.frombuffer(cells, "<i4"), np.frombuffer(n, "<i4")) for lang, key, piece, cells, n in got]
-    likeness: dict[str, list[tuple[int, float]]] = {lang: [] for lang, *_ in got}
-    for fold in range(FOLDS):  # copies of a text are in one part
-        rest = [(lang, cells, n) for lang, part, piece, cells, n in got if part != fold and not piece]
-        model = _learn(rest, clusters) if rest else nothing
-        own = {lang: np.array([x == lang for x in model.languages], bool) for lang in likeness}
-        for lang, part, _, cells, n in got:
-            if part == fold and own[lang].any():
-                at, x = model.vector(cells, n)
-                likeness[lang].append((_band(n.sum()), float((x @ model.centroids[at])[own[lang]].max())))
-    model = _learn([(lang, cells, n) for lang, _, piece, cells, n in got if not piece], clusters)
-    return replace(model, radii=_radii(likeness))
+    context = docs.sparkSession.sparkContext
+
+    def learn(rest: list[int]) -> LanguageModel:
+        if not texts[rest].any():
+            return nothing
+        model = _columns(seen[rest].sum(axis=0), int(texts[rest].sum()))
+        shared = context.broadcast(model)
+        vectors = whole.where(F.col("fold").isin(rest)).mapInArrow(lambda it: _vectors(it, shared.value), "lang string, key long, at binary, weight binary")
+        return _with_centroids(model, vectors.orderBy("lang", "key", "at", "weight").toArrow(), clusters)
+
+    models = context.broadcast([learn([f for f in range(FOLDS) if f != fold]) for fold in range(FOLDS)])
+    likeness: dict[str, list[tuple[int, float]]] = {r["lang"]: [] for r in sample.select("lang").distinct().collect()}
+    for r in sample.mapInArrow(lambda it: _likeness(it, models.value), "lang string, band int, likeness double").collect():
+        likeness[r["lang"]].append((r["band"], r["likeness"]))
+    return replace(learn(list(range(FOLDS))), radii=_radii(likeness))
 
 
 def identify(docs: DataFrame, model: LanguageModel, carry: tuple[str, ...] = ()) -> DataFrame:
