@@ -16,6 +16,7 @@ from __future__ import annotations
 import hashlib
 import struct
 import zlib
+from bisect import bisect_right
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -517,20 +518,39 @@ def _batches(batches: Iterator[pa.RecordBatch], column: str) -> Iterator[pa.Reco
     return slices(batches, 4096, BATCH_BYTES, column)
 
 
+def _stored(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """``doc_id, n_bytes, media`` of ``doc_id, text``."""
+    for part in _batches(batches, "text"):
+        texts = as_bytes(part.column("text"))
+        media = encode([payload(t) for t in texts])
+        yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array([len(t or b"") for t in texts], pa.int64()), pa.array(media, pa.binary())], ["doc_id", "n_bytes", "media"])
+
+
+_BLOCK = (("doc_id", pa.int64()), ("block", pa.int64()), ("sample_offset", pa.int64()), ("n_samples", pa.int64()), ("pcm", pa.binary()))
+_OF_STREAM = (("n_bytes", pa.int64()), ("samples", pa.int64()), ("md5", pa.binary()), ("media_bytes", pa.int64()), ("media_sha256", pa.string()))
+
+
+def _blocks(batches: Iterator[pa.RecordBatch], of_stream: bool = False) -> Iterator[pa.RecordBatch]:
+    """The frames of ``doc_id, media`` as PCM blocks, in order; ``of_stream`` adds what their stream says of itself."""
+    columns = _BLOCK + _OF_STREAM * of_stream
+    for part in _batches(batches, "media"):
+        media, ids = part.column("media").to_pylist(), part.column("doc_id").to_pylist()
+        sizes = part.column("n_bytes").to_pylist() if of_stream else [0] * len(ids)
+        streams = [(i, n, open_stream(m)) for i, n, m in zip(ids, sizes, media, strict=True) if m is not None]
+        facts = [(n, x.samples, x.md5, len(x.data), hashlib.sha256(x.data).hexdigest()) if of_stream else () for _, n, x in streams]
+        wanted = [(s, p) for s, (_, _, x) in enumerate(streams) for p in range(len(x.points))]
+        decoded = decode_points([x for _, _, x in streams], wanted)
+        rows = [(streams[s][0], p, streams[s][2].points[p][0], len(pcm), pcm, *facts[s]) for (s, p), pcm in zip(wanted, decoded, strict=True)]
+        yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, (_, t) in zip(zip(*rows, strict=True) if rows else [()] * len(columns), columns, strict=True)], [c for c, _ in columns])
+
+
 def store_texts(docs: DataFrame) -> DataFrame:
     """``doc_id, n_bytes, media``: each text as a FLAC stream.
 
     Null and empty texts are 64 zero bytes, very long ones have as many frames as they need, repeated rows repeat; an
     empty table gives no rows, and other columns are not looked at.
     """
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for part in _batches(batches, "text"):
-            texts = as_bytes(part.column("text"))
-            media = encode([payload(t) for t in texts])
-            yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array([len(t or b"") for t in texts], pa.int64()), pa.array(media, pa.binary())], ["doc_id", "n_bytes", "media"])
-
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(run, "doc_id long, n_bytes long, media binary")
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(_stored, "doc_id long, n_bytes long, media binary")
 
 
 def pcm_blocks(media: DataFrame) -> DataFrame:
@@ -538,44 +558,58 @@ def pcm_blocks(media: DataFrame) -> DataFrame:
 
     A null stream has no blocks, a damaged one raises DamagedStream; repeated rows repeat theirs, an empty table gives no rows.
     """
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        kinds = (pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.binary())
-        for part in _batches(batches, "media"):
-            ids = part.column("doc_id").to_pylist()
-            streams = [(i, open_stream(m)) for i, m in zip(ids, part.column("media").to_pylist(), strict=True) if m is not None]
-            wanted = [(s, p) for s, (_, x) in enumerate(streams) for p in range(len(x.points))]
-            rows: list[list] = [[], [], [], [], []]
-            for (s, p), pcm in zip(wanted, decode_points([x for _, x in streams], wanted), strict=True):
-                for column, value in zip(rows, (streams[s][0], p, streams[s][1].points[p][0], len(pcm), pcm), strict=True):
-                    column.append(value)
-            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(rows, kinds, strict=True)], ["doc_id", "block", "sample_offset", "n_samples", "pcm"])
-
     return media.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("media").cast("binary").alias("media")).mapInArrow(
-        run, "doc_id long, block long, sample_offset long, n_samples long, pcm binary"
+        _blocks, "doc_id long, block long, sample_offset long, n_samples long, pcm binary"
     )
 
 
+def read_blocks(blocks: list[tuple[int, bytes]], sample: int, count: int) -> bytes:
+    """PCM of ``count`` samples from ``sample`` on, out of a stream's (sample offset, PCM) blocks in order; only those that hold them are touched."""
+    first = max(0, bisect_right(blocks, sample, key=lambda b: b[0]) - 1)
+    out = b""
+    for offset, pcm in blocks[first:]:
+        if offset >= sample + count:
+            break
+        out += pcm[max(0, sample - offset) : sample + count - offset]
+    return out
+
+
+def _digests(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """A row for each stream, from its blocks: they have to follow one another, and to be what its checksum says."""
+    names = ["doc_id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature"]
+    kinds = (pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.string())
+    for batch in batches:
+        rows: list[tuple] = []
+        columns = [batch.column(c).to_pylist() for c, _ in _BLOCK + _OF_STREAM]
+        blocks: list[tuple[int, bytes]] = []
+        at = 0
+        for doc_id, _, offset, n, pcm, n_bytes, samples, md5, media_bytes, media_sha256 in zip(*columns, strict=True):
+            if offset != at:
+                raise DamagedStream("a block is missing")
+            blocks.append((offset, pcm))
+            at += n
+            if at < samples:
+                continue
+            whole = b"".join(b for _, b in blocks)
+            if at != samples or hashlib.md5(whole).digest() != md5:
+                raise DamagedStream("the stream's MD5 is wrong")
+            read = whole.translate(_SIGNED)
+            tail = read_blocks(blocks, samples - UNIT, UNIT).translate(_SIGNED)
+            rows.append((doc_id, n_bytes, samples, hashlib.sha256(read).hexdigest(), zlib.crc32(tail), media_bytes, media_sha256, features(read)))
+            blocks, at = [], 0
+        if blocks:
+            raise DamagedStream("a stream's last block is missing")
+        yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows, strict=True) if rows else [()] * len(names), kinds, strict=True)], names)
+
+
 def media_digests(docs: DataFrame) -> DataFrame:
     """A row for each row: the stored stream's and its read-back payload's sizes, digests and features.
 
-    Every text is written as FLAC, read back with all checksums verified, and judged on what was
-    read. Null texts are empty; equal texts, and so repeated rows, give equal values; very long texts are many frames,
-    coded some megabytes at a time; an empty table gives no rows, and other columns are not looked at.
+    Every text is written as FLAC, read back as PCM blocks with all checksums verified, and judged on these; the tail
+    is found by its sample offset. Null texts are empty; equal texts, and so repeated rows, give equal values; very long texts
+    are many blocks, coded some megabytes at a time; an empty table gives no rows, and other columns are not looked at.
     """
-    names = ["doc_id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature"]
-    kinds = (pa.int64(), pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.string())
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for part in _batches(batches, "text"):
-            texts = as_bytes(part.column("text"))
-            media = encode([payload(t) for t in texts])
-            rows = [
-                (len(t or b""), len(p), hashlib.sha256(p).hexdigest(), zlib.crc32(p[-UNIT:]), len(m), hashlib.sha256(m).hexdigest(), features(p))
-                for t, m, p in zip(texts, media, decode(media), strict=True)
-            ]
-            yield pa.RecordBatch.from_arrays([part.column("doc_id"), *[pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True)]], names)
-
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(
-        run, "doc_id long, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string"
+        lambda it: _digests(_blocks(_stored(it), of_stream=True)),
+        "doc_id long, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string",
     )

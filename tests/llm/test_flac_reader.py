@@ -3,6 +3,9 @@
 import hashlib
 import random
 
+import pyarrow as pa
+import pytest
+
 from quillmill.llm import flac
 
 
@@ -142,3 +145,22 @@ def test_blocks_of_odd_rows(spark, odd):
     assert flac.pcm_blocks(none).count() == 0 and flac.pcm_blocks(none.limit(0)).count() == 0
     stream = flac.encode([flac.payload(b"x" * 3000)])[0]
     assert flac.seek(stream, 5000, 10) == b"" and flac.seek(stream, 0, 0) == b""
+
+
+def test_the_query_reads_blocks(spark, monkeypatch):
+    """Seeking in the query's blocks gives the payload's samples; a block that goes missing, or is another one's, is noticed."""
+    rng = random.Random(12)
+    docs = spark.createDataFrame([(i, rng.randbytes(n).hex()) for i, n in enumerate((0, 10, 511, 512, 513, 4000))], "doc_id long, text string")
+    stored = flac._stored(iter(docs.toArrow().combine_chunks().to_batches()))
+    batches = list(flac._blocks(stored, of_stream=True))
+    rows = [r for b in batches for r in b.to_pylist()]
+    for doc_id, text in docs.collect():
+        data = flac.payload(text.encode()).translate(flac._SIGNED)
+        blocks = [(r["sample_offset"], r["pcm"]) for r in rows if r["doc_id"] == doc_id]
+        for at, n in ((0, 1), (0, len(data)), (len(data) - 64, 64), (1020, 10), (1024, 1024), (len(data), 5), (5, 0)):
+            assert flac.read_blocks(blocks, at, n) == data[at : at + n]
+    (whole,) = batches
+    assert sum(b.num_rows for b in flac._digests(iter([whole]))) == 6
+    for broken in (whole.slice(0, whole.num_rows - 1), pa.RecordBatch.from_struct_array(whole.to_struct_array().take(pa.array([*range(whole.num_rows - 2), whole.num_rows - 1])))):
+        with pytest.raises(flac.DamagedStream):
+            list(flac._digests(iter([broken])))
