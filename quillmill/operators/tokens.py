@@ -21,11 +21,18 @@ def with_end(ids: Column, end: int = END) -> Column:
     return F.concat(ids, F.array(F.lit(end)))
 
 
-def token_stream(encoded: DataFrame, key: str = "doc_id", ids: str = "ids") -> DataFrame:
+def in_order(docs: DataFrame, key: str = "doc_id") -> DataFrame:
+    """Range-partitioned and sorted by key. Before texts are encoded this costs a second look at the keys; afterwards it would
+    encode twice, as the ranges come from a sample."""
+    return docs.repartitionByRange(key).sortWithinPartitions(key)
+
+
+def token_stream(encoded: DataFrame, key: str = "doc_id", ids: str = "ids", ordered: bool = False) -> DataFrame:
     """``key, start, ids``: where each document's tokens start in the stream ordered by key, of any orderable type.
 
-    Documents are range-partitioned by key and written once, in order, with their place inside their partition. Starts are
-    these on top of the totals of the partitions before, so no task sees more than a partition, and nothing is joined back.
+    Documents are written once, in order (``ordered``: they are ``in_order`` as they come), with their place inside their
+    partition. Starts are these on top of the totals of the partitions before, so no task sees more than a partition, and
+    nothing is joined back.
     """
     rows = encoded.select(F.col(key).alias("key"), F.col(ids).alias("ids"))
     kind, of = rows.schema["key"].dataType.simpleString(), rows.schema["ids"].dataType.simpleString()
@@ -39,7 +46,7 @@ def token_stream(encoded: DataFrame, key: str = "doc_id", ids: str = "ids") -> D
                 yield pa.RecordBatch.from_arrays([batch.column("key"), pa.array(ends - sizes), batch.column("ids"), pa.array(np.full(len(ends), part))], ["key", "inside", "ids", "part"])
                 at = int(ends[-1])
 
-    placed = cut_lineage(rows.repartitionByRange("key").sortWithinPartitions("key").mapInArrow(place, f"key {kind}, inside long, ids {of}, part long"))
+    placed = cut_lineage((rows if ordered else in_order(rows, "key")).mapInArrow(place, f"key {kind}, inside long, ids {of}, part long"))
     totals = placed.groupBy("part").agg(F.sum(F.greatest(F.size("ids"), F.lit(0)).cast("long")).alias("n")).orderBy("part").collect()
     before = list(zip([r["part"] for r in totals], accumulate([0, *(r["n"] for r in totals)]), strict=False))
     past = F.broadcast(encoded.sparkSession.createDataFrame(before, "part long, past long"))  # a row a partition

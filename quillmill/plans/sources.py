@@ -216,7 +216,7 @@ def _decoded(rows: DataFrame, key: str) -> DataFrame:
 def token_files(docs):
     """The stream as blocks of 4,096 ids in several files, read back."""
     spark, path = docs.sparkSession, _folder(docs.sparkSession, "tokens")
-    S.write_token_blocks(tokens.token_stream(ids_with_end(docs)), path, 4096, 16)
+    S.write_token_blocks(tokens.token_stream(ids_with_end(tokens.in_order(docs.select("doc_id", "text"))), ordered=True), path, 4096, 16)
     return _decoded(spark.read.parquet(path), "block")
 
 
@@ -225,7 +225,7 @@ SELECT printf('tokens-%06d.%s', file::BIGINT, kind) AS file, (file * 65536)::BIG
 def token_exports(docs):
     """Files to be mapped into memory, without and with a header: the index, their bytes, and the sum of the ids after the header."""
     spark, path = docs.sparkSession, _folder(docs.sparkSession, "export")
-    S.write_token_blocks(tokens.token_stream(ids_with_end(docs)), f"{path}/blocks", 4096, 16)
+    S.write_token_blocks(tokens.token_stream(ids_with_end(tokens.in_order(docs.select("doc_id", "text"))), ordered=True), f"{path}/blocks", 4096, 16)
     index = [S.export_token_files(spark, f"{path}/blocks", f"{path}/{kind}", kind == "npy") for kind in ("bin", "npy")]
 
     def summed(batches):
@@ -246,7 +246,7 @@ FROM s JOIN t ON t.pos BETWEEN s.start AND s.start + 64 GROUP BY ALL""")
 def random_windows(docs):
     """As many windows as there are documents, anywhere in the stream, over the ends of documents, blocks and files."""
     spark, path = docs.sparkSession, _folder(docs.sparkSession, "windows")
-    S.write_token_blocks(tokens.token_stream(ids_with_end(docs)), path, 4096, 16)
+    S.write_token_blocks(tokens.token_stream(ids_with_end(tokens.in_order(docs.select("doc_id", "text"))), ordered=True), path, 4096, 16)
     found = tokens.random_windows(spark.read.parquet(path), 64, docs.count())
     digest = lambda c: F.md5(F.array_join(F.transform(c, lambda v: v.cast("string")), " ")).alias(f"{c}_md5")
     return found.select("window", "start", digest("x"), digest("y"))

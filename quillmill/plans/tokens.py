@@ -120,7 +120,7 @@ def decode_join(docs):
 
 @query("token_stream_stats", "documents", sql=f"SELECT doc_id, (sum(len(ids)) OVER (ORDER BY doc_id) - len(ids))::BIGINT AS start, len(ids)::BIGINT AS n FROM ({_STREAM})")
 def token_stream_stats(docs):
-    return tokens.token_stream(_with_end(docs)).select("doc_id", "start", F.size("ids").cast("long").alias("n"))
+    return tokens.token_stream(_with_end(tokens.in_order(docs.select("doc_id", "text"))), ordered=True).select("doc_id", "start", F.size("ids").cast("long").alias("n"))
 
 
 @query("total_tokens", "documents", sql=f"SELECT count(*)::BIGINT AS n_docs, sum(len(ids))::BIGINT AS n_tokens FROM ({_STREAM})")
@@ -134,7 +134,7 @@ s AS (SELECT pos // 256 AS sequence_id, list(token ORDER BY pos) AS x FROM t GRO
 w AS (SELECT a.sequence_id, a.x, list_concat(a.x[2:], [b.x[1]]) AS y FROM s a JOIN s b ON b.sequence_id = a.sequence_id + 1)
 SELECT sequence_id::BIGINT AS sequence_id, md5(array_to_string(x, ' ')) AS input_md5, md5(array_to_string(y, ' ')) AS label_md5 FROM w WHERE len(x) = 256""")
 def packed_sequences(docs):
-    packed = tokens.packed_sequences(tokens.token_stream(_with_end(docs)), 256)
+    packed = tokens.packed_sequences(tokens.token_stream(_with_end(tokens.in_order(docs.select("doc_id", "text"))), ordered=True), 256)
     return packed.select("sequence_id", F.md5(_joined("input_ids")).alias("input_md5"), F.md5(_joined("labels")).alias("label_md5"))
 
 
