@@ -41,8 +41,10 @@ LONGEST = 128
 WIDE = 1024
 #: Bytes of a collection, unless a single anchor's share is more.
 COLLECTION_BYTES = 1 << 16
-#: Shared anchors that are sent to every task, 16 bytes each; more are joined.
-MOST_SENT = 2_000_000
+#: Shared anchors that are sent to every task, as a filter of two bytes each; more are joined.
+MOST_SENT = 100_000_000
+#: Words of 64 bits in a piece of the filter, which one group of rows makes.
+PIECE = 1 << 16
 #: Bytes that are hashed at a time.
 SEGMENT = 1 << 20
 
@@ -249,17 +251,65 @@ def _contents(batches: Iterator[pa.RecordBatch], window: int) -> Iterator[pa.Rec
         yield pa.RecordBatch.from_arrays([anchor.take(rows), salt.take(rows), salts.take(rows), ids.take(of), keys.take(of), first.take(rows), pa.array(pieces, pa.binary())], names)
 
 
-def _shared_contents(batches: Iterator[pa.RecordBatch], window: int, gram: int, shared: np.ndarray, parts: np.ndarray) -> Iterator[pa.RecordBatch]:
-    """The regions whose anchor is among the sorted ``shared``, with their bytes; ``parts``: each one's salts."""
+def _bits(anchor: np.ndarray, words: int) -> tuple[np.ndarray, np.ndarray]:
+    """Each anchor's word of a filter of ``words`` words, and its five bits there."""
+    with np.errstate(over="ignore"):
+        h = mix(anchor.astype(np.uint64) * _ROOT + np.uint64(1))
+    bits = np.zeros(len(h), np.uint64)
+    for shift in range(0, 30, 6):
+        bits |= np.uint64(1) << (h >> np.uint64(shift) & np.uint64(63))
+    return ((h >> np.uint64(32)) * np.uint64(words) >> np.uint64(32)).astype(np.int64), bits
+
+
+def _filter(anchors: DataFrame, n: int) -> np.ndarray:
+    """Bits of ``n`` anchors, sixteen for each, put together by tasks piece by piece. Of other anchors some 0.4 % are taken for one of them."""
+    words = max(1, -(-n // 4))
+
+    def spread(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            at, bits = _bits(batch.column("anchor").to_numpy(), words)
+            yield pa.RecordBatch.from_arrays([pa.array(at // PIECE), pa.array((at % PIECE).astype(np.int32)), pa.array(bits.view(np.int64))], ["piece", "at", "bits"])
+
+    def gathered(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        here, data = None, None
+        row = lambda: pa.RecordBatch.from_arrays([pa.array([here]), pa.array([data.tobytes()], pa.binary())], ["piece", "data"])
+        for batch in batches:
+            piece, at, bits = (batch.column(c).to_numpy() for c in ("piece", "at", "bits"))
+            cuts = [0, *(np.flatnonzero(np.diff(piece)) + 1).tolist(), len(piece)]
+            for low, high in zip(cuts, cuts[1:], strict=False):
+                if low == high:
+                    continue
+                if here != piece[low]:
+                    if here is not None:
+                        yield row()
+                    here, data = int(piece[low]), np.zeros(PIECE, np.uint64)
+                np.bitwise_or.at(data, at[low:high], bits[low:high].view(np.uint64))
+        if here is not None:
+            yield row()
+
+    rows = anchors.select("anchor").mapInArrow(spread, "piece long, at int, bits long")
+    pieces = rows.repartition("piece").sortWithinPartitions("piece").mapInArrow(gathered, "piece long, data binary").toArrow()
+    out = np.zeros(-(-words // PIECE) * PIECE, np.uint64)
+    for piece, data in zip(pieces.column("piece").to_pylist(), pieces.column("data"), strict=True):
+        out[piece * PIECE : (piece + 1) * PIECE] = np.frombuffer(data.as_buffer(), np.uint64)
+    return out[:words]
+
+
+def _shared_contents(batches: Iterator[pa.RecordBatch], window: int, gram: int, known: np.ndarray, wide: np.ndarray, parts: np.ndarray) -> Iterator[pa.RecordBatch]:
+    """The regions whose anchor passes the filter ``known``, with their bytes; ``parts``: the salts of each of the sorted ``wide`` ones."""
     names = ["anchor", "salt", "salts", "id", "key", "first", "bytes"]
     for part in slices(batches, 1024, 2 << 20):
         texts = [t or b"" for t in as_bytes(part.column("text"))]
         ids, keys = (part.column(c).to_numpy(zero_copy_only=False) for c in ("id", "key"))
         text, first, windows, anchor = _regions(texts, window, gram)
         anchor = anchor.view(np.int64)
-        at = np.minimum(np.searchsorted(shared, anchor), max(len(shared) - 1, 0))
-        use = np.flatnonzero(shared[at] == anchor) if len(shared) else np.empty(0, np.int64)
-        text, first, windows, anchor, salts = text[use], first[use], windows[use], anchor[use], parts[at[use]] if len(use) else use
+        word, bits = _bits(anchor, len(known))
+        use = np.flatnonzero(known[word] & bits == bits)
+        text, first, windows, anchor = text[use], first[use], windows[use], anchor[use]
+        salts = np.ones(len(use), np.int64)
+        if len(wide):
+            at = np.minimum(np.searchsorted(wide, anchor), len(wide) - 1)
+            salts = np.where(wide[at] == anchor, parts[at], salts)
         with np.errstate(over="ignore"):
             salt = (mix(ids[text].astype(np.uint64) * _ROOT + first.astype(np.uint64)) % salts.astype(np.uint64)).astype(np.int64) if len(use) else use
         pieces = [texts[t][a:b] for t, a, b in zip(text.tolist(), first.tolist(), (first + windows + window - 1).tolist(), strict=True)]
@@ -353,13 +403,14 @@ def _removed(batches: Iterator[pa.RecordBatch], window: int, with_text: bool) ->
         yield pa.RecordBatch.from_arrays(columns + [pa.array(rows[4], pa.binary())] * with_text, names)
 
 
-def _sent_contents(slim: DataFrame, anchors: DataFrame, window: int, gram: int, wide: int) -> DataFrame:
-    """The shared anchors go to every task, which cuts their regions out of its texts."""
-    table = anchors.toArrow()
-    shared = table.column("anchor").to_numpy()
-    order = np.argsort(shared)
+def _sent_contents(slim: DataFrame, anchors: DataFrame, n: int, window: int, gram: int, wide: int) -> DataFrame:
+    """A filter of the shared anchors goes to every task, which cuts their regions out of its texts. A region that only looks like
+    one of them is alone in its collection, or with regions of another anchor, and costs no more than its bytes."""
+    table = anchors.where(F.col("all") > wide).toArrow()  # at most one in ``wide`` of all regions' anchors
+    salted = table.column("anchor").to_numpy()
+    order = np.argsort(salted)
     parts = -(-table.column("all").to_numpy()[order] // wide)
-    sent = slim.sparkSession.sparkContext.broadcast((shared[order], parts))
+    sent = slim.sparkSession.sparkContext.broadcast((_filter(anchors, n), salted[order], parts))
     return slim.mapInArrow(lambda it: _shared_contents(it, window, gram, *sent.value), _CONTENTS)
 
 
@@ -391,7 +442,8 @@ def remove_repeated_bytes(docs: DataFrame, window: int = WINDOW, gram: int = GRA
 
     anchors = slim.mapInArrow(lambda it: _anchors(it, window, gram), "anchor long, n long").groupBy("anchor").agg(F.sum("n").alias("all"))
     anchors = cut_lineage(anchors.where("all >= 2"))
-    contents = _sent_contents(slim, anchors, window, gram, wide) if anchors.count() <= most_sent else _joined_contents(slim, anchors, window, gram, wide)
+    n = anchors.count()
+    contents = _sent_contents(slim, anchors, n, window, gram, wide) if n <= most_sent else _joined_contents(slim, anchors, window, gram, wide)
     marks = contents.repartition("anchor", "salt").sortWithinPartitions("anchor", "salt", "id", "key", "first").mapInArrow(lambda it: _marked(it, window, COLLECTION_BYTES), _MARKS)
     path = f"{shared_folder(docs.sparkSession)}/marks-{uuid.uuid4().hex}"
     marks.write.parquet(path)  # a fifth of a checkpoint's size

@@ -97,3 +97,14 @@ def test_windows_that_differ_stay(spark):
     texts = ["".join(rng.choice("abcdef") for _ in range(60)) + anchor + "".join(rng.choice("abcdef") for _ in range(60)) for _ in range(30)]
     out = suffixes.remove_repeated_bytes(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"))
     assert {r["n_removed"] for r in out.collect()} == {0}
+
+
+def test_the_shared_anchors_go_out_as_a_filter_of_two_bytes_each(spark):
+    n = 300_000
+    anchors = spark.range(n).selectExpr("id * 7919 AS anchor", "2L AS all")
+    known = suffixes._filter(anchors, n)
+    assert known.nbytes <= 2 * n + 8
+    word, bits = suffixes._bits(np.arange(n) * 7919, len(known))
+    assert np.all(known[word] & bits == bits)
+    word, bits = suffixes._bits(np.arange(n) * 7919 + 1, len(known))
+    assert np.mean(known[word] & bits == bits) < 0.01
