@@ -7,6 +7,7 @@ import heapq
 import json
 import re
 from collections import Counter, defaultdict
+from collections.abc import Iterator
 from dataclasses import dataclass, field
 
 import numpy as np
@@ -17,6 +18,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from quillmill.functions.text import PRETOKEN, let, pretokens
+from quillmill.session import cut_lineage
 
 
 def split_on_specials(text: Column, specials: tuple[str, ...]) -> Column:
@@ -70,6 +72,22 @@ class MergeLoop:
         self.heap = [self._entry(p) for p in self.stats]
         heapq.heapify(self.heap)
 
+    def add(self, more: dict[tuple[int, int], int]) -> None:
+        """Counts from elsewhere on top of those of the words."""
+        for pair, n in more.items():
+            if n:
+                self.stats[pair] += n
+                heapq.heappush(self.heap, self._entry(pair))
+
+    def best(self) -> tuple[int, int] | None:
+        """The pair that the next step merges."""
+        while self.heap:
+            total, *_, pair = self.heap[0]
+            if self.stats.get(pair, 0) == -total and total < 0:
+                return pair
+            heapq.heappop(self.heap)
+        return None
+
     def _count(self, i: int, word: list[int], sign: int) -> None:
         for pair in zip(word, word[1:]):
             self.stats[pair] += sign * self.weight[i]
@@ -80,18 +98,13 @@ class MergeLoop:
         return (-self.stats[pair], _Descending(self.tokens[pair[0]]), _Descending(self.tokens[pair[1]]), pair)
 
     def step(self) -> tuple[bytes, bytes] | None:
-        while self.heap:
-            entry = heapq.heappop(self.heap)
-            pair = entry[3]
-            if self.stats.get(pair, 0) == -entry[0] and entry[0] < 0:
-                break
-        else:
+        if (pair := self.best()) is None:
             return None
         left, right = pair
         new = len(self.tokens)
         self.tokens[new] = self.tokens[left] + self.tokens[right]
         changed: set[tuple[int, int]] = set()
-        for i in self.where.pop(pair):
+        for i in self.where.pop(pair, ()):
             word = self.words[i]
             out: list[int] = []
             for t in word:
@@ -136,20 +149,157 @@ def _merge(word: list[int], left: int, right: int, new: int) -> list[int]:
     return out
 
 
-def train_bpe(docs: DataFrame, vocab_size: int, specials: tuple[str, ...] = ()) -> Vocabulary:
+def _merge_all(flat: np.ndarray, word: np.ndarray, merges: list[tuple[int, int, int]]) -> tuple[np.ndarray, np.ndarray]:
+    """Symbols of many words, one after the other, and the word of each, after ``left, right, new`` one by one."""
+    for left, right, new in merges:
+        hit = np.flatnonzero((flat[:-1] == left) & (flat[1:] == right) & (word[:-1] == word[1:]))
+        if not len(hit):
+            continue
+        if left == right:  # left to right, without overlaps: every other one of a run
+            first = np.concatenate([[True], np.diff(hit) != 1])
+            begin = hit[first][np.cumsum(first) - 1]
+            hit = hit[(hit - begin) % 2 == 0]
+        flat[hit] = new
+        stays = np.ones(len(flat), bool)
+        stays[hit + 1] = False
+        flat, word = flat[stays], word[stays]
+    return flat, word
+
+
+class _Tail:
+    """The rarer words, which stay in Spark: symbols of each as bytes, and its count.
+
+    ``counts`` has their pairs as of the last look, which is at most ``size`` squared numbers. A merge of a pair that no rare word has leaves
+    them right. After another one the pairs beside it are only bounded from above (``loose``), until the next look.
+    """
+
+    #: Merges after which the words are written down anew.
+    KEPT = 16
+
+    def __init__(self, words: DataFrame) -> None:
+        self.words = words
+        self.pending: list[tuple[int, int, int]] = []
+        self.loose: set[tuple[int, int]] = set()
+        self.counts: dict[tuple[int, int], int] = {}
+
+    def merged(self, pair: tuple[int, int], new: int) -> dict[tuple[int, int], int]:
+        """Notes a merge; returns bounds of the pairs that it makes."""
+        left, right = pair
+        self.pending.append((left, right, new))
+        times = self.counts.pop(pair, 0)
+        self.loose.discard(pair)
+        made: dict[tuple[int, int], int] = {}
+        if not times:
+            return made
+        most = lambda p, n: made.__setitem__(p, max(made.get(p, 0), min(times, n)))
+        for (a, b), n in self.counts.items():
+            if b == left:
+                most((a, new), n)
+                self.loose.add((a, b))
+            if a == right:
+                most((new, b), n)
+                self.loose.add((a, b))
+            if (a, b) == (right, left):
+                most((new, new), n)
+        if left == right:
+            for p in ((new, left), (new, new)):
+                made[p] = times
+        self.counts |= made
+        self.loose |= set(made)
+        return made
+
+    def look(self) -> dict[tuple[int, int], int]:
+        """The pairs as they are; returns by how much they differ from what was known."""
+        merges = list(self.pending)
+
+        def read(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple]:
+            for batch in batches:
+                for at in range(0, batch.num_rows, 50_000):
+                    part = batch.slice(at, 50_000)
+                    symbols = [np.frombuffer(x, "<i4") for x in part.column("symbols").to_pylist()]
+                    word = np.repeat(np.arange(len(symbols)), [len(x) for x in symbols])
+                    yield part, *_merge_all(np.concatenate(symbols), word, merges)
+
+        if len(merges) >= self.KEPT:
+            def written(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+                for part, flat, word in read(batches):
+                    ends = np.cumsum(np.bincount(word, minlength=part.num_rows))
+                    data = [flat[a:b].astype("<i4").tobytes() for a, b in zip([0, *ends[:-1].tolist()], ends.tolist(), strict=True)]
+                    yield pa.RecordBatch.from_arrays([pa.array(data, pa.binary()), part.column("n")], ["symbols", "n"])
+
+            self.words, self.pending = cut_lineage(self.words.mapInArrow(written, "symbols binary, n long")), []
+            merges = []
+
+        def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for part, flat, word in read(batches):
+                inside = np.flatnonzero(word[:-1] == word[1:])
+                pairs, at = np.unique(flat[inside].astype(np.int64) << 32 | flat[inside + 1], return_inverse=True)
+                n = np.zeros(len(pairs), np.int64)
+                np.add.at(n, at, part.column("n").to_numpy()[word[inside]])
+                yield pa.RecordBatch.from_arrays([pa.array(pairs), pa.array(n)], ["pair", "n"])
+
+        found = self.words.mapInArrow(counted, "pair long, n long").groupBy("pair").agg(F.sum("n").alias("n")).toArrow()
+        now = {(p >> 32, p & 0xFFFFFFFF): n for p, n in zip(found.column("pair").to_pylist(), found.column("n").to_pylist(), strict=True)}
+        change = {p: now.get(p, 0) - self.counts.get(p, 0) for p in now.keys() | self.counts.keys()}
+        self.counts, self.loose = now, set()
+        return change
+
+
+#: Distinct pre-tokens that the merge loop holds on the driver, the most frequent ones.
+MOST_WORDS = 100_000
+
+
+def _head_and_tail(counts: DataFrame, most: int) -> tuple[dict[str, int], DataFrame | None]:
+    """The most frequent words, some ``most`` of them, and the others as symbols."""
+    if counts.count() <= most:
+        head, rest = counts, None
+    else:
+        n, above, least = 0, None, None
+        for row in counts.groupBy(F.floor(F.log2("n") * 8).alias("size")).agg(F.count("*").alias("k"), F.min("n").alias("least")).orderBy(F.desc("size")).collect():  # a few hundred rows
+            n += row["k"]
+            if n > most:
+                above = least
+                break
+            least = row["least"]
+        few = F.lit(False) if above is None else F.col("n") >= above
+        head, rest = counts.where(few), counts.where(~few)
+    table = head.toArrow()
+    words = dict(zip(table.column("pretoken").to_pylist(), table.column("n").to_pylist(), strict=True))
+    if rest is None:
+        return words, None
+
+    def symbols(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            data = [np.frombuffer(w.encode(), np.uint8).astype("<i4").tobytes() for w in batch.column("pretoken").to_pylist()]
+            yield pa.RecordBatch.from_arrays([pa.array(data, pa.binary()), batch.column("n")], ["symbols", "n"])
+
+    return words, cut_lineage(rest.where("pretoken != ''").mapInArrow(symbols, "symbols binary, n long"))
+
+
+def train_bpe(docs: DataFrame, vocab_size: int, specials: tuple[str, ...] = (), most_words: int = MOST_WORDS) -> Vocabulary:
     """Learn ``vocab_size - 256 - len(specials)`` merges; specials get the last ids.
 
-    The corpus is reduced to distinct pre-tokens with counts in Spark; the loop, sequential by
-    nature, works on that table on the driver, so its memory follows the number of distinct words. Ties between pairs
-    go by their bytes, so the order in which words come in doesn't matter.
+    The corpus is reduced to distinct pre-tokens with counts in Spark. The loop, sequential by nature, works on the driver on the
+    ``most_words`` most frequent ones; the others stay in Spark, which counts their pairs anew when a merge depends on what isn't known of
+    them. So the driver's memory doesn't follow the number of distinct words, and the merges are those of all. Ties between pairs go by
+    their bytes, so the order in which words come in doesn't matter.
     """
-    counts = pretoken_counts(docs, specials).toArrow()
-    loop = MergeLoop(dict(zip(counts.column("pretoken").to_pylist(), counts.column("n").to_pylist(), strict=True)))
+    words, rest = _head_and_tail(cut_lineage(pretoken_counts(docs, specials)), most_words)
+    loop, tail = MergeLoop(words), None if rest is None else _Tail(rest)
+    if tail:
+        loop.add(tail.look())
     merges = []
     for _ in range(max(0, vocab_size - 256 - len(specials))):
-        if (pair := loop.step()) is None:
+        pair = loop.best()
+        while tail and pair in tail.loose:  # of all upper bounds the largest, but itself not known
+            loop.add(tail.look())
+            pair = loop.best()
+        if pair is None:
             break
-        merges.append(pair)
+        new = len(loop.tokens)
+        merges.append(loop.step())
+        if tail:
+            loop.add(tail.merged(pair, new))
     return Vocabulary(dict(loop.tokens), merges, specials)
 
 

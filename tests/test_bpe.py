@@ -75,3 +75,12 @@ def test_text_form_round_trip(vocabulary):
 def test_missing_bytes_are_refused():
     with pytest.raises(ValueError):
         Vocabulary({0: b"a"}, [])
+
+
+@pytest.mark.parametrize("most", [0, 5, 40])
+def test_words_beyond_the_drivers_share_stay_in_spark(spark, most):
+    rng = random.Random(most)
+    rows = [("".join(rng.choice("aaab cd é") for _ in range(rng.randint(0, 60))),) for _ in range(80)]
+    docs = spark.createDataFrame(rows, "text string").repartition(3)
+    assert bpe.train_bpe(docs, 330, most_words=most).merges == bpe.train_bpe(docs, 330).merges == naive_merges(dict(bpe.pretoken_counts(docs).collect()), 74)
+    assert len(bpe._head_and_tail(bpe.pretoken_counts(docs), most)[0]) <= most
