@@ -11,7 +11,6 @@ from collections.abc import Iterator
 from dataclasses import dataclass, field
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -306,7 +305,10 @@ def train_bpe(docs: DataFrame, vocab_size: int, specials: tuple[str, ...] = (),
 class Codec:
     """Encoder and decoder of a vocabulary, with a cache of pre-tokens and their ids as bytes."""
 
-    def __init__(self, vocabulary: Vocabulary, cached: int = 400_000):
+    #: Characters of a pre-token that is cached.
+    LONGEST = 64
+
+    def __init__(self, vocabulary: Vocabulary, cached: int = 100_000):
         import regex
 
         self.v = vocabulary
@@ -336,9 +338,10 @@ class Codec:
                     i += 1
             parts = merged
         got = np.array([self.v.ids[p] for p in parts], "<i4").tobytes()
-        if len(self.cache) >= self.cached:
-            self.cache.clear()
-        self.cache[word] = got
+        if len(word) <= self.LONGEST:
+            if len(self.cache) >= self.cached:
+                self.cache.clear()
+            self.cache[word] = got
         return got
 
     def _plain(self, text: str) -> bytes:
@@ -365,32 +368,42 @@ class Codec:
         return b"".join(self.v.tokens.get(int(i), b"") for i in ids).decode("utf-8", "replace")
 
 
+#: Bytes of texts, or of ids, that are unpacked at a time.
+SLICE_BYTES = 1 << 20
+
+
+def _pieces(column: pa.Array) -> Iterator[pa.Array]:
+    step = max(1, len(column) * SLICE_BYTES // max(1, column.nbytes))
+    for at in range(0, len(column), step):
+        yield column.slice(at, step)
+
+
 def encode_udf(spark: SparkSession, vocabulary: Vocabulary):
-    """A vectorised column function text -> ids, on Arrow arrays."""
+    """A vectorised column function text -> ids, on Arrow arrays. Ids go on piece by piece, so a worker never holds those of a whole batch."""
     shared = spark.sparkContext.broadcast(vocabulary)
-    held: list[Codec] = []
 
     @F.arrow_udf(T.ArrayType(T.IntegerType()))
-    def encode(text: pa.Array) -> pa.Array:
-        if not held:
-            held.append(Codec(shared.value))
-        ids = [None if t is None else held[0].encode_bytes(t) for t in text.to_pylist()]
-        ends = np.cumsum([0, *(len(x or b"") // 4 for x in ids)])
-        mask = pa.array([x is None for x in ids], pa.bool_())
-        return pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.frombuffer(b"".join(x or b"" for x in ids), "<i4")), mask=mask)
+    def encode(texts: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        codec = Codec(shared.value)
+        for whole in texts:
+            for text in _pieces(whole):
+                ids = [None if t is None else codec.encode_bytes(t) for t in text.to_pylist()]
+                ends = np.cumsum([0, *(len(x or b"") // 4 for x in ids)])
+                mask = pa.array([x is None for x in ids], pa.bool_())
+                yield pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.frombuffer(b"".join(x or b"" for x in ids), "<i4")), mask=mask)
 
     return encode
 
 
 def decode_udf(spark: SparkSession, vocabulary: Vocabulary):
     shared = spark.sparkContext.broadcast(vocabulary)
-    held: list[Codec] = []
 
-    @F.pandas_udf(T.StringType())
-    def decode(ids: pd.Series) -> pd.Series:
-        if not held:
-            held.append(Codec(shared.value))
-        return ids.map(lambda x: None if x is None else held[0].decode(x))
+    @F.arrow_udf(T.StringType())
+    def decode(lists: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        codec = Codec(shared.value, 0)
+        for whole in lists:
+            for ids in _pieces(whole):
+                yield pa.array([None if x is None else codec.decode(x) for x in ids.to_pylist()], pa.string())
 
     return decode
 

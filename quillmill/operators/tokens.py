@@ -122,7 +122,10 @@ def prompt_and_output(prompt: Column, output: Column, width: Column, pad: int) -
     """input_ids, labels and response_mask of prompt + output, padded to ``width`` and shifted by one."""
     whole = F.concat(prompt, output)
     padded = F.concat(whole, F.array_repeat(F.lit(pad), F.greatest(width - F.size(whole), F.lit(0)).cast("int")))
-    mask = F.transform(F.sequence(F.lit(0), width - 2), lambda i: ((i >= F.size(prompt) - 1) & (i < F.size(whole) - 1)).cast("int"))
+    before = F.greatest(F.size(prompt) - 1, F.lit(0))
+    of = F.greatest(F.size(whole) - 1 - before, F.lit(0))
+    after = F.greatest(width - 1 - before - of, F.lit(0))
+    mask = F.slice(F.concat(*[F.array_repeat(F.lit(v), n.cast("int")) for v, n in ((0, before), (1, of), (0, after))]), 1, width - 1)
     return F.struct(F.slice(padded, 1, width - 1).alias("input_ids"), F.slice(padded, 2, width - 1).alias("labels"), mask.alias("response_mask"))
 
 

@@ -248,7 +248,7 @@ def random_windows(docs):
     spark, path = docs.sparkSession, _folder(docs.sparkSession, "windows")
     S.write_token_blocks(tokens.token_stream(ids_with_end(tokens.in_order(docs.select("doc_id", "text"))), ordered=True), path, 4096, 16)
     found = tokens.random_windows(spark.read.parquet(path), 64, docs.count())
-    digest = lambda c: F.md5(F.array_join(F.transform(c, lambda v: v.cast("string")), " ")).alias(f"{c}_md5")
+    digest = lambda c: F.md5(F.array_join(F.col(c).cast("array<string>"), " ")).alias(f"{c}_md5")
     return found.select("window", "start", digest("x"), digest("y"))
 
 

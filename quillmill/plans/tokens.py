@@ -89,7 +89,7 @@ def _with_end(docs):
 
 
 def _joined(ids):
-    return F.array_join(F.transform(ids, lambda v: v.cast("string")), " ")
+    return F.array_join(F.col(ids).cast("array<string>") if isinstance(ids, str) else ids.cast("array<string>"), " ")
 
 
 _IDS = _ids_sql("documents", "doc_id")

@@ -1,6 +1,7 @@
 import random
 from collections import Counter
 
+import pyarrow as pa
 import pytest
 
 from quillmill.operators import bpe
@@ -84,3 +85,16 @@ def test_words_beyond_the_drivers_share_stay_in_spark(spark, most):
     docs = spark.createDataFrame(rows, "text string").repartition(3)
     assert bpe.train_bpe(docs, 330, most_words=most).merges == bpe.train_bpe(docs, 330).merges == naive_merges(dict(bpe.pretoken_counts(docs).collect()), 74)
     assert len(bpe._head_and_tail(bpe.pretoken_counts(docs), most)[0]) <= most
+
+
+def test_ids_leave_a_worker_in_pieces(spark, vocabulary, monkeypatch):
+    texts = ["word " * n for n in (0, 1, 400_000, 3)] + [None] + ["x" * 70] * 300
+    df = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "i long, text string").coalesce(1)
+    codec = Codec(vocabulary)
+    got = df.select("i", bpe.encode_udf(spark, vocabulary)("text").alias("ids"))
+    back = {r["i"]: r["t"] for r in got.select("i", bpe.decode_udf(spark, vocabulary)("ids").alias("t")).collect()}
+    assert back == dict(enumerate(texts))
+    assert {r["i"]: r["ids"] for r in got.collect()} == {i: None if t is None else codec.encode(t) for i, t in enumerate(texts)}
+    assert [len(p) for p in bpe._pieces(pa.array(["a" * 600_000] * 3))] == [1, 1, 1]
+    codec.encode("y" * 70)
+    assert all(len(w) <= Codec.LONGEST for w in codec.cache)
