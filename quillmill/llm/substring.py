@@ -42,6 +42,8 @@ GRAM = 8
 WIDE = 512
 #: Words that one automaton holds, unless a single shard of an anchor is more.
 AUTOMATON_WORDS = 40_000
+#: Bytes of text that are hashed or cut at a time; hashing takes some forty times as much.
+SLICE_BYTES = 1 << 20
 
 
 class SuffixAutomaton:
@@ -124,7 +126,7 @@ def _automaton(held: list[tuple[int, list[int]]]) -> SuffixAutomaton:
 
 def _anchors(batches: Iterator[pa.RecordBatch], window: int, gram: int) -> Iterator[pa.RecordBatch]:
     """Anchors of each slice with their counts."""
-    for part in slices(batches, 4096):
+    for part in slices(batches, 4096, SLICE_BYTES):
         _, _, _, anchor, _, _ = regions([t or b"" for t in as_bytes(part.column("text"))], window, gram)
         distinct, n = np.unique(anchor, return_counts=True)
         yield pa.RecordBatch.from_arrays([pa.array(distinct.view(np.int64)), pa.array(n.astype(np.int64))], ["anchor", "n"])
@@ -132,7 +134,7 @@ def _anchors(batches: Iterator[pa.RecordBatch], window: int, gram: int) -> Itera
 
 def _places(batches: Iterator[pa.RecordBatch], window: int, gram: int) -> Iterator[pa.RecordBatch]:
     """Every region of every document."""
-    for part in slices(batches, 4096):
+    for part in slices(batches, 4096, SLICE_BYTES):
         ids, keys = (part.column(c).to_numpy(zero_copy_only=False) for c in ("id", "key"))
         text, first, last, anchor, region, _ = regions([t or b"" for t in as_bytes(part.column("text"))], window, gram)
         columns = (anchor.view(np.int64), region.view(np.int64), ids[text], keys[text], first.astype(np.int32), last.astype(np.int32))
@@ -167,7 +169,7 @@ def _contents(batches: Iterator[pa.RecordBatch], window: int, budget: int) -> It
         return batch_of(rows)
 
     size, before = 0, None
-    for part in slices(batches, 256):
+    for part in slices(batches, 256, SLICE_BYTES):
         rows = []
         for row, text, wanted in zip(zip(part.column("id").to_pylist(), part.column("key").to_pylist(), strict=True), as_bytes(part.column("text")), part.column("wanted").to_pylist(), strict=True):
             if row == before:
@@ -259,7 +261,7 @@ def _covered(n: int, first: np.ndarray, last: np.ndarray, mark: np.ndarray, wind
 
 def _remove(batches: Iterator[pa.RecordBatch], window: int, with_text: bool) -> Iterator[pa.RecordBatch]:
     names = ["doc_id", "n_words", "n_removed", "kept_sha256"] + ["kept"] * with_text
-    for part in slices(batches, 512):
+    for part in slices(batches, 512, SLICE_BYTES):
         rows: list[list] = [[], [], [], []]
         lists = part.column("found")
         sizes = np.nan_to_num(pc.list_value_length(lists).to_numpy(zero_copy_only=False)).astype(np.int64)

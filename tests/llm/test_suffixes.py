@@ -108,3 +108,24 @@ def test_the_shared_anchors_go_out_as_a_filter_of_two_bytes_each(spark):
     assert np.all(known[word] & bits == bits)
     word, bits = suffixes._bits(np.arange(n) * 7919 + 1, len(known))
     assert np.mean(known[word] & bits == bits) < 0.01
+
+
+def test_texts_of_a_large_batch_are_hashed_a_megabyte_at_a_time(monkeypatch):
+    import pyarrow as pa
+
+    from quillmill.llm import substring
+
+    sizes = []
+
+    def spied(texts, window, gram):
+        sizes.append(sum(map(len, texts)))
+        return regions(texts, window, gram)
+
+    regions = substring.regions
+    monkeypatch.setattr(substring, "regions", spied)
+    texts = [" ".join(f"w{i * j}" for j in range(200)) for i in range(4000)]
+    batch = pa.RecordBatch.from_arrays([pa.array(range(4000)), pa.array(range(4000)), pa.array(texts)], ["id", "key", "text"])
+    for step in (substring._anchors, substring._places):
+        sizes.clear()
+        rows = sum(out.num_rows for out in step(iter([batch]), 35, 8))
+        assert rows and sum(sizes) == sum(map(len, texts)) and max(sizes) < 3 << 19
