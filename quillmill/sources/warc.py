@@ -23,12 +23,14 @@ import pyarrow.fs
 from pyspark.sql import SparkSession
 from pyspark.sql.datasource import DataSource, DataSourceArrowWriter, DataSourceReader, InputPartition, WriterCommitMessage
 
+from quillmill.operators.batches import slices
+
 DAMAGED = "damaged"
 SCHEMA = "path string, record_type string, url string, payload binary, position long"
 SPLIT_BYTES = 64 << 20
 _MAGIC = b"\x1f\x8b\x08"
 _BLOCK = 1 << 20
-_BATCH_BYTES = 8 << 20
+_BATCH_BYTES = 1 << 20
 _ARROW = pa.schema([("path", pa.string()), ("record_type", pa.string()), ("url", pa.string()), ("payload", pa.binary()), ("position", pa.int64())])
 _BROKEN = (EOFError, OSError, zlib.error, ValueError)
 
@@ -250,7 +252,7 @@ class ArchiveWriter(DataSourceArrowWriter):
         store.create_dir(path, recursive=True)
         name = f"part-{TaskContext.get().partitionId():05d}-{uuid.uuid4().hex}.warc.gz"
         with store.open_output_stream(f"{path}/_{name}", compression=None) as out:
-            for batch in iterator:
+            for batch in slices(iterator, max_bytes=_BATCH_BYTES):
                 names = batch.schema.names
                 payloads = batch.column("payload").cast(pa.binary()).to_pylist()
                 if self.verbatim:
