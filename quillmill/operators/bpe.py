@@ -12,6 +12,7 @@ from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -408,10 +409,36 @@ def decode_udf(spark: SparkSession, vocabulary: Vocabulary):
     return decode
 
 
-def decode_rows(tokens: DataFrame, vocabulary: DataFrame, key: str = "doc_id") -> DataFrame:
-    """``key, text`` from ``key, pos, token_id`` by a join with ``token_id, token``; unknown ids drop out."""
-    joined = tokens.join(vocabulary, "token_id").groupBy(key).agg(F.array_sort(F.collect_list(F.struct("pos", F.hex("token").alias("h")))).alias("x"))
-    return joined.select(key, F.decode(F.unhex(F.array_join(F.transform("x", lambda t: t["h"]), "")), "UTF-8").alias("text"))
+def _token_runs(joined: DataFrame, keys: tuple[str, ...]) -> DataFrame:
+    """``keys, pos, data``: the bytes of tokens that stand next to one another in a batch as well as in their text, a row each such run."""
+
+    def runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if not (n := batch.num_rows):
+                continue
+            *key, pos, token = batch.columns
+            goes_on = np.diff(pos.to_numpy(zero_copy_only=False)) == 1
+            for k in key:  # nulls begin a run
+                goes_on &= pc.equal(k[1:], k[:-1]).fill_null(False).to_numpy(zero_copy_only=False)
+            first = np.flatnonzero(np.concatenate([[True], ~goes_on]))
+            ends = np.frombuffer(token.buffers()[1], "<i4")[token.offset :][[*first, n]]
+            data = pa.Array.from_buffers(pa.binary(), len(first), [None, pa.py_buffer(ends), token.buffers()[2]])
+            yield pa.RecordBatch.from_arrays([*(c.take(pa.array(first)) for c in (*key, pos)), data], [*keys, "pos", "data"])
+
+    kinds = [f"`{c}` {joined.schema[c].dataType.simpleString()}" for c in (*keys, "pos")]
+    return joined.select(*keys, "pos", "token").mapInArrow(runs, ", ".join([*kinds, "data binary"]))
+
+
+def decode_rows(tokens: DataFrame, vocabulary: DataFrame, *keys: str) -> DataFrame:
+    """``keys, text`` from ``keys, pos, token_id`` by a join with ``token_id, token``; unknown ids drop out. A place comes up once a key.
+
+    Rows may come in any order. Those that come as they stand in their text, as exploded ids joined with a broadcast vocabulary do, are
+    sent to their text's other rows in runs, so about the text is shuffled and not a row for each token.
+    """
+    keys = keys or ("doc_id",)
+    sent = _token_runs(tokens.join(vocabulary, "token_id"), keys).repartition(*keys)
+    whole = sent.groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct("pos", F.hex("data").alias("h")))).alias("x"))
+    return whole.select(*keys, F.decode(F.unhex(F.array_join(F.transform("x", lambda t: t["h"]), "")), "UTF-8").alias("text"))
 
 
 def printable_bytes() -> dict[int, str]:
