@@ -429,16 +429,40 @@ def _token_runs(joined: DataFrame, keys: tuple[str, ...]) -> DataFrame:
     return joined.select(*keys, "pos", "token").mapInArrow(runs, ", ".join([*kinds, "data binary"]))
 
 
+def _put_together(joined: DataFrame, keys: tuple[str, ...]) -> DataFrame:
+    """``keys, text`` from ``keys, pos, token``."""
+    sent = _token_runs(joined, keys).repartition(*keys)
+    whole = sent.groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct("pos", F.hex("data").alias("h")))).alias("x"))
+    return whole.select(*keys, F.decode(F.unhex(F.array_join(F.transform("x", lambda t: t["h"]), "")), "UTF-8").alias("text"))
+
+
 def decode_rows(tokens: DataFrame, vocabulary: DataFrame, *keys: str) -> DataFrame:
     """``keys, text`` from ``keys, pos, token_id`` by a join with ``token_id, token``; unknown ids drop out. A place comes up once a key.
 
     Rows may come in any order. Those that come as they stand in their text, as exploded ids joined with a broadcast vocabulary do, are
     sent to their text's other rows in runs, so about the text is shuffled and not a row for each token.
     """
+    return _put_together(tokens.join(vocabulary, "token_id"), keys or ("doc_id",))
+
+
+#: Ids of a list that are looked up side by side.
+PIECE = 8
+
+
+def decode_lists(encoded: DataFrame, vocabulary: DataFrame, *keys: str) -> DataFrame:
+    """``decode_rows`` of ``keys, ids``. A row is a piece of a list, joined with ``vocabulary`` once for each of its places, so there
+    are fewer rows to put together. Ids are unknown or come up once in the vocabulary, a small table.
+    """
     keys = keys or ("doc_id",)
-    sent = _token_runs(tokens.join(vocabulary, "token_id"), keys).repartition(*keys)
-    whole = sent.groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct("pos", F.hex("data").alias("h")))).alias("x"))
-    return whole.select(*keys, F.decode(F.unhex(F.array_join(F.transform("x", lambda t: t["h"]), "")), "UTF-8").alias("text"))
+    begins = F.sequence(F.lit(1), F.greatest(F.size("ids"), F.lit(1)), F.lit(PIECE))
+    # outer: else a filter on ids is made up, for which they are encoded a second time
+    rows = encoded.select(*keys, F.posexplode_outer(F.transform(begins, lambda at: F.slice("ids", at, PIECE))).alias("pos", "piece"))
+    rows = rows.select(*keys, "pos", *(F.get("piece", F.lit(k)).alias(f"_id{k}") for k in range(PIECE)))
+    for k in range(PIECE):
+        known = F.broadcast(vocabulary.select(F.col("token_id").alias(f"_known{k}"), F.col("token").alias(f"_token{k}")))
+        rows = rows.join(known, F.col(f"_id{k}") == F.col(f"_known{k}"), "left")
+    rows = rows.where(F.coalesce(*(F.col(f"_known{k}") for k in range(PIECE))).isNotNull())
+    return _put_together(rows.select(*keys, "pos", F.concat(*(F.coalesce(f"_token{k}", F.lit(b"")) for k in range(PIECE))).alias("token")), keys)
 
 
 def printable_bytes() -> dict[int, str]:

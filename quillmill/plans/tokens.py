@@ -115,8 +115,7 @@ def encode_roundtrip(docs):
 def decode_join(docs):
     vocabulary = docs.sparkSession.createDataFrame([(i, bytearray(t)) for i, t in _vocabulary().tokens.items()], "token_id int, token binary")
     numbered = docs.withColumn("row", F.monotonically_increasing_id())  # rows that share an id are two texts
-    rows = _ids(numbered, "row", "doc_id").select("row", "doc_id", F.posexplode_outer("ids").alias("pos", "token_id"))  # else a filter on ids encodes every text twice
-    return bpe.decode_rows(rows, F.broadcast(vocabulary), "row", "doc_id").select("doc_id", F.md5("text").alias("text_md5"))
+    return bpe.decode_lists(_ids(numbered, "row", "doc_id"), vocabulary, "row", "doc_id").select("doc_id", F.md5("text").alias("text_md5"))
 
 
 @query("token_stream_stats", "documents", sql=f"SELECT doc_id, (sum(len(ids)) OVER (ORDER BY doc_id) - len(ids))::BIGINT AS start, len(ids)::BIGINT AS n FROM ({_STREAM})")
